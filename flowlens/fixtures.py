@@ -77,3 +77,120 @@ def flows_large(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", "DENY").otherwise("PERMIT").alias("action"),
         (1 + part % 50).cast("int").alias("regle"),
     )
+
+
+# --- rendered logs ---------------------------------------------------------------------
+
+
+def _text(column, missing=""):
+    return F.coalesce(F.col(column).cast("string"), F.lit(missing))
+
+
+def kernel_lines(flows: DataFrame) -> DataFrame:
+    """Flows as kernel log lines; a null date becomes January 32, ICMP repeats its ID.
+
+    Every 50th event is followed by a line of another program.
+    """
+    event = F.col("event_id")
+    head = F.concat(
+        F.coalesce(F.date_format("date", "MMM d HH:mm:ss"), F.lit("Jan 32 00:00:00")),
+        F.lit(" fw1 kernel: [123.456] "),
+        F.upper(F.trim("action")),
+        F.lit(" FW="), (event % 7).cast("string"),
+        F.lit(" RULE="), _text("regle"),
+        F.lit(" IN="), _text("interface_in"),
+        F.lit(" OUT= MAC=aa:bb SRC="), _text("ipsrc"),
+        F.lit(" DST="), _text("ipdst"),
+        F.lit(" LEN="), (40 + event % 1400).cast("string"),
+        F.lit(" TOS=0x00 TTL="), (event % 256).cast("string"),
+        F.lit(" ID="), event.cast("string"),
+        F.when(event % 3 == 0, " DF").otherwise(""),
+        F.lit(" PROTO="), F.col("proto"),
+    )
+    tail = F.when(
+        F.col("proto") == "TCP",
+        F.concat(
+            F.lit(" SPT="), _text("portsrc"), F.lit(" DPT="), _text("portdst"),
+            F.lit(" WINDOW=1024 RES=0x00 "), F.when(event % 2 == 0, "SYN").otherwise("ACK PSH"), F.lit(" URGP=0"),
+        ),
+    ).when(
+        F.col("proto") == "UDP",
+        F.concat(F.lit(" SPT="), _text("portsrc"), F.lit(" DPT="), _text("portdst")),
+    ).otherwise(F.concat(F.lit(" TYPE=8 ID="), (event + 1).cast("string")))
+    other = F.when(event % 50 == 0, F.concat(F.lit("Jan 1 00:00:00 fw1 sshd[7]: login "), event.cast("string")))
+    lines = F.array_compact(F.array(F.concat(head, tail), other))
+    return flows.select(F.explode(lines).alias("value"))
+
+
+def yearless_lines(orders: DataFrame) -> DataFrame:
+    """Orders in date order as kernel log lines, which carry no year."""
+    return orders.orderBy("o_orderdate", "o_orderkey").select(
+        F.concat(
+            F.date_format("o_orderdate", "MMM d HH:mm:ss"),
+            F.lit(" fw1 kernel: [1.5] PERMIT IN=eth0 OUT= SRC=10.0.0.1 DST=10.0.0.2 ID="),
+            F.col("o_orderkey").cast("string"),
+            F.lit(" PROTO=TCP"),
+        ).alias("value")
+    )
+
+
+def export_lines(flows: DataFrame) -> DataFrame:
+    """Semicolon export lines in both date styles; some have one field too many or too few."""
+    event = F.col("event_id")
+    date = F.when(event % 2 == 0, F.date_format("date", "yyyy-MM-dd HH:mm:ss")).otherwise(
+        F.date_format("date", "M-d-yyyy H:mm:ss")
+    )
+    fields = [
+        F.coalesce(date, F.lit("")), _text("ipsrc"), _text("ipdst"), F.concat(F.lit(" "), F.col("proto")),
+        _text("portsrc"), F.when(event % 17 == 0, "x").otherwise(_text("portdst")), _text("regle"),
+        F.col("action"), _text("interface_in"),
+    ]
+    full = F.concat_ws(";", *fields, F.lit(""), F.lit("6"))
+    line = F.when(event % 41 == 0, F.concat_ws(";", full, F.lit("extra"))).when(
+        event % 43 == 0, F.concat_ws(";", *fields)
+    )
+    return flows.select(line.otherwise(full).alias("value"))
+
+
+def legacy_lines(flows: DataFrame, separator: str = ",") -> DataFrame:
+    fields = [
+        _text("ipsrc"), _text("ipdst"), _text("portdst"), F.col("proto"), F.col("action"),
+        F.coalesce(F.date_format("date", "yyyy-MM-dd HH:mm:ss"), F.lit("bad")), _text("regle"),
+    ]
+    return flows.select(F.concat_ws(separator, *fields).alias("value"))
+
+
+def kibana_rows(flows: DataFrame) -> DataFrame:
+    """Flows under the column names and spellings of the search-stack export."""
+    mark = F.lit("(empty)")
+    return flows.select(
+        F.coalesce(F.date_format("date", "MMM d, yyyy @ HH:mm:ss.SSS"), mark).alias("@timestamp"),
+        F.col("event_id").alias("_id"),
+        F.lit("-").alias("_ignored"),
+        F.lit("logs").alias("_index"),
+        F.lit("1").alias("_score"),
+        F.col("action"),
+        F.col("action").alias("action.keyword"),
+        F.lit("x").alias("datetime"),
+        F.coalesce(F.col("portdst").cast("string"), mark).alias("dstport"),
+        F.col("interface_in").alias("interface"),
+        mark.alias("interface_out"),
+        F.col("ipdst"),
+        F.coalesce("ipsrc", mark).alias("ipsrc"),
+        F.col("regle").alias("policyid"),
+        F.col("proto"),
+        F.col("portsrc").alias("srcport"),
+        F.col("event_id").alias("offset"),
+    )
+
+
+def syslog_lines(flows: DataFrame) -> DataFrame:
+    """Flows as syslog lines; every 20th is free text."""
+    event = F.col("event_id")
+    line = F.concat(
+        F.coalesce(F.date_format("date", "MMM d HH:mm:ss"), F.lit("Foo 1 00:00:00")),
+        F.lit(" host"), (event % 3).cast("string"), F.lit(" sshd["), event.cast("string"),
+        F.lit("]: action "), F.trim("action"),
+    )
+    free = F.concat(F.lit("-- mark "), event.cast("string"))
+    return flows.select(F.when(event % 20 == 0, free).otherwise(line).alias("value"))

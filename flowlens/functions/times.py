@@ -13,9 +13,9 @@ def as_ntz(column: Column) -> Column:
 
 
 def to_timestamp(column: Column, *formats: str) -> Column:
-    """First format that parses, else an ISO cast, else null."""
+    """ISO text, else the first format that parses, else null."""
     parsed = [as_ntz(F.try_to_timestamp(column, F.lit(f))) for f in formats]
-    return F.coalesce(*parsed, column.try_cast("timestamp_ntz"))
+    return F.coalesce(column.try_cast("timestamp_ntz"), *parsed)
 
 
 def floor_time(column: Column, unit: str) -> Column:
