@@ -1,3 +1,219 @@
-"""Placeholder."""
+"""Models over per-address features and over the embedding vectors."""
 
-QUERIES = {}
+from pyspark.sql import functions as F
+
+from flowlens.catalog.base import Query, rounded
+from flowlens.catalog.feature_sets import labelled
+from flowlens.evaluation import validation
+from flowlens.fixtures import flows, table
+from flowlens.ml.anomaly import apply_anomaly_detector, detect_anomalies
+from flowlens.ml.classify import predict, train
+from flowlens.ml.clustering import apply_clusterer, cluster, elbow
+from flowlens.ml.dbscan import dbscan, eps_neighbors
+from flowlens.ml.iforest import anomaly_attribution, attribution_summary, fit_isolation_forest
+from flowlens.ml.knn import KNNModel, knn_leave_one_out
+from flowlens.ml.neighbors import knn_join
+from flowlens.ml.storage import list_models, load_model, save_model
+from flowlens.operators.preparation import pca
+from flowlens.schemas import FEATURES_11, FEATURES_STAT, FEATURES_TIME
+from flowlens.session import materialize, scratch_path
+
+QUERIES: dict[str, Query] = {}
+# The label follows from deny_ratio, so that one is left out of the inputs.
+INPUTS = FEATURES_11 + FEATURES_TIME + FEATURES_STAT
+FEW = ["total_flows", "unique_dst_ports", "deny", "night_ratio", "avg_dst_port"]
+EPS, MIN_SAMPLES = 1.2, 5
+
+
+def add(name, run, sql=None):
+    QUERIES[name] = Query(run, sql)
+
+
+def labelled_table(spark, sf):
+    """Labelled feature table over the flows, written once per query."""
+    return materialize(labelled(flows(spark, sf)).na.fill(0.0), "labelled")
+
+
+def over_labelled(name, build):
+    add(name, lambda spark, sf: build(labelled_table(spark, sf)))
+
+
+def over_vectors(name, build, sql=None):
+    add(name, lambda spark, sf: build(table(spark, sf, "embeddings")), sql)
+
+
+# --- neighbours (DuckDB compares all pairs) --------------------------------------------
+
+PAIRS_CTE = """v as (select vec_id, label, embedding::double[] as e from embeddings),
+pairs as (
+  select a.vec_id as vec_id, a.label as own, b.vec_id as neighbor, b.label as label,
+    list_distance(a.e, b.e) as distance from v a, v b
+)"""
+
+
+def _ranked(condition, k):
+    return f"""near as (select * from (select *, row_number() over (partition by vec_id order by distance, neighbor)
+      as rank from pairs where {condition}) where rank <= {k})"""
+
+
+over_vectors(
+    "knn_join",
+    lambda df: rounded(knn_join(df, df, "embedding", 5, "vec_id", exclude_self=True)).withColumn(
+        "rank", F.col("rank").cast("bigint")
+    ),
+    f"""with {PAIRS_CTE}, {_ranked('vec_id <> neighbor', 5)}
+      select vec_id, neighbor, round(distance, 6) as distance, rank from near""",
+)
+over_vectors(
+    "knn",
+    lambda df: rounded(
+        KNNModel(df, "embedding", "label", "vec_id").predict(df, positive=3)
+    ).select("vec_id", "prediction", "probability"),
+    f"""with {PAIRS_CTE}, {_ranked('true', 5)},
+      votes as (select vec_id, label, count(*) as n from near group by vec_id, label)
+      select vec_id, first(label order by n desc, label) as prediction,
+        round(coalesce(sum(n) filter (where label = 3), 0) / 5, 6) as probability from votes group by vec_id""",
+)
+over_vectors(
+    "knn_leave_one_out",
+    lambda df: rounded(knn_leave_one_out(df, "embedding", "label", "vec_id")),
+    f"""with {PAIRS_CTE}, {_ranked('vec_id <> neighbor', 5)},
+      votes as (select vec_id, own, label, count(*) as n from near group by vec_id, own, label),
+      hits as (select vec_id, (own = first(label order by n desc, label))::int::double as hit from votes group by vec_id, own)
+      select round(avg(hit), 6) as accuracy_mean, round(stddev_pop(hit), 6) as accuracy_std,
+        count(*) as n_samples from hits""",
+)
+over_vectors(
+    "eps_neighbors",
+    lambda df: eps_neighbors(df, "embedding", "vec_id", EPS),
+    f"""with {PAIRS_CTE} select vec_id, count(*) as n_neighbors from pairs where distance <= {EPS} group by vec_id""",
+)
+LOF_CTES = f"""{PAIRS_CTE}, {_ranked('vec_id <> neighbor', 20)},
+  kd as (select vec_id, max(distance) as k_distance from near group by vec_id),
+  lrd as (select near.vec_id, 1.0 / (avg(greatest(distance, k_distance)) + 1e-10) as density
+    from near join kd on near.neighbor = kd.vec_id group by near.vec_id),
+  lof as (select near.vec_id, -(avg(b.density) / any_value(a.density)) as raw from near
+    join lrd a on near.vec_id = a.vec_id join lrd b on near.neighbor = b.vec_id group by near.vec_id)"""
+
+
+def _lof(df):
+    found, _ = detect_anomalies(df, "embedding", "vec_id", model_key="local_outlier_factor")
+    return rounded(found.select("vec_id", "is_anomaly", "anomaly_score"))
+
+
+over_vectors(
+    "local_outlier_factor",
+    _lof,
+    f"""with {LOF_CTES} select vec_id, raw < (select quantile_cont(raw, 0.1) from lof) as is_anomaly,
+      round((max(raw) over () - raw) / (max(raw) over () - min(raw) over ()), 6) as anomaly_score from lof""",
+)
+DBSCAN_SQL = f"""with recursive {PAIRS_CTE},
+  core as (select vec_id from pairs where distance <= {EPS} group by vec_id having count(*) >= {MIN_SAMPLES}),
+  edges as (select vec_id as a, neighbor as b from pairs where distance <= {EPS}
+    and vec_id in (from core) and neighbor in (from core)),
+  reach(node, root) as (select vec_id, vec_id from core
+    union select e.b, r.root from reach r join edges e on e.a = r.node and r.root < e.b),
+  roots as (select node, min(root) as root from reach group by node),
+  numbered as (select root, cast(dense_rank() over (order by root) - 1 as int) as cluster from (select distinct root from roots)),
+  reached as (select p.vec_id, min(r.root) as root from pairs p join roots r on p.neighbor = r.node
+    where distance <= {EPS} and (p.vec_id = r.node or p.vec_id not in (from core)) group by p.vec_id)
+  select v.vec_id, coalesce(n.cluster, -1) as cluster from v
+    left join reached r on v.vec_id = r.vec_id left join numbered n on r.root = n.root"""
+over_vectors(
+    "dbscan",
+    lambda df: dbscan(df, "embedding", "vec_id", EPS, MIN_SAMPLES, scale=False),
+    DBSCAN_SQL,
+)
+
+# --- classifiers -----------------------------------------------------------------------
+
+
+def _predicted(model_key, **params):
+    def build(df):
+        fitted = train(df, model_key, INPUTS, **params)
+        return predict(fitted, df).select("ipsrc", "risk", "prediction", "probability")
+
+    return build
+
+
+over_labelled("decision_tree", _predicted("decision_tree", max_depth=5))
+over_labelled("logistic_regression", _predicted("logistic_regression", scale=True))
+over_labelled("random_forest", _predicted("random_forest", n_estimators=20, max_depth=5))
+over_labelled("gradient_boosting", _predicted("gradient_boosting", n_estimators=10))
+over_labelled("svm", _predicted("svm", scale=True))
+over_labelled("svm_linear", _predicted("svm", scale=True, kernel="linear"))
+over_labelled("predict", _predicted("knn", scale=True, n_neighbors=3))
+over_labelled(
+    "feature_importance",
+    lambda df: train(df, "decision_tree", INPUTS, max_depth=5).feature_importance(10),
+)
+
+
+def _saved(df):
+    spark = df.sparkSession
+    folder = scratch_path(spark, "models")
+    save_model(train(df, "logistic_regression", FEW, scale=True), folder, "risk")
+    return load_model(spark, folder, list_models(spark, folder)[0]).predict(df).select("ipsrc", "prediction", "probability")
+
+
+over_labelled("saved_model", _saved)
+
+# --- anomalies -------------------------------------------------------------------------
+
+
+def _anomalies(model_key, **params):
+    def build(df):
+        found, _ = detect_anomalies(df, FEW, model_key=model_key, **params)
+        return found.select("ipsrc", "is_anomaly", "anomaly_score")
+
+    return build
+
+
+over_labelled("isolation_forest", _anomalies("isolation_forest"))
+over_labelled("one_class_svm", _anomalies("one_class_svm"))
+
+
+def _applied(df):
+    night = df.filter(F.col("night_ratio") > 0.3)
+    model = fit_isolation_forest(night, FEW, "ipsrc", trees=50)
+    return apply_anomaly_detector(model, df).select("ipsrc", "is_anomaly", "anomaly_score")
+
+
+over_labelled("apply_anomaly_detector", _applied)
+over_labelled(
+    "anomaly_attribution",
+    lambda df: attribution_summary(
+        anomaly_attribution(fit_isolation_forest(df, FEW, "ipsrc", trees=50), df)
+    ),
+)
+
+# --- clusters and projections ----------------------------------------------------------
+
+
+def _clusters(df):
+    found, model = cluster(df, FEW, n_clusters=3)
+    return apply_clusterer(model, df).select("ipsrc", "cluster")
+
+
+over_labelled("kmeans", _clusters)
+over_labelled("elbow", lambda df: elbow(df, FEW, (1, 6)))
+over_labelled("pca", lambda df: pca(df, FEW, 2)[0].select("ipsrc", "Dim1", "Dim2"))
+
+# --- validation ------------------------------------------------------------------------
+
+over_labelled(
+    "cross_validate",
+    lambda df: validation.cross_validation_summary(
+        validation.cross_validate(
+            df, "logistic_regression", FEW, k=3, scoring=("accuracy", "f1", "roc_auc"), scale=True
+        )
+    ),
+)
+over_labelled(
+    "evaluate_model",
+    lambda df: validation.evaluate_model(df, "decision_tree", FEW, k=3, max_depth=4)["resubstitution"],
+)
+over_labelled(
+    "compare_models",
+    lambda df: validation.compare_models(df, ["decision_tree", "logistic_regression"], FEW, k=3),
+)
