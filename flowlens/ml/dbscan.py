@@ -8,6 +8,7 @@ clusters are the components of a graph of cells. Distances are computed in bound
 """
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -98,7 +99,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         "components",
     )
     before = None
-    while True:
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: larger neighbours of a node move to the smallest of it and its neighbours.
         smallest = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -192,7 +193,9 @@ def dbscan(
     roots = materialize(roots, "dbscan-roots")
 
     border = distinct.join(core.select("rep"), "rep", "left_anti").select("rep", "vec")
-    root_index = build_index(roots, chunk_rows)
+    # The same vectors in the same cells, now with their cluster root.
+    rooted = core_index.refs.join(roots.select("rep", "root"), "rep")
+    root_index = replace(core_index, refs=rooted)
     reached = (
         within_radius(root_index, border, eps, _border_kernel(eps), f"rep {key_type}, root {key_type}")
         .groupBy("rep")

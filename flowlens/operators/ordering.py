@@ -7,8 +7,6 @@
 * :func:`hash_rank` numbers rows in hash order, per group, through hash-prefix buckets.
 """
 
-from functools import reduce
-
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,39 +15,34 @@ from pyspark.sql import Window as W
 SKETCH_ACCURACY = 10000
 
 
-def exact_quantiles(df: DataFrame, columns, probabilities) -> dict:
+def exact_quantiles(df: DataFrame, columns, probabilities, extra=None):
     """``{column: [value, ...]}`` with linear interpolation between ranks, nulls ignored.
 
-    Two aggregations and one ranking of the values inside narrow brackets; only
-    columns x probabilities numbers reach the driver.
+    One aggregation for the sketches and one for the values inside the brackets; only
+    columns x probabilities numbers reach the driver. ``extra`` is a function from a
+    column to more aggregates for the first pass; then ``(quantiles, row)`` is returned.
     """
     columns, probabilities = list(columns), list(probabilities)
     values = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     slack = 2.0 / SKETCH_ACCURACY
-    edges = []
-    for p in probabilities:
-        edges += [max(0.0, p - slack), min(1.0, p + slack)]
-    sketch = values.agg(
-        *[
-            x
-            for i in range(len(columns))
-            for x in (
-                F.count(f"c{i}").alias(f"n{i}"),
-                F.min(f"c{i}").alias(f"lo{i}"),
-                F.max(f"c{i}").alias(f"hi{i}"),
-                F.percentile_approx(f"c{i}", edges, SKETCH_ACCURACY).alias(f"e{i}"),
-            )
+    edges = [e for p in probabilities for e in (max(0.0, p - slack), min(1.0, p + slack))]
+    aggregates = []
+    for i in range(len(columns)):
+        column = F.col(f"c{i}")
+        aggregates += [
+            F.count(column).alias(f"n{i}"),
+            F.min(column).alias(f"lo{i}"),
+            F.max(column).alias(f"hi{i}"),
+            F.percentile_approx(column, edges, SKETCH_ACCURACY).alias(f"e{i}"),
         ]
-    ).first()
+        aggregates += [a.alias(f"{n}{i}") for n, a in (extra(column) if extra else {}).items()]
+    sketch = values.agg(*aggregates).first()
     targets = []
     for i in range(len(columns)):
         n = sketch[f"n{i}"]
-        if not n:
-            continue
-        for j, p in enumerate(probabilities):
+        for j, p in enumerate(probabilities if n else ()):
             position = (n - 1) * p
             first = int(position)
-            # One rank of slack on each side lies inside the bracket unless it is clipped.
             low, high = sketch[f"e{i}"][2 * j], sketch[f"e{i}"][2 * j + 1]
             if n <= SKETCH_ACCURACY:
                 low, high = sketch[f"lo{i}"], sketch[f"hi{i}"]
@@ -64,49 +57,39 @@ def exact_quantiles(df: DataFrame, columns, probabilities) -> dict:
     for i, j, first, second, part, _, _ in targets:
         a, b = found[(i, j)][first], found[(i, j)][second]
         result[columns[i]][j] = a + (b - a) * part
-    return result
+    return (result, sketch) if extra else result
 
 
 def _ranked_values(values: DataFrame, targets) -> dict:
-    """Values at the wanted ranks of each target that fall inside its bracket."""
+    """Values at the wanted ranks of each target that fall inside its bracket.
+
+    Rows below a bracket are counted under a null value, which sorts first, so running
+    counts are ranks in the whole column.
+    """
     if not targets:
         return {}
-    below = values.agg(
-        *[F.count_if(F.col(f"c{t[0]}") < t[5]).alias(f"b{k}") for k, t in enumerate(targets)]
-    ).first()
-    inside = F.array(
-        *[
-            F.when(
-                F.col(f"c{t[0]}").between(t[5], t[6]),
-                F.struct(F.lit(k).alias("k"), F.col(f"c{t[0]}").alias("v")),
-            )
-            for k, t in enumerate(targets)
-        ]
-    )
+    cells = []
+    for k, (i, _, _, _, _, low, high) in enumerate(targets):
+        value = F.col(f"c{i}")
+        inside = F.struct(F.lit(k).alias("k"), F.when(value >= low, value).alias("v"))
+        cells.append(F.when(value <= high, inside))
     counts = (
-        values.select(F.explode(F.array_compact(inside)).alias("x"))
+        values.select(F.explode(F.array_compact(F.array(*cells))).alias("x"))
         .groupBy("x.k", "x.v")
         .agg(F.count("*").alias("n"))
     )
-    up_to = F.sum("n").over(W.partitionBy("k").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
-    wanted = reduce(
-        lambda a, b: a | b,
-        [
-            (F.col("k") == k)
-            & (
-                ((F.col("start") <= t[2] - below[f"b{k}"]) & (F.col("end") > t[2] - below[f"b{k}"]))
-                | ((F.col("start") <= t[3] - below[f"b{k}"]) & (F.col("end") > t[3] - below[f"b{k}"]))
-            )
-            for k, t in enumerate(targets)
-        ],
+    order = W.partitionBy("k").orderBy(F.asc_nulls_first("v")).rowsBetween(W.unboundedPreceding, 0)
+    ranked = counts.withColumn("end", F.sum("n").over(order)).withColumn("start", F.col("end") - F.col("n"))
+    ranks = F.array(*[F.array(F.lit(t[2]).cast("bigint"), F.lit(t[3]).cast("bigint")) for t in targets])
+    wanted = F.exists(
+        F.element_at(ranks, F.col("k") + 1), lambda r: (F.col("start") <= r) & (r < F.col("end"))
     )
-    rows = counts.withColumn("end", up_to).withColumn("start", F.col("end") - F.col("n")).filter(wanted)
     found = {}
-    for row in rows.collect():
-        t = targets[row["k"]]
-        for rank in (t[2], t[3]):
-            if row["start"] <= rank - below[f"b{row['k']}"] < row["end"]:
-                found.setdefault(t[:2], {})[rank] = row["v"]
+    for row in ranked.filter(F.col("v").isNotNull() & wanted).collect():
+        target = targets[row["k"]]
+        for rank in (target[2], target[3]):
+            if row["start"] <= rank < row["end"]:
+                found.setdefault(target[:2], {})[rank] = row["v"]
     return found
 
 

@@ -30,32 +30,19 @@ def drop_constant(df: DataFrame, names=None) -> DataFrame:
     return df.drop(*constant_features(df, names or numeric_columns(df)))
 
 
-def correlation_pairs(df: DataFrame, names) -> DataFrame:
-    """``(feature_a, feature_b, correlation)`` for a before b, over rows where both exist.
+def _pair_statistics(df: DataFrame, pairs) -> DataFrame:
+    """Correlation of each feature pair over the rows where both exist.
 
     Pairs are spread into rows and aggregated by pair: one pass and one small shuffle,
     without a wide aggregate of p^2 expressions.
     """
+    names = sorted({n for pair in pairs for n in pair})
+    values = df.select(*[F.col(n).cast("double").alias(n) for n in names])
     cells = [
-        F.struct(
-            F.lit(a).alias("feature_a"),
-            F.lit(b).alias("feature_b"),
-            F.col(a).cast("double").alias("x"),
-            F.col(b).cast("double").alias("y"),
-        )
-        for i, a in enumerate(names)
-        for b in names[i + 1 :]
+        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(a).alias("x"), F.col(b).alias("y"))
+        for a, b in pairs
     ]
-    if not cells:
-        cells = [
-            F.struct(
-                F.lit(names[0]).alias("feature_a"),
-                F.lit(names[0]).alias("feature_b"),
-                F.lit(None).cast("double").alias("x"),
-                F.lit(None).cast("double").alias("y"),
-            )
-        ]
-    long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    long = values.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
     long = long.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     return (
         long.groupBy("feature_a", "feature_b")
@@ -67,29 +54,30 @@ def correlation_pairs(df: DataFrame, names) -> DataFrame:
         .select(
             "feature_a",
             "feature_b",
-            F.try_divide(F.col("c"), F.col("sx") * F.col("sy")).alias("correlation"),
+            F.when(
+                F.col("feature_a") == F.col("feature_b"), F.when(F.col("sx") > 0, F.lit(1.0))
+            )
+            .otherwise(F.try_divide(F.col("c"), F.col("sx") * F.col("sy")))
+            .alias("correlation"),
         )
     )
 
 
+def correlation_pairs(df: DataFrame, names) -> DataFrame:
+    """``(feature_a, feature_b, correlation)`` for a before b in the given order."""
+    return _pair_statistics(df, [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]])
+
+
 def correlation_matrix(df: DataFrame, names=None) -> DataFrame:
-    """Pearson matrix in long form: both triangles and the diagonal."""
+    """Pearson matrix in long form: one triangle is aggregated, then mirrored."""
     names = list(names or numeric_columns(df))
-    upper = correlation_pairs(df, names)
-    lower = upper.select(
+    half = _pair_statistics(df, [(a, b) for i, a in enumerate(names) for b in names[i:]])
+    forth = F.struct("feature_a", "feature_b", "correlation")
+    back = F.struct(
         F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "correlation"
     )
-    spread = df.agg(*[F.stddev_pop(F.col(n).cast("double")).alias(n) for n in names])
-    cells = [
-        F.struct(
-            F.lit(n).alias("feature_a"),
-            F.lit(n).alias("feature_b"),
-            F.when(F.col(n) > 0, 1.0).alias("correlation"),
-        )
-        for n in names
-    ]
-    diagonal = spread.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-    return upper.unionByName(lower).unionByName(diagonal)
+    both = F.when(F.col("feature_a") == F.col("feature_b"), F.array(forth)).otherwise(F.array(forth, back))
+    return half.select(F.explode(both).alias("r")).select("r.*")
 
 
 def correlated_features(df: DataFrame, names, threshold: float = 0.95) -> list[str]:

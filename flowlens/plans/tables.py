@@ -14,44 +14,30 @@ def describe(df: DataFrame, columns=None, approximate: bool = False) -> DataFram
     """One row per numeric column: count, mean, deviation, min, quartiles, max.
 
     Quartiles are exact unless ``approximate``; they are found by rank brackets, never by
-    holding a column in one aggregation buffer.
+    holding a column in one aggregation buffer. Two passes over the table.
     """
     columns = list(columns or numeric_columns(df))
-    value = {c: F.col(c).cast("double") for c in columns}
+    moments = {"mean": F.avg, "std": F.stddev_samp}
     if approximate:
-        rows = df.agg(*[F.percentile_approx(value[c], list(QUARTILES)).alias(c) for c in columns]).first()
-        quartiles = {c: rows[c] or [None] * 3 for c in columns}
+        aggregates = {"n": F.count, **moments, "lo": F.min, "hi": F.max}
+        row = df.agg(
+            *[f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in aggregates.items()],
+            *[F.percentile_approx(F.col(c).cast("double"), list(QUARTILES)).alias(f"q{i}") for i, c in enumerate(columns)],
+        ).first()
+        quartiles = {c: row[f"q{i}"] or [None] * 3 for i, c in enumerate(columns)}
     else:
-        quartiles = exact_quantiles(df, columns, QUARTILES)
-    one = df.agg(
-        *[
-            x
-            for i, c in enumerate(columns)
-            for x in (
-                F.count(c).alias(f"n{i}"),
-                F.avg(value[c]).alias(f"m{i}"),
-                F.stddev_samp(value[c]).alias(f"s{i}"),
-                F.min(value[c]).alias(f"lo{i}"),
-                F.max(value[c]).alias(f"hi{i}"),
-            )
-        ]
-    )
-    rows = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.col(f"n{i}").alias("count"),
-            F.col(f"m{i}").alias("mean"),
-            F.col(f"s{i}").alias("std"),
-            F.col(f"lo{i}").alias("min"),
-            *[
-                F.lit(q).cast("double").alias(name)
-                for q, name in zip(quartiles[c], ("p25", "p50", "p75"))
-            ],
-            F.col(f"hi{i}").alias("max"),
+        quartiles, row = exact_quantiles(
+            df, columns, QUARTILES, lambda column: {n: f(column) for n, f in moments.items()}
         )
+    rows = [
+        (c, row[f"n{i}"], row[f"mean{i}"], row[f"std{i}"], row[f"lo{i}"], *quartiles[c], row[f"hi{i}"])
         for i, c in enumerate(columns)
     ]
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return df.sparkSession.createDataFrame(
+        rows,
+        "column_name string, count bigint, mean double, std double, min double, "
+        "p25 double, p50 double, p75 double, max double",
+    )
 
 
 def describe_values(df: DataFrame, columns) -> DataFrame:

@@ -18,6 +18,7 @@ from flowlens.operators.filters import flows_of_day, permitted_well_known
 from flowlens.operators.joins import port_service
 
 ACTIONS = ("DENY", "PERMIT")
+WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 
 def _permits():
@@ -210,12 +211,23 @@ def hour_of_day(df: DataFrame, actions=ACTIONS) -> DataFrame:
 
 
 def activity_heatmap(df: DataFrame) -> DataFrame:
-    """One row per weekday present (Monday first), one zero-filled column per hour."""
-    dated = df.filter(F.col("date").isNotNull())
-    hours = [count_where(F.hour("date") == h).alias(f"h{h:02d}") for h in range(24)]
+    """One row per weekday present (Monday first), one zero-filled column per hour.
+
+    Flows are counted per weekday and hour; only those 168 counts are spread into columns.
+    """
+    counts = (
+        df.filter(F.col("date").isNotNull())
+        .groupBy(F.weekday("date").alias("weekday"), F.hour("date").alias("hour"))
+        .agg(F.count("*").alias("n"))
+    )
+    hours = [
+        F.sum(F.when(F.col("hour") == h, F.col("n")).otherwise(0)).alias(f"h{h:02d}") for h in range(24)
+    ]
+    name = F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), F.col("weekday") + 1)
     return (
-        dated.groupBy(F.weekday("date").alias("weekday"))
-        .agg(F.min(F.date_format("date", "EEEE")).alias("day_name"), *hours)
+        counts.groupBy("weekday")
+        .agg(*hours)
+        .select("weekday", name.alias("day_name"), *[f"h{h:02d}" for h in range(24)])
         .orderBy("weekday")
     )
 

@@ -47,10 +47,9 @@ def month_number(name: Column) -> Column:
     return F.try_element_at(F.create_map(*numbers), name)
 
 
-def log_time(year: Column, month: Column, day: Column, clock: Column) -> Column:
-    """Zone-free time from its parts, null when they are no real date."""
-    part = F.split(clock, ":")
-    hour, minute, second = (part[i].try_cast("int") for i in range(3))
+def log_time(year: Column, month: Column, day: Column, clock) -> Column:
+    """Zone-free time from its parts (``clock`` = hour, minute, second), null for no real date."""
+    hour, minute, second = (part.try_cast("int") for part in clock)
     made = F.try_make_timestamp_ntz(
         year, month, day.try_cast("int"), hour, minute, second.cast("decimal(8,6)")
     )
@@ -63,7 +62,8 @@ def _headers(lines: DataFrame) -> DataFrame:
         stripped(F.col("value")), HEADER, _MARK + _MARK.join(f"${i}" for i in range(1, 7))
     )
     extra = [c for c in lines.columns if c != "value"]
-    parts = lines.select(*extra, F.split(marked, _MARK, 7).alias("p")).filter(
+    # Exploding a one-element array keeps the filter behind the pattern: evaluated once.
+    parts = lines.select(*extra, F.explode(F.array(F.split(marked, _MARK, 7))).alias("p")).filter(
         (F.size("p") == 7) & (F.col("p")[0] == "")
     )
     names = ("month", "day", "clock", "hostname", "action", "rest")
@@ -75,7 +75,9 @@ def _fields(rows: DataFrame) -> DataFrame:
     """Schema columns from matched lines that carry a ``_year``."""
     pairs = rows.withColumns({"_pairs": pair_text(F.col("rest"))})
     values = {
-        "timestamp": log_time(F.col("_year"), F.col("month"), F.col("day"), F.col("clock")),
+        "timestamp": log_time(
+            F.col("_year"), F.col("month"), F.col("day"), [F.substring("clock", i, 2) for i in (1, 4, 7)]
+        ),
         "hostname": F.col("hostname"),
         "action": F.col("action"),
         "df": F.array_contains(F.split(F.upper("rest"), r"\s+"), "DF"),

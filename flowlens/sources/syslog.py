@@ -48,8 +48,9 @@ def parse_syslog_lines(
         F.coalesce(group(4), F.col("_line")).alias("message"),
     )
     month = F.try_element_at(F.create_map(*words), F.lower(F.col("_time")[0]))
+    clock = F.split(F.col("_time")[2], ":")
     rows = rows.select(
-        log_time(F.lit(year), month, F.col("_time")[1], F.col("_time")[2]).alias("timestamp"),
+        log_time(F.lit(year), month, F.col("_time")[1], [clock[i] for i in range(3)]).alias("timestamp"),
         "hostname",
         "process",
         "message",
