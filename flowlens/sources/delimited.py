@@ -70,7 +70,7 @@ def read_delimited(
     lines = read_lines(spark, path, encoding, positions=skiprows > 0)
     if skiprows:
         lines = _skip_first(lines, skiprows)
-    line = F.regexp_replace("value", "^﻿", "")
+    line = F.regexp_replace("value", "^\ufeff", "")
     lines = lines.select(line.alias("value")).filter(F.trim("value") != "")
     if names is None:
         first = lines.first()

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLANKS = " \t\r\n\x0b\f﻿"
+BLANKS = " \t\r\n\x0b\f\ufeff"
 UTF8 = ("utf-8", "utf8")
 
 
