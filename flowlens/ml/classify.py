@@ -20,6 +20,7 @@ from flowlens.ml.knn import KNNModel
 from flowlens.operators.columns import numeric_columns
 from flowlens.operators.preparation import Scaler, encode_label, fit_scaler
 from flowlens.schemas import POSITIVE, SEED, TARGET
+from flowlens.session import materialize
 
 # Spark's deepest tree.
 UNLIMITED_DEPTH = 30
@@ -176,6 +177,8 @@ def train(
         gamma = params.get("gamma") or scale_gamma(vectors, len(features))
         fourier = FourierMap(len(features), gamma, params.get("components", 256))
     vectors = _assemble(encoded, features, scaler, fourier).select("_features", "_label")
+    # Read by every iteration of the fit.
+    vectors = materialize(vectors, "training")
     rows = vectors.count()
     estimator = CLASSIFIERS[model_key](rows, **params)
     estimator.setFeaturesCol("_features").setLabelCol("_label").setPredictionCol("_prediction")

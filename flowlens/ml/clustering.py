@@ -12,6 +12,7 @@ from flowlens.ml.dbscan import dbscan
 from flowlens.operators.columns import numeric_columns
 from flowlens.operators.preparation import Scaler, fit_scaler
 from flowlens.schemas import SEED
+from flowlens.session import materialize
 
 
 @dataclass
@@ -74,6 +75,7 @@ def apply_clusterer(model: KMeansClusterer, df: DataFrame) -> DataFrame:
 def elbow(df: DataFrame, features=None, k_range=(1, 11), scale: bool = False, seed: int = SEED) -> DataFrame:
     """``(k, inertia)`` for each k; one cluster is the total sum of squares."""
     features = list(features or numeric_columns(df))
+    df = materialize(df.select(*features), "elbow")
     rows = []
     for k in range(*k_range):
         if k > 1:

@@ -85,6 +85,12 @@ def _border_kernel(eps: float):
     return kernel
 
 
+def _fingerprint(edges: DataFrame):
+    """Number and hash sum of the edges; equal when a round changed nothing."""
+    code = F.xxhash64("a", "b").cast("decimal(38,0)")
+    return edges.agg(F.count("*").alias("n"), F.sum(code).alias("h")).first()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` with the smallest node of each component, for ``(a, b)`` edges.
 
@@ -98,8 +104,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .distinct(),
         "components",
     )
-    before = None
-    while not edges.isEmpty():
+    state, before = _fingerprint(edges), None
+    while state["n"] and state != before:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: larger neighbours of a node move to the smallest of it and its neighbours.
         smallest = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -120,12 +126,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         edges = materialize(small, "components")
-        state = edges.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
-        ).first()
-        if state == before:
-            break
-        before = state
+        state, before = _fingerprint(edges), state
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     own = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return roots.unionByName(own)

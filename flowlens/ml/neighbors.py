@@ -97,8 +97,15 @@ def build_index(reference: DataFrame, chunk_rows: int = CHUNK_ROWS, seed: int =
     """Index over ``(rep, vec, ...)`` rows of distinct vectors."""
     total = reference.count()
     wanted = int(min(MAX_PIVOTS, max(1, 2 * total // chunk_rows)))
+    if wanted == 1:
+        # Few vectors: one cell that every query visits, nothing to place.
+        chunks = np.array([max(1, -(-total // chunk_rows))])
+        refs = reference.withColumn("cell", F.lit(0))
+        refs = refs.withColumn("chunk", F.pmod(F.xxhash64("rep"), _per_cell(chunks)))
+        zero, none = np.zeros(1), np.zeros((1, 1))
+        return Index(refs, none, np.array([total]), zero, np.array([np.inf]), chunks, keep)
     chosen = reference.orderBy(hash_key("rep", seed), "rep").limit(wanted).select("vec").collect()
-    pivots = _matrix([r["vec"] for r in chosen]) if chosen else np.zeros((1, 1))
+    pivots = _matrix([r["vec"] for r in chosen])
     placed = reference.withColumn("_p", _nearest_pivot(pivots)("vec")).select(
         *reference.columns, F.col("_p.cell").alias("cell"), F.col("_p.dist").alias("dist")
     )
@@ -163,11 +170,14 @@ def _visit(index: Index, queries: DataFrame, kernel, schema: str, one_chunk: boo
     ``queries`` carries ``cells``. A cell visited by many queries gets several query
     blocks, each with its own copy of the chunk's references.
     """
-    queries = materialize(queries, "neighbor-visits")
     loads = np.zeros(len(index.pivots))
-    visits = queries.select(F.explode("cells").alias("cell")).groupBy("cell").count()
-    for row in visits.collect():
-        loads[row["cell"]] = row["count"]
+    if len(loads) == 1:
+        loads[0] = queries.count()
+    else:
+        queries = materialize(queries, "neighbor-visits")
+        visits = queries.select(F.explode("cells").alias("cell")).groupBy("cell").count()
+        for row in visits.collect():
+            loads[row["cell"]] = row["count"]
     blocks = np.ceil(loads / QUERY_ROWS).astype(int)
     chunk_count = np.maximum(index.chunks, 1)
     left = queries.withColumn("cell", F.explode("cells")).drop("cells")
@@ -234,7 +244,7 @@ def nearest_keys(index: Index, queries: DataFrame, key_type: str) -> DataFrame:
     schema = f"rep {key_type}, neighbor {key_type}, distance double"
     kernel = _top_kernel(index.keep)
     base = queries.select("rep", "vec")
-    if len(index.pivots) == 1 and index.chunks[0] <= 1:
+    if len(index.pivots) == 1:
         everything = base.withColumn("cells", F.array(F.lit(0)))
         return _best(_visit(index, everything, kernel, schema, False), "rep", index.keep)
     first = base.withColumn("cells", _home_cell(index)("vec"))
@@ -253,7 +263,9 @@ def nearest_keys(index: Index, queries: DataFrame, key_type: str) -> DataFrame:
 
 def within_radius(index: Index, queries: DataFrame, radius: float, kernel, schema: str) -> DataFrame:
     """Runs a kernel over every chunk that may hold references within a fixed radius."""
-    visits = queries.withColumn("cells", _cells_within(index)("vec", F.lit(float(radius))))
+    one = len(index.pivots) == 1
+    cells = F.array(F.lit(0)) if one else _cells_within(index)("vec", F.lit(float(radius)))
+    visits = queries.withColumn("cells", cells)
     return _visit(index, visits, kernel, schema, False)
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 SKETCH_ACCURACY = 10000
+# Brackets expected to hold more rows than this are narrowed by another sketch.
+BRACKET_ROWS = 2_000_000
 
 
 def exact_quantiles(df: DataFrame, columns, probabilities, extra=None):
@@ -47,6 +49,10 @@ def exact_quantiles(df: DataFrame, columns, probabilities, extra=None):
             if n <= SKETCH_ACCURACY:
                 low, high = sketch[f"lo{i}"], sketch[f"hi{i}"]
             targets.append((i, j, first, min(first + 1, n - 1), position - first, low, high))
+    most = max((sketch[f"n{i}"] for i in range(len(columns))), default=0)
+    while most > SKETCH_ACCURACY and most * 2 * slack > BRACKET_ROWS:
+        targets = _narrowed(values, targets, slack)
+        most *= 2 * slack
     found = _ranked_values(values, targets)
     missing = [t for t in targets if not {t[2], t[3]} <= set(found.get(t[:2], {}))]
     if missing:
@@ -60,6 +66,31 @@ def exact_quantiles(df: DataFrame, columns, probabilities, extra=None):
     return (result, sketch) if extra else result
 
 
+def _narrowed(values: DataFrame, targets, slack: float):
+    """Targets with brackets cut down by a sketch of the rows inside each bracket."""
+    inside = [
+        F.when(F.col(f"c{t[0]}").between(F.lit(t[5]), F.lit(t[6])), F.col(f"c{t[0]}")) for t in targets
+    ]
+    counts = values.agg(
+        *[F.count_if(F.col(f"c{t[0]}") < F.lit(t[5])).alias(f"b{k}") for k, t in enumerate(targets)],
+        *[F.count(inside[k]).alias(f"i{k}") for k in range(len(targets))],
+    ).first()
+    edges = []
+    for k, t in enumerate(targets):
+        held = max(counts[f"i{k}"], 1)
+        low, high = ((rank - counts[f"b{k}"]) / held for rank in (t[2], t[3]))
+        edges.append([min(max(low - slack, 0.0), 1.0), min(max(high + slack, 0.0), 1.0)])
+    sketch = values.agg(
+        *[
+            F.percentile_approx(inside[k], edges[k], SKETCH_ACCURACY).alias(f"e{k}")
+            for k in range(len(targets))
+        ]
+    ).first()
+    return [
+        (*t[:5], *(sketch[f"e{k}"] if sketch[f"e{k}"] else t[5:])) for k, t in enumerate(targets)
+    ]
+
+
 def _ranked_values(values: DataFrame, targets) -> dict:
     """Values at the wanted ranks of each target that fall inside its bracket.
 
@@ -147,21 +178,23 @@ def hash_rank(df: DataFrame, key: str, group: str, seed: int, output: str = "ran
     """1-based position of each row of its group in hash order.
 
     Rows are numbered inside 4096 hash-prefix buckets; bucket sizes give the offsets, so
-    even a group holding every row is spread over 4096 windows.
+    even a group holding every row is spread over 4096 windows. The offsets are joined on
+    the buckets the rows are already partitioned by.
     """
-    hashed = df.withColumn("_h", hash_key(key, seed)).withColumn("_b", F.substring("_h", 1, 3))
-    sizes = hashed.groupBy(group, "_b").agg(F.count("*").alias("_n"))
-    before = W.partitionBy(group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
-        F.col(group).alias("_g"), F.col("_b").alias("_ob"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o")
-    )
-    inside = W.partitionBy(group, "_b").orderBy("_h", key)
-    joined = hashed.join(
-        offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_ob"))
-    )
-    return joined.withColumn(output, F.row_number().over(inside) + F.col("_o")).drop(
-        "_h", "_b", "_g", "_ob", "_o"
+    bucket = ["_g", "_b"]
+    named = F.coalesce(F.col(group).cast("string"), F.lit("\u0000null"))
+    hashed = df.withColumns({"_g": named, "_h": hash_key(key, seed)})
+    hashed = hashed.withColumn("_b", F.substring("_h", 1, 3))
+    before = W.partitionBy("_g").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        hashed.groupBy(*bucket)
+        .agg(F.count("*").alias("_n"))
+        .select(*bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     )
+    inside = W.partitionBy(*bucket).orderBy("_h", key)
+    numbered = hashed.withColumn("_i", F.row_number().over(inside))
+    ranked = numbered.join(offsets, bucket).withColumn(output, F.col("_i") + F.col("_o"))
+    return ranked.drop("_g", "_h", "_b", "_i", "_o")
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

@@ -14,12 +14,10 @@ def write_parquet(df: DataFrame, path: str, compression: str = "snappy", mode: s
 def write_flows(df: DataFrame, path: str, date: str = "date", mode: str = "overwrite") -> str:
     """Flows by day, so that time filters read only their days.
 
-    Rows are spread by hour before writing, which keeps files per day few and one very
-    busy day from landing in a single task.
+    Rebalancing keeps the files per day few and splits a very busy day over several tasks.
     """
-    daily = df.withColumn("day", F.to_date(date))
-    spread = daily.repartition("day", F.hour(date))
-    spread.write.mode(mode).partitionBy("day").parquet(path)
+    daily = df.withColumn("day", F.to_date(date)).hint("rebalance", F.col("day"))
+    daily.write.mode(mode).partitionBy("day").parquet(path)
     return path
 
 

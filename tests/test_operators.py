@@ -25,6 +25,8 @@ def test_quantiles_are_exact(spark, monkeypatch):
         found = ordering.exact_quantiles(df, ["a", "b"], wanted)
         assert np.allclose(found["a"], np.quantile(values, wanted))
         assert np.allclose(found["b"], np.quantile(-values[::5], wanted))
+    monkeypatch.setattr(ordering, "BRACKET_ROWS", 20)  # brackets are narrowed
+    assert np.allclose(ordering.exact_quantiles(df, ["a"], wanted)["a"], np.quantile(values, wanted))
     empty = df.filter("a < -1")
     assert ordering.exact_quantiles(empty, ["a"], [0.5]) == {"a": [None]}
 
