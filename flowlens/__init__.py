@@ -1,3 +1,11 @@
 """flowlens: firewall-log analytics expressed as Spark DataFrame jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Small helpers used inside pandas UDFs travel with the task, so executors need no copy of
+# this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -46,7 +46,7 @@ def _boosting(rows, n_estimators=100, learning_rate=0.1, max_depth=3, **_):
 
 
 def _svm(rows, C=1.0, **_):
-    return LinearSVC(regParam=1.0 / (C * rows), standardization=False)
+    return LinearSVC(regParam=1.0 / (C * rows), standardization=False, tol=1e-4)
 
 
 CLASSIFIERS = {

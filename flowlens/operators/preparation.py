@@ -33,30 +33,32 @@ def drop_constant(df: DataFrame, names=None) -> DataFrame:
 def _pair_statistics(df: DataFrame, pairs) -> DataFrame:
     """Correlation of each feature pair over the rows where both exist.
 
-    Pairs are spread into rows and aggregated by pair: one pass and one small shuffle,
-    without a wide aggregate of p^2 expressions.
+    Every row is crossed with the short literal list of pairs and aggregated by pair: one
+    pass and one small shuffle, without a wide aggregate of p^2 expressions.
     """
     names = sorted({n for pair in pairs for n in pair})
-    values = df.select(*[F.col(n).cast("double").alias(n) for n in names])
-    cells = [
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(a).alias("x"), F.col(b).alias("y"))
-        for a, b in pairs
-    ]
-    long = values.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-    long = long.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    place = {n: i for i, n in enumerate(names, 1)}
+    values = df.select(F.array(*[F.col(n).cast("double") for n in names]).alias("v"))
+    listed = F.array(*[F.struct(F.lit(place[a]).alias("a"), F.lit(place[b]).alias("b")) for a, b in pairs])
+    long = values.select("v", F.explode(listed).alias("p")).select(
+        F.col("p.a").alias("a"),
+        F.col("p.b").alias("b"),
+        F.element_at("v", F.col("p.a")).alias("x"),
+        F.element_at("v", F.col("p.b")).alias("y"),
+    )
+    named = F.array(*[F.lit(n) for n in names])
     return (
-        long.groupBy("feature_a", "feature_b")
+        long.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+        .groupBy("a", "b")
         .agg(
             F.covar_pop("x", "y").alias("c"),
             F.stddev_pop("x").alias("sx"),
             F.stddev_pop("y").alias("sy"),
         )
         .select(
-            "feature_a",
-            "feature_b",
-            F.when(
-                F.col("feature_a") == F.col("feature_b"), F.when(F.col("sx") > 0, F.lit(1.0))
-            )
+            F.element_at(named, F.col("a")).alias("feature_a"),
+            F.element_at(named, F.col("b")).alias("feature_b"),
+            F.when(F.col("a") == F.col("b"), F.when(F.col("sx") > 0, F.lit(1.0)))
             .otherwise(F.try_divide(F.col("c"), F.col("sx") * F.col("sy")))
             .alias("correlation"),
         )
