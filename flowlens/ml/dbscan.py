@@ -21,6 +21,8 @@ from flowlens.operators.preparation import fit_scaler
 from flowlens.session import materialize
 
 NOISE = -1
+# Cluster roots numbered per task.
+RANGE_ROWS = 100_000
 
 
 def _near_blocks(left: pd.DataFrame, right: pd.DataFrame, eps: float):
@@ -215,9 +217,10 @@ def number_clusters(roots: DataFrame) -> DataFrame:
 
     Ranked inside value ranges; the offsets hold one row per range.
     """
-    parts = max(1, int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    roots = materialize(roots, "cluster-roots")
+    parts = 1 + roots.count() // RANGE_ROWS
     spread = materialize(
-        roots.repartitionByRange(parts, "root").withColumn("_part", F.spark_partition_id()), "cluster-roots"
+        roots.repartitionByRange(parts, "root").withColumn("_part", F.spark_partition_id()), "cluster-ranges"
     )
     sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
