@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from flowlens.llm.decontaminate import contamination
 from flowlens.llm.html import extract_pages
 from flowlens.llm.licenses import scan_licenses
+from flowlens.llm.tokenfiles import digest_token_files, write_token_files
 from flowlens.llm.toxicity import score_toxicity, train_chain
 
 
@@ -34,6 +35,14 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents, train_chain(documents, table(spark, sf_dir, "labels")))
 
 
+def token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return digest_token_files(write_token_files(table(spark, sf_dir, "documents"), tokenizer, end_id=2))
+
+
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -66,5 +75,6 @@ def llm_queries() -> dict[str, Query]:
         "op2_decontaminate": Query(decontaminate, DECONTAMINATE_SQL),
         "op4_html_extract": Query(html_extract),
         "op5_toxicity": Query(toxicity),
+        "op7_token_files": Query(token_files),
         "op9_license_scan": Query(license_scan),
     }

@@ -1,13 +1,13 @@
 """Toxicity by a classifier chain over hashed words.
 
 The categories are label columns, taken in a stated order. Each gets a linear (logistic)
-model over the presence of words; a later model also sees the log-odds of the earlier
+model over the presence of words and word beginnings; a later model also sees the log-odds of the earlier
 categories. While training, those log-odds come from models that did not see the row (out of
 fold), so later models learn how far earlier predictions can be trusted; models for scoring are
 then fitted on all training rows.
 
 Training takes a bounded sample of labelled documents (``sample_rows``, chosen by a hash of the
-id) in one task; the model is at most ``features`` words for each category. Scoring covers every
+id) in one task; the model is at most ``features`` of them for each category. Scoring covers every
 word of every document, in the scan's own tasks.
 
 Null texts are empty; they get the models' bias. Labels that are null or of unknown documents
@@ -30,6 +30,7 @@ FOLDS = 3
 STEPS = 120
 PENALTY = 1e-4
 LEAST_DOCUMENTS = 5
+PREFIX_BYTES = 5
 
 
 @dataclass
@@ -114,10 +115,14 @@ def fit_chain(row, word, targets: np.ndarray, folds: np.ndarray, categories: lis
 
 
 def _word_pairs(texts: pa.Array, splitter: Splitter) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, word hash) pairs in the order of rows."""
+    """Distinct (row, feature hash) pairs in the order of rows: words, and the first bytes of longer words."""
     words = splitter.words(texts)
-    order = np.lexsort((words.hash, words.row))
-    row, word = words.row[order], words.hash[order]
+    long = np.flatnonzero(words.end - words.start > PREFIX_BYTES)
+    start = words.start[long]
+    prefix = splitter.hasher.ranges(splitter.hasher.sums(words.data), start, start + PREFIX_BYTES) ^ np.uint64(PREFIX_BYTES)
+    row, word = np.concatenate([words.row, words.row[long]]), np.concatenate([words.hash, prefix])
+    order = np.lexsort((word, row))
+    row, word = row[order], word[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (word[1:] != word[:-1])
     return row[new], word[new]
