@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from flowlens.llm.decontaminate import contamination
 from flowlens.llm.html import extract_pages
 from flowlens.llm.licenses import scan_licenses
+from flowlens.llm.substrings import substring_dedup
 from flowlens.llm.tokenfiles import digest_token_files, write_token_files
 from flowlens.llm.toxicity import score_toxicity, train_chain
 
@@ -26,6 +27,10 @@ def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def substring_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -70,9 +75,24 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as big
 from docs left join hit using (doc_id) left join named using (doc_id)"""
 
 
+SUBSTRING_SQL = r"""
+with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as p from
+  (select doc_id, w, unnest(range(1, len(w) - 11)) as i from docs)),
+late as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by p) as f from windows) where f < doc_id),
+gone as (select distinct doc_id, j from (select doc_id, unnest(range(i, i + 13)) as j from late)),
+placed as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as j from docs),
+kept as (select doc_id, string_agg(word, ' ' order by j) as t from placed anti join gone using (doc_id, j) group by doc_id),
+counted as (select doc_id, count(*) as n from gone group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed,
+  sha256(coalesce(t, '')) as kept_sha256
+from docs left join kept using (doc_id) left join counted using (doc_id)"""
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op2_decontaminate": Query(decontaminate, DECONTAMINATE_SQL),
+        "op3_substring_dedup": Query(substring_removal, SUBSTRING_SQL),
         "op4_html_extract": Query(html_extract),
         "op5_toxicity": Query(toxicity),
         "op7_token_files": Query(token_files),

@@ -111,17 +111,19 @@ class Words:
     def text(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
-    def windows(self, k: int, salt: int = 0, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """First word and hash of every run of ``k`` words that lies within one row."""
+    def grams(self, k: int, hashes: np.ndarray | None = None) -> np.ndarray:
+        """Hash of the ``k`` words from each word on, whether or not they lie within one row."""
         h = self.hash if hashes is None else hashes
-        n = len(h) - k + 1
-        if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        at = np.flatnonzero(self.row[:n] == self.row[k - 1 :])
-        total = np.full(n, mix(np.array([salt + k], np.uint64))[0])
+        n = max(len(h) - k + 1, 0)
+        total = np.full(n, k, np.uint64)
         for j in range(k):
             total = total * np.uint64(0xD1342543DE82EF95) + h[j : j + n]
-        return at, mix(total[at])
+        return mix(total)
+
+    def starts(self, k: int) -> np.ndarray:
+        """First words of the runs of ``k`` words that lie within one row."""
+        n = max(len(self.hash) - k + 1, 0)
+        return np.flatnonzero(self.row[:n] == self.row[k - 1 :]) if n else np.zeros(0, np.int64)
 
 
 class Splitter:
