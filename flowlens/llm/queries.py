@@ -4,9 +4,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowlens.llm.decontaminate import contamination
 from flowlens.llm.html import extract_pages
+from flowlens.llm.jaccard import link_documents
 from flowlens.llm.licenses import scan_licenses
 from flowlens.llm.substrings import substring_dedup
 from flowlens.llm.tokenfiles import digest_token_files, write_token_files
@@ -23,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = link_documents(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return linked.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +62,19 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 LETTER_WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+JACCARD_SQL = rf"""
+with recursive docs as (select doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (select distinct doc_id, array_to_string(w[i:i + least(len(w), 3) - 1], ' ') as s from
+  (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) as i from docs where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id != b.doc_id
+  group by all),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * c >= 90 * (x.n + y.n - c)),
+reach as (select doc_id as a, doc_id as b from docs union select reach.a, links.b from reach join links on reach.b = links.a)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id
+from (select a as doc_id, min(b) as component_id from reach group by a) left join sizes using (doc_id)"""
+
 DECONTAMINATE_SQL = rf"""
 with docs as (select doc_id, {LETTER_WORDS} as w from documents),
 items as (select item_id, w, least(len(w), 10) as m from
@@ -91,6 +111,7 @@ from docs left join kept using (doc_id) left join counted using (doc_id)"""
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op1_ngram_jaccard": Query(ngram_jaccard, JACCARD_SQL),
         "op2_decontaminate": Query(decontaminate, DECONTAMINATE_SQL),
         "op3_substring_dedup": Query(substring_removal, SUBSTRING_SQL),
         "op4_html_extract": Query(html_extract),
