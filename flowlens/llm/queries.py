@@ -11,6 +11,7 @@ from flowlens.llm.html import extract_pages
 from flowlens.llm.jaccard import link_documents
 from flowlens.llm.licenses import scan_licenses
 from flowlens.llm.substrings import substring_dedup
+from flowlens.llm.suffixes import suffix_dedup
 from flowlens.llm.tokenfiles import digest_token_files, write_token_files
 from flowlens.llm.toxicity import score_toxicity, train_chain
 
@@ -47,6 +48,10 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents, train_chain(documents, table(spark, sf_dir, "labels")))
 
 
+def suffix_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     if tokenizer is None:
         import public_tokenizers
@@ -116,6 +121,7 @@ def llm_queries() -> dict[str, Query]:
         "op3_substring_dedup": Query(substring_removal, SUBSTRING_SQL),
         "op4_html_extract": Query(html_extract),
         "op5_toxicity": Query(toxicity),
+        "op6_suffix_dedup": Query(suffix_removal),
         "op7_token_files": Query(token_files),
         "op9_license_scan": Query(license_scan),
     }
