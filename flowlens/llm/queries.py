@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.llm.decontaminate import contamination
+from flowlens.llm.embeddings import near_vectors
 from flowlens.llm.html import extract_pages
 from flowlens.llm.jaccard import link_documents
 from flowlens.llm.licenses import scan_licenses
@@ -60,6 +61,10 @@ def token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return digest_token_files(write_token_files(table(spark, sf_dir, "documents"), tokenizer, end_id=2))
 
 
+def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -114,6 +119,20 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint)
 from docs left join kept using (doc_id) left join counted using (doc_id)"""
 
 
+EMBEDDING_SQL = """
+with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where label is not null and vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach as (select vec_id as a, vec_id as b from embeddings union select reach.a, links.b from reach join links on reach.b = links.a),
+parts as (select a as vec_id, min(b) as component_id from reach group by a),
+counted as (select a as vec_id, count(*) as n from links group by a)
+select vec_id, cast(coalesce(n, 0) as bigint) as n_links, component_id, vec_id = component_id as kept
+from parts left join counted using (vec_id)"""
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard": Query(ngram_jaccard, JACCARD_SQL),
@@ -123,5 +142,6 @@ def llm_queries() -> dict[str, Query]:
         "op5_toxicity": Query(toxicity),
         "op6_suffix_dedup": Query(suffix_removal),
         "op7_token_files": Query(token_files),
+        "op8_embedding_dedup": Query(embedding_dedup, EMBEDDING_SQL),
         "op9_license_scan": Query(license_scan),
     }
