@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from flowlens.llm.wordscan import mix, slices
 
 CHUNK_KEYS = 1 << 20
-SHARD_KEYS = 1 << 20
+SHARD_KEYS = 1 << 19
 DEPTH = 2
 PACKED = "shard long, payload binary"
 SKETCH, ASK, SURE = 0, 1, 2
@@ -68,13 +68,26 @@ def gather(packed: DataFrame, shards: int, work: Callable, schema: str) -> DataF
     return packed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
 
 
+def resolve(packed: DataFrame, shards: int, work: Callable, name: str) -> DataFrame:
+    """(rid, list): gathers shards, gets ``work(columns)``'s rids and values, and lists the values of each rid."""
+
+    def answer(columns):
+        rid, value = work(columns)
+        order = np.argsort(rid, kind="stable")
+        rid, value = rid[order], value[order]
+        yield from deal(shard_of(mix(rid.view(np.uint64)), shards), shards, {"rid": rid, "value": value})
+
+    answers = gather(packed, shards, answer, PACKED)
+    return gather(answers, shards, lambda columns: listed(columns["rid"], columns["value"], name), f"rid long, {name} array<long>")
+
+
 def listed(rid: np.ndarray, values: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
     """One row for each rid with the list of its values."""
     order = np.argsort(rid, kind="stable")
     rid, values = rid[order], values[order]
     first = np.flatnonzero(np.append(True, rid[1:] != rid[:-1])) if len(rid) else np.zeros(0, np.int64)
     offsets = np.append(first, len(rid)).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
     for a in range(0, len(first), 1000):
         part = slice(a, a + 1000)
         yield pa.RecordBatch.from_arrays([pa.array(rid[first[part]]), lists[part]], ["rid", name])
@@ -131,7 +144,7 @@ def _send(maker: Callable, shards: int, by_row: bool):
     return run
 
 
-def _answer(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _answer(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     key, kind = columns["key"], columns["kind"]
     counted = kind != SURE
     weight = np.where(kind == SKETCH, 2.0, 1.0)[counted]
@@ -142,7 +155,7 @@ def _answer(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         counts = np.bincount(cell[counted], weights=weight, minlength=width)
         estimate = np.minimum(estimate, counts[cell])
     found = (kind == SURE) | ((kind == ASK) & (estimate >= 2))
-    yield from listed(columns["rid"][found], key[found], "keys")
+    return columns["rid"][found], key[found].view(np.int64)
 
 
 def repeated_keys(texts: DataFrame, maker: Callable, keys_per_char: float, by_row: bool, shard_keys: int = SHARD_KEYS) -> DataFrame:
@@ -153,5 +166,4 @@ def repeated_keys(texts: DataFrame, maker: Callable, keys_per_char: float, by_ro
     """
     shards = shards_for(texts, keys_per_char, shard_keys)
     packed = texts.select("rid", "text").mapInArrow(_send(maker, shards, by_row), PACKED)
-    found = gather(packed, shards, _answer, "rid long, keys array<long>")
-    return found.groupBy("rid").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    return resolve(packed, shards, _answer, "keys")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.sketch import PACKED, chunks, deal, gather, listed, repeated_keys, shard_of, shards_for
+from flowlens.llm.sketch import PACKED, chunks, deal, repeated_keys, resolve, shard_of, shards_for
 from flowlens.llm.wordscan import Hasher, Splitter, mix, runs, slices
 
 GRAM = 5
@@ -96,7 +96,7 @@ def _judge(columns: dict[str, np.ndarray]):
     asked = np.flatnonzero(~columns["late"])
     late = columns["late"].copy()
     late[asked] = _later({name: x[asked] for name, x in columns.items()})
-    yield from listed(columns["rid"][late], columns["place"][late], "places")
+    return columns["rid"][late], columns["place"][late]
 
 
 def identified(documents: DataFrame, *columns) -> DataFrame:
@@ -111,8 +111,7 @@ def repeated_windows(texts: DataFrame, window: int = 13) -> DataFrame:
     suspects = repeated_keys(texts, _gram_keys(window, gram), KEYS_PER_CHAR, by_row=True)
     shards = shards_for(texts, WINDOWS_PER_CHAR)
     packed = texts.join(suspects, "rid").mapInArrow(_send_windows(window, gram, shards), PACKED)
-    found = gather(packed, shards, _judge, "rid long, places array<long>")
-    return found.groupBy("rid").agg(F.flatten(F.collect_list("places")).alias("places"))
+    return resolve(packed, shards, _judge, "places")
 
 
 def _kept_words(part, window: int):

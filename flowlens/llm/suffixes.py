@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.sketch import PACKED, chunks, deal, gather, listed, repeated_keys, shard_of, shards_for
+from flowlens.llm.sketch import PACKED, chunks, deal, repeated_keys, resolve, shard_of, shards_for
 from flowlens.llm.substrings import NO_ID, identified
 from flowlens.llm.wordscan import Hasher, mix, runs, slices, utf8
 
@@ -278,7 +278,7 @@ def _judge(length: int):
                     for a, b in zip(edges[::2], edges[1::2]):
                         out_rid.append(c["rid"][h : h + 1])
                         out_range.append(np.array([((int(c["place"][h]) + int(a)) << 32) + int(b - a)]))
-        yield from listed(np.concatenate(out_rid), np.concatenate(out_range).astype(np.int64), "ranges")
+        return np.concatenate(out_rid), np.concatenate(out_range).astype(np.int64)
 
     return work
 
@@ -288,8 +288,7 @@ def repeated_bytes(texts: DataFrame, length: int = 200) -> DataFrame:
     suspects = repeated_keys(texts, _gram_keys(length), KEYS_PER_CHAR, by_row=False)
     shards = shards_for(texts, SEGMENTS_PER_CHAR, CHUNK_SEGMENTS)
     packed = texts.join(suspects, "rid").mapInArrow(_send_segments(length, shards), PACKED)
-    found = gather(packed, shards, _judge(length), "rid long, ranges array<long>")
-    return found.groupBy("rid").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    return resolve(packed, shards, _judge(length), "ranges")
 
 
 def _digest(length: int):
