@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from flowlens.llm.components import components, star_edges
@@ -315,9 +316,12 @@ def tree_pairs(points: DataFrame, percent: int) -> DataFrame:
 def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id, and all documents without links.
 
-    Repeated rows of one id count as copies, and the first by text stays; rows without an id stay.
+    Repeated rows of one id count as copies, and the one whose text has the smallest hash stays; rows without
+    an id stay.
     """
     groups = link_documents(documents.select("doc_id", "text"), k, percent).where("doc = component or n = 0").select("doc").distinct()
     known = documents.where("doc_id is not null")
     kept = known.join(groups.withColumnRenamed("doc", "_kept"), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(documents.where("doc_id is null"))
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    kept = kept.withColumn("_place", place).where("_place = 1").select(*[F.col(f"`{c}`") for c in documents.columns])
+    return kept.unionByName(documents.where("doc_id is null"))

@@ -11,6 +11,7 @@ from flowlens.llm.embeddings import near_vectors
 from flowlens.llm.html import extract_pages
 from flowlens.llm.jaccard import link_documents
 from flowlens.llm.licenses import scan_licenses
+from flowlens.llm.pieces import encode_pieces
 from flowlens.llm.substrings import substring_dedup
 from flowlens.llm.suffixes import suffix_dedup
 from flowlens.llm.tokenfiles import digest_token_files, write_token_files
@@ -65,6 +66,16 @@ def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def piece_encoding(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), model or piece_model())
+
+
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -144,4 +155,5 @@ def llm_queries() -> dict[str, Query]:
         "op7_token_files": Query(token_files),
         "op8_embedding_dedup": Query(embedding_dedup, EMBEDDING_SQL),
         "op9_license_scan": Query(license_scan),
+        "op10_piece_encoding": Query(piece_encoding),
     }

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlens.llm.wordscan import Splitter, slices
 
@@ -207,8 +208,6 @@ def drop_toxic(documents: DataFrame, chain: Chain, threshold: float = 0.5) -> Da
     """``documents`` without those the chain rejects; columns unchanged."""
     rest = [c for c in documents.columns if c != "text"]
     packed = documents.select("text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
-    schema = packed.schema
-    for c in chain.categories:
-        schema = schema.add(f"p_{c}", "double")
+    schema = T.StructType([*packed.schema.fields, *[T.StructField(f"p_{c}", T.DoubleType()) for c in chain.categories]])
     kept = packed.mapInArrow(_score(chain), schema).where(F.col(f"`p_{chain.categories[-1]}`") < threshold)
     return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in documents.columns])
