@@ -7,6 +7,7 @@ on all rows its predecessor kept, and its result is a Parquet table that the nex
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowlens.llm.decontaminate import clean_documents
 from flowlens.llm.jaccard import keep_one
@@ -26,7 +27,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return remove_repeats(docs, window=13)
+    cut = remove_repeats(docs, window=13)
+    return cut.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -211,9 +211,15 @@ def _tree_pairs(percent: int):
     def search(frame):
         points = np.frombuffer(b"".join(frame["point"]), np.uint32).reshape(-1, DIMENSIONS)
         sizes, labels = frame["n"].to_numpy(), frame["component"].to_numpy()
-        doc, side = frame["doc"].to_numpy(), frame["side"].to_numpy()
+        doc, block = frame["doc"].to_numpy(), frame["block"].to_numpy()
         tree = CountTree(points, sizes, labels)
-        found = [(i, j) for i in np.flatnonzero(side < 2) for j in tree.search(points[i], sizes[i], labels[i], percent)]
+        blocks = len(np.unique(block)) > 1  # pairs within one of two blocks are found in that block's own group
+        found = [
+            (i, j)
+            for i in np.flatnonzero(block == block.min() if len(block) else block)
+            for j in tree.search(points[i], sizes[i], labels[i], percent)
+            if not blocks or block[j] != block[i]
+        ]
         pairs = sorted({(min(doc[i], doc[j]), max(doc[i], doc[j])) for i, j in found})
         return frame.__class__({"a": [x for x, _ in pairs], "b": [y for _, y in pairs]}, dtype="int64")
 
@@ -222,7 +228,7 @@ def _tree_pairs(percent: int):
 
 def _verified(k: int, percent: int):
     def run(batches):
-        splitter, leader, known = Splitter("plain", lower=True), None, None
+        splitter, leader, known = Splitter("plain", lower=True), None, []
         for batch in batches:
             for part in slices(batch, "text"):
                 row, hashes = shingle_sets(splitter.words(part.column("text")), part.num_rows, k)
@@ -230,13 +236,12 @@ def _verified(k: int, percent: int):
                 links = []
                 for r, (a, b) in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist())):
                     own = hashes[edges[r] : edges[r + 1]]
-                    if b is None:
-                        leader, known = a, own
+                    if b is None:  # one head, or several rows of one id
+                        leader, known = a, [*(known if a == leader else []), own]
                         continue
                     if a != leader:
                         raise ValueError("a pair came before its first set")
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    if may_link(int((known[at] == own).sum()), len(known), len(own), percent):
+                    if any(len(k) and _same(k, own, percent) for k in known):
                         links.append((a, b))
                 if links:
                     yield pa.RecordBatch.from_pydict({"a": [x for x, _ in links], "b": [y for _, y in links]})
@@ -244,6 +249,11 @@ def _verified(k: int, percent: int):
     return run
 
 
+def _same(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    return may_link(int((a[at] == b).sum()), len(a), len(b), percent)
+
+
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of documents in ``texts`` (doc, text) whose whole sets link; streams b's past one a at a time."""
     salt = F.pmod(F.xxhash64("b"), F.lit(SALTS))
@@ -285,7 +295,7 @@ def link_documents(documents: DataFrame, k: int = 5, percent: int = 80) -> DataF
     rest = cells.join(shared.where("members > 2").select("cell"), "cell", "left_semi").join(placed, "doc")
     mixed = rest.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("doc").alias("members"))
     rest = rest.join(mixed.where("low < high").select("cell", "members"), "cell")
-    pairs = tree_pairs(rest, percent).join(firsts, ["a", "b"], "left_anti")
+    pairs = materialize(tree_pairs(rest, percent).join(firsts, ["a", "b"], "left_anti"), "pairs")
     links = links.union(materialize(verify(pairs, texts, k, percent), "links")).union(same_id)
     reached = components(links)
     out = known.join(reached, F.col("doc") == F.col("node"), "left")
@@ -306,8 +316,7 @@ def tree_pairs(points: DataFrame, percent: int) -> DataFrame:
     own = F.pmod(F.xxhash64("doc", F.lit(5)), blocks)
     split = points.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
     split = split.select(
-        "cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc", "n", "point", "component",
-        F.lit(0).alias("side"),
+        "cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc", "n", "point", "component", "block",
     )
     found = split.groupBy("cell", "low", "high").applyInPandas(_tree_pairs(percent), "a long, b long")
     return found.distinct()

@@ -31,7 +31,9 @@ FOLDS = 3
 STEPS = 120
 PENALTY = 1e-4
 LEAST_DOCUMENTS = 5
+LEAST_SCORE = 20.0
 PREFIX_BYTES = 5
+BALANCE = 0.5
 
 
 @dataclass
@@ -59,7 +61,7 @@ def _select(row, word, target, features: int) -> np.ndarray:
     n, p = np.bincount(at), target.mean()
     hit = np.bincount(at, weights=target[row])
     score = (hit - n * p) ** 2 / (n * p * (1 - p))
-    score[n < LEAST_DOCUMENTS] = 0
+    score[(n < LEAST_DOCUMENTS) | (score < LEAST_SCORE)] = 0
     best = np.lexsort((words, -score))[:features]
     return np.sort(words[best[score[best] > 0]])
 
@@ -73,11 +75,15 @@ def fit_linear(row, word, target: np.ndarray, dense: np.ndarray, features: int)
     at = np.minimum(np.searchsorted(words, word), max(len(words) - 1, 0))
     hit = words[at] == word if len(words) else np.zeros(len(word), bool)
     row, at = row[hit], at[hit]
-    weights, extra, bias = np.zeros(len(words)), np.zeros(dense.shape[1]), float(np.log(p / (1 - p)))
+    held, told = np.bincount(at, minlength=len(words)), np.bincount(at, weights=target[row], minlength=len(words))
+    weights = np.log((told + 0.5) / (held - told + 0.5) * (1 - p) / p)  # start at the words' own log-odds
+    share = np.where(target > 0, ((1 - p) / p) ** BALANCE, 1.0)  # the rarer class counts more
+    share /= share.sum()
+    extra, bias = np.zeros(dense.shape[1]), (1 - BALANCE) * float(np.log(p / (1 - p)))
     seen = [np.full(len(words), 1e-8), np.full(dense.shape[1], 1e-8), 1e-8]
     for _ in range(STEPS):
         odds = bias + np.bincount(row, weights=weights[at], minlength=rows) + dense @ extra
-        error = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - target) / rows
+        error = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - target) * share
         slopes = [np.bincount(at, weights=error[row], minlength=len(words)) + PENALTY * weights, dense.T @ error + PENALTY * extra, error.sum()]
         seen = [s + g * g for s, g in zip(seen, slopes)]
         weights, extra, bias = (v - 0.3 * g / np.sqrt(s) for v, g, s in zip((weights, extra, bias), slopes, seen))
