@@ -31,6 +31,7 @@ from flowlens.llm.wordscan import Hasher, mix, runs, slices, utf8
 GRAM = 40
 KEYS_PER_CHAR = 0.014
 SEGMENTS_PER_CHAR = 0.01
+ARRAY_BYTES = 1 << 17
 
 
 def grouping_order(text: np.ndarray) -> np.ndarray:
@@ -124,6 +125,38 @@ def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
     return [twice[b : b + s - length + 1] for b, s in zip(base, sizes)]
 
 
+def contest(texts: list[bytes], gram: np.ndarray, count: np.ndarray, copied: np.ndarray, length: int) -> list[np.ndarray]:
+    """For distinct segments of one gram: which of their starting bytes' strings occur twice.
+
+    Strings can only be equal where they lie the same way around the gram. While the segments are too
+    many bytes for one suffix array, the ways are halved, and the parts that are then equal settle each other.
+    """
+    marks = [np.zeros(n, bool) for n in count]
+    stack = [(0, int(gram.max()) + 1, range(len(texts)))]
+    while stack:
+        low, high, own = stack.pop()
+        parts = {}
+        for k in own:
+            first, last = max(0, int(gram[k]) - high + 1), min(int(count[k]) - 1, int(gram[k]) - low)
+            if first <= last:
+                parts.setdefault((int(gram[k]) - first, texts[k][first : last + length]), []).append((k, first, last))
+        single = []
+        for (_, text), same in parts.items():
+            if len(same) > 1 or copied[same[0][0]]:
+                for k, first, last in same:
+                    marks[k][first : last + 1] = True
+            single.append((text, *same[0]))
+        if len(single) < 2 or high - low == 1:
+            continue
+        if sum(len(x[0]) for x in single) <= ARRAY_BYTES:
+            for (_, k, first, last), twice in zip(single, repeated_starts([x[0] for x in single], length)):
+                marks[k][first : last + 1] |= twice
+        else:
+            middle, every = (low + high) // 2, [k for _, k, _, _ in single]
+            stack += [(low, middle, every), (middle, high, every)]
+    return marks
+
+
 class Grams:
     """Least grams of the strings of ``length`` bytes of a slice of texts."""
 
@@ -163,6 +196,11 @@ class Grams:
             count = np.diff(np.append(first, len(starts)))
         return data, rows, row[first], value[first], starts[first], count
 
+    def place(self, data: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """How far after their first byte the least grams of segments begin."""
+        at = first[:, None] + np.arange(self.length - self.gram + 1)
+        return self.hasher.ranges(self.hasher.sums(data), at.ravel(), at.ravel() + self.gram).reshape(at.shape).argmin(axis=1)
+
     @staticmethod
     def _cuts(keys, starts, width, a):
         """Where the leftmost least gram changes within a run of starts whose least values are equal."""
@@ -217,7 +255,7 @@ def _send_segments(length: int, shards: int):
             text[:] = [raw[a:b] for a, b in zip(first, end)]
             return {
                 "rid": part.column("rid").to_numpy()[row], "key": key, "one": one, "two": two,
-                "place": first - rows[row], "count": count, "text": text,
+                "place": first - rows[row], "count": count, "text": text, "gram": grams.place(data, first),
             }
 
         for chunk in chunks(batches, columns, CHUNK_SEGMENTS):
@@ -269,15 +307,16 @@ def _judge(length: int):
             heads = np.flatnonzero(new)
             kinds = np.bincount(np.cumsum(new_key)[heads] - 1)  # distinct segments of each gram
             contested = heads[kinds[np.cumsum(new_key)[heads] - 1] > 1]
-            if len(contested):
-                twice = repeated_starts(c["text"][contested].tolist(), length)
-                for h, marks in zip(contested.tolist(), twice):
-                    if copies[segment[h]] or not marks.any():
+            edges = np.flatnonzero(np.append(True, c["key"][contested][1:] != c["key"][contested][:-1])) if len(contested) else []
+            for a, b in zip(edges, [*edges[1:], len(contested)]):
+                own = contested[a:b]
+                marks = contest(c["text"][own].tolist(), c["gram"][own], c["count"][own], copies[segment[own]], length)
+                for h, twice in zip(own.tolist(), marks):
+                    if copies[segment[h]] or not twice.any():
                         continue
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], marks.astype(np.int8), [0]])))
-                    for a, b in zip(edges[::2], edges[1::2]):
-                        out_rid.append(c["rid"][h : h + 1])
-                        out_range.append(np.array([((int(c["place"][h]) + int(a)) << 32) + int(b - a)]))
+                    ends = np.flatnonzero(np.diff(np.concatenate([[0], twice.astype(np.int8), [0]])))
+                    out_rid.append(np.repeat(c["rid"][h], len(ends) // 2))
+                    out_range.append(((c["place"][h] + ends[::2]) << 32) + ends[1::2] - ends[::2])
         return np.concatenate(out_rid), np.concatenate(out_range).astype(np.int64)
 
     return work
