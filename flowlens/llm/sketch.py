@@ -26,6 +26,7 @@ SHARD_KEYS = 1 << 19
 DEPTH = 2
 PACKED = "shard long, payload binary"
 SKETCH, ASK, SURE = 0, 1, 2
+OF_A_ROW = ("rid", "doc")
 
 
 def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
@@ -33,21 +34,33 @@ def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
 
 
 def deal(shard: np.ndarray, shards: int, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Packs rows of columns into one payload for each shard; runs of equal ``rid`` are sent once."""
+    """Packs rows of columns into one payload for each shard; ids of runs of equal ``rid`` are sent once."""
     order = np.argsort(shard, kind="stable")
     edges = np.searchsorted(shard[order], np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(edges)):
         at = order[edges[s] : edges[s + 1]]
         own = {name: values[at] for name, values in columns.items()}
         new = np.flatnonzero(np.append(True, own["rid"][1:] != own["rid"][:-1]))
-        own["rid"] = (own["rid"][new], np.diff(np.append(new, len(at))).astype(np.uint32))
+        runs = np.diff(np.append(new, len(at))).astype(np.uint32)
+        own = {name: (values[new], runs) if name in OF_A_ROW else _small(values) for name, values in own.items()}
         payload = pa.array([pickle.dumps(own, protocol=5)], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), payload], ["shard", "payload"])
 
 
+def _small(values: np.ndarray):
+    """Half as many bytes for long integers that need no more; ``_whole`` undoes it."""
+    short = values.dtype == np.int64 and values.min() >= 0 and values.max() < 1 << 32
+    return (values.astype(np.uint32), None) if short else values
+
+
+def _whole(packed) -> np.ndarray:
+    if not isinstance(packed, tuple):
+        return packed
+    return packed[0].astype(np.int64) if packed[1] is None else np.repeat(*packed)
+
+
 def _stack(parts: list[dict]) -> dict[str, np.ndarray]:
-    columns = {name: np.concatenate([p[name] for p in parts]) for name in parts[0] if name != "rid"}
-    return columns | {"rid": np.concatenate([np.repeat(*p["rid"]) for p in parts])}
+    return {name: np.concatenate([_whole(p[name]) for p in parts]) for name in parts[0]}
 
 
 def gather(packed: DataFrame, shards: int, work: Callable, schema: str) -> DataFrame:
