@@ -128,10 +128,10 @@ over_flows(
 )
 over_flows(
     "top_ports",
-    lambda df: traffic.top_ports(df, 8),
+    lambda df: traffic.top_ports(df),
     """select portdst, action, count(*) as count, total from flows join (
         select portdst, count(*) as total from flows where portdst is not null
-        group by portdst order by total desc, portdst limit 8) t using (portdst)
+        group by portdst order by total desc, portdst limit 20) t using (portdst)
       group by portdst, action, total""",
 )
 

@@ -138,8 +138,8 @@ def _predicted(model_key, **params):
 
 over_labelled("decision_tree", _predicted("decision_tree", max_depth=5))
 over_labelled("logistic_regression", _predicted("logistic_regression", scale=True))
-over_labelled("random_forest", _predicted("random_forest", n_estimators=20, max_depth=5))
-over_labelled("gradient_boosting", _predicted("gradient_boosting", n_estimators=10))
+over_labelled("random_forest", _predicted("random_forest", n_estimators=100, max_depth=5))
+over_labelled("gradient_boosting", _predicted("gradient_boosting", n_estimators=100))
 over_labelled("svm", _predicted("svm", scale=True))
 over_labelled("svm_linear", _predicted("svm", scale=True, kernel="linear"))
 over_labelled("predict", _predicted("knn", scale=True, n_neighbors=3))
@@ -174,8 +174,7 @@ over_labelled("one_class_svm", _anomalies("one_class_svm"))
 
 
 def _applied(df):
-    night = df.filter(F.col("night_ratio") > 0.3)
-    model = fit_isolation_forest(night, FEW, "ipsrc", trees=50)
+    model = fit_isolation_forest(df, FEW, "ipsrc")
     return apply_anomaly_detector(model, df).select("ipsrc", "is_anomaly", "anomaly_score")
 
 
@@ -183,7 +182,7 @@ over_labelled("apply_anomaly_detector", _applied)
 over_labelled(
     "anomaly_attribution",
     lambda df: attribution_summary(
-        anomaly_attribution(fit_isolation_forest(df, FEW, "ipsrc", trees=50), df)
+        anomaly_attribution(fit_isolation_forest(df, FEW, "ipsrc"), df)
     ),
 )
 
@@ -196,7 +195,7 @@ def _clusters(df):
 
 
 over_labelled("kmeans", _clusters)
-over_labelled("elbow", lambda df: elbow(df, FEW, (1, 6)))
+over_labelled("elbow", lambda df: elbow(df, FEW, (1, 11)))
 over_labelled("pca", lambda df: pca(df, FEW, 2)[0].select("ipsrc", "Dim1", "Dim2"))
 
 # --- validation ------------------------------------------------------------------------
@@ -205,15 +204,30 @@ over_labelled(
     "cross_validate",
     lambda df: validation.cross_validation_summary(
         validation.cross_validate(
-            df, "logistic_regression", FEW, k=3, scoring=("accuracy", "f1", "roc_auc"), scale=True
+            df, "logistic_regression", FEW, k=5, scoring=("accuracy", "f1", "roc_auc"), scale=True
         )
     ),
 )
+
+def evaluated(parts):
+    """All three parts in long form: metrics of the training rows, confusion table, cross-validation."""
+    metrics = parts["resubstitution"]
+    whole = metrics.select(F.explode(F.array(*[
+        F.struct(F.lit("resubstitution").alias("part"), F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
+        for c in metrics.columns
+    ])).alias("r")).select("r.*")
+    cells = parts["confusion_matrix"].select(
+        F.lit("confusion_matrix").alias("part"), F.concat_ws("/", "y_true", "y_pred").alias("name"), F.col("count").cast("double").alias("value")
+    )
+    folds = parts["cross_validation"].select(F.lit("cross_validation").alias("part"), F.col("metric").alias("name"), F.col("mean").alias("value"))
+    return whole.unionByName(cells).unionByName(folds)
+
+
 over_labelled(
     "evaluate_model",
-    lambda df: validation.evaluate_model(df, "decision_tree", FEW, k=3, max_depth=4)["resubstitution"],
+    lambda df: evaluated(validation.evaluate_model(df, "decision_tree", FEW, k=5, max_depth=4)),
 )
 over_labelled(
     "compare_models",
-    lambda df: validation.compare_models(df, ["decision_tree", "logistic_regression"], FEW, k=3),
+    lambda df: validation.compare_models(df, ["decision_tree", "logistic_regression", "knn"], FEW, k=5),
 )

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from flowlens import fixtures, sinks, sources
-from flowlens.catalog.base import FEATURES, FLOWS_CTE, RAW_SQL, Query
+from flowlens.catalog.base import FEATURE_COLUMNS_11, FEATURES, FLOWS_CTE, RAW_SQL, Query
 from flowlens.catalog.feature_sets import labelled
 from flowlens.operators import features as fs
 from flowlens.operators.columns import normalize_log_columns
@@ -224,24 +224,22 @@ add("write_table", _write_parquet, f"with {FLOWS_CTE} select * from flows")
 def _export_csv(spark, sf):
     path = scratch_path(spark, "exported")
     sinks.export_csv(fs.ip_features(fixtures.flows(spark, sf)), path)
-    return sources.scan_csv(spark, path, dtype={"total_flows": "bigint", "deny": "bigint"}).select(
-        "ipsrc", "total_flows", "deny"
-    )
+    return sources.scan_csv(spark, path, dtype={c: "bigint" for c in FEATURE_COLUMNS_11})
 
 
-add("export_csv", _export_csv, f"{FEATURES} select ipsrc, total_flows, deny from base")
+add("export_csv", _export_csv, f"{FEATURES} select ipsrc, {', '.join(FEATURE_COLUMNS_11)} from base")
 
 
 def _export_capped(spark, sf):
     path = scratch_path(spark, "capped")
-    sinks.export_capped(fixtures.flows(spark, sf).filter(F.col("proto") == "TCP"), path, "event_id", 1000)
+    sinks.export_capped(fixtures.flows(spark, sf), path, "event_id", sinks.tables.EXPORT_CAP)
     return sources.scan_csv(spark, path, dtype={"event_id": "bigint"}).select("event_id", "ipsrc")
 
 
 add(
     "export_capped",
     _export_capped,
-    f"with {FLOWS_CTE} select event_id, ipsrc from flows where proto = 'TCP' order by event_id limit 1000",
+    f"with {FLOWS_CTE} select event_id, ipsrc from flows order by event_id limit 100000",
 )
 
 

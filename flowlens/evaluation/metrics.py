@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from flowlens.errors import FlowlensError
 from flowlens.operators.ordering import running_sums
 from flowlens.schemas import POSITIVE
 from flowlens.session import materialize
 
 
+# A confusion matrix has the square of this many rows at most.
+MOST_LABELS = 1_000
+
+
 def _zero(numerator, denominator):
     """Quotient, 0 where it is undefined."""
     return F.coalesce(F.try_divide(numerator.cast("double"), denominator.cast("double")), F.lit(0.0))
@@ -33,8 +38,10 @@ def confusion_matrix(
 
     ``normalize`` adds the share within the true label.
     """
-    counts = label_counts(df, true, predicted)
+    counts = materialize(label_counts(df, true, predicted), "label-counts")
     labels = counts.select(F.explode(F.array("y_true", "y_pred")).alias("label")).distinct()
+    if labels.count() > MOST_LABELS:
+        raise FlowlensError(f"more than {MOST_LABELS} labels: a confusion matrix needs categories")
     grid = labels.select(F.col("label").alias("y_true")).crossJoin(
         labels.select(F.col("label").alias("y_pred"))
     )

@@ -1,5 +1,6 @@
 """Isolation forest: trees are built in parallel from small samples, scoring is one pass."""
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -89,11 +90,11 @@ class IsolationForest:
         shell = IsolationForest([], self.features, self.key, self.sample)
 
         @F.pandas_udf("double")
-        def raw(batches_of_vec: pd.Series) -> pd.Series:
+        def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             shell.nodes = forest.value
-            if not len(batches_of_vec):
-                return pd.Series([], dtype=float)
-            return pd.Series(shell.scorer()(np.array(list(batches_of_vec), dtype=float)))
+            score = shell.scorer()
+            for vec in batches:
+                yield pd.Series(score(np.array(list(vec), dtype=float)) if len(vec) else [], dtype=float)
 
         return points(df, self.features, self.key).select(
             F.col("key").alias(self.key), raw("vec").alias("raw")
@@ -154,7 +155,8 @@ def anomaly_attribution(
     """``(key, feature, contribution)``: how each feature moves a row's score.
 
     Shapley values by permutation sampling: a background row is changed into the explained
-    one, feature by feature, and score changes are averaged. Contributions of a row add up
+    one, feature by feature in a random order, and score changes are averaged; there are at
+    least ``permutations`` such rounds, and one for every background row. Contributions of a row add up
     to its score minus the mean score of the background rows it was compared with. The
     background holds at most ``background`` rows; all rows of ``df`` are explained.
     """
@@ -162,30 +164,27 @@ def anomaly_attribution(
     drawn = sample_rows(points(df, features, model.key), "key", background, seed).collect()
     reference = np.array([r["vec"] for r in drawn], dtype=float)
     random = np.random.RandomState(seed)
-    plan = [
-        (random.permutation(len(features)), reference[random.randint(len(reference))])
-        for _ in range(permutations)
-    ]
+    rounds = max(permutations, len(reference))  # every background row takes part
+    plan = [(random.permutation(len(features)), reference[i % len(reference)]) for i in range(rounds)]
     nodes = df.sparkSession.sparkContext.broadcast(model.nodes)
     shell = IsolationForest([], features, model.key, model.sample)
 
     @F.pandas_udf("array<double>")
-    def contributions(vec: pd.Series) -> pd.Series:
-        if not len(vec):
-            return pd.Series([], dtype=object)
+    def contributions(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shell.nodes = nodes.value
         score = shell.scorer()
-        target = np.array(list(vec), dtype=float)
-        total = np.zeros_like(target)
-        for order, start in plan:
-            current = np.tile(start, (len(target), 1))
-            before = score(current)
-            for feature in order:
-                current[:, feature] = target[:, feature]
-                after = score(current)
-                total[:, feature] += after - before
-                before = after
-        return pd.Series(list(total / len(plan)))
+        for vec in batches:
+            target = np.array(list(vec), dtype=float).reshape(len(vec), len(features))
+            total = np.zeros_like(target)
+            for order, start in plan if len(vec) else ():
+                current = np.tile(start, (len(target), 1))
+                before = score(current)
+                for feature in order:
+                    current[:, feature] = target[:, feature]
+                    after = score(current)
+                    total[:, feature] += after - before
+                    before = after
+            yield pd.Series(list(total / len(plan)), dtype=object)
 
     names = F.array(*[F.lit(f) for f in features])
     explained = points(df, features, model.key).withColumn("c", contributions("vec"))

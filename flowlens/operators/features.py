@@ -20,7 +20,7 @@ from flowlens.functions import (
     seconds_between,
 )
 from flowlens.operators.columns import normalize_feature_names
-from flowlens.operators.preparation import constant_features, correlated_features
+from flowlens.operators.preparation import correlated_features, variances
 from flowlens.schemas import (
     ADMIN_PORTS,
     FEATURES_11,
@@ -30,6 +30,7 @@ from flowlens.schemas import (
     LOW_PORT_MAX,
     VOLUME_FEATURES,
 )
+from flowlens.session import materialize
 
 EPSILON = 1e-10
 
@@ -153,9 +154,11 @@ def ratio_features(df: DataFrame) -> DataFrame:
 
 
 def _finish(df, key, names, metadata, remove_correlated, corr_threshold) -> FeatureSet:
-    constant = constant_features(df, names)
+    df = materialize(df, "features")  # one pass over the flows; what follows reads the stored table
+    spread = variances(df, names)
+    constant = [n for n in names if spread[n] == 0]
     names = [n for n in names if n not in constant]
-    correlated = correlated_features(df, names, corr_threshold) if remove_correlated else []
+    correlated = correlated_features(df, names, corr_threshold, spread) if remove_correlated else []
     names = [n for n in names if n not in correlated]
     metadata = {
         **metadata,

@@ -198,7 +198,16 @@ def hash_rank(df: DataFrame, key: str, group: str, seed: int, output: str = "ran
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows in hash order of the key (all rows when there are fewer)."""
-    return (
-        df.withColumn("_h", hash_key(key, seed)).orderBy("_h", key).limit(n).drop("_h")
-    )
+    """``n`` rows in hash order of the key (all rows when there are fewer).
+
+    The rows are counted first, so that only those whose hash is low enough for the sample, with
+    some slack, are sorted and gathered, not ``n`` of every partition.
+    """
+    hashed, total = df.withColumn("_h", hash_key(key, seed)), df.count()
+    wanted = n + 6 * n**0.5 + 10
+    while wanted < total:
+        low = hashed.filter(F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint") < int(wanted / total * 2**32))
+        if low.count() >= n:
+            return low.orderBy("_h", key).limit(n).drop("_h")
+        wanted *= 2  # a key that repeats often may have a high hash
+    return hashed.orderBy("_h", key).limit(n).drop("_h")

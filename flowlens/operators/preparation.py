@@ -2,6 +2,8 @@
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -30,38 +32,63 @@ def drop_constant(df: DataFrame, names=None) -> DataFrame:
     return df.drop(*constant_features(df, names or numeric_columns(df)))
 
 
+def _moments(names: list[str], shift: list[float]):
+    """Sums over the rows where both features of a pair exist, shifted by the features' means."""
+
+    def run(frames):
+        p = len(names)
+        n, first, squares, products = (np.zeros((p, p)) for _ in range(4))
+        for frame in frames:
+            x = frame[names].to_numpy(float) - shift
+            known = ~np.isnan(x)
+            x, known = np.where(known, x, 0.0), known.astype(float)
+            n += known.T @ known
+            first += x.T @ known
+            squares += (x * x).T @ known
+            products += x.T @ x
+        a, b = np.triu_indices(p)
+        yield pd.DataFrame(
+            {"a": a, "b": b, "n": n[a, b], "x": first[a, b], "y": first[b, a], "xx": squares[a, b], "yy": squares[b, a], "xy": products[a, b]}
+        )
+
+    return run
+
+
 def _pair_statistics(df: DataFrame, pairs) -> DataFrame:
-    """Correlation of each feature pair over the rows where both exist.
+    """Correlation of each feature pair over the rows where both exist; NaN counts as missing.
 
-    Every row is crossed with the short literal list of pairs and aggregated by pair: one
-    pass and one small shuffle, without a wide aggregate of p^2 expressions.
+    Every task adds up its rows' moments in matrices and passes on one row for each pair. Moments
+    are taken around the features' means, which an aggregation finds first.
     """
     names = sorted({n for pair in pairs for n in pair})
-    place = {n: i for i, n in enumerate(names, 1)}
-    values = df.select(F.array(*[F.col(n).cast("double") for n in names]).alias("v"))
-    listed = F.array(*[F.struct(F.lit(place[a]).alias("a"), F.lit(place[b]).alias("b")) for a, b in pairs])
-    long = values.select("v", F.explode(listed).alias("p")).select(
-        F.col("p.a").alias("a"),
-        F.col("p.b").alias("b"),
-        F.element_at("v", F.col("p.a")).alias("x"),
-        F.element_at("v", F.col("p.b")).alias("y"),
+    if not names:
+        return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, correlation double")
+    place = {n: i for i, n in enumerate(names)}
+    values = df.select(*[F.nullif(F.col(n).cast("double"), F.lit(float("nan"))).alias(n) for n in names])
+    means = values.agg(*[F.avg(n).alias(n) for n in names]).first()
+    shift = [means[n] or 0.0 for n in names]
+    columns = ("n", "x", "y", "xx", "yy", "xy")
+    schema = "a long, b long, " + ", ".join(f"{c} double" for c in columns)
+    sums = values.mapInPandas(_moments(names, shift), schema).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in columns])
+
+    def spread(square, first, at):
+        """Variance; rounding noise around a constant is none."""
+        mean = F.element_at(F.array(*[F.lit(v) for v in shift]), (at + 1).cast("int"))
+        found = square / F.col("n") - (first / F.col("n")) ** 2
+        return F.when((found > 1e-13 * square / F.col("n")) & (found > 1e-24 * mean * mean), found)
+
+    vx, vy = spread(F.col("xx"), F.col("x"), F.col("a")), spread(F.col("yy"), F.col("y"), F.col("b"))
+    shared = F.col("xy") / F.col("n") - F.col("x") * F.col("y") / F.col("n") ** 2
+    wanted = F.array(*[F.struct(F.lit(place[a]).alias("i"), F.lit(place[b]).alias("j")) for a, b in pairs])
+    asked = df.sparkSession.range(1).select(F.explode(wanted).alias("p")).select(
+        "p.i", "p.j", F.least("p.i", "p.j").cast("long").alias("a"), F.greatest("p.i", "p.j").cast("long").alias("b")
     )
     named = F.array(*[F.lit(n) for n in names])
-    return (
-        long.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy("a", "b")
-        .agg(
-            F.covar_pop("x", "y").alias("c"),
-            F.stddev_pop("x").alias("sx"),
-            F.stddev_pop("y").alias("sy"),
-        )
-        .select(
-            F.element_at(named, F.col("a")).alias("feature_a"),
-            F.element_at(named, F.col("b")).alias("feature_b"),
-            F.when(F.col("a") == F.col("b"), F.when(F.col("sx") > 0, F.lit(1.0)))
-            .otherwise(F.try_divide(F.col("c"), F.col("sx") * F.col("sy")))
-            .alias("correlation"),
-        )
+    known = sums.filter("n > 0").select(
+        "a", "b", F.when((F.col("a") == F.col("b")) & vx.isNotNull(), 1.0).otherwise(shared / F.sqrt(vx) / F.sqrt(vy)).alias("correlation")
+    )
+    return asked.join(known, ["a", "b"]).select(
+        F.element_at(named, F.col("i") + 1).alias("feature_a"), F.element_at(named, F.col("j") + 1).alias("feature_b"), "correlation"
     )
 
 
@@ -82,15 +109,16 @@ def correlation_matrix(df: DataFrame, names=None) -> DataFrame:
     return half.select(F.explode(both).alias("r")).select("r.*")
 
 
-def correlated_features(df: DataFrame, names, threshold: float = 0.95) -> list[str]:
+def correlated_features(df: DataFrame, names, threshold: float = 0.95, spread: dict | None = None) -> list[str]:
     """Features to drop so that no kept pair passes the threshold.
 
     Features are visited in order against every earlier one not dropped yet; of a pair
-    above the threshold the lower-variance feature goes, ties dropping the earlier.
+    above the threshold the lower-variance feature goes, ties dropping the earlier. Known
+    variances can be passed as ``spread``.
     """
     if len(names) < 2:
         return []
-    spread = variances(df, names)
+    spread = spread or variances(df, names)
     strong = {
         (r["feature_a"], r["feature_b"])
         for r in correlation_pairs(df, names).filter(F.abs("correlation") > threshold).collect()

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from flowlens.functions import floor_time, percent
 from flowlens.operators.filters import external_sources, flows_of_ip, min_flows
 from flowlens.plans.traffic import _denies, _permits, value_counts
+from flowlens.session import materialize
 
 PROFILE_METRICS = ("total_flows", "permits", "denies", "unique_dst_ports", "unique_dst_ips")
 
@@ -138,6 +139,7 @@ def head_of_ip(df: DataFrame, ip: str, n: int = 100, order=("date", "event_id"))
 
 def profile_scale(df: DataFrame, metrics=PROFILE_METRICS, key: str = "ipsrc") -> DataFrame:
     """Each metric as a percentage of its largest value (unchanged when that is not above 0)."""
+    df = materialize(df.select(key, *metrics), "profiles")
     top = df.agg(*[F.max(m).alias(f"_max_{m}") for m in metrics])
     scaled = [
         F.when(F.col(f"_max_{m}") > 0, F.col(m) / F.col(f"_max_{m}") * 100)

@@ -5,19 +5,13 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import count_where
 from flowlens.operators.columns import with_protocol
-from flowlens.operators.joins import semi_top_n, top_keys
-from flowlens.plans.traffic import _denies, _permits, _with_share, value_counts
+from flowlens.plans.traffic import _denies, _permits, usage, value_counts
+from flowlens.session import materialize
 
 
 def rule_usage(df: DataFrame) -> DataFrame:
     """Flows per rule and their share of all flows."""
-    counts = (
-        df.filter(F.col("regle").isNotNull())
-        .groupBy("regle")
-        .agg(F.count("*").alias("occurrences"))
-    )
-    total = df.agg(F.count("*").alias("_total"))
-    return _with_share(counts, total).orderBy(F.desc("occurrences"), "regle")
+    return usage(df, "regle")
 
 
 def top_rules(df: DataFrame, n: int = 10) -> DataFrame:
@@ -58,11 +52,16 @@ def rule_port_action(df: DataFrame, protocol: str = "TCP", n: int = 30) -> DataF
 
 
 def rule_port_matrix(df: DataFrame, n_rules: int = 10, n_ports: int = 10) -> DataFrame:
-    """Flows between the busiest rules and the busiest ports, long form, zeros left out."""
-    rows = semi_top_n(df, "regle", n_rules)
-    ports = top_keys(df, "portdst", n_ports)
-    rows = rows.join(F.broadcast(ports), "portdst", "left_semi")
-    return rows.groupBy("regle", "portdst").agg(F.count("*").alias("count"))
+    """Flows between the busiest rules and the busiest ports, long form, zeros left out.
+
+    The flows are counted by rule and port once; both top lists come from those counts.
+    """
+    whole = counts = materialize(df.groupBy("regle", "portdst").agg(F.count("*").alias("count")), "rule-ports")
+    for key, n in (("regle", n_rules), ("portdst", n_ports)):
+        totals = whole.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum("count").alias("_n"))
+        busiest = totals.orderBy(F.desc("_n"), key).limit(n).select(key)
+        counts = counts.join(F.broadcast(busiest), key, "left_semi")
+    return counts
 
 
 def ip_rules(flows_of_one_ip: DataFrame, n: int = 10) -> DataFrame:

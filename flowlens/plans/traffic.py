@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from flowlens.functions import (
     count_where,
@@ -33,11 +34,14 @@ def _protocol(name):
     return count_where(F.col("proto") == name)
 
 
-def _with_share(counts: DataFrame, total: DataFrame, digits: int = 2) -> DataFrame:
-    """Adds the percentage of a one-row total."""
-    return counts.crossJoin(F.broadcast(total)).withColumn(
-        "pct", percent(F.col("occurrences"), F.col("_total"), digits)
-    ).drop("_total")
+def usage(df: DataFrame, key: str, digits: int = 2) -> DataFrame:
+    """Flows per value of ``key`` and their percentage of all flows, rows without a value included in those.
+
+    One pass over the flows; the total is taken from the table of counts.
+    """
+    counts = df.groupBy(key).agg(F.count("*").alias("occurrences"))
+    shared = counts.withColumn("pct", percent(F.col("occurrences"), F.sum("occurrences").over(W.partitionBy()), digits))
+    return shared.filter(F.col(key).isNotNull()).orderBy(F.desc("occurrences"), key)
 
 
 def overview_metrics(df: DataFrame) -> DataFrame:
@@ -173,14 +177,7 @@ def flow_hierarchy(df: DataFrame) -> DataFrame:
 
 def protocol_usage(df: DataFrame) -> DataFrame:
     """Flows and share per normalised protocol."""
-    named = df.select(normalize_protocol(F.col("proto")).alias("protocol"))
-    counts = (
-        named.filter(F.col("protocol").isNotNull())
-        .groupBy("protocol")
-        .agg(F.count("*").alias("occurrences"))
-    )
-    total = df.agg(F.count("*").alias("_total"))
-    return _with_share(counts, total).orderBy(F.desc("occurrences"), "protocol")
+    return usage(df.select(normalize_protocol(F.col("proto")).alias("protocol")), "protocol")
 
 
 def interface_stats(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: rows of the browser export.
 EXPORT_CAP = 100_000
 
 
@@ -32,6 +33,7 @@ def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
-def export_capped(df: DataFrame, path: str, key: str, cap: int = EXPORT_CAP) -> str:
-    """The first ``cap`` filtered rows by key, the fixed size of the browser export."""
-    return export_csv(df.orderBy(key).limit(cap), path)
+def export_capped(df: DataFrame, path: str, key: str, cap: int | None = None) -> str:
+    """The rows by key: all of them, or the first ``cap`` (``EXPORT_CAP`` in a browser export)."""
+    ordered = df.orderBy(key)
+    return export_csv(ordered if cap is None else ordered.limit(cap), path)

@@ -59,7 +59,7 @@ def log_time(year: Column, month: Column, day: Column, clock) -> Column:
 def _headers(lines: DataFrame) -> DataFrame:
     """Matched lines split into month, day, clock, hostname, action and the rest."""
     marked = F.regexp_replace(
-        stripped(F.col("value")), HEADER, _MARK + _MARK.join(f"${i}" for i in range(1, 7))
+        stripped(F.replace(F.col("value"), F.lit(_MARK), F.lit(""))), HEADER, _MARK + _MARK.join(f"${i}" for i in range(1, 7))
     )
     extra = [c for c in lines.columns if c != "value"]
     # Exploding a one-element array keeps the filter behind the pattern: evaluated once.

@@ -14,20 +14,27 @@ def scan_parquet(spark: SparkSession, path, columns=None) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def _days(df: DataFrame, start, end) -> DataFrame:
+    """Only the day folders of a period, where the table is stored by day (see ``write_flows``)."""
+    if dict(df.dtypes).get("day") != "date":
+        return df
+    return df.filter(F.col("day").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
+
+
 def load_flows_parquet(
     spark: SparkSession, path, drop_cols=(), date_filter=None, date_col: str = "timestamp"
 ) -> DataFrame:
     """Stored flows without some columns, optionally in an inclusive time range."""
-    df = spark.read.parquet(path).drop(*drop_cols)
-    if date_filter is not None and date_col in df.columns:
-        df = filter_period_inclusive(df, *date_filter, column=date_col)
-    return df
+    df = spark.read.parquet(path)
+    if date_filter is not None and date_col in df.columns and date_col not in drop_cols:
+        df = filter_period_inclusive(_days(df, *date_filter), *date_filter, column=date_col)
+    return df.drop(*drop_cols)
 
 
 def scan_parquet_period(spark: SparkSession, path, start: str, end: str) -> DataFrame:
     """The seven report columns of a half-open period under canonical names and actions."""
-    df = filter_period(spark.read.parquet(path).select(*PERIOD_COLUMNS), start, end, "timestamp")
-    return normalize_log_columns(df, "report")
+    df = filter_period(_days(spark.read.parquet(path), start, end), start, end, "timestamp")
+    return normalize_log_columns(df.select(*PERIOD_COLUMNS), "report")
 
 
 def parquet_profile(spark: SparkSession, path) -> DataFrame:
