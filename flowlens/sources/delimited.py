@@ -6,6 +6,7 @@ once columns are pruned.
 """
 
 import csv
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ KIBANA_TIME = "MMM d, yyyy @ HH:mm:ss.SSS"
 
 # Line numbers to skip are broadcast up to this many.
 BROADCAST_SKIPS = 1_000_000
+# A folder's files are united over at most this many different headers.
+MOST_HEADERS = 100
 
 
 def _quoted(name: str) -> str:
@@ -64,25 +67,42 @@ def read_delimited(
 ) -> DataFrame:
     """All fields as text.
 
-    Without ``names`` the first line names the columns. With names, a line that repeats
-    them is dropped unless ``header`` is False.
+    Without ``names`` every file's first line names its columns; files with other columns are
+    united by name. With names, a line that repeats them is dropped unless ``header`` is False.
+    A quote inside quotes is written twice; a line whose quotes do not match is left out, as a
+    record has to end on its line.
     """
-    lines = read_lines(spark, path, encoding, positions=skiprows > 0)
+    lines = read_lines(spark, path, encoding, positions=skiprows > 0 or names is None)
     if skiprows:
         lines = _skip_first(lines, skiprows)
     line = F.regexp_replace("value", "^\ufeff", "")
-    lines = lines.select(line.alias("value")).filter(F.trim("value") != "")
-    if names is None:
-        first = lines.first()
-        if first is None:
-            raise ParsingError(f"no header line in {path}")
-        names = next(csv.reader([first["value"]], delimiter=separator))
-        lines = lines.filter(F.col("value") != first["value"])
-    elif header is not False:
-        lines = lines.filter(F.col("value") != separator.join(names))
+    lines = lines.withColumn("value", line).filter(F.trim("value") != "")
+    if names is not None:
+        if header is not False:
+            lines = lines.filter(F.col("value") != separator.join(names))
+        return _split(lines, names, separator)
+    first = F.min_by("value", F.struct("_block", "_id"))
+    heads = materialize(lines.groupBy("_file").agg(first.alias("_head")), "headers")
+    kinds = [r[0] for r in heads.groupBy("_head").agg(F.count("_file").alias("n")).orderBy(F.desc("n"), "_head").limit(MOST_HEADERS + 1).collect()]
+    if not kinds:
+        raise ParsingError(f"no header line in {path}")
+    if len(kinds) > MOST_HEADERS:
+        raise ParsingError(f"more than {MOST_HEADERS} different header lines in {path}")
+    if len(kinds) > 1:
+        lines = lines.join(heads, "_file")
+    parts = []
+    for head in kinds:
+        own = lines.filter(F.col("_head") == head) if len(kinds) > 1 else lines
+        names = next(csv.reader([head], delimiter=separator))
+        parts.append(_split(own.filter(F.col("value") != head), names, separator))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _split(lines: DataFrame, names, separator: str) -> DataFrame:
     schema = ", ".join(f"{_quoted(n)} string" for n in names)
-    kept = lines.filter(_field_count(F.col("value"), separator) <= len(names))
-    fields = F.from_csv("value", schema, {"sep": separator, "mode": "PERMISSIVE"})
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    kept = lines.filter((_field_count(F.col("value"), separator) <= len(names)) & (quotes % 2 == 0))
+    fields = F.from_csv("value", schema, {"sep": separator, "mode": "PERMISSIVE", "escape": '"'})
     return kept.select(fields.alias("r")).select("r.*")
 
 
@@ -186,3 +206,14 @@ def scan_labeled(spark: SparkSession, path, text_columns=(TARGET,), separator: s
             for c in df.columns
         ]
     )
+
+
+def dropped_lines(spark: SparkSession, path, names, separator: str = ",", encoding: str = "utf-8") -> DataFrame:
+    """One row: non-blank lines, those with too many fields, and those whose quotes do not match."""
+    value = F.col("value")
+    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    odd, long = quotes % 2 == 1, _field_count(value, separator) > len(names)
+    lines = read_lines(spark, path, encoding).filter(F.trim("value") != "")
+    return lines.agg(
+        F.count("*").alias("n_lines"), F.count_if(~odd & long).alias("too_long"), F.count_if(odd).alias("unbalanced")
+    )

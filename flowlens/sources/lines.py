@@ -1,5 +1,7 @@
 """Text lines with, on request, their position in the log."""
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,14 @@ def read_lines(spark: SparkSession, path, encoding: str = "utf-8", positions: bo
 
     UTF-8 goes through the text source, which replaces bad bytes with U+FFFD. Other
     encodings go through the CSV source with a separator and a quote that never occur.
+    ``auto`` reads as UTF-8 and every file with bad bytes as Latin-1, for one more pass.
     ``positions`` adds the file, the start of the split and a number that grows inside it.
     """
+    if encoding.lower() == "auto":
+        bad = _not_utf8(spark, path)
+        good = sorted({unquote(f) for f in spark.read.text(path).inputFiles()} - set(bad))
+        parts = [read_lines(spark, files, e, positions) for files, e in ((good, "utf-8"), (bad, "latin1")) if files]
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if encoding.lower() in UTF8:
         lines = spark.read.text(path)
     else:
@@ -32,5 +40,13 @@ def read_lines(spark: SparkSession, path, encoding: str = "utf-8", positions: bo
     )
 
 
+def _not_utf8(spark: SparkSession, path) -> list[str]:
+    """Files in which the text source had to replace bytes."""
+    lines = spark.read.text(path).filter(F.contains("value", F.lit("\ufffd")))
+    found = {unquote(r[0]).replace("file:///", "file:/") for r in lines.select("_metadata.file_path").distinct().toLocalIterator()}
+    files = [unquote(f) for f in spark.read.text(path).inputFiles()]
+    return [f for f in files if f.replace("file:///", "file:/") in found]
+
+
 def stripped(column):
     return F.btrim(column, F.lit(BLANKS))

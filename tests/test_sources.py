@@ -9,6 +9,7 @@ from flowlens import sinks, sources
 from flowlens.errors import ParsingError, ValidationError
 from flowlens.operators.features import simple_features
 from flowlens.schemas import FLOW_KERNEL
+from flowlens.sources import delimited
 
 HEAD = "{when} fw1 kernel: [12.5] {action} FW=6 RULE=999 IN=eth0 OUT= "
 BODY = "SRC=94.102.61.47 DST=159.84.146.99 LEN=44 TTL=238 ID=5{more} PROTO=TCP SPT=52502 DPT=3178 WINDOW=65535 RES=0x00 {flags} URGP=0"
@@ -216,3 +217,40 @@ def test_day_partitions_prune(spark, sf_dir, tmp_path):
     path = sinks.write_flows(flows(spark, sf_dir), str(tmp_path / "days"))
     plan = spark.read.parquet(path).filter("day = date'2024-01-03'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_headers_of_several_files_and_quotes(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_text('ipsrc,portdst,note\n10.0.0.1,80,"a;""b"\n10.0.0.2,81,"open\n')
+    (folder / "b.csv").write_text("portdst,ipsrc\n443,10.0.0.3\n")
+    rows = sources.scan_csv(spark, str(folder)).collect()
+    got = sorted((r.ipsrc, r.portdst, r.note) for r in rows)
+    assert got == [("10.0.0.1", "80", 'a;"b'), ("10.0.0.3", "443", None)]
+    counts = delimited.dropped_lines(spark, str(folder / "a.csv"), ["ipsrc", "portdst", "note"]).first()
+    assert (counts.n_lines, counts.too_long, counts.unbalanced) == (3, 0, 1)
+
+
+def test_latin1_files_beside_utf8(spark, tmp_path):
+    folder = tmp_path / "encodings"
+    folder.mkdir()
+    (folder / "a b.csv").write_bytes("name,n\ncaf\u00e9,1\n".encode("latin-1"))
+    (folder / "u.csv").write_bytes("name,n\nth\u00e9,2\n".encode())
+    rows = sources.scan_csv(spark, str(folder), encoding="auto").collect()
+    assert sorted(r.name for r in rows) == ["caf\u00e9", "th\u00e9"]
+
+
+def test_forged_marks_are_no_header(spark, tmp_path):
+    (tmp_path / "kern.log").write_text("\u0001Jan\u00011\u000100:00:00\u0001h\u0001DENY\u0001SRC=1.2.3.4\n")
+    assert sources.scan_kernel_log(spark, str(tmp_path / "kern.log"), year=2024).count() == 0
+
+
+def test_periods_read_only_their_days(spark, tmp_path):
+    from flowlens import sinks
+
+    rows = spark.sql("select timestamp_ntz'2024-01-01 10:00:00' + make_dt_interval(cast(id as int)) as timestamp, id from range(20)")
+    path = sinks.write_flows(rows, str(tmp_path / "flows"), "timestamp")
+    df = sources.load_flows_parquet(spark, path, date_filter=("2024-01-03", "2024-01-05"))
+    assert df.count() == 2
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
