@@ -114,19 +114,19 @@ def _join(cosine: float, kind: str):
                 rows = frame.iloc[a:b]
                 at = (rows["cell"].iloc[0], rows["part"].iloc[0])
                 if at != current:
-                    if work:
-                        yield from work.out()
+                    if held:
+                        yield from (work or _Cell(held, cosine, kind)).out()
                     current, held, work = at, [], None
                 residents, others = rows[rows["side"] == 0], rows[rows["side"] == 1]
                 if len(residents):
                     held.append(residents)
+                if len(others) and work is None and held:
+                    work = _Cell(held, cosine, kind)
                 if len(others):
-                    if work is None and held:
-                        work = _Cell(held, cosine, kind)
                     for c in range(0, len(others) if work else 0, VISITORS):
                         work.meet(others.iloc[c : c + VISITORS])
-        if work:
-            yield from work.out()
+        if held:
+            yield from (work or _Cell(held, cosine, kind)).out()
 
     return run
 
@@ -143,15 +143,21 @@ class _Cell:
         self.edges, self.shares = block_edges(self.dimensions), budget(cosine, self.dimensions)
         self.links = np.zeros(len(self.raw), np.int64)
         self.pairs = [(self.group, self.group)]
+        if frames[0]["parts"].iloc[0] == 1:
+            copies = np.concatenate([f["copies"].to_numpy() for f in frames])
+            for c in range(0, len(self.raw), VISITORS):
+                part = slice(c, c + VISITORS)
+                self._meet(self.unit[part], self.turned[part], self.group[part], copies[part])
 
     def meet(self, others):
         unit = units(others["vector"].tolist(), self.kind)
-        turned = unit @ rotation(self.dimensions)
+        self._meet(unit, unit @ rotation(self.dimensions), others["group"].to_numpy(), others["copies"].to_numpy())
+
+    def _meet(self, unit, turned, other, copies):
         a, b = self.edges[self.number], self.edges[self.number + 1]
         x, y = self.turned[:, a:b], turned[:, a:b]
         apart = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
         i, j = np.nonzero(apart <= self.shares[self.number] + SLACK)
-        other = others["group"].to_numpy()
         i, j = i[self.group[i] != other[j]], j[self.group[i] != other[j]]
         squares = np.add.reduceat((self.turned[i] - turned[j]) ** 2, self.edges[:-1], axis=1)
         within = squares <= self.shares
@@ -159,7 +165,7 @@ class _Cell:
         i, j = i[found], j[found]
         linked = (self.unit[i] * unit[j]).sum(axis=1) >= self.cosine
         i, j = i[linked], j[linked]
-        np.add.at(self.links, i, others["copies"].to_numpy()[j])
+        np.add.at(self.links, i, copies[j])
         self.pairs.append((self.group[i], other[j]))
         if sum(len(p) for p, _ in self.pairs) > 1 << 18:
             self.pairs = [star_edges(*(np.concatenate(x) for x in zip(*self.pairs)))]
@@ -203,9 +209,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     met = met.where("residents > 0 and all > 1").select("cell", F.ceil(F.col("residents") / PART_VECTORS).alias("parts"))
     placed = placed.join(met, "cell")
     resident = placed.where("visit = 0").select(
-        "cell", F.pmod(F.col("group"), F.col("parts")).alias("part"), F.lit(0).alias("side"), "group", "copies", "number", "vector")
-    other = placed.select(
-        "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "group", "copies", "number", "vector")
+        "cell", F.pmod(F.col("group"), F.col("parts")).alias("part"), F.lit(0).alias("side"), "group", "copies", "number", "parts", "vector")
+    other = placed.where("visit = 1 or parts > 1").select(  # residents of a single part meet each other there
+        "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "group", "copies", "number", "parts", "vector")
     dealt = resident.unionByName(other).repartition("cell", "part").sortWithinPartitions("cell", "part", "side")
     found = materialize(dealt.mapInArrow(_join(cosine, kind), "group long, links long, other long"), "found")
     links = found.groupBy("group").agg(F.sum("links").alias("links"))
