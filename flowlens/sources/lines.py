@@ -41,8 +41,8 @@ def read_lines(spark: SparkSession, path, encoding: str = "utf-8", positions: bo
 
 
 def _not_utf8(spark: SparkSession, path) -> list[str]:
-    """Files in which the text source had to replace bytes."""
-    lines = spark.read.text(path).filter(F.contains("value", F.lit("\ufffd")))
+    """Files with lines that are no UTF-8."""
+    lines = spark.read.text(path).filter(~F.is_valid_utf8("value"))
     found = {unquote(r[0]).replace("file:///", "file:/") for r in lines.select("_metadata.file_path").distinct().toLocalIterator()}
     files = [unquote(f) for f in spark.read.text(path).inputFiles()]
     return [f for f in files if f.replace("file:///", "file:/") in found]
