@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 BLANKS = " \t\r\n\x0b\f\ufeff"
 UTF8 = ("utf-8", "utf8")
+LATIN1 = ("latin-1", "latin1", "iso-8859-1")
 
 
 def read_lines(spark: SparkSession, path, encoding: str = "utf-8", positions: bool = False) -> DataFrame:
@@ -20,11 +21,19 @@ def read_lines(spark: SparkSession, path, encoding: str = "utf-8", positions: bo
     if encoding.lower() == "auto":
         bad = _not_utf8(spark, path)
         good = sorted({unquote(f) for f in spark.read.text(path).inputFiles()} - set(bad))
-        parts = [read_lines(spark, files, e, positions) for files, e in ((good, "utf-8"), (bad, "latin1")) if files]
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    if encoding.lower() in UTF8:
+        parts = [_located(spark, files, e, positions) for files, e in ((good, "utf-8"), (bad, "latin-1")) if files]
+        lines = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    else:
+        lines = _located(spark, path, encoding, positions)
+    return lines.withColumn("_id", F.monotonically_increasing_id()) if positions else lines
+
+
+def _located(spark: SparkSession, path, encoding: str, positions: bool) -> DataFrame:
+    encoding = encoding.lower()
+    if encoding in UTF8:
         lines = spark.read.text(path)
     else:
+        encoding = "iso-8859-1" if encoding in LATIN1 else encoding
         lines = (
             spark.read.schema("value string")
             .options(sep="\u0001", quote="", escape="\u0002", encoding=encoding, maxCharsPerColumn=-1)
@@ -33,10 +42,7 @@ def read_lines(spark: SparkSession, path, encoding: str = "utf-8", positions: bo
     if not positions:
         return lines
     return lines.select(
-        "value",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_id"),
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
     )
 
 
