@@ -40,7 +40,7 @@ DIMENSIONS = 64
 BAND_RATIO = 1.5
 BLOCK_POINTS = 2_048
 LEAF, FANOUT = 32, 16
-SALTS = 16
+BLOCK_SHINGLES = 4_000_000
 
 
 def shingle_sets(words, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,6 +146,17 @@ class CountTree:
                 break
             step = FANOUT
 
+    def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of points of different labels that the bound lets link."""
+        n = len(self.points)
+        if n <= LEAF:
+            bound = overlap_bound(self.points[:, None], self.points[None])
+            fits = may_link(bound, self.sizes[:, None], self.sizes[None], percent) & (self.labels[:, None] != self.labels[None])
+            return np.nonzero(np.triu(fits, 1))
+        found = [self.search(self.points[i], self.sizes[i], self.labels[i], percent) for i in range(n)]
+        i, j = np.repeat(np.arange(n), [len(x) for x in found]), np.concatenate(found)
+        return i[i < j], j[i < j]
+
     def search(self, point: np.ndarray, size: int, label: int, percent: int) -> np.ndarray:
         """Points of other labels whose bound lets them link with ``point``."""
         nodes = np.array([0])
@@ -212,36 +223,39 @@ def _tree_pairs(percent: int):
         points = np.frombuffer(b"".join(frame["point"]), np.uint32).reshape(-1, DIMENSIONS)
         sizes, labels = frame["n"].to_numpy(), frame["component"].to_numpy()
         doc, block = frame["doc"].to_numpy(), frame["block"].to_numpy()
-        tree = CountTree(points, sizes, labels)
-        blocks = len(np.unique(block)) > 1  # pairs within one of two blocks are found in that block's own group
-        found = [
-            (i, j)
-            for i in np.flatnonzero(block == block.min() if len(block) else block)
-            for j in tree.search(points[i], sizes[i], labels[i], percent)
-            if not blocks or block[j] != block[i]
-        ]
-        pairs = sorted({(min(doc[i], doc[j]), max(doc[i], doc[j])) for i, j in found})
-        return frame.__class__({"a": [x for x, _ in pairs], "b": [y for _, y in pairs]}, dtype="int64")
+        i, j = CountTree(points, sizes, labels).pairs(percent)
+        if len(np.unique(block)) > 1:  # pairs within one of two blocks are found in that block's own group
+            apart = block[i] != block[j]
+            i, j = i[apart], j[apart]
+        pairs = np.unique(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])], axis=1), axis=0)
+        return frame.__class__({"a": pairs[:, 0], "b": pairs[:, 1]}, dtype="int64")
 
     return search
 
 
 def _verified(k: int, percent: int):
     def run(batches):
-        splitter, leader, known = Splitter("plain", lower=True), None, []
+        splitter, key, sets, forest = Splitter("plain", lower=True), None, {}, {}
+
+        def find(x):
+            while forest.setdefault(x, x) != x:
+                forest[x] = forest[forest[x]]
+                x = forest[x]
+            return x
+
         for batch in batches:
             for part in slices(batch, "text"):
                 row, hashes = shingle_sets(splitter.words(part.column("text")), part.num_rows, k)
                 edges = np.searchsorted(row, np.arange(part.num_rows + 1))
                 links = []
-                for r, (a, b) in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist())):
-                    own = hashes[edges[r] : edges[r + 1]]
-                    if b is None:  # one head, or several rows of one id
-                        leader, known = a, [*(known if a == leader else []), own]
-                        continue
-                    if a != leader:
-                        raise ValueError("a pair came before its first set")
-                    if any(len(k) and _same(k, own, percent) for k in known):
+                columns = (part.column(c).to_pylist() for c in ("cluster", "low", "high", "a", "b"))
+                for r, (*at, a, b) in enumerate(zip(*columns)):
+                    if at != key:
+                        key, sets, forest = at, {}, {}
+                    if b is None:  # a set; several rows of one id are several
+                        sets.setdefault(a, []).append(hashes[edges[r] : edges[r + 1]].copy())
+                    elif find(a) != find(b) and any(_same(x, y, percent) for x in sets[a] for y in sets[b]):
+                        forest[find(a)] = find(b)
                         links.append((a, b))
                 if links:
                     yield pa.RecordBatch.from_pydict({"a": [x for x, _ in links], "b": [y for _, y in links]})
@@ -254,14 +268,28 @@ def _same(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return may_link(int((a[at] == b).sum()), len(a), len(b), percent)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of documents in ``texts`` (doc, text) whose whole sets link; streams b's past one a at a time."""
-    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS))
-    asked = pairs.withColumn("salt", salt)
-    members = asked.join(texts.withColumnRenamed("doc", "b"), "b").select("a", "salt", "b", "text")
-    heads = asked.select("a", "salt").distinct().join(texts.withColumnRenamed("doc", "a"), "a")
-    rows = heads.select("a", "salt", F.lit(None).cast("long").alias("b"), "text").unionByName(members)
-    parts = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+def verify(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) among the pairs whose whole sets are similar enough; pairs that others connect may be left out.
+
+    Pairs are gathered by connected clusters, so a text is sent once to all its pairs. Clusters of many
+    shingles (by ``sizes``: doc, n) are cut into blocks that meet in pairs; a task holds the sets of two.
+    """
+    cluster = components(pairs)
+    weight = cluster.join(sizes, F.col("node") == F.col("doc")).groupBy("component").agg(F.sum("n").alias("n"))
+    blocks = weight.select("component", F.ceil(F.col("n") / BLOCK_SHINGLES).alias("blocks"))
+    placed = cluster.join(blocks, "component").select(
+        "node", F.col("component").alias("cluster"), F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
+    )
+    a = placed.select(F.col("node").alias("a"), "cluster", F.col("block").alias("p"))
+    b = placed.select(F.col("node").alias("b"), F.col("block").alias("q"))
+    asked = pairs.join(a, "a").join(b, "b")
+    asked = asked.select("cluster", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"), "a", "b")
+    asked = materialize(asked, "asked")
+    at = ["cluster", "low", "high"]
+    needed = asked.select(*at, "a").union(asked.select(*at, "b")).distinct()
+    heads = needed.join(texts.withColumnRenamed("doc", "a"), "a").select(*at, "a", F.lit(None).cast("long").alias("b"), "text")
+    rows = heads.unionByName(asked.withColumn("text", F.lit(None).cast("string")))
+    parts = rows.repartition(*at).sortWithinPartitions(*at, F.col("b").asc_nulls_first())
     return parts.mapInArrow(_verified(k, percent), "a long, b long")
 
 
@@ -288,15 +316,20 @@ def link_documents(documents: DataFrame, k: int = 5, percent: int = 80) -> DataF
     wanted = asked.union(several).distinct()
     texts = materialize(texts.join(wanted, "doc", "left_semi"), "texts")
     same_id = classes.where("doc != head").select(F.col("doc").alias("a"), F.col("head").alias("b"))
-    links = materialize(verify(firsts, texts, k, percent), "links")
+    sizes = points.groupBy("doc").agg(F.sum("n").alias("n"))
+    links = materialize(verify(firsts, sizes, texts, k, percent), "links")
     linked = materialize(components(links), "linked")
 
     placed = points.join(linked, F.col("doc") == F.col("node"), "left").select("doc", "n", "point", F.coalesce("component", "doc").alias("component"))
     rest = cells.join(shared.where("members > 2").select("cell"), "cell", "left_semi").join(placed, "doc")
-    mixed = rest.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("doc").alias("members"))
-    rest = rest.join(mixed.where("low < high").select("cell", "members"), "cell")
+    mixed = rest.groupBy("cell").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("doc").alias("members"),
+        F.expr("bit_xor(xxhash64(doc))").alias("one"), F.expr("bit_xor(xxhash64(doc, 1))").alias("two"),
+    )
+    mixed = mixed.where("low < high").groupBy("members", "one", "two").agg(F.min("cell").alias("cell"))  # of equal cells, one
+    rest = rest.join(mixed.select("cell", "members"), "cell")
     pairs = materialize(tree_pairs(rest, percent).join(firsts, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(materialize(verify(pairs, texts, k, percent), "links")).union(same_id)
+    links = links.union(materialize(verify(pairs, sizes, texts, k, percent), "links")).union(same_id)
     reached = components(links)
     out = known.join(reached, F.col("doc") == F.col("node"), "left")
     return out.select("doc", "n", F.coalesce("component", "doc").alias("component"))
