@@ -5,8 +5,8 @@ same least gram at the same place (the least hash of ``GRAM`` bytes in it), so e
 belongs to the segment around its least gram, and segments are compared only where their gram may
 occur twice (a count-min sketch over all documents' grams says where; it misses none).
 
-Segments of one gram are brought together. Equal segments settle each other whole. Of those that
-differ, a suffix array is built: suffixes are put in groups by their Lyndon prefix, groups are
+Segments of one gram are brought together. Equal segments settle each other whole. Those that differ
+are cut to the runs of strings whose hashes come twice, and a suffix array over these decides: suffixes are put in groups by their Lyndon prefix, groups are
 taken in descending order, each extends the groups of its members' previous smaller suffixes, and
 a last ascending pass places every suffix by the same pointers, without renaming or recursion.
 Neighbours in it that agree on ``length`` bytes are the strings that occur twice.
@@ -32,6 +32,7 @@ GRAM = 40
 KEYS_PER_CHAR = 0.014
 SEGMENTS_PER_CHAR = 0.01
 ARRAY_BYTES = 1 << 17
+PORTION_BYTES = 1 << 20
 
 
 def grouping_order(text: np.ndarray) -> np.ndarray:
@@ -157,6 +158,57 @@ def contest(texts: list[bytes], gram: np.ndarray, count: np.ndarray, copied: np.
     return marks
 
 
+def _portions(key: np.ndarray, size: np.ndarray):
+    """Slices of whole keys (sorted), of about ``PORTION_BYTES`` each."""
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    before, first = np.append(0, np.cumsum(size)), 0
+    for at, following in zip(starts, [*starts[1:], len(key)]):
+        if before[following] - before[first] > PORTION_BYTES or following == len(key):
+            yield slice(int(first), int(following))
+            first = following
+
+
+def candidates(texts: list[bytes], key, gram, count, copied, length: int):
+    """Runs (segment, first, number) of starting bytes whose strings' hashes come twice for one gram and way around it."""
+    hasher, data = Hasher(), np.frombuffer(b"".join(texts), np.uint8)
+    base = np.cumsum([0, *map(len, texts)])[:-1]
+    owner = np.repeat(np.arange(len(texts)), count)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    starts = base[owner] + inner
+    way = (gram[owner] - inner).astype(np.uint64)
+    code = hasher.ranges(hasher.sums(data), starts, starts + length) ^ mix(key[owner] + way)
+    order = np.argsort(code, kind="stable")
+    new = np.append(True, code[order][1:] != code[order][:-1])
+    group = np.cumsum(new) - 1
+    many = np.bincount(group, weights=1 + copied[owner[order]]) > 1
+    hit = np.zeros(len(code), bool)
+    hit[order] = many[group]
+    edge = np.append(True, owner[1:] != owner[:-1])
+    first = np.flatnonzero(hit & (edge | ~np.append(False, hit[:-1])))
+    last = np.flatnonzero(hit & (np.append(edge[1:], True) | ~np.append(hit[1:], False)))
+    return owner[first], inner[first], last - first + 1
+
+
+def decide(own: np.ndarray, c: dict, copied: np.ndarray, runs_of, length: int):
+    """(row, first, number) of the starting bytes of uncopied segments that a suffix array confirms."""
+    segment, first, number = runs_of
+    key = c["key"][own][segment]
+    out = ([], [], [])
+    edges = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else []
+    for a, b in zip(edges, [*edges[1:], len(key)]):
+        s, f, n = segment[a:b], first[a:b], number[a:b]
+        texts = [c["text"][own[k]][x : x + y + length - 1] for k, x, y in zip(s, f, n)]
+        marks = contest(texts, c["gram"][own[s]] - f, n, copied[s], length)
+        for k, x, twice in zip(s, f, marks):
+            if copied[k] or not twice.any():
+                continue
+            ends = np.flatnonzero(np.diff(np.concatenate([[0], twice.astype(np.int8), [0]])))
+            for low, high in zip(ends[::2], ends[1::2]):
+                for values, value in zip(out, (int(own[k]), int(x + low), int(high - low))):
+                    values.append(value)
+    return out
+
+
 class Grams:
     """Least grams of the strings of ``length`` bytes of a slice of texts."""
 
@@ -307,16 +359,12 @@ def _judge(length: int):
             heads = np.flatnonzero(new)
             kinds = np.bincount(np.cumsum(new_key)[heads] - 1)  # distinct segments of each gram
             contested = heads[kinds[np.cumsum(new_key)[heads] - 1] > 1]
-            edges = np.flatnonzero(np.append(True, c["key"][contested][1:] != c["key"][contested][:-1])) if len(contested) else []
-            for a, b in zip(edges, [*edges[1:], len(contested)]):
-                own = contested[a:b]
-                marks = contest(c["text"][own].tolist(), c["gram"][own], c["count"][own], copies[segment[own]], length)
-                for h, twice in zip(own.tolist(), marks):
-                    if copies[segment[h]] or not twice.any():
-                        continue
-                    ends = np.flatnonzero(np.diff(np.concatenate([[0], twice.astype(np.int8), [0]])))
-                    out_rid.append(np.repeat(c["rid"][h], len(ends) // 2))
-                    out_range.append(((c["place"][h] + ends[::2]) << 32) + ends[1::2] - ends[::2])
+            for own in _portions(c["key"][contested], c["count"][contested] + length):
+                own = contested[own]
+                runs_of = candidates(c["text"][own].tolist(), c["key"][own], c["gram"][own], c["count"][own], copies[segment[own]], length)
+                for h, first, number in zip(*decide(own, c, copies[segment[own]], runs_of, length)):
+                    out_rid.append(c["rid"][h : h + 1])
+                    out_range.append(np.array([((int(c["place"][h]) + first) << 32) + number]))
         return np.concatenate(out_rid), np.concatenate(out_range).astype(np.int64)
 
     return work
