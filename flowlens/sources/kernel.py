@@ -98,11 +98,22 @@ def parse_kernel_lines(lines: DataFrame, year: int) -> DataFrame:
     return _fields(_headers(lines).withColumn("_year", F.lit(year)))
 
 
-def year_changes(headers: DataFrame, one_log: bool) -> DataFrame:
+def _file_order(one_log) -> Column:
+    """Position of a file in time: its place in a given list of names, else its name with numbers read as numbers."""
+    name = F.element_at(F.split("_file", "/"), -1)
+    if one_log is not True:
+        place = F.array_position(F.array(*[F.lit(n) for n in one_log]), name)
+        return F.when(place > 0, place).otherwise(F.raise_error(F.concat(F.lit("file missing in the order of one_log: "), name)))
+    parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.transform(parts, lambda x: F.when(x.rlike(r"^\d+$"), F.lpad(x, 20, "0")).otherwise(x))
+
+
+def year_changes(headers: DataFrame, one_log=False) -> DataFrame:
     """Per split: years gained before it and the line numbers where a year starts in it.
 
-    Only (file, split, line number, month) is shuffled, and what remains is one row per
-    split, ordered per file or, for a log rotated over several files, overall.
+    Only (file, split, line number, month) is shuffled. One row per split with its first and last month
+    and its number of changes is then ordered, per file or, for a log rotated over several files, overall;
+    the line numbers themselves are joined on afterwards.
     """
     split = W.partitionBy("_file", "_block").orderBy("_id")
     steps = (
@@ -110,38 +121,42 @@ def year_changes(headers: DataFrame, one_log: bool) -> DataFrame:
         .select("_file", "_block", "_id", "month")
         .withColumn("_fell", F.col("month") < F.lag("month").over(split))
     )
-    splits = steps.groupBy("_file", "_block").agg(
-        F.min_by("month", "_id").alias("first"),
-        F.max_by("month", "_id").alias("last"),
-        F.sort_array(F.collect_list(F.when(F.col("_fell"), F.col("_id")))).alias("changes"),
+    splits = materialize(
+        steps.groupBy("_file", "_block").agg(
+            F.min_by("month", "_id").alias("first"),
+            F.max_by("month", "_id").alias("last"),
+            F.sort_array(F.collect_list(F.when(F.col("_fell"), F.col("_id")))).alias("changes"),
+        ),
+        "log-splits",
     )
-    order = W.orderBy("_file", "_block") if one_log else W.partitionBy("_file").orderBy("_block")
+    ends = splits.select("_file", "_block", "first", "last", F.size("changes").alias("n"))
+    order = W.orderBy(_file_order(one_log), "_block") if one_log else W.partitionBy("_file").orderBy("_block")
     earlier = order.rowsBetween(W.unboundedPreceding, -1)
     at_start = F.coalesce((F.col("first") < F.lag("last").over(order)).cast("int"), F.lit(0))
-    return (
-        splits.withColumn("_at_start", at_start)
-        .withColumn(
-            "gained",
-            F.coalesce(F.sum(F.size("changes") + F.col("_at_start")).over(earlier), F.lit(0))
-            + F.col("_at_start"),
-        )
-        .select("_file", "_block", F.col("gained").cast("int").alias("gained"), "changes")
+    gained = ends.withColumn("_at_start", at_start).withColumn(
+        "gained", F.coalesce(F.sum(F.col("n") + F.col("_at_start")).over(earlier), F.lit(0)) + F.col("_at_start")
     )
+    places = gained.select("_file", "_block", F.col("gained").cast("int").alias("gained"))
+    return places.join(splits.select("_file", "_block", "changes"), ["_file", "_block"])
 
 
-def infer_log_year(headers: DataFrame, year: int, one_log: bool = False) -> DataFrame:
+def infer_log_year(headers: DataFrame, year: int, one_log=False) -> DataFrame:
     """Adds ``_year``: the start year plus one at every fall of the month number.
 
-    Counting restarts per file unless the files are parts of ``one_log``. The table of
-    changes is written once, measured, and broadcast only while it is small; the wide
-    lines are not shuffled then.
+    Counting restarts per file unless the files are parts of ``one_log``: True takes them by name, with
+    numbers in names read as numbers; a list of file names gives their order (``["kern.log.1", "kern.log"]``
+    for a rotated log). The table of changes is written once, measured, and broadcast only while it is
+    small; the wide lines are not shuffled then. A line whose split was cut otherwise the first time is an error.
     """
     changes = materialize(year_changes(headers, one_log), "log-years")
     entries = changes.agg(F.sum(F.size("changes") + 1)).first()[0] or 0
     small = F.broadcast(changes) if entries <= BROADCAST_ENTRIES else changes
     within = F.size(F.filter("changes", lambda line: line <= F.col("_id")))
     joined = headers.join(small, ["_file", "_block"], "left")
-    gained = F.coalesce(F.col("gained") + within, F.lit(0))
+    unknown = F.col("gained").isNull() & F.col("month").isNotNull()
+    gained = F.when(unknown, F.raise_error(F.lit("the log was split differently on a second reading"))).otherwise(
+        F.coalesce(F.col("gained") + within, F.lit(0))
+    )
     return joined.withColumn("_year", F.lit(year) + gained)
 
 
@@ -151,7 +166,7 @@ def scan_kernel_log(
     year: int | None = None,
     encoding: str = "utf-8",
     infer_year: bool = True,
-    one_log: bool = False,
+    one_log=False,
 ) -> DataFrame:
     """Kernel log files in the 18-column schema.
 

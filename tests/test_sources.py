@@ -254,3 +254,23 @@ def test_periods_read_only_their_days(spark, tmp_path):
     assert df.count() == 2
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_rotated_logs_in_a_given_order(spark, tmp_path):
+    folder = tmp_path / "rotated"
+    folder.mkdir()
+    for name, month in (("kern.log.10", "Nov"), ("kern.log.2", "Dec"), ("kern.log", "Jan")):
+        (folder / name).write_text(line(when=f"{month} 20 01:29:24") + "\n")
+    times = [r.timestamp.year for r in sources.scan_kernel_log(
+        spark, str(folder), year=2023, one_log=["kern.log.10", "kern.log.2", "kern.log"]
+    ).orderBy("timestamp").collect()]
+    assert times == [2023, 2023, 2024]
+    by_name = sources.scan_kernel_log(spark, str(folder), year=2023, one_log=True).select("timestamp").collect()
+    assert sorted(r.timestamp.strftime("%y%m") for r in by_name) == ["2301", "2312", "2411"]
+
+
+def test_logs_split_otherwise_are_refused(spark):
+    from flowlens.sources.kernel import infer_log_year
+
+    heads = spark.createDataFrame([("f", 0, 1, 12), ("f", 0, 2, 1)], "_file string, _block long, _id long, month int")
+    assert [r._year for r in infer_log_year(heads, 2023).orderBy("_id").collect()] == [2023, 2024]
