@@ -38,7 +38,7 @@ from flowlens.session import materialize
 
 DIMENSIONS = 64
 BAND_RATIO = 1.5
-BLOCK_POINTS = 2_048
+BLOCK_POINTS = 1_024
 LEAF, FANOUT = 32, 16
 BLOCK_SHINGLES = 4_000_000
 
@@ -153,9 +153,15 @@ class CountTree:
             bound = overlap_bound(self.points[:, None], self.points[None])
             fits = may_link(bound, self.sizes[:, None], self.sizes[None], percent) & (self.labels[:, None] != self.labels[None])
             return np.nonzero(np.triu(fits, 1))
-        found = [self.search(self.points[i], self.sizes[i], self.labels[i], percent) for i in range(n)]
-        i, j = np.repeat(np.arange(n), [len(x) for x in found]), np.concatenate(found)
-        return i[i < j], j[i < j]
+        kinds, at, count = np.unique(self.labels, return_inverse=True, return_counts=True)
+        most = at == count.argmax()  # one side of a pair of different labels is not of the commonest
+        firsts, seconds = [], []
+        for i in np.flatnonzero(~most):
+            j = self.search(self.points[i], self.sizes[i], self.labels[i], percent)
+            j = j[most[j] | (j > i)]
+            firsts.append(np.full(len(j), i))
+            seconds.append(j)
+        return np.concatenate([np.zeros(0, np.int64), *firsts]), np.concatenate([np.zeros(0, np.int64), *seconds])
 
     def search(self, point: np.ndarray, size: int, label: int, percent: int) -> np.ndarray:
         """Points of other labels whose bound lets them link with ``point``."""

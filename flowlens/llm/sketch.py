@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.wordscan import mix, slices
 
-CHUNK_KEYS = 1 << 20
+CHUNK_KEYS = 1 << 18
 SHARD_KEYS = 1 << 19
 DEPTH = 2
 PACKED = "shard long, payload binary"
