@@ -30,6 +30,8 @@ OF_A_ROW = ("rid", "doc")
 
 
 def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    """Even shards, also of keys that are the least of many hashes and so have small values."""
+    key = mix(key)
     return (((key >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
