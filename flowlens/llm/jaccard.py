@@ -40,7 +40,7 @@ DIMENSIONS = 64
 BAND_RATIO = 1.5
 BLOCK_POINTS = 1_024
 LEAF, FANOUT = 32, 16
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 500_000
 
 
 def shingle_sets(words, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:

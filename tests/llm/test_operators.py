@@ -53,6 +53,7 @@ def test_jaccard(spark, k, percent, seed):
 
 def test_jaccard_near_copies_of_two_kinds_meet_through_the_tree(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_POINTS", 16)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 600)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     rows = []
