@@ -9,6 +9,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -23,7 +24,7 @@ from flowlens.plans import addresses, rules, tables, traffic  # noqa: E402
 # Reports over the large flow table (lineitem).
 LARGE = {
     "ip_features": features.ip_features,
-    "full_features": features.full_table,
+    "full_features": lambda df: features.full_features(df).data,
     "ip_stats": addresses.ip_stats,
     "port_scanners": addresses.port_scanners,
     "top_external_sources": addresses.top_external_sources,
@@ -64,6 +65,7 @@ def main():
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("flowlens-bench")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="flowlens-bench-"))
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
