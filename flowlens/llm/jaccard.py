@@ -225,18 +225,39 @@ def _bounded(percent: int):
 
 
 def _tree_pairs(percent: int):
-    def search(frame):
-        points = np.frombuffer(b"".join(frame["point"]), np.uint32).reshape(-1, DIMENSIONS)
-        sizes, labels = frame["n"].to_numpy(), frame["component"].to_numpy()
-        doc, block = frame["doc"].to_numpy(), frame["block"].to_numpy()
+    """Streams cells that follow one another; one cell, or one pair of its blocks, is in memory at a time."""
+
+    def pairs(held):
+        points, sizes, labels, doc, block = (np.concatenate(x) for x in zip(*held))
         i, j = CountTree(points, sizes, labels).pairs(percent)
         if len(np.unique(block)) > 1:  # pairs within one of two blocks are found in that block's own group
             apart = block[i] != block[j]
             i, j = i[apart], j[apart]
-        pairs = np.unique(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])], axis=1), axis=0)
-        return frame.__class__({"a": pairs[:, 0], "b": pairs[:, 1]}, dtype="int64")
+        return np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
 
-    return search
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in ("cell", "low", "high")])
+            points = np.frombuffer(b"".join(batch.column("point").to_pylist()), np.uint32).reshape(-1, DIMENSIONS)
+            columns = [points, *(batch.column(c).to_numpy() for c in ("n", "component", "doc", "block"))]
+            edges = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+            found = []
+            for x, y in zip(edges, [*edges[1:], batch.num_rows]):
+                here = tuple(key[:, x])
+                if here != at and held:
+                    found.append(pairs(held))
+                    held = []
+                at = here
+                held.append([v[x:y] for v in columns])
+            if found:
+                yield pa.RecordBatch.from_pydict({"a": np.concatenate([f for f, _ in found]), "b": np.concatenate([g for _, g in found])})
+        if held:
+            yield pa.RecordBatch.from_pydict(dict(zip("ab", pairs(held))))
+
+    return run
 
 
 def _verified(k: int, percent: int):
@@ -357,7 +378,8 @@ def tree_pairs(points: DataFrame, percent: int) -> DataFrame:
     split = split.select(
         "cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc", "n", "point", "component", "block",
     )
-    found = split.groupBy("cell", "low", "high").applyInPandas(_tree_pairs(percent), "a long, b long")
+    at = ["cell", "low", "high"]
+    found = split.repartition(*at).sortWithinPartitions(*at).mapInArrow(_tree_pairs(percent), "a long, b long")
     return found.distinct()
 
 
