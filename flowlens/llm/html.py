@@ -2,9 +2,12 @@
 
 A page becomes a tree in which every paragraph gives points for its length and its commas to
 its ancestors, the nearest most; a container's points are discounted by the share of its text
-that is link text. The best container is kept together with those siblings that score well or
-read like its paragraphs. Elements that never belong to an article (menus, headers, footers,
-asides, forms, scripts, styles, adverts, notices, reader comments) are left out first.
+that is link text. From the best container the tree is climbed to the article or main element
+around it, and on until all such elements of the page are held; without one, to the first ancestor
+that holds all of the page's unlinked text. That element is kept whole, with its siblings that are
+not mostly links. Elements that never belong to an article (menus, headers, footers, asides, forms,
+scripts, styles, adverts, notices, reader comments) are left out first, by element, attributes and
+whole class, id or role tokens; nothing is left out for being short.
 
 A null or empty page, or one without text, gives the empty string. Unclosed elements are
 closed as browsers do for paragraphs, list items and table cells; anything still open ends
@@ -43,15 +46,16 @@ FURNITURE = frozenset(
 )
 CONTENT = frozenset("article content main entry post story text body".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+TELLING = re.compile(r"class|id|role|hidden|style", re.I)
+UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 
 
 @dataclass(eq=False)
 class Node:
     name: str
     parent: "Node | None" = None
-    words: frozenset = frozenset()
+    tokens: frozenset = frozenset()
     hidden: bool = False
     inside: list = field(default_factory=list)
     points: float = 0.0
@@ -63,7 +67,9 @@ class Node:
             return True
         if self.name == "header":
             return not any(a.name in ("article", "main") for a in self.ancestors())
-        return bool(self.words & FURNITURE) and self.name not in ("html", "body", "article", "main")
+        if self.name in ("html", "body", "main") or not any(words <= FURNITURE for words in self.tokens):
+            return False
+        return self.name != "article" or any(a.name == "article" for a in self.ancestors())  # a reader's comment
 
     def ancestors(self):
         node = self.parent
@@ -72,6 +78,21 @@ class Node:
             node = node.parent
 
 
+def _attributes(rest: str) -> tuple[frozenset, bool]:
+    """Of a tag: the words of each class, id and role token, and whether it is hidden."""
+    if not TELLING.search(rest):
+        return frozenset(), False
+    found = {}
+    for name, value in ATTRIBUTE.findall(rest):
+        if value[:1] in ("'", '"'):
+            value = value[1:-1]
+        found.setdefault(name.lower(), entities.unescape(value))
+    tokens = " ".join(found.get(x, "") for x in ("class", "id", "role")).lower().split()
+    words = frozenset(frozenset(re.findall("[a-z]+", x)) for x in tokens) - {frozenset()}
+    hidden = "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true"
+    return words, hidden or bool(UNSHOWN.search(found.get("style", "")))
+
+
 def parse(page: str) -> Node:
     root = Node("html")
     at, place, raw = root, 0, None
@@ -96,8 +117,7 @@ def parse(page: str) -> Node:
         if name in CLOSES:
             names, stop = CLOSES[name]
             at = _close(at, names.split(), stop)
-        names = frozenset(re.split(r"[^a-z]+", " ".join(x.strip("\"'") for x in NAMES.findall(rest)).lower())) if "=" in rest else frozenset()
-        node = Node(name, at, names, bool(rest) and bool(HIDDEN.search(rest)))
+        node = Node(name, at, *_attributes(rest))
         at.inside.append(node)
         if name in RAW:
             end = re.compile(f"</{name}\\s*>|$", re.I).search(page, place)
@@ -152,32 +172,36 @@ def score(root: Node) -> list[Node]:
             up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
     for node in order:
         if node.points:
-            if node.name in ("article", "main") or node.words & CONTENT:
+            if node.name in ("article", "main") or any(words & CONTENT for words in node.tokens):
                 node.points += 25
             node.points *= 1 - node.linked / max(node.length, 1)
     return order
 
 
-def best_containers(root: Node) -> list[Node]:
-    """The container with most points, with the siblings that belong to it, in page order."""
+def article_of(root: Node) -> tuple[Node, set[int]]:
+    """The element that holds the article, and which of its children, mostly links beside the article, do not belong to it."""
     order = score(root)
     best = max(order, key=lambda n: n.points, default=None)
     if best is None or best.points <= 0:
-        return [root]
-    if best.parent is None:
-        return [best]
-    kept, seen = [], set(map(id, order))
-    for x in best.parent.inside:
-        if not isinstance(x, Node) or id(x) not in seen:
-            continue
-        density = x.linked / max(x.length, 1)
-        reads = x.name in PARAGRAPHS and (x.length > 80 and density < 0.25)
-        if x is best or x.points >= max(10, 0.2 * best.points) or reads:
-            kept.append(x)
-    return kept
-
-
-def blocks(kept: list[Node]) -> list[str]:
+        return root, set()
+    marked = [n for n in order if n.name in ("article", "main") and n.points > 0]
+    around = {id(best), *map(id, best.ancestors())}
+    if any(id(n) in around for n in marked):
+        held = {}
+        for n in marked:
+            for up in (n, *n.ancestors()):
+                held[id(up)] = held.get(id(up), 0) + 1
+        whole = lambda n: held.get(id(n), 0) == len(marked)
+    else:
+        whole = lambda n: n.length - n.linked == root.length - root.linked
+    kept = next(n for n in (best, *best.ancestors()) if whole(n))
+    if kept.parent is None:
+        return kept, set()
+    beside = [x for x in kept.parent.inside if isinstance(x, Node) and x is not kept]
+    return kept.parent, {id(x) for x in beside if x.linked * 2 > x.length}
+
+
+def blocks(kept: Node, left_out: set[int]) -> list[str]:
     """Texts between block boundaries, references decoded, white space made one space."""
     out, line = [], []
 
@@ -187,7 +211,7 @@ def blocks(kept: list[Node]) -> list[str]:
         if text:
             out.append(text)
 
-    stack = [(n, False) for n in reversed(kept)]
+    stack = [(kept, False)]
     while stack:
         x, leave = stack.pop()
         if isinstance(x, str):
@@ -196,11 +220,11 @@ def blocks(kept: list[Node]) -> list[str]:
         if leave:
             flush()
             continue
-        if x.parent is not None and x.furniture():
+        if x.parent is not None and (x.furniture() or id(x) in left_out):
             continue
         if x.name == "br":
             line.append(" ")
-        if x.name in BLOCKS or x in kept:
+        if x.name in BLOCKS or x is kept:
             flush()
             stack.append((x, True))
         stack.extend((y, False) for y in reversed(x.inside))
@@ -209,7 +233,7 @@ def blocks(kept: list[Node]) -> list[str]:
 
 
 def main_text(page: str | None) -> str:
-    return "\n".join(blocks(best_containers(parse(page)))) if page else ""
+    return "\n".join(blocks(*article_of(parse(page)))) if page else ""
 
 
 def _extract(batches):

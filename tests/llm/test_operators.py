@@ -245,6 +245,26 @@ def test_html(spark):
     assert got[None].n_chars == 99_999
 
 
+def test_html_keeps_whole_articles():
+    line = ("long text here, " * 19).strip()
+    long, p = f"<p>{line}</p>" * 20, "\n".join([line] * 20)
+    items, cells = [f"item {i}" for i in range(80)], [f"cell {i}" for i in range(300)]
+    cases = [
+        (f"<article><h1>Head</h1><section><p>One.</p><p>Two.</p></section><section>{long}</section></article>", f"Head\nOne.\nTwo.\n{p}"),
+        (f"<article><h1>Head</h1><p>Short.</p><ul>{''.join(f'<li>{x}' for x in items)}</ul></article>", "\n".join(["Head", "Short.", *items])),
+        (f"<article><h1>Head</h1><p>Short.</p><table><tr>{''.join(f'<td>{x}' for x in cells)}</table></article>", "\n".join(["Head", "Short.", *cells])),
+        (f"<div><h1>Head</h1><div><p>Short.</p></div><div>{long}</div></div>", f"Head\nShort.\n{p}"),
+        (f"<main><h1>Head</h1><article><p>Short.</p></article><article>{long}</article></main>", f"Head\nShort.\n{p}"),
+        (f"<article><p>Short.</p></article><div><article>{long}</article></div>", f"Short.\n{p}"),
+        (f"<article>{long}<article class='comment'><p>I say</p></article></article>", p),
+        ("<article><p title='see hidden text'>a</p><p data-x='display: none'>b</p><p data-y=' class=ad'>c</p><p hidden>x</p><p aria-hidden='true'>x</p><p style='color:red; display:none'>x</p></article>", "a\nb\nc"),
+        ("<article><div class='post-header share-price'><p>a</p></div><div class='x ad'><p>x</p></div><div id='cookie-banner'><p>x</p></div></article>", "a"),
+        ("<ul><li><a href='/'>menu</a></ul><article><p>a</p></article><h2>b</h2>", "a\nb"),
+    ]
+    for page, want in cases:
+        assert html.main_text(page) == want, page[:200]
+
+
 def test_licenses(spark):
     rows = corpus(3) + [
         (900, "Released under the MIT license. under the mit\nlicense"), (901, "CC-BY-NC, cc by nc and Apache License, version 2.0"),
