@@ -1,8 +1,8 @@
 """Licence scan with a positional index of rare tokens.
 
 Templates are short word sequences. The rarest words of every template, by inverse document
-frequency over all documents, are indexed with their positions. A document's licence words of
-highest frequency weight vote for (template, place) pairs through those postings; the places
+frequency over all documents, are indexed with their positions. All indexed words of a document
+vote for (template, place) pairs through those postings; the places
 where all rare words of a phrase agree are compared word by word, and a template's label is
 given where its mandatory phrase stands and enough of its weight is found in place.
 
@@ -65,8 +65,8 @@ TEMPLATES = {
 }
 
 RARE_WORDS = 6
-QUERY_WORDS = 16
 LEAST_SCORE = 0.5
+PLACES = 1 << 12
 
 
 @dataclass
@@ -130,7 +130,7 @@ class Index:
                     h = int(self.hashes[number][position])
                     postings.setdefault(h, []).append((number, position))
                     self.idf[h] = idf[word]
-        self.postings = {h: np.array(x) for h, x in postings.items()}
+        self.votes = {h: own for h, x in postings.items() if (own := [(n, i) for n, i in x if not phrases[n].base])}
         self.words = np.array(sorted(self.idf), np.uint64)
         self.best = [max(range(len(p.words)), key=lambda i: (idf[p.words[i]], -i)) for p in phrases]
 
@@ -145,19 +145,21 @@ class Index:
         return start[words.row[start] == words.row[start + len(sequence) - 1]]
 
     def align(self, words, r: int, at: np.ndarray) -> dict[int, float]:
-        """Per template the largest share of its weight that stands in place, from a row's rarest licence words."""
-        distinct = sorted({int(h) for h in words.hash[at]}, key=lambda h: (-self.idf[h], h))[:QUERY_WORDS]
-        chosen = set(distinct)
-        places = {(int(n), int(i) - int(p)) for i in at if int(words.hash[i]) in chosen for n, p in self.postings[int(words.hash[i])]}
+        """Per template the largest share of its weight that stands in place, from all of a row's licence words."""
+        places = {}
+        for i, h in zip(at.tolist(), words.hash[at].tolist()):
+            for n, p in self.votes.get(h, ()):
+                places.setdefault(n, set()).add(i - p)
         best, first, last = {}, words.first[r], words.first[r + 1]
-        for number, start in places:
-            if self.phrases[number].base:
-                continue
-            span = start + np.arange(len(self.hashes[number]))
-            inside = (span >= first) & (span < last)
-            same = inside & (words.hash[np.where(inside, span, first)] == self.hashes[number])
-            share = float(self.weights[number][same].sum() / self.weights[number].sum())
-            best[number] = max(best.get(number, 0.0), share)
+        for number, starts in places.items():
+            starts, weights = np.fromiter(starts, np.int64, len(starts)), self.weights[number]
+            for a in range(0, len(starts), PLACES):
+                span = starts[a : a + PLACES, None] + np.arange(len(weights))
+                inside = (span >= first) & (span < last)
+                same = inside & (words.hash[np.where(inside, span, first)] == self.hashes[number])
+                found = same @ weights
+                for own in np.unique(same[found > found.max() - 1e-9], axis=0):
+                    best[number] = max(best.get(number, 0.0), float(weights[own].sum() / weights.sum()))
         return best
 
 

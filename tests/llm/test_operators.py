@@ -278,6 +278,15 @@ def test_licenses(spark):
     assert all(0 <= r.score <= 1 and (r.score > 0) == bool(r.labels) for r in got.values())
 
 
+def test_licenses_of_a_file_with_all_notices(spark):
+    notices = [text for text, _ in licenses.TEMPLATES.values()]
+    rows = [(1, "\n".join(notices)), (2, "\n".join(notices[::-1] * 40)), *((10 + i, x) for i, x in enumerate(notices))]
+    got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert got[1].labels == got[2].labels == ",".join(sorted(licenses.TEMPLATES))
+    assert got[1].score == got[2].score == 1
+    assert [x in got[10 + i].labels.split(",") for i, x in enumerate(licenses.TEMPLATES)] == [True] * len(notices)
+
+
 def test_toxicity_held_out_and_odd_labels(spark, sf_dir):
     documents, labels = (spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/{t}.parquet") for t in ("documents", "labels"))
     known = labels.where("doc_id % 3 > 0")
