@@ -291,6 +291,8 @@ def _verified(k: int, percent: int):
 
 
 def _same(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if not len(a) or not len(b):
+        return False
     at = np.minimum(np.searchsorted(a, b), len(a) - 1)
     return may_link(int((a[at] == b).sum()), len(a), len(b), percent)
 
@@ -327,12 +329,12 @@ def link_documents(documents: DataFrame, k: int = 5, percent: int = 80) -> DataF
     sets = known.where("doc is not null and n > 0")
     heads = sets.groupBy("n", "one", "two").agg(F.min("doc").alias("head"))
     classes = sets.join(heads, ["n", "one", "two"])
-    points = materialize(classes.where("doc = head").select("doc", "n", "point").dropDuplicates(["doc", "n"]), "points")
+    points = materialize(classes.where("doc = head").select("doc", "n", "one", "two", "point").dropDuplicates(["doc", "one", "two"]), "points")
 
     rows = texts.where("doc is not null").withColumnRenamed("doc", "rid")
     cells = repeated_keys(rows, _cells(k, percent), 0.04 * (100 - percent) / 10, by_row=True)
     cells = cells.join(points.select(F.col("doc").alias("rid")).distinct(), "rid", "left_semi")
-    cells = materialize(cells.select(F.col("rid").alias("doc"), F.explode("keys").alias("cell")), "cells")
+    cells = materialize(cells.select(F.col("rid").alias("doc"), F.explode(F.array_distinct("keys")).alias("cell")), "cells")
     shared = cells.groupBy("cell").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("doc").alias("members"))
     shared = materialize(shared.where("first < last"), "shared")
     firsts = cells.join(shared, "cell").where("doc != first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
@@ -347,14 +349,14 @@ def link_documents(documents: DataFrame, k: int = 5, percent: int = 80) -> DataF
     links = materialize(verify(firsts, sizes, texts, k, percent), "links")
     linked = materialize(components(links), "linked")
 
-    placed = points.join(linked, F.col("doc") == F.col("node"), "left").select("doc", "n", "point", F.coalesce("component", "doc").alias("component"))
+    placed = points.join(linked, F.col("doc") == F.col("node"), "left").select("doc", "n", "one", "two", "point", F.coalesce("component", "doc").alias("component"))
     rest = cells.join(shared.where("members > 2").select("cell"), "cell", "left_semi").join(placed, "doc")
     mixed = rest.groupBy("cell").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("doc").alias("members"),
-        F.expr("bit_xor(xxhash64(doc))").alias("one"), F.expr("bit_xor(xxhash64(doc, 1))").alias("two"),
-    )
+        F.expr("bit_xor(xxhash64(doc, one, two))").alias("one"), F.expr("bit_xor(xxhash64(two, one, doc, 1))").alias("two"),
+    )  # fmt: skip; no row of a cell comes twice, so that none cancels another
     mixed = mixed.where("low < high").groupBy("members", "one", "two").agg(F.min("cell").alias("cell"))  # of equal cells, one
-    rest = rest.join(mixed.select("cell", "members"), "cell")
+    rest = rest.drop("one", "two").join(mixed.select("cell", "members"), "cell")
     pairs = materialize(tree_pairs(rest, percent).join(firsts, ["a", "b"], "left_anti"), "pairs")
     links = links.union(materialize(verify(pairs, sizes, texts, k, percent), "links")).union(same_id)
     reached = components(links)
@@ -373,7 +375,7 @@ def bounded_pairs(pairs: DataFrame, points: DataFrame, percent: int) -> DataFram
 def tree_pairs(points: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in a cell that the R-tree's bound does not rule out; large cells in pairs of blocks."""
     blocks = F.ceil(F.col("members") / BLOCK_POINTS)
-    own = F.pmod(F.xxhash64("doc", F.lit(5)), blocks)
+    own = F.pmod(F.xxhash64("doc", "n", "point"), blocks)
     split = points.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
     split = split.select(
         "cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc", "n", "point", "component", "block",

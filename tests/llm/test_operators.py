@@ -67,6 +67,32 @@ def test_jaccard_near_copies_of_two_kinds_meet_through_the_tree(spark, monkeypat
     assert 1 < len({c for _, c in got.values()}) < 90
 
 
+def test_jaccard_of_a_table_united_with_itself(spark):
+    rng = random.Random(0)
+    texts = []
+    for c in range(20):
+        base = [f"w{c}x{i}" for i in range(120)]
+        for _ in range(16):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = f"v{rng.randrange(3)}"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    both = frame(spark, rows).union(frame(spark, rows))
+    got = {r.doc: (r.n, r.component) for r in jaccard.link_documents(both, 3, 90).collect()}
+    assert got == brute.jaccard(rows, 3, 90)
+
+
+def test_jaccard_of_two_texts_of_one_id(spark):
+    one, two = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (1, None), (2, " ".join([*one[:-1], "x"])), (3, " ".join([*two[:-1], "x"]))]
+    got = {r.doc: r.component for r in jaccard.link_documents(frame(spark, rows), 3, 90).collect()}
+    assert got == {1: 1, 2: 1, 3: 1}
+    none, some = np.zeros(0, np.uint64), np.ones(1, np.uint64)
+    assert not any(jaccard._same(x, y, 90) for x, y in ((none, none), (none, some), (some, none)))
+
+
 def test_jaccard_repeated_and_null_ids(spark):
     rows = [(3, "a b c d"), (3, "x y z"), (1, "x y z"), (2, "a b c d"), (None, "a b c d"), (None, None)]
     got = collected(jaccard.link_documents(frame(spark, rows), 3, 90))
