@@ -115,18 +115,57 @@ class Lattice:
 
     def paths(self, number: int) -> list[tuple[float, list[int]]]:
         """The best ``number`` paths: backward from the end, guided by forward scores."""
-        queue = [(-self.forward[-1], (), len(self.chunk), 0.0)]
+        queue = [Open(-self.forward[-1], None, len(self.chunk), 0.0)]
         out = []
         while queue and len(out) < number:
-            _, path, at, score = heapq.heappop(queue)
-            if at == 0:
-                out.append((score, [y for i, s in reversed(path) for y in ([i] if i >= 0 else self.model.spell(self.chunk[s]))]))
+            here = heapq.heappop(queue)
+            if here.at == 0:
+                ids, node = [], here
+                while node.before is not None:
+                    ids += [node.id] if node.id >= 0 else self.model.spell(self.chunk[node.at])
+                    node = node.before
+                out.append((here.score, ids))
                 continue
-            for s, step, i in self.ending[at]:
-                heapq.heappush(queue, (-(self.forward[s] + step + score), (*path, (i, s)), s, score + step))
+            for s, step, i in self.ending[here.at]:
+                heapq.heappush(queue, Open(-(self.forward[s] + step + here.score), here, s, here.score + step, i))
         return out
 
 
+class Open:
+    """A path from the end back to ``at``: its last piece and the path before it, which it shares with others.
+
+    ``jump`` leads to a path further before, so that two paths part after a logarithmic number of steps.
+    """
+
+    __slots__ = ("order", "before", "at", "score", "id", "depth", "jump")
+
+    def __init__(self, order: float, before: "Open | None", at: int, score: float, id: int = -1):
+        self.order, self.before, self.at, self.score, self.id = order, before, at, score, id
+        if before is None:
+            self.depth, self.jump = 0, self
+        else:
+            self.depth, far = before.depth + 1, before.jump
+            self.jump = far.jump if before.depth - far.depth == far.depth - far.jump.depth else before
+
+    def __lt__(self, other: "Open") -> bool:
+        """By order; equal ones by their pieces (id, start) read from the end, a beginning before what it begins."""
+        if self.order != other.order:
+            return self.order < other.order
+        depth = min(self.depth, other.depth)
+        a, b = self._up(depth), other._up(depth)
+        if a is b:
+            return self.depth < other.depth
+        while a.before is not b.before:
+            a, b = (a.jump, b.jump) if a.jump is not b.jump else (a.before, b.before)
+        return (a.id, a.at) < (b.id, b.at)
+
+    def _up(self, depth: int) -> "Open":
+        here = self
+        while here.depth > depth:
+            here = here.jump if here.jump.depth >= depth else here.before
+        return here
+
+
 class Segmenter:
     """Best paths of many chunks at once, kept in a bounded cache."""
 

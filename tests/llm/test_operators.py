@@ -1,6 +1,7 @@
 """The operators against brute force on small, awkward tables: nulls, ties, repeated rows, long texts, odd columns."""
 
 import random
+import tracemalloc
 from types import SimpleNamespace
 
 import numpy as np
@@ -388,6 +389,22 @@ def test_lattice_and_joint_viterbi_agree(piece_path):
         assert segmenter.loss[k] == (best[0][0] - best[1][0] if len(best) > 1 else np.inf)
 
 
+def test_long_texts_without_spaces(piece_path):
+    rng, encoder = random.Random(7), pieces.Encoder(piece_path, 4)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/", k=200_000))
+    lattice = pieces.Lattice(encoder.model, text[:10_000])
+    tracemalloc.start()
+    lattice.paths(4)
+    assert tracemalloc.get_traced_memory()[1] < 2_000 * 10_000
+    tracemalloc.stop()
+    for t in (text, "ab" * 20_000):
+        ((normal, ids, base, own),) = encoder.encode([t])
+        found = encoder.n_best(ids, base, own)
+        assert len({tuple(x.tolist()) for _, x in found}) == 4
+        assert all(pieces.decode(encoder.model, x) == t for _, x in found)
+        assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+
+
 def test_piece_query_rows(spark, piece_path):
     rows = corpus(4) + [(None, "x"), (1, None)]
     got = pieces.encode_pieces(frame(spark, rows), piece_path, 3, keep_ids=True).collect()
