@@ -36,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_pieces(docs, piece_model())
+    return encode_pieces(docs, piece_model(), keep_ids=True)
 
 
 STAGES = [

@@ -41,3 +41,9 @@ def test_pipeline(spark, sf_dir):
         before = after
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
     assert {r.doc_id for r in out} == set(before) and all(r.round_trip for r in out)
+
+
+def test_pipeline_gives_the_ids(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    out = {r.doc_id: r for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()}
+    assert {i: len(r.ids) for i, r in out.items()} == {i: r.n_pieces for i, r in out.items()} and len(out[1].ids) > 0
