@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from flowlens.llm.decontaminate import contamination
 from flowlens.llm.embeddings import near_vectors
 from flowlens.llm.html import extract_pages
+from flowlens.llm.infilling import infill
 from flowlens.llm.jaccard import link_documents
 from flowlens.llm.licenses import scan_licenses
+from flowlens.llm.likelihood import score_texts
 from flowlens.llm.pieces import encode_pieces
 from flowlens.llm.substrings import substring_dedup
 from flowlens.llm.suffixes import suffix_dedup
 from flowlens.llm.tokenfiles import digest_token_files, write_token_files
 from flowlens.llm.toxicity import score_toxicity, train_chain
+from flowlens.llm.whitening import whiten
 
 
 @dataclass(frozen=True)
@@ -80,6 +83,18 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def lattice_likelihood(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), vocabulary or piece_model())
+
+
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill(table(spark, sf_dir, "documents"))
+
+
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 LETTER_WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -144,6 +159,24 @@ select vec_id, cast(coalesce(n, 0) as bigint) as n_links, component_id, vec_id =
 from parts left join counted using (vec_id)"""
 
 
+INFILL_SQL = """
+with docs as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as w,
+  sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+drawn as (select doc_id, t, w, len(w) as n, cast('0x' || h[1:8] as bigint) % (len(w) + 1) as x,
+  cast('0x' || h[9:16] as bigint) % (len(w) + 1) as y, cast('0x' || h[17:24] as bigint) % 100 as h3,
+  cast('0x' || h[25:32] as bigint) % 100 as h4 from docs),
+parts as (select doc_id, t, n, array_to_string(w[1:least(x, y)], '') as p,
+  array_to_string(w[least(x, y) + 1:greatest(x, y)], '') as m, array_to_string(w[greatest(x, y) + 1:], '') as s,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 >= 90 then 'plain'
+    when h4 < 20 then 'spm' else 'psm' end as form from drawn),
+made as (select *, case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+  else '<S>' || s || '<P>' || p || '<M>' || m end as o from parts)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then length(p) end as prefix_chars,
+  case when form <> 'plain' then length(m) end as middle_chars, sha256(o) as output_sha256,
+  sha256(t) as restored_sha256
+from made"""
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard": Query(ngram_jaccard, JACCARD_SQL),
@@ -156,4 +189,7 @@ def llm_queries() -> dict[str, Query]:
         "op8_embedding_dedup": Query(embedding_dedup, EMBEDDING_SQL),
         "op9_license_scan": Query(license_scan),
         "op10_piece_encoding": Query(piece_encoding),
+        "op11_lattice_likelihood": Query(lattice_likelihood),
+        "op12_fill_in_middle": Query(fill_in_middle, INFILL_SQL),
+        "op13_embedding_whitening": Query(embedding_whitening),
     }
