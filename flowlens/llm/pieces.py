@@ -36,7 +36,9 @@ MARK = 0x2581
 UNKNOWN_LOSS = 10.0
 CACHE_CHUNKS = 1_000_000
 BATCH_CHARS = 48
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 22
+SLOT_BITS = 19
+SLOT_SHIFT = np.uint64(64 - SLOT_BITS)
 BASE = 0x9FB21C651E98DF25
 
 
@@ -74,8 +76,11 @@ class Model:
         hashes = mix(hashes)
         order = np.argsort(hashes)
         self.known, self.ids = hashes[order], np.array([i for _, i in short], np.int64)[order]
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.known >> np.uint64(44)).astype(np.int64)] = True
+        slots, first, run = np.unique(self.known >> SLOT_SHIFT, return_index=True, return_counts=True)
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.slots[slots.astype(np.int64)] = first
+        self.run = int(run.max(initial=1))
+        self.known = np.append(self.known, np.zeros(self.run, np.uint64))
 
     def hashes(self, chars: np.ndarray) -> np.ndarray:
         """Running sums of each row's characters; column j covers the first j + 1."""
@@ -85,10 +90,12 @@ class Model:
         """Piece ids, -1 where there is none."""
         hashes = mix(hashes)
         found = np.full(len(hashes), -1)
-        maybe = np.flatnonzero(self.filter[(hashes >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.known, hashes[maybe]), len(self.known) - 1)
-        same = self.known[at] == hashes[maybe]
-        found[maybe[same]] = self.ids[at[same]]
+        at = self.slots[(hashes >> SLOT_SHIFT).view(np.int64)]
+        maybe = np.flatnonzero(at >= 0)
+        at, hashes = at[maybe], hashes[maybe]
+        for k in range(self.run):  # keys of one slot lie next to each other
+            same = np.flatnonzero(self.known[at + k] == hashes)
+            found[maybe[same]] = self.ids[at[same] + k]
         return found
 
     def spell(self, char: str) -> list[int]:
@@ -174,7 +181,7 @@ class Segmenter:
         self._forget()
 
     def _forget(self):
-        self.number, self.chunks, self.n_best = {}, [], {}
+        self.number, self.chunks, self.n_best, self.alike = {}, [], {}, {}
         self.flat, self.size = np.zeros(1 << 16, np.int64), 0
         self.ends, self.score, self.loss = (np.zeros(1 << 16, t) for t in (np.int64, np.float64, np.float64))
 
@@ -266,7 +273,9 @@ class Segmenter:
     def best(self, number: int, count: int) -> list[tuple[float, list[int]]]:
         """The chunk's best ``count`` paths."""
         if number not in self.n_best:
-            self.n_best[number] = Lattice(self.model, self.chunks[number]).paths(count)
+            found = Lattice(self.model, self.chunks[number]).paths(count)
+            spelled = {raw_text(self.model, np.array(ids, np.int64)) for _, ids in found}
+            self.n_best[number], self.alike[number] = found, len(spelled) == 1
         return self.n_best[number]
 
 
@@ -306,8 +315,11 @@ class Encoder:
             ids = s.flat[np.repeat(low - base[:-1], size) + np.arange(base[-1])]
             yield normal[r], ids, base, own
 
-    def n_best(self, ids: np.ndarray, base: np.ndarray, own: np.ndarray) -> list[tuple[float, np.ndarray]]:
-        """The best segmentations of a text, given its chunks' best paths."""
+    def n_best(self, ids: np.ndarray, base: np.ndarray, own: np.ndarray) -> tuple[list[tuple[float, np.ndarray]], bool]:
+        """The best segmentations of a text, given its chunks' best paths, and whether all spell the same bytes.
+
+        They differ in whole chunks only, so it is enough to compare the bytes of those chunks' paths.
+        """
         s = self.segmenter
         total = float(s.score[own].sum())
         loss = s.loss[own]
@@ -327,15 +339,20 @@ class Encoder:
                     parts += [ids[last : base[k]], np.array(c[r][1], np.int64)]
                     last = base[k + 1]
             out.append((score, np.concatenate([*parts, ids[last:]])))
-        return out
+        return out, all(s.alike[int(own[k])] for k in near)
 
 
-def decode(model: Model, ids: np.ndarray) -> str:
-    """The text of a sequence of ids; bytes that are no UTF-8 become replacement characters."""
+def raw_text(model: Model, ids: np.ndarray) -> bytes:
+    """The bytes that a sequence of ids spells."""
     ends = model.raw_ends[ids]
     size = ends - np.where(ids > 0, model.raw_ends[ids - 1], 0)
     place = np.cumsum(size) - size
-    raw = model.raw[np.repeat(ends - size - place, size) + np.arange(size.sum())].tobytes() if len(ids) else b""
+    return model.raw[np.repeat(ends - size - place, size) + np.arange(size.sum())].tobytes() if len(ids) else b""
+
+
+def decode(model: Model, ids: np.ndarray) -> str:
+    """The text of a sequence of ids; bytes that are no UTF-8 become replacement characters."""
+    raw = raw_text(model, ids)
     return raw[raw[:1] == b" " :].decode(errors="replace")
 
 
@@ -355,10 +372,11 @@ def _encode(path: str, count: int, keep_ids: bool):
                 texts = pc.fill_null(part.column("text"), "").to_pylist()
                 out = []
                 for text, (normal, ids, base, own) in zip(texts, encoder.encode(texts)):
-                    found = encoder.n_best(ids, base, own)
-                    same = all(decode(encoder.model, x) == decode_normal(normal) for _, x in found)
+                    found, alike = encoder.n_best(ids, base, own)
+                    decoded = decode(encoder.model, found[0][1])
+                    same = alike and decoded == decode_normal(normal)
                     crc = [zlib.crc32(x.astype("<u4").tobytes()) for _, x in found]
-                    whole = hashlib.sha256(decode(encoder.model, found[0][1]).encode(errors="replace")).hexdigest()
+                    whole = hashlib.sha256(decoded.encode(errors="replace")).hexdigest()
                     out.append((len(ids), crc[0], [s for s, _ in found], crc, same, whole, found[0][1] if keep_ids else None))
                 n, crc, scores, all_crc, same, whole, ids = zip(*out)
                 columns = [

@@ -368,7 +368,7 @@ def test_n_best_against_all_paths(piece_path):
     for _ in range(100):
         text = "".join(rng.choices("ther on\n🙂é  ", k=rng.randint(0, 9)))
         ((normal, ids, base, own),) = encoder.encode([text])
-        got, every = encoder.n_best(ids, base, own), all_paths(encoder.model, normal)
+        (got, alike), every = encoder.n_best(ids, base, own), all_paths(encoder.model, normal)
         assert [s for s, _ in got] == sorted((s for s, _ in every), reverse=True)[:4]
         assert {(s, tuple(x.tolist())) for s, x in got} <= {(s, tuple(y)) for s, y in every}
         assert len({tuple(x.tolist()) for _, x in got}) == len(got)
@@ -399,7 +399,7 @@ def test_long_texts_without_spaces(piece_path):
     tracemalloc.stop()
     for t in (text, "ab" * 20_000):
         ((normal, ids, base, own),) = encoder.encode([t])
-        found = encoder.n_best(ids, base, own)
+        found, alike = encoder.n_best(ids, base, own)
         assert len({tuple(x.tolist()) for _, x in found}) == 4
         assert all(pieces.decode(encoder.model, x) == t for _, x in found)
         assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
