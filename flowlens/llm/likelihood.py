@@ -8,7 +8,7 @@ those weights every piece's expected count over all segmentations of the trainin
 taken, forward and backward, and the counts with the first weights as a prior are the model;
 ``rounds`` repeats that. Characters without a piece are spelled as byte pieces, so every text has a
 probability. No piece spans the border before a space mark that follows another character, so the lattice
-falls into chunks whose log probabilities add up; equal chunks are worked once.
+falls into chunks whose log probabilities add up; equal chunks of a slice (by a hash of 64 bits) are worked once.
 
 Counts cover all training texts: words and chunks are counted in tasks, added up by Spark and kept
 as tables. Only words that make up at least one in ``FREQUENT`` of all words go to the tasks (so
@@ -23,7 +23,6 @@ ignored. Memory follows the longest text.
 import math
 import sys
 import types
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +32,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.pieces import BATCH_CHARS, Model, cut
-from flowlens.llm.wordscan import Hasher, Splitter, slices
+from flowlens.llm.wordscan import BASES, Hasher, Powers, Splitter, mix, slices
 from flowlens.session import materialize
 
 FREQUENT = 200_000
 FOLDS, HELD_OUT = 7, 2
 PRIOR = 32_000.0
 CHUNK_WORDS = 1 << 20
-COUNTED_CHUNKS = 200_000
-CACHE_CHUNKS = 500_000
+SLICE_BYTES = 1 << 22
+CACHE_CHUNKS = 1_000_000
 BATCH_ROWS = 8192
 COUNTS = "h1 long, h2 long, c long, total long"
+POWERS = Powers(BASES[0])
 SCORED = (
     "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double,"
     " rare array<struct<h1:long,h2:long,tf:long>>"
@@ -107,14 +107,27 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return counted.groupBy("h1", "h2").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
 
 
-def chunks_of(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """The lattice chunks of texts one after another, and the first chunk of each text."""
-    normal = model.processor.normalize(texts) if texts else []
-    joined = "".join(normal)
-    rows = np.append(0, np.cumsum([len(x) for x in normal]))
-    starts = cut(np.frombuffer(joined.encode("utf-32-le"), np.uint32), rows[:-1][np.diff(rows) > 0])
-    edges = [*starts.tolist(), len(joined)]
-    return [joined[a:b] for a, b in zip(edges, edges[1:])], np.searchsorted(starts, rows)
+class Chunks:
+    """The lattice chunks of texts: the distinct ones, known by a hash of 64 bits, and which of them stands where."""
+
+    def __init__(self, model: Model, texts: pa.Array):
+        normal = model.processor.normalize(pc.fill_null(texts, "").to_pylist()) if len(texts) else []
+        self.text = "".join(normal)
+        chars = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
+        rows = np.append(0, np.cumsum([len(x) for x in normal]))
+        starts = cut(chars, rows[:-1][np.diff(rows) > 0])
+        self.first = np.searchsorted(starts, rows)
+        self.start, self.end = starts, np.append(starts[1:], len(chars))[: len(starts)]
+        up, down = POWERS.upto(len(chars))
+        sums = np.append(np.uint64(0), np.cumsum(mix(chars.astype(np.uint64)) * up[: len(chars)], dtype=np.uint64))
+        size = (self.end - starts).astype(np.uint64)
+        self.key, self.at, self.which, self.count = np.unique(
+            mix((sums[self.end] - sums[starts]) * down[starts] + size), return_index=True, return_inverse=True, return_counts=True
+        )
+
+    def distinct(self, which: np.ndarray) -> list[str]:
+        at = self.at[which]
+        return [self.text[a:b] for a, b in zip(self.start[at].tolist(), self.end[at].tolist())]
 
 
 def worker_model(path: str) -> Model:
@@ -129,19 +142,12 @@ def worker_model(path: str) -> Model:
 
 def _count_chunks(path: str):
     def run(batches):
-        model, counts = worker_model(path), Counter()
-
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["chunk", "n"])
-
+        model = worker_model(path)
         for batch in batches:
-            for part in slices(batch, "text"):
-                counts.update(chunks_of(model, pc.fill_null(part.column("text"), "").to_pylist())[0])
-                if len(counts) >= COUNTED_CHUNKS:
-                    yield flush()
-                    counts = Counter()
-        if counts:
-            yield flush()
+            for part in slices(batch, "text", SLICE_BYTES):
+                chunks = Chunks(model, part.column("text"))
+                names = chunks.distinct(np.arange(len(chunks.key)))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(chunks.count, pa.int64())], ["chunk", "n"])
 
     return run
 
@@ -171,6 +177,7 @@ class Lattice:
         self.model = model
         with np.errstate(divide="ignore"):
             self.logs = np.log(weights)
+        self.steps = np.append(self.logs[:-1], -np.inf)  # the last for no piece
 
     def _spelled(self, char: str) -> float:
         return float(self.logs[self.model.spell(char)].sum())
@@ -194,7 +201,7 @@ class Lattice:
         alpha = np.zeros((len(chunks), n + 1))
         edges = []
         for e, (low, ids) in enumerate(self._pieces(chunks, n), 1):
-            score = np.where(ids >= 0, self.logs[ids], -np.inf)
+            score = self.steps[ids]
             for r in np.flatnonzero(ids[:, -1] < 0):
                 score[r, -1] = self._spelled(chunks[r][e - 1])
             through = alpha[:, low:e] + score
@@ -234,7 +241,7 @@ def _expect(path: str, weights: np.ndarray):
     def run(batches):
         lattice, total = Lattice(worker_model(path), weights), np.zeros(len(weights))
         for batch in batches:
-            for part in slices(batch, "chunk"):
+            for part in slices(batch, "chunk", SLICE_BYTES):
                 chunks, counts = part.column("chunk").to_pylist(), part.column("n").to_numpy().astype(np.float64)
                 for own, n in by_length(chunks):
                     lattice.expect([chunks[k] for k in own], n, counts[own], total)
@@ -263,17 +270,19 @@ class Scorer:
     def __init__(self, model: Model, weights: np.ndarray):
         self.lattice, self.cache = Lattice(model, weights), {}
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        chunks, first = chunks_of(self.lattice.model, texts)
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        chunks = Chunks(self.lattice.model, texts)
         if len(self.cache) > CACHE_CHUNKS:
             self.cache.clear()
-        new = [c for c in set(chunks) if c not in self.cache]
-        for own, n in by_length(new):
-            batch = [new[k] for k in own]
-            self.cache.update(zip(batch, self.lattice.forward(batch, n)[0][:, n].tolist()))
-        logs = np.append(0.0, np.fromiter(map(self.cache.__getitem__, chunks), np.float64, len(chunks)))
-        sums = np.array([math.fsum(logs[1 + a : 1 + b]) for a, b in zip(first[:-1], first[1:])])
-        return sums + self.lattice.logs[-1]
+        keys = chunks.key.tolist()
+        total = np.array([self.cache.get(k, np.nan) for k in keys])
+        unknown = np.flatnonzero(np.isnan(total))
+        names = chunks.distinct(unknown)
+        for own, n in by_length(names):
+            total[unknown[own]] = self.lattice.forward([names[k] for k in own], n)[0][:, n]
+        self.cache.update(zip(chunks.key[unknown].tolist(), total[unknown].tolist()))
+        row = np.repeat(np.arange(len(texts)), np.diff(chunks.first))
+        return np.bincount(row, total[chunks.which], minlength=len(texts)) + self.lattice.logs[-1]
 
 
 class FrequentWords:
@@ -312,7 +321,7 @@ def _score(path: str, weights: np.ndarray, frequent: FrequentWords):
         scorer, hashes = Scorer(worker_model(path), weights), WordHashes()
         place = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 rows = part.num_rows
                 words, h1, h2 = hashes(part.column("text"))
                 c = frequent.count(h1, h2)
@@ -322,7 +331,7 @@ def _score(path: str, weights: np.ndarray, frequent: FrequentWords):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(place + np.arange(rows), pa.int64()), part.column("doc_id"), part.column("held_out"),
                      pa.array(words.count() + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(logs),
-                     pa.array(scorer(pc.fill_null(part.column("text"), "").to_pylist()) / math.log(10)),
+                     pa.array(scorer(part.column("text")) / math.log(10)),
                      _rare(words.row[rare], h1[rare], h2[rare], rows)],
                     ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare"],
                 )
