@@ -40,7 +40,9 @@ FOLDS, HELD_OUT = 7, 2
 PRIOR = 32_000.0
 CHUNK_WORDS = 1 << 20
 SLICE_BYTES = 1 << 22
-CACHE_CHUNKS = 1_000_000
+CACHE_BITS = 20
+FREQUENT_BITS = 21
+FREQUENT_SHIFT = np.uint64(64 - FREQUENT_BITS)
 BATCH_ROWS = 8192
 COUNTS = "h1 long, h2 long, c long, total long"
 POWERS = Powers(BASES[0])
@@ -108,26 +110,33 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 class Chunks:
-    """The lattice chunks of texts: the distinct ones, known by a hash of 64 bits, and which of them stands where."""
+    """The lattice chunks of texts and their hashes of 64 bits; ``first[r]`` is the first chunk of text r."""
 
     def __init__(self, model: Model, texts: pa.Array):
         normal = model.processor.normalize(pc.fill_null(texts, "").to_pylist()) if len(texts) else []
         self.text = "".join(normal)
         chars = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
         rows = np.append(0, np.cumsum([len(x) for x in normal]))
-        starts = cut(chars, rows[:-1][np.diff(rows) > 0])
-        self.first = np.searchsorted(starts, rows)
-        self.start, self.end = starts, np.append(starts[1:], len(chars))[: len(starts)]
+        self.start = cut(chars, rows[:-1][np.diff(rows) > 0])
+        self.end = np.append(self.start[1:], len(chars))[: len(self.start)]
+        self.first = np.searchsorted(self.start, rows)
         up, down = POWERS.upto(len(chars))
         sums = np.append(np.uint64(0), np.cumsum(mix(chars.astype(np.uint64)) * up[: len(chars)], dtype=np.uint64))
-        size = (self.end - starts).astype(np.uint64)
-        self.key, self.at, self.which, self.count = np.unique(
-            mix((sums[self.end] - sums[starts]) * down[starts] + size), return_index=True, return_inverse=True, return_counts=True
-        )
+        size = (self.end - self.start).astype(np.uint64)
+        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + size)
 
-    def distinct(self, which: np.ndarray) -> list[str]:
-        at = self.at[which]
-        return [self.text[a:b] for a, b in zip(self.start[at].tolist(), self.end[at].tolist())]
+    def names(self, which: np.ndarray) -> list[str]:
+        return [self.text[a:b] for a, b in zip(self.start[which].tolist(), self.end[which].tolist())]
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One place of each distinct hash, how often it comes, and the number of the hash at every place."""
+    order = np.argsort(hashes)
+    at = _runs(hashes[order])
+    count = np.diff(np.append(at, len(hashes)))
+    which = np.empty(len(hashes), np.int64)
+    which[order] = np.repeat(np.arange(len(at)), count)
+    return order[at], count, which
 
 
 def worker_model(path: str) -> Model:
@@ -146,8 +155,8 @@ def _count_chunks(path: str):
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 chunks = Chunks(model, part.column("text"))
-                names = chunks.distinct(np.arange(len(chunks.key)))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(chunks.count, pa.int64())], ["chunk", "n"])
+                at, count, _ = distinct(chunks.hash)
+                yield pa.RecordBatch.from_arrays([pa.array(chunks.names(at), pa.string()), pa.array(count, pa.int64())], ["chunk", "n"])
 
     return run
 
@@ -174,13 +183,15 @@ class Lattice:
     """All segmentations of chunks, weighted by the pieces' probabilities."""
 
     def __init__(self, model: Model, weights: np.ndarray):
-        self.model = model
+        self.model, self.spelled = model, {}
         with np.errstate(divide="ignore"):
             self.logs = np.log(weights)
         self.steps = np.append(self.logs[:-1], -np.inf)  # the last for no piece
 
     def _spelled(self, char: str) -> float:
-        return float(self.logs[self.model.spell(char)].sum())
+        if char not in self.spelled:
+            self.spelled[char] = float(self.logs[self.model.spell(char)].sum())
+        return self.spelled[char]
 
     def _pieces(self, chunks: list[str], n: int):
         """For each end, the first start and the pieces from every start on (-1: none)."""
@@ -196,34 +207,40 @@ class Lattice:
             else:
                 yield low, np.array([[model.pieces.get(c[s:e], -1) for s in range(low, e)] for c in chunks])
 
-    def forward(self, chunks: list[str], n: int) -> tuple[np.ndarray, list]:
-        """Log probabilities of all beginnings of chunks of ``n`` characters, and the edges that make them."""
+    def forward(self, chunks: list[str], n: int, keep: bool = False) -> tuple[np.ndarray, list]:
+        """Log probabilities of all beginnings of chunks of ``n`` characters; with ``keep``, per end the pieces
+        that reach it and their shares of its probability."""
         alpha = np.zeros((len(chunks), n + 1))
         edges = []
         for e, (low, ids) in enumerate(self._pieces(chunks, n), 1):
-            score = self.steps[ids]
+            through = self.steps[ids]
             for r in np.flatnonzero(ids[:, -1] < 0):
-                score[r, -1] = self._spelled(chunks[r][e - 1])
-            through = alpha[:, low:e] + score
+                through[r, -1] = self._spelled(chunks[r][e - 1])
+            through += alpha[:, low:e]
             best = through.max(axis=1, keepdims=True)
-            alpha[:, e] = best[:, 0] + np.log(np.exp(through - best).sum(axis=1))
-            edges.append((low, ids, score))
+            np.exp(np.subtract(through, best, out=through), out=through)
+            total = through.sum(axis=1, keepdims=True)
+            alpha[:, e] = (best + np.log(total))[:, 0]
+            if keep:
+                edges.append((low, ids, through / total))
         return alpha, edges
 
     def expect(self, chunks: list[str], n: int, counts: np.ndarray, into: np.ndarray) -> None:
-        """Adds every piece's expected count over all segmentations, ``counts`` times each chunk."""
-        alpha, edges = self.forward(chunks, n)
-        beta = np.full((len(chunks), n + 1), -np.inf)
-        beta[:, n] = -alpha[:, n]
+        """Adds every piece's expected count over all segmentations, ``counts`` times each chunk.
+
+        ``passing`` is how often a segmentation passes a border between characters, from the end backward.
+        """
+        _, edges = self.forward(chunks, n, keep=True)
+        passing = np.zeros((len(chunks), n + 1))
+        passing[:, n] = counts
         for e in range(n, 0, -1):
-            low, ids, score = edges[e - 1]
-            step = score + beta[:, e : e + 1]
-            share = np.exp(alpha[:, low:e] + step) * counts[:, None]
-            known = ids >= 0
-            into += np.bincount(ids[known], share[known], minlength=len(into))
-            for r in np.flatnonzero(~known[:, -1]):
+            low, ids, share = edges[e - 1]
+            share *= passing[:, e : e + 1]
+            known = np.flatnonzero(ids >= 0)
+            into += np.bincount(ids.ravel()[known], share.ravel()[known], minlength=len(into))
+            for r in np.flatnonzero(ids[:, -1] < 0):
                 np.add.at(into, self.model.spell(chunks[r][e - 1]), share[r, -1])
-            beta[:, low:e] = np.logaddexp(beta[:, low:e], step)
+            passing[:, low:e] += share
 
 
 def by_length(chunks: list[str]):
@@ -264,39 +281,74 @@ def fit_weights(chunks: DataFrame, ends: int, path: str, rounds: int = 1) -> np.
     return weights
 
 
+class Slots:
+    """Values of 64-bit keys, one key a slot: a newer key takes its slot over, so memory is fixed."""
+
+    def __init__(self, bits: int = CACHE_BITS):
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, np.nan)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' values, not a number where they are not known."""
+        slot = (keys >> self.shift).view(np.int64)
+        return np.where(self.keys[slot] == keys, self.values[slot], np.nan)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        slot = (keys >> self.shift).view(np.int64)
+        self.keys[slot], self.values[slot] = keys, values
+
+
 class Scorer:
     """Log probabilities of texts, with a bounded cache of chunks."""
 
     def __init__(self, model: Model, weights: np.ndarray):
-        self.lattice, self.cache = Lattice(model, weights), {}
+        self.lattice, self.cache = Lattice(model, weights), Slots()
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         chunks = Chunks(self.lattice.model, texts)
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        keys = chunks.key.tolist()
-        total = np.array([self.cache.get(k, np.nan) for k in keys])
-        unknown = np.flatnonzero(np.isnan(total))
-        names = chunks.distinct(unknown)
+        logs = self.cache.get(chunks.hash)
+        unknown = np.flatnonzero(np.isnan(logs))
+        at, _, which = distinct(chunks.hash[unknown])
+        names, found = chunks.names(unknown[at]), np.zeros(len(at))
         for own, n in by_length(names):
-            total[unknown[own]] = self.lattice.forward([names[k] for k in own], n)[0][:, n]
-        self.cache.update(zip(chunks.key[unknown].tolist(), total[unknown].tolist()))
+            found[own] = self.lattice.forward([names[k] for k in own], n)[0][:, n]
+        logs[unknown] = found[which]
+        self.cache.put(chunks.hash[unknown[at]], found)
         row = np.repeat(np.arange(len(texts)), np.diff(chunks.first))
-        return np.bincount(row, total[chunks.which], minlength=len(texts)) + self.lattice.logs[-1]
+        return np.bincount(row, logs, minlength=len(texts)) + self.lattice.logs[-1]
 
 
 class FrequentWords:
-    """Log counts of the words that tasks know; ``count`` is -1 for others."""
+    """Counts of the words that tasks know; ``count`` is -1 for others."""
 
     def __init__(self, h1: np.ndarray, h2: np.ndarray, c: np.ndarray):
         order = np.argsort(h1)
-        self.h1, self.h2, self.c = h1[order], h2[order], c[order]
+        self.h1, self.h2, self.c, self.slots = h1[order], h2[order], c[order], None
+
+    def _index(self) -> None:
+        """Where the words of each slot (leading bits) begin; made in the task, not sent to it."""
+        slots = (self.h1 >> FREQUENT_SHIFT).view(np.int64)
+        at = _runs(slots)
+        self.run = int(np.diff(np.append(at, len(slots))).max())
+        self.slots = np.full(1 << FREQUENT_BITS, -1, np.int32)
+        self.slots[slots[at]] = at
+        self.h1, self.h2, self.c = (np.append(x, np.zeros(self.run, x.dtype)) for x in (self.h1, self.h2, self.c))
 
     def count(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        found = np.full(len(h1), -1)
         if not len(self.h1):
-            return np.full(len(h1), -1)
-        at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
-        return np.where((self.h1[at] == h1) & (self.h2[at] == h2), self.c[at], -1)
+            return found
+        if self.slots is None:
+            self.size = len(self.h1)
+            self._index()
+        first = self.slots[(h1 >> FREQUENT_SHIFT).view(np.int64)]
+        open_ = np.flatnonzero(first >= 0)
+        for k in range(self.run):
+            at = first[open_] + k
+            same = (self.h1[at] == h1[open_]) & (self.h2[at] == h2[open_]) & (at < self.size)
+            found[open_[same]] = self.c[at[same]]
+            open_ = open_[~same]
+        return found
 
 
 def frequent_words(words: DataFrame, everything: int) -> FrequentWords:
