@@ -1,9 +1,9 @@
 """The queries offered over the supplied tables, each with a DuckDB statement where SQL can say it."""
 
-from flowlens.catalog import evaluations, exploration, feature_sets, models, parsing, rows
+from flowlens.catalog import evaluations, exploration, feature_sets, models, parsing, rows, streams
 from flowlens.catalog.base import Query
 
-MODULES = (rows, feature_sets, exploration, parsing, evaluations, models)
+MODULES = (rows, feature_sets, exploration, parsing, evaluations, models, streams)
 
 
 def catalog() -> dict[str, Query]:
