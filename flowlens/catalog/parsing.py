@@ -8,6 +8,7 @@ from flowlens.catalog.feature_sets import labelled
 from flowlens.operators import features as fs
 from flowlens.operators.columns import normalize_log_columns
 from flowlens.session import scratch_path
+from flowlens.sources.delimited import dropped_lines
 
 QUERIES: dict[str, Query] = {}
 RAW = f"with {RAW_SQL}"
@@ -86,6 +87,20 @@ over_lines(
     """select count(*) filter (where event_id % 41 <> 0) as kept,
       count(*) filter (where event_id % 41 <> 0 and event_id % 43 = 0) as padded from flows_raw""",
 )
+over_lines(
+    "quoted_line_breaks",
+    fixtures.noted_lines,
+    lambda spark, path: sources.scan_csv(spark, path, columns=["event_id", "note", "portdst"], dtype={"event_id": "bigint", "portdst": "int"}),
+    """select event_id, case when event_id % 2 = 0 then concat('rule ', cast(regle as varchar), ',', chr(10), 'said "', trim(action), '"',
+      case when event_id % 3 = 0 then concat(chr(10), chr(10), 'end') else '' end) else 'no 5" note' end as note, portdst
+      from flows_raw where event_id % 41 <> 0""",
+)
+over_lines(
+    "dropped_lines",
+    fixtures.noted_lines,
+    lambda spark, path: dropped_lines(spark, path, ["event_id", "note", "portdst"]),
+    """select count(*) as n_lines, count(*) filter (where event_id % 41 = 0) as too_long, cast(0 as bigint) as unbalanced from flows_raw""",
+)
 over_lines(
     "scan_firewall_csv",
     fixtures.legacy_lines,

@@ -160,6 +160,16 @@ def legacy_lines(flows: DataFrame, separator: str = ",") -> DataFrame:
     return flows.select(F.concat_ws(separator, *fields).alias("value"))
 
 
+def noted_lines(flows: DataFrame) -> DataFrame:
+    """Records with a quoted note that holds separators, doubled quotes and line breaks, and some with one field too many."""
+    event = F.col("event_id")
+    note = F.concat(F.lit('"rule '), _text("regle"), F.lit(',\nsaid ""'), F.trim("action"), F.lit('""'), F.when(event % 3 == 0, '\n\nend"').otherwise('"'))
+    plain = F.concat(F.lit("no "), F.lit('5" note'))
+    fields = [event.cast("string"), F.when(event % 2 == 0, note).otherwise(plain), _text("portdst")]
+    line = F.when(event % 41 == 0, F.concat_ws(",", *fields, F.lit("extra"))).otherwise(F.concat_ws(",", *fields))
+    return flows.select(line.alias("value"))
+
+
 def kibana_rows(flows: DataFrame) -> DataFrame:
     """Flows under the column names and spellings of the search-stack export."""
     mark = F.lit("(empty)")

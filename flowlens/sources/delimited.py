@@ -1,8 +1,8 @@
 """Delimited logs.
 
-Records are split with ``from_csv`` over text lines. Lines with too many fields are left
-out and short ones padded with nulls; the CSV source itself cannot tell the two apart
-once columns are pruned.
+Records are put together from text lines (see ``records``) and split with ``from_csv``. Records
+with too many fields are left out and short ones padded with nulls; the CSV source itself cannot
+tell the two apart once columns are pruned, and reads a file whole if records may hold line breaks.
 """
 
 import csv
@@ -26,6 +26,7 @@ from flowlens.schemas import (
 )
 from flowlens.session import materialize
 from flowlens.sources.lines import read_lines
+from flowlens.sources.records import field_count, opens, whole_records
 
 # Time patterns of the formats.
 EXPORT_TIMES = ("yyyy-MM-dd HH:mm:ss", "M-d-yyyy H:mm:ss")
@@ -41,12 +42,6 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _field_count(line, separator: str):
-    """Number of fields, separators inside quotes not counted."""
-    bare = F.regexp_replace(line, r'"[^"]*"', "")
-    return F.length(bare) - F.length(F.replace(bare, F.lit(separator), F.lit(""))) + 1
-
-
 def _skip_first(lines: DataFrame, rows: int) -> DataFrame:
     """Without the first ``rows`` lines of every file."""
     firsts = lines.filter(F.col("_block") == 0).groupBy("_file").agg(F.min("_id").alias("first"))
@@ -64,19 +59,17 @@ def read_delimited(
     encoding: str = "utf-8",
     skiprows: int = 0,
     header: bool | None = None,
+    multiline: bool = True,
 ) -> DataFrame:
     """All fields as text.
 
-    Without ``names`` every file's first line names its columns; files with other columns are
-    united by name. With names, a line that repeats them is dropped unless ``header`` is False.
-    A quote inside quotes is written twice; a line whose quotes do not match is left out, as a
-    record has to end on its line.
+    Without ``names`` every file's first record names its columns; files with other columns are
+    united by name. With names, a record that repeats them is dropped unless ``header`` is False.
+    A quote inside quotes is written twice; a line whose quotes are never closed is left out. Quoted fields
+    may hold line breaks, which costs one more pass that looks for them; ``multiline=False`` spares it
+    where every record is known to end on its line.
     """
-    lines = read_lines(spark, path, encoding, positions=skiprows > 0 or names is None)
-    if skiprows:
-        lines = _skip_first(lines, skiprows)
-    line = F.regexp_replace("value", "^\ufeff", "")
-    lines = lines.withColumn("value", line).filter(F.trim("value") != "")
+    lines = _records(spark, path, separator, encoding, skiprows, multiline, positions=names is None)
     if names is not None:
         if header is not False:
             lines = lines.filter(F.col("value") != separator.join(names))
@@ -98,10 +91,21 @@ def read_delimited(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def _split(lines: DataFrame, names, separator: str) -> DataFrame:
+def _records(spark, path, separator: str, encoding: str, skiprows: int = 0, multiline: bool = True, positions: bool = False) -> DataFrame:
+    """Records that are not blank, without byte order marks."""
+    lines = read_lines(spark, path, encoding, positions=positions or multiline or skiprows > 0)
+    if skiprows:
+        lines = _skip_first(lines, skiprows)
+    lines = lines.withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
+    if multiline:
+        lines = whole_records(lines, separator)
+    return lines.filter(F.trim("value") != "")
+
+
+def _split(records: DataFrame, names, separator: str) -> DataFrame:
     schema = ", ".join(f"{_quoted(n)} string" for n in names)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    kept = lines.filter((_field_count(F.col("value"), separator) <= len(names)) & (quotes % 2 == 0))
+    value = F.col("value")
+    kept = records.filter((field_count(value, separator) <= len(names)) & ~opens(value, separator))
     fields = F.from_csv("value", schema, {"sep": separator, "mode": "PERMISSIVE", "escape": '"'})
     return kept.select(fields.alias("r")).select("r.*")
 
@@ -209,11 +213,9 @@ def scan_labeled(spark: SparkSession, path, text_columns=(TARGET,), separator: s
 
 
 def dropped_lines(spark: SparkSession, path, names, separator: str = ",", encoding: str = "utf-8") -> DataFrame:
-    """One row: non-blank lines, those with too many fields, and those whose quotes do not match."""
+    """One row: non-blank records, those with too many fields, and lines whose quotes are never closed."""
     value = F.col("value")
-    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
-    odd, long = quotes % 2 == 1, _field_count(value, separator) > len(names)
-    lines = read_lines(spark, path, encoding).filter(F.trim("value") != "")
-    return lines.agg(
-        F.count("*").alias("n_lines"), F.count_if(~odd & long).alias("too_long"), F.count_if(odd).alias("unbalanced")
+    open_, long = opens(value, separator), field_count(value, separator) > len(names)
+    return _records(spark, path, separator, encoding).agg(
+        F.count("*").alias("n_lines"), F.count_if(~open_ & long).alias("too_long"), F.count_if(open_).alias("unbalanced")
     )

@@ -1,5 +1,8 @@
 """Log readers on hand-written lines."""
 
+import csv
+import io
+import random
 from datetime import datetime
 
 import pytest
@@ -274,3 +277,98 @@ def test_logs_split_otherwise_are_refused(spark):
 
     heads = spark.createDataFrame([("f", 0, 1, 12), ("f", 0, 2, 1)], "_file string, _block long, _id long, month int")
     assert [r._year for r in infer_log_year(heads, 2023).orderBy("_id").collect()] == [2023, 2024]
+
+
+def in_splits(spark, size, run):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, size)
+        return run()
+    finally:
+        spark.conf.set(name, before)
+
+
+def quoted_text(rng, rows):
+    """A file whose notes hold breaks, quotes and separators, and the rows that a plain reader finds in it."""
+    parts = ["\n", "\n\n", '"', ",", "text", " ", "é", ""]
+    out = [["id", "note", "last"]]
+    for i in range(rows):
+        note = "".join(rng.choices(parts, k=rng.randint(0, 6))) if rng.random() < 0.5 else "plain"
+        out.append([str(i), note, rng.choice(["x", 'a "b" c', "5\" disk", ""])])
+    lines = []
+    for a, note, last in out:
+        quoted = any(c in note for c in '\n",') or rng.random() < 0.2
+        lines.append(f'{a},"{note.replace(chr(34), chr(34) * 2)}",{last}' if quoted else f"{a},{note},{last}")
+    return "\n".join(lines) + "\n", out[1:]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_quoted_breaks_at_split_borders(spark, tmp_path, seed):
+    folder = tmp_path / "quoted"
+    folder.mkdir()
+    want = []
+    for k in range(3):
+        text, rows = quoted_text(random.Random(10 * seed + k), 60)
+        (folder / f"f{k}.csv").write_text(text)
+        read = list(csv.reader(io.StringIO(text, newline="")))[1:]
+        assert [r[:2] for r in read] == [r[:2] for r in rows]  # the plain reader agrees on what was written
+        want += [tuple(x or None for x in r) for r in rows]
+    (folder / "plain.csv").write_text("id,note,last\n1000,no breaks,here\n")
+    want.append(("1000", "no breaks", "here"))
+    read = lambda: [tuple(r) for r in sources.scan_csv(spark, str(folder), na_values=("",)).select("id", "note", "last").collect()]
+    stripped = lambda rows: sorted(tuple((x or "").strip() for x in r) for r in rows)
+    for size in ("128m", "200b", "37b"):
+        got = in_splits(spark, size, read)
+        assert sorted(r[0] for r in got) == sorted(r[0] for r in want)
+        assert stripped(got) == stripped(want)
+
+
+def test_one_record_over_many_splits_and_a_quote_that_stays_open(spark, tmp_path):
+    body = "\n".join(f"line {i}" for i in range(200))
+    text = f'a,b\n1,"{body}"\n2,x\n3,"open\n4,y\n5,"""z"""\n6,5" disk\n'
+    (tmp_path / "r.csv").write_text(text[: text.index("5,")] + "6,w\n")
+    path = str(tmp_path / "r.csv")
+    for size in ("128m", "100b"):
+        rows = in_splits(spark, size, lambda: {r.a: r.b for r in sources.scan_csv(spark, path).collect()})
+        assert rows == {"1": body, "2": "x", "4": "y", "6": "w"}
+        counts = in_splits(spark, size, lambda: delimited.dropped_lines(spark, path, ["a", "b"]).first())
+        assert (counts.n_lines, counts.too_long, counts.unbalanced) == (6, 0, 1)
+
+
+def test_quotes_inside_unquoted_fields_are_text(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b\n1,5" disk\n2,"x, y"\n3,c"d"e\n')
+    rows = {r.a: r.b for r in sources.scan_csv(spark, str(tmp_path / "q.csv")).collect()}
+    assert rows == {"1": '5" disk', "2": "x, y", "3": 'c"d"e'}
+
+
+def test_line_functions_against_a_plain_automaton(spark):
+    from flowlens.sources.records import field_count, opens, stays
+
+    def run(line, inside, sep):
+        state, fields = ("in" if inside else "start"), 1
+        for c in line:
+            if state == "start":
+                state = "in" if c == '"' else "start" if c == sep else "plain"
+                fields += c == sep
+            elif state == "in":
+                state = "quote" if c == '"' else "in"
+            elif state == "quote" and c == '"':
+                state = "in"
+            else:
+                fields += c == sep
+                state = "start" if c == sep else "plain"
+        return state == "in", fields
+
+    rng = random.Random(4)
+    lines = list({"".join(rng.choices('",;ab', k=rng.randint(0, 9))) for _ in range(3000)})
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    for sep in (",", ";"):
+        v = F.col("value")
+        got = df.select(v, opens(v, sep).alias("o"), stays(v, sep).alias("s"), field_count(v, sep).alias("n")).collect()
+        for r in got:
+            assert (r.o, r.s) == (run(r.value, False, sep)[0], run(r.value, True, sep)[0]), r
+            if not r.o:
+                assert r.n == run(r.value, False, sep)[1], r
+    long = spark.createDataFrame([('"' + "a" * 10 + '""' * 200_000 + "x,b",), ('"x",' * 100_000,)], "value string")
+    assert [tuple(r) for r in long.select(opens(F.col("value"), ","), field_count(F.col("value"), ",")).collect()][1] == (False, 100_001)
