@@ -4,7 +4,7 @@ Points are first merged by value and placed in grid cells small enough that all
 a cell are neighbours. A cell holding ``min_samples`` rows makes all its points core
 without looking at any pair, and core points of a cell are connected by definition, so
 clusters are the components of a graph of cells. Distances are computed in bounded tasks
-(see ``neighbors``) that return counts or cell-to-cell edges, never point pairs.
+(see ``neighbors``) that return counts or a spanning forest of the cells they saw, never point pairs.
 """
 
 import math
@@ -57,16 +57,25 @@ def _count_kernel(eps: float):
 
 
 def _edge_kernel(eps: float):
-    """Distinct pairs of groups that have points within eps of each other in one chunk."""
+    """A spanning forest of the groups that have points within eps of each other in one chunk.
+
+    Groups are united inside the task, so a task sends fewer edges than it has points, however
+    many pairs lie within eps.
+    """
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        edges = set()
+        names, root = [], np.zeros(0, int)
         if len(left) and len(right):
-            own, other = left["group"].tolist(), right["group"].to_numpy()
+            codes, names = pd.factorize(pd.concat([left["group"], right["group"]]), sort=True)
+            own, other = codes[: len(left)], codes[len(left) :]
+            root = np.arange(len(names))
             for i, inside in _near_blocks(left, right, eps):
-                edges.update((own[i], g) for g in set(other[inside]) if g > own[i])
-        rows = sorted(edges)
-        return pd.DataFrame({"a": [e[0] for e in rows], "b": [e[1] for e in rows]})
+                met = np.unique(np.append(root[other[inside]], root[own[i]]))
+                if len(met) > 1:
+                    # Names are sorted: a tree's root is its smallest group.
+                    root[np.isin(root, met)] = met[0]
+        child = np.flatnonzero(root != np.arange(len(root)))
+        return pd.DataFrame({"a": [names[k] for k in root[child]], "b": [names[k] for k in child]})
 
     return kernel
 

@@ -246,3 +246,35 @@ def test_kmeans_elbow_and_pca(spark, tmp_path):
     assert sum(shares) == pytest.approx(1.0) and projected.columns[:2] == ["Dim1", "Dim2"]
     with pytest.raises(ModelError):
         clustering.apply_clusterer(None, df)
+
+
+def test_a_task_sends_a_forest_not_its_pairs():
+    import pandas as pd
+
+    from flowlens.ml.dbscan import _edge_kernel
+
+    rng = np.random.default_rng(8)
+    for spread, groups in ((0.05, 400), (2.0, 400), (1.0, 40)):
+        vec = rng.normal(scale=spread, size=(400, 3))
+        frame = pd.DataFrame({"rep": range(400), "vec": list(vec), "group": rng.permutation(400) % groups})
+        left, right = frame.iloc[:250], frame.iloc[150:]
+        edges = _edge_kernel(0.4)(left, right)
+        assert len(edges) < len(set(left["group"]) | set(right["group"]))
+        near = np.linalg.norm(vec[:250, None] - vec[None, 150:], axis=2) <= 0.4
+        pairs = {(left["group"].iloc[i], right["group"].iloc[j]) for i, j in zip(*np.nonzero(near))}
+
+        def parts(links):
+            parent = {g: g for g in frame["group"]}
+
+            def find(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for a, b in links:
+                a, b = find(a), find(b)
+                parent[max(a, b)] = min(a, b)
+            return {g: find(g) for g in parent}
+
+        assert parts(pairs) == parts(edges.itertuples(index=False))
+    assert len(_edge_kernel(1.0)(frame.head(0), frame)) == 0
