@@ -7,6 +7,12 @@ inequality cannot rule out: a first visit to one chunk bounds its search radius,
 one visits every cell within it. Each (cell, chunk, query block) is one small task; only
 the best few candidates per query and chunk leave it, never the pairs.
 
+In many dimensions the triangle inequality excludes little. There vectors are rotated so that
+variance falls from coordinate to coordinate, and distances are summed a few coordinates at a
+time: a partial sum is a lower bound of the squared distance, and a reference whose bound is beyond the
+query's limit (its radius so far, or the distance to as many references as are wanted) is dropped before
+the next coordinates are read. What is left is compared in the original coordinates.
+
 Method: Voronoi partitioning for k-nearest-neighbour joins (Lu, Shen, Chen, Ooi, 2012).
 """
 
@@ -26,6 +32,13 @@ MAX_PIVOTS = 512
 CHUNK_ROWS = 4096
 QUERY_ROWS = 4096
 BLOCK = 256
+# Rotated coordinates that each partial sum adds.
+STEP = 8
+# The limit is looked at again after so many steps.
+RENEW_STEPS = 3
+# Share of open pairs below which they are listed instead of summed as a whole block.
+SPARSE_SHARE = 0.35
+PAIR_ROWS = 1 << 16
 
 
 def points(df: DataFrame, features, key: str) -> DataFrame:
@@ -69,6 +82,7 @@ class Index:
     far: np.ndarray
     chunks: np.ndarray
     keep: int
+    axes: np.ndarray | None = None
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -207,29 +221,105 @@ def _squared(block: np.ndarray, refs: np.ndarray):
     return a[:, None] + b[None, :] - 2.0 * block @ refs.T, error
 
 
-def _top_kernel(keep: int):
-    """Per query the ``keep`` nearest (distance, key) pairs of one chunk."""
+def variance_axes(vectors: DataFrame) -> np.ndarray | None:
+    """Orthonormal axes of ``vec`` by falling variance, None if there are too few dimensions to save any.
+
+    Any orthonormal axes give right results, so plain sums are good enough. The driver gets one number
+    for each pair of dimensions.
+    """
+    first = vectors.select(F.size("vec")).first()
+    if first is None or first[0] < 2 * STEP:
+        return None
+    dims = first[0]
+
+    def sums(frames):
+        n, total, products = 0, np.zeros(dims), np.zeros((dims, dims))
+        for frame in frames:
+            if len(frame):
+                x = _matrix(frame["vec"])
+                n, total, products = n + len(x), total + x.sum(axis=0), products + x.T @ x
+        i, j = np.triu_indices(dims)
+        rows = [*range(dims), *i.tolist(), -1], [-1] * dims + j.tolist() + [-1], [*total, *products[i, j], n]
+        yield pd.DataFrame(dict(zip("ijs", rows)))
+
+    summed = vectors.select("vec").mapInPandas(sums, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    found = {(r["i"], r["j"]): r["s"] for r in summed.collect()}
+    mean = np.array([found[i, -1] for i in range(dims)]) / found[-1, -1]
+    cov = np.array([[found[min(i, j), max(i, j)] for j in range(dims)] for i in range(dims)]) / found[-1, -1]
+    cov -= np.outer(mean, mean)
+    if not np.isfinite(cov).all():
+        return None
+    return np.linalg.eigh(cov)[1][:, ::-1]
+
+
+def _near_candidates(queries, refs, axes, radius, keep: int):
+    """Per block of queries: its first query, pairs (query, reference) that may be among the ``keep`` nearest
+    and within the radius, and how many pairs had their distance summed to the end."""
+    if axes is None:
+        axes = np.eye(queries.shape[1])
+    dims = queries.shape[1]
+    borders = [*range(0, dims, STEP), dims] if dims >= 2 * STEP else [0, dims]
+    turned, all_refs = queries @ axes, refs @ axes
+    last = min(keep, len(refs)) - 1
+    norms = (queries**2).sum(axis=1).max(initial=0.0) + (refs**2).sum(axis=1).max(initial=0.0)
+    error = 1e-13 * refs.shape[1] * norms + 1e-300
+    for start in range(0, len(queries), BLOCK):
+        block = turned[start : start + BLOCK]
+        limit = radius[start : start + BLOCK] ** 2
+        partial, low, at = np.zeros((len(block), len(refs))), 0, None
+        for step, high in enumerate(borders[1:]):
+            a, b = block[:, low:high], all_refs[:, low:high]
+            if at is None:
+                partial += (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2.0 * a @ b.T
+                if step % RENEW_STEPS == 0 and len(refs) >= keep:
+                    # Full distances of those that look nearest bound the wanted ones.
+                    look = np.argpartition(partial, last, axis=1)[:, : last + 1]
+                    full = ((all_refs[look] - block[:, None]) ** 2).sum(axis=2).max(axis=1)
+                    limit = np.minimum(limit, full)
+                open_, summed = partial <= limit[:, None] + 2 * error, partial.size
+                if high == refs.shape[1] or open_.mean() < SPARSE_SHARE:
+                    at = np.nonzero(open_)
+                    sums = partial[at]
+            else:
+                for first in range(0, len(sums), PAIR_ROWS):
+                    i, j = (x[first : first + PAIR_ROWS] for x in at)
+                    sums[first : first + PAIR_ROWS] += ((a[i] - b[j]) ** 2).sum(axis=1)
+                open_, summed = sums <= limit[at[0]] + 2 * error, len(sums)
+                at, sums = tuple(x[open_] for x in at), sums[open_]
+            low = high
+        yield start, at[0], at[1], summed
+
+
+def _top_kernel(keep: int, axes=None, count: bool = False):
+    """Per query the ``keep`` nearest (distance, key) pairs of one chunk; with ``count``, a row without a query
+    says how many pairs there were and how many distances were summed to the end."""
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = {"rep": [], "neighbor": [], "distance": []}
+        pairs, summed = 0, 0
         if len(left) and len(right):
             queries, refs = _matrix(left["vec"]), _matrix(right["vec"])
             reps, keys = left["rep"].tolist(), right["keys"].tolist()
-            last = min(keep, len(refs)) - 1
-            for start in range(0, len(queries), BLOCK):
-                block = queries[start : start + BLOCK]
-                squares, error = _squared(block, refs)
-                limits = np.partition(squares, last, axis=1)[:, last] + 2 * error
-                for i, limit in enumerate(limits):
-                    near = np.flatnonzero(squares[i] <= limit)
-                    exact = np.sqrt(((refs[near] - block[i]) ** 2).sum(axis=1))
-                    pairs = sorted(
-                        (d, k) for d, j in zip(exact.tolist(), near) for k in keys[j]
-                    )[:keep]
-                    found["rep"] += [reps[start + i]] * len(pairs)
-                    found["neighbor"] += [k for _, k in pairs]
-                    found["distance"] += [d for d, _ in pairs]
-        return pd.DataFrame(found)
+            radius = left["radius"].to_numpy(float) if "radius" in left else np.full(len(queries), np.inf)
+            pairs = len(queries) * len(refs)
+            for start, own, near, full in _near_candidates(queries, refs, axes, radius, keep):
+                summed += full
+                edges = np.searchsorted(own, np.arange(min(BLOCK, len(queries) - start) + 1))
+                for i, (low, high) in enumerate(zip(edges, edges[1:])):
+                    if low == high:
+                        continue
+                    at = near[low:high]
+                    exact = np.sqrt(((refs[at] - queries[start + i]) ** 2).sum(axis=1))
+                    best = sorted((d, k) for d, j in zip(exact.tolist(), at) for k in keys[j])[:keep]
+                    found["rep"] += [reps[start + i]] * len(best)
+                    found["neighbor"] += [k for _, k in best]
+                    found["distance"] += [d for d, _ in best]
+        if not count:
+            return pd.DataFrame(found)
+        out = pd.DataFrame({c: pd.Series([*found[c], None], dtype=object) for c in found})
+        out["pairs"], out["summed"] = 0, 0
+        out.loc[len(out) - 1, ["pairs", "summed"]] = pairs, summed
+        return out
 
     return kernel
 
@@ -242,23 +332,33 @@ def _best(candidates: DataFrame, by: str, keep: int) -> DataFrame:
 def nearest_keys(index: Index, queries: DataFrame, key_type: str) -> DataFrame:
     """``(rep, neighbor, distance, rank)``: the ``index.keep`` nearest keys of each query vector."""
     schema = f"rep {key_type}, neighbor {key_type}, distance double"
-    kernel = _top_kernel(index.keep)
+    return _best(_candidates(index, queries, schema, _top_kernel(index.keep, index.axes)), "rep", index.keep)
+
+
+def search_work(index: Index, queries: DataFrame, key_type: str) -> DataFrame:
+    """One row: pairs of the visited chunks, and those whose distances were summed over all coordinates."""
+    schema = f"rep {key_type}, neighbor {key_type}, distance double, pairs long, summed long"
+    found = _candidates(index, queries, schema, _top_kernel(index.keep, index.axes, count=True))
+    return found.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pairs", "summed")))
+
+
+def _candidates(index: Index, queries: DataFrame, schema: str, kernel) -> DataFrame:
     base = queries.select("rep", "vec")
     if len(index.pivots) == 1:
-        everything = base.withColumn("cells", F.array(F.lit(0)))
-        return _best(_visit(index, everything, kernel, schema, False), "rep", index.keep)
+        return _visit(index, base.withColumn("cells", F.array(F.lit(0))), kernel, schema, False)
     first = base.withColumn("cells", _home_cell(index)("vec"))
     radius = (
         _visit(index, first, kernel, schema, True)
+        .filter(F.col("rep").isNotNull())
         .groupBy("rep")
         .agg(F.max("distance").alias("d"), F.count("*").alias("n"))
         .select("rep", F.when(F.col("n") >= index.keep, F.col("d")).alias("radius"))
     )
     reach = F.coalesce(F.col("radius"), F.lit(float("inf")))
     second = base.join(radius, "rep", "left").select(
-        "rep", "vec", _cells_within(index)("vec", reach).alias("cells")
+        "rep", "vec", reach.alias("radius"), _cells_within(index)("vec", reach).alias("cells")
     )
-    return _best(_visit(index, second, kernel, schema, False), "rep", index.keep)
+    return _visit(index, second, kernel, schema, False)
 
 
 def within_radius(index: Index, queries: DataFrame, radius: float, kernel, schema: str) -> DataFrame:
@@ -269,6 +369,17 @@ def within_radius(index: Index, queries: DataFrame, radius: float, kernel, schem
     return _visit(index, visits, kernel, schema, False)
 
 
+def knn_work(queries: DataFrame, references: DataFrame, features, k: int, key: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """What :func:`knn_join` compares: ``pairs`` visited, ``summed`` to the end, and their ``share``."""
+    reference = materialize(distinct_points(points(references, features, key), k), "knn-references")
+    index = build_index(reference, chunk_rows, keep=k)
+    index.axes = variance_axes(reference)
+    vectors = points(queries, features, key).groupBy("vec").agg(F.min("key").alias("rep"))
+    work = search_work(index, materialize(vectors, "knn-queries"), references.schema[key].dataType.simpleString())
+    share = F.when(F.col("pairs") > 0, F.col("summed") / F.col("pairs"))
+    return work.select("pairs", "summed", share.alias("share"))
+
+
 def knn_join(
     queries: DataFrame,
     references: DataFrame,
@@ -287,6 +398,7 @@ def knn_join(
     key_type = references.schema[key].dataType.simpleString()
     reference = materialize(distinct_points(points(references, features, key), keep), "knn-references")
     index = build_index(reference, chunk_rows, keep=keep)
+    index.axes = variance_axes(reference)
     rows = points(queries, features, key)
     vectors = rows.groupBy("vec").agg(F.min("key").alias("rep"))
     vectors = materialize(vectors, "knn-queries")

@@ -278,3 +278,40 @@ def test_a_task_sends_a_forest_not_its_pairs():
 
         assert parts(pairs) == parts(edges.itertuples(index=False))
     assert len(_edge_kernel(1.0)(frame.head(0), frame)) == 0
+
+
+def plain_neighbors(vectors, k):
+    gaps = np.sqrt(((vectors[:, None] - vectors[None]) ** 2).sum(axis=2))
+    return {(i, r + 1): (int(j), gaps[i, j]) for i in range(len(vectors)) for r, j in enumerate(sorted(range(len(vectors)), key=lambda j: (gaps[i, j], j))[:k])}
+
+
+@pytest.mark.parametrize("dims, chunk_rows", [(40, 4096), (40, 50), (17, 30), (16, 4096), (3, 40)])
+def test_partial_distances_lose_no_neighbor(spark, dims, chunk_rows):
+    rng = np.random.default_rng(dims)
+    x = rng.normal(size=(220, dims)) * np.geomspace(5, 0.1, dims) @ np.linalg.qr(rng.normal(size=(dims, dims)))[0]
+    x[200:210] = x[:10]
+    x[210:215] = x[:5] + 1e-9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    got = neighbors.knn_join(df, df, "vec", 7, "id", chunk_rows=chunk_rows).collect()
+    want = plain_neighbors(x, 7)
+    assert {(r.id, r.rank): r.neighbor for r in got} == {k: v[0] for k, v in want.items()}
+    assert all(abs(r.distance - want[r.id, r.rank][1]) < 1e-12 for r in got)
+
+
+def test_few_distances_are_summed_to_the_end(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    work = neighbors.knn_work(vectors, vectors, "embedding", 5, "vec_id").first()
+    assert work.pairs > 0 and work.share < 0.5
+    assert neighbors.knn_work(vectors.limit(0), vectors, "embedding", 5, "vec_id").first().share is None
+
+
+def test_axes_fall_in_variance(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(500, 20)) * np.linspace(1, 9, 20)
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "vec array<double>").repartition(4)
+    axes = neighbors.variance_axes(df)
+    np.testing.assert_allclose(axes @ axes.T, np.eye(20), atol=1e-9)
+    spread = (x @ axes).var(axis=0)
+    assert (np.diff(spread) < 1e-6).all()
+    assert neighbors.variance_axes(df.select(F.slice("vec", 1, 5).alias("vec"))) is None
+    assert neighbors.variance_axes(df.limit(0)) is None
