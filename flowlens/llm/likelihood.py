@@ -39,11 +39,11 @@ FREQUENT = 200_000
 FOLDS, HELD_OUT = 7, 2
 PRIOR = 32_000.0
 CHUNK_WORDS = 1 << 20
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 CACHE_BITS = 20
 FREQUENT_BITS = 21
 FREQUENT_SHIFT = np.uint64(64 - FREQUENT_BITS)
-BATCH_ROWS = 8192
+BATCH_PLACES = 1 << 16
 COUNTS = "h1 long, h2 long, c long, total long"
 POWERS = Powers(BASES[0])
 SCORED = (
@@ -249,7 +249,7 @@ def by_length(chunks: list[str]):
     order = np.argsort(size, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
         n = int(size[own[0]]) if len(own) else 0
-        step = BATCH_ROWS if n <= BATCH_CHARS else 1
+        step = max(1, BATCH_PLACES // n) if n <= BATCH_CHARS else 1
         for first in range(0, len(own), step):
             yield own[first : first + step], n
 
