@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.errors import ModelError
-from flowlens.ml.kernels import FourierMap, scale_gamma
+from flowlens.ml.kernels import COMPONENTS, LandmarkMap, fit_landmarks, scale_gamma
 from flowlens.ml.knn import KNNModel
 from flowlens.operators.columns import numeric_columns
 from flowlens.operators.preparation import Scaler, encode_label, fit_scaler
@@ -76,7 +76,7 @@ class TrainedClassifier:
     labels: list
     positive: str
     scaler: Scaler | None = None
-    fourier: FourierMap | None = None
+    landmarks: LandmarkMap | None = None
     calibration: object = None
     params: dict = field(default_factory=dict)
 
@@ -84,7 +84,7 @@ class TrainedClassifier:
         return self.scaler.transform(df) if self.scaler else df
 
     def _vectors(self, df: DataFrame) -> DataFrame:
-        return _assemble(df, self.features, self.scaler, self.fourier)
+        return _assemble(df, self.features, self.scaler, self.landmarks)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds ``prediction`` and the ``probability`` of the positive label."""
@@ -108,7 +108,7 @@ class TrainedClassifier:
         """``(feature, importance)``, largest first; coefficients count by size."""
         if hasattr(self.model, "featureImportances"):
             values = self.model.featureImportances.toArray()
-        elif self.fourier is None and hasattr(self.model, "coefficients"):
+        elif self.landmarks is None and hasattr(self.model, "coefficients"):
             values = abs(self.model.coefficients.toArray())
         else:
             raise ModelError(f"model {self.model_key} has no feature importance")
@@ -131,7 +131,7 @@ class TrainedClassifier:
         return (self.model.numNodes + 1) // 2
 
 
-def _assemble(df, features, scaler, fourier) -> DataFrame:
+def _assemble(df, features, scaler, landmarks) -> DataFrame:
     """Adds ``_features``; the original columns stay unscaled."""
     names = [f"_f{i}" for i in range(len(features))]
     columns = {
@@ -139,9 +139,9 @@ def _assemble(df, features, scaler, fourier) -> DataFrame:
         for n, f in zip(names, features)
     }
     wide = df.withColumns(columns)
-    if fourier is not None:
+    if landmarks is not None:
         whole = wide.na.drop(subset=names)
-        mapped = array_to_vector(fourier.column(F.array(*names)))
+        mapped = array_to_vector(landmarks.column(F.array(*names)))
         return whole.withColumn("_features", mapped).drop(*names)
     assembler = VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="skip")
     return assembler.transform(wide).drop(*names)
@@ -170,13 +170,13 @@ def train(
         labels = sorted(r[0] for r in df.select(target).distinct().collect())
         return TrainedClassifier(model_key, model, features, target, key, labels, positive, scaler, params=params)
     encoded, indexer = encode_label(df, target, "_label")
-    fourier = None
+    landmarks = None
     if model_key == "svm" and params.get("kernel", "rbf") == "rbf":
         scaled = (scaler.transform(df) if scaler else df).na.drop(subset=features)
         vectors = scaled.select(F.array(*[F.col(f).cast("double") for f in features]).alias("vec"))
         gamma = params.get("gamma") or scale_gamma(vectors, len(features))
-        fourier = FourierMap(len(features), gamma, params.get("components", 256))
-    vectors = _assemble(encoded, features, scaler, fourier).select("_features", "_label")
+        landmarks = fit_landmarks(materialize(vectors, "kernel-rows"), gamma, params.get("components", COMPONENTS))
+    vectors = _assemble(encoded, features, scaler, landmarks).select("_features", "_label")
     # Read by every iteration of the fit.
     vectors = materialize(vectors, "training")
     rows = vectors.count()
@@ -196,7 +196,7 @@ def train(
             probabilityCol="_probability", rawPredictionCol="_raw_calibrated",
         ).fit(margins)
     return TrainedClassifier(
-        model_key, model, features, target, key, list(indexer.labels), positive, scaler, fourier, calibration, params
+        model_key, model, features, target, key, list(indexer.labels), positive, scaler, landmarks, calibration, params
     )
 
 

@@ -16,7 +16,7 @@ from flowlens.errors import ModelError
 from flowlens.ml.classify import TrainedClassifier
 from flowlens.ml.clustering import KMeansClusterer
 from flowlens.ml.iforest import NODE_SCHEMA, IsolationForest
-from flowlens.ml.kernels import FourierMap, OneClassSVM
+from flowlens.ml.kernels import LandmarkMap, OneClassSVM
 from flowlens.ml.knn import KNNModel
 from flowlens.ml.lof import LocalOutlierFactor
 from flowlens.operators.preparation import Scaler
@@ -35,8 +35,8 @@ def _scaler_state(scaler):
     return vars(scaler) if scaler else None
 
 
-def _fourier_state(fourier):
-    return vars(fourier) if fourier else None
+def _map_state(landmarks):
+    return vars(landmarks) if landmarks else None
 
 
 def _write(spark, path, state):
@@ -53,7 +53,7 @@ def save_model(model, folder: str, name: str, spark: SparkSession | None = None)
             "kind": "classifier", "model_key": model.model_key, "features": model.features,
             "target": model.target, "key": model.key, "labels": model.labels,
             "positive": model.positive, "scaler": _scaler_state(model.scaler),
-            "fourier": _fourier_state(model.fourier), "params": model.params,
+            "landmarks": _map_state(model.landmarks), "params": model.params,
             "calibrated": model.calibration is not None,
         }
         if isinstance(model.model, KNNModel):
@@ -73,7 +73,7 @@ def save_model(model, folder: str, name: str, spark: SparkSession | None = None)
     elif isinstance(model, OneClassSVM):
         state = {
             "kind": "one_class_svm", "features": model.features, "key": model.key,
-            "threshold": model.threshold, "weights": model.weights, "fourier": vars(model.fourier),
+            "threshold": model.threshold, "weights": model.weights, "landmarks": vars(model.landmarks),
         }
     elif isinstance(model, LocalOutlierFactor):
         state = {
@@ -103,7 +103,7 @@ def load_model(spark: SparkSession, folder: str, name: str):
     kind = state.pop("kind")
     if kind == "classifier":
         scaler = Scaler(**state["scaler"]) if state["scaler"] else None
-        fourier = FourierMap(**state["fourier"]) if state["fourier"] else None
+        landmarks = LandmarkMap(**state["landmarks"]) if state["landmarks"] else None
         if "knn" in state:
             references = spark.read.parquet(f"{path}/references")
             model = KNNModel(references, state["features"], state["target"], state["key"], **state["knn"])
@@ -112,13 +112,13 @@ def load_model(spark: SparkSession, folder: str, name: str):
         calibration = LogisticRegressionModel.load(f"{path}/calibration") if state["calibrated"] else None
         return TrainedClassifier(
             state["model_key"], model, state["features"], state["target"], state["key"], state["labels"],
-            state["positive"], scaler, fourier, calibration, state["params"],
+            state["positive"], scaler, landmarks, calibration, state["params"],
         )
     if kind == "isolation_forest":
         nodes = [tuple(r) for r in spark.read.parquet(f"{path}/nodes").collect()]
         return IsolationForest(nodes, **state)
     if kind == "one_class_svm":
-        return OneClassSVM(FourierMap(**state.pop("fourier")), **state)
+        return OneClassSVM(LandmarkMap(**state.pop("landmarks")), **state)
     if kind == "local_outlier_factor":
         return LocalOutlierFactor(
             spark.read.parquet(f"{path}/references"), spark.read.parquet(f"{path}/densities"), **state

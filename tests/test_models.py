@@ -315,3 +315,62 @@ def test_axes_fall_in_variance(spark):
     assert (np.diff(spread) < 1e-6).all()
     assert neighbors.variance_axes(df.select(F.slice("vec", 1, 5).alias("vec"))) is None
     assert neighbors.variance_axes(df.limit(0)) is None
+
+
+def exact_kernel(x, gamma):
+    return np.exp(-gamma * ((x[:, None] - x[None]) ** 2).sum(axis=2))
+
+
+def test_landmarks_give_the_exact_kernel_and_their_error(spark):
+    from flowlens.ml.kernels import fit_landmarks
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1000, 4)) @ np.diag([2, 1, 0.3, 0.1])
+    x[500:520] = x[:20]
+    rows = spark.createDataFrame([(v.tolist(),) for v in x], "vec array<double>").repartition(3)
+    exact = exact_kernel(x, 0.2)
+    errors = []
+    for components in (20, 60, 256):
+        found = fit_landmarks(rows, 0.2, components)
+        y = found.transform(x)
+        lack = exact - y @ y.T
+        assert found.components <= components and np.linalg.eigvalsh(lack).min() > -1e-6  # never more than the kernel
+        assert abs(np.trace(lack) / len(x) - found.residual) < 1e-8 and abs(np.diag(lack).max() - found.worst) < 1e-8
+        assert np.abs(lack).max() <= found.worst + 1e-8
+        errors.append(found.residual)
+    assert errors[0] > errors[1] > errors[2] and errors[2] < 1e-5
+    # As good as choosing every pivot with all rows in view, up to a factor.
+    left, images = np.ones(len(x)), np.zeros((len(x), 0))
+    for _ in range(20):
+        k = left.argmax()
+        column = (exact[k] - images @ images[k]) / np.sqrt(left[k])
+        images, left = np.column_stack([images, column]), np.maximum(left - column**2, 0)
+    assert errors[0] < 2 * left.mean()
+
+
+def test_few_different_rows_need_few_landmarks(spark):
+    from flowlens.ml.kernels import fit_landmarks
+
+    rows = spark.createDataFrame([([float(i % 5)],) for i in range(100)], "vec array<double>")
+    found = fit_landmarks(rows, 1.0)
+    assert found.components == 5 and found.worst < 1e-9
+    none = fit_landmarks(rows.limit(0), 1.0)
+    assert (none.components, none.residual) == (0, 0.0)
+
+
+def test_svm_by_landmarks_is_as_right_as_the_exact_kernel(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1000, 2))
+    inside = (x**2).sum(axis=1) < 1.2
+    df = spark.createDataFrame(
+        [(i, float(a), float(b), "positive" if t else "negative") for i, ((a, b), t) in enumerate(zip(x, inside))],
+        "ipsrc long, a double, b double, risk string",
+    )
+    model = classify.train(df, "svm", ["a", "b"])
+    got = {r.ipsrc: r.prediction for r in model.predict(df).collect()}
+    right = np.mean([(got[i] == "positive") == t for i, t in enumerate(inside)])
+    # Ridge classification with the whole exact kernel as the measure.
+    kernel = exact_kernel(x, model.landmarks.gamma)
+    plain = np.linalg.solve(kernel + 1e-2 * np.eye(1000), np.where(inside, 1.0, -1.0))
+    exact = np.mean((kernel @ plain > 0) == inside)
+    assert right > exact - 0.02 and model.landmarks.residual < 1e-3
