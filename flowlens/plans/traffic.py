@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from flowlens.functions import (
     count_where,
@@ -37,11 +36,14 @@ def _protocol(name):
 def usage(df: DataFrame, key: str, digits: int = 2) -> DataFrame:
     """Flows per value of ``key`` and their percentage of all flows, rows without a value included in those.
 
-    One pass over the flows; the total is taken from the table of counts.
+    One pass over the flows: the total, one row, is summed from the same exchange of counts.
     """
     counts = df.groupBy(key).agg(F.count("*").alias("occurrences"))
-    shared = counts.withColumn("pct", percent(F.col("occurrences"), F.sum("occurrences").over(W.partitionBy()), digits))
-    return shared.filter(F.col(key).isNotNull()).orderBy(F.desc("occurrences"), key)
+    total = counts.agg(F.sum("occurrences").alias("_total"))
+    # Asked beside the total, the condition stays above the exchange, so that both sides share it.
+    shared = counts.crossJoin(F.broadcast(total)).filter(F.when(F.col("_total") > 0, F.col(key).isNotNull()))
+    shared = shared.withColumn("pct", percent(F.col("occurrences"), F.col("_total"), digits)).drop("_total")
+    return shared.orderBy(F.desc("occurrences"), key)
 
 
 def overview_metrics(df: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: rows of the browser export.
 EXPORT_CAP = 100_000
+# Metadata of a time column: the partition column that holds its day.
+STORED_DAY = "stored_day"
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "snappy", mode: str = "overwrite") -> str:
@@ -13,11 +15,14 @@ def write_parquet(df: DataFrame, path: str, compression: str = "snappy", mode: s
 
 
 def write_flows(df: DataFrame, path: str, date: str = "date", mode: str = "overwrite") -> str:
-    """Flows by day, so that time filters read only their days.
+    """Flows by day, so that time filters read only their days; a column ``day`` of the flows' own is refused.
 
     Rebalancing keeps the files per day few and splits a very busy day over several tasks.
     """
-    daily = df.withColumn("day", F.to_date(date)).hint("rebalance", F.col("day"))
+    if "day" in df.columns and STORED_DAY not in df.schema[date].metadata:
+        raise ValueError("the flows have a column 'day', which would be replaced by the day of their time")
+    marked = F.col(date).alias(date, metadata={**df.schema[date].metadata, STORED_DAY: "day"})
+    daily = df.withColumn(date, marked).withColumn("day", F.to_date(date)).hint("rebalance", F.col("day"))
     daily.write.mode(mode).partitionBy("day").parquet(path)
     return path
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators.columns import normalize_log_columns
 from flowlens.operators.filters import filter_period, filter_period_inclusive
+from flowlens.sinks.tables import STORED_DAY
 
 PERIOD_COLUMNS = ("timestamp", "src_ip", "dst_ip", "proto", "dst_port", "rule", "action")
 
@@ -14,11 +15,18 @@ def scan_parquet(spark: SparkSession, path, columns=None) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
-def _days(df: DataFrame, start, end) -> DataFrame:
-    """Only the day folders of a period, where the table is stored by day (see ``write_flows``)."""
-    if dict(df.dtypes).get("day") != "date":
+def _days(df: DataFrame, start, end, date_col: str) -> DataFrame:
+    """Only the day folders of a period, where the table is stored by the days of ``date_col``.
+
+    ``write_flows`` says so in that column's metadata; any other column called ``day`` is left alone.
+    """
+    day = df.schema[date_col].metadata.get(STORED_DAY)
+    if day is None or dict(df.dtypes).get(day) != "date":
+        return df
+    stored = df.select("_metadata.file_path").first()
+    if stored is None or f"/{day}=" not in stored[0]:
         return df
-    return df.filter(F.col("day").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
+    return df.filter(F.col(day).between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
 
 
 def load_flows_parquet(
@@ -27,13 +35,13 @@ def load_flows_parquet(
     """Stored flows without some columns, optionally in an inclusive time range."""
     df = spark.read.parquet(path)
     if date_filter is not None and date_col in df.columns and date_col not in drop_cols:
-        df = filter_period_inclusive(_days(df, *date_filter), *date_filter, column=date_col)
+        df = filter_period_inclusive(_days(df, *date_filter, date_col), *date_filter, column=date_col)
     return df.drop(*drop_cols)
 
 
 def scan_parquet_period(spark: SparkSession, path, start: str, end: str) -> DataFrame:
     """The seven report columns of a half-open period under canonical names and actions."""
-    df = filter_period(_days(spark.read.parquet(path), start, end), start, end, "timestamp")
+    df = filter_period(_days(spark.read.parquet(path), start, end, "timestamp"), start, end, "timestamp")
     return normalize_log_columns(df.select(*PERIOD_COLUMNS), "report")
 
 

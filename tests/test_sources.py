@@ -372,3 +372,30 @@ def test_line_functions_against_a_plain_automaton(spark):
                 assert r.n == run(r.value, False, sep)[1], r
     long = spark.createDataFrame([('"' + "a" * 10 + '""' * 200_000 + "x,b",), ('"x",' * 100_000,)], "value string")
     assert [tuple(r) for r in long.select(opens(F.col("value"), ","), field_count(F.col("value"), ",")).collect()][1] == (False, 100_001)
+
+
+def test_a_day_of_ones_own_hides_no_rows(spark, tmp_path):
+    rows = spark.sql("select timestamp_ntz'2024-01-05 10:00:00' as timestamp, date'2024-01-09' as day, 1 as id")
+    plain, by_day = str(tmp_path / "plain"), str(tmp_path / "by_day")
+    rows.write.parquet(plain)
+    rows.write.partitionBy("day").parquet(by_day)
+    for path in (plain, by_day):
+        assert sources.load_flows_parquet(spark, path, date_filter=("2024-01-05", "2024-01-06")).count() == 1
+    with pytest.raises(ValueError):
+        sinks.write_flows(rows, str(tmp_path / "own"), "timestamp")
+    stored = sinks.write_flows(rows.drop("day"), str(tmp_path / "stored"), "timestamp")
+    again = sinks.write_flows(spark.read.parquet(stored), str(tmp_path / "again"), "timestamp")
+    assert sources.load_flows_parquet(spark, again, date_filter=("2024-01-05", "2024-01-06")).count() == 1
+    # Rewritten with another day in a plain file: the mark alone is not believed.
+    spark.read.parquet(stored).withColumn("day", F.lit("2024-02-01").cast("date")).write.parquet(str(tmp_path / "moved"))
+    assert sources.load_flows_parquet(spark, str(tmp_path / "moved"), date_filter=("2024-01-05", "2024-01-06")).count() == 1
+
+
+def test_usage_reads_the_flows_once(spark, sf_dir):
+    from flowlens import fixtures
+    from flowlens.plans.rules import rule_usage
+
+    df = rule_usage(fixtures.flows_large(spark, sf_dir))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 1 and "Window" not in plan
