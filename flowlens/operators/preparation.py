@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from flowlens.operators.columns import numeric_columns
 from flowlens.operators.ordering import exact_quantiles
 from flowlens.schemas import TARGET
+from flowlens.session import materialize
 
 
 def variances(df: DataFrame, names) -> dict:
@@ -32,24 +33,38 @@ def drop_constant(df: DataFrame, names=None) -> DataFrame:
     return df.drop(*constant_features(df, names or numeric_columns(df)))
 
 
-def _moments(names: list[str], shift: list[float]):
-    """Sums over the rows where both features of a pair exist, shifted by the features' means."""
+MOMENTS = ("n", "x", "y", "xx", "yy", "xy", "raw_xx", "raw_yy")
+
+
+def _moments(names: list[str]):
+    """Numbers, means and centred second moments over the rows where both features of a pair exist.
+
+    A task centres its rows around the means of its first batch.
+    """
 
     def run(frames):
-        p = len(names)
+        p, shift = len(names), None
         n, first, squares, products = (np.zeros((p, p)) for _ in range(4))
         for frame in frames:
-            x = frame[names].to_numpy(float) - shift
+            if not len(frame):
+                continue
+            x = frame[names].to_numpy(float)
             known = ~np.isnan(x)
-            x, known = np.where(known, x, 0.0), known.astype(float)
+            if shift is None:
+                shift = np.where(known, x, 0.0).sum(axis=0) / np.maximum(known.sum(axis=0), 1)
+            x, known = np.where(known, x - shift, 0.0), known.astype(float)
             n += known.T @ known
             first += x.T @ known
             squares += (x * x).T @ known
             products += x.T @ x
-        a, b = np.triu_indices(p)
-        yield pd.DataFrame(
-            {"a": a, "b": b, "n": n[a, b], "x": first[a, b], "y": first[b, a], "xx": squares[a, b], "yy": squares[b, a], "xy": products[a, b]}
-        )
+        if shift is None:
+            return
+        a, b = (i[n[np.triu_indices(p)] > 0] for i in np.triu_indices(p))
+        number, raw_x, raw_y = n[a, b], squares[a, b], squares[b, a]
+        x, y = first[a, b] / number, first[b, a] / number
+        centred = raw_x - number * x * x, raw_y - number * y * y, products[a, b] - number * x * y
+        values = (number, x + shift[a], y + shift[b], *centred, raw_x, raw_y)
+        yield pd.DataFrame({"a": a, "b": b, **dict(zip(MOMENTS, values))})
 
     return run
 
@@ -57,34 +72,44 @@ def _moments(names: list[str], shift: list[float]):
 def _pair_statistics(df: DataFrame, pairs) -> DataFrame:
     """Correlation of each feature pair over the rows where both exist; NaN counts as missing.
 
-    Every task adds up its rows' moments in matrices and passes on one row for each pair. Moments
-    are taken around the features' means, which an aggregation finds first.
+    The input is read once: every task passes on one row of moments for each pair, around its own means.
+    That small table is kept, and the tasks' moments are merged around the means of all.
     """
     names = sorted({n for pair in pairs for n in pair})
     if not names:
         return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, correlation double")
     place = {n: i for i, n in enumerate(names)}
     values = df.select(*[F.nullif(F.col(n).cast("double"), F.lit(float("nan"))).alias(n) for n in names])
-    means = values.agg(*[F.avg(n).alias(n) for n in names]).first()
-    shift = [means[n] or 0.0 for n in names]
-    columns = ("n", "x", "y", "xx", "yy", "xy")
-    schema = "a long, b long, " + ", ".join(f"{c} double" for c in columns)
-    sums = values.mapInPandas(_moments(names, shift), schema).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in columns])
+    schema = "a long, b long, " + ", ".join(f"{c} double" for c in MOMENTS)
+    parts = materialize(values.mapInPandas(_moments(names), schema), "pair-moments")
+
+    def mean(name):
+        return (F.sum(F.col("n") * F.col(name)) / F.sum("n")).alias(f"mean_{name}")
+
+    means = parts.groupBy("a", "b").agg(F.sum("n").alias("total"), mean("x"), mean("y"))
+    gap_x, gap_y = F.col("x") - F.col("mean_x"), F.col("y") - F.col("mean_y")
+    sums = parts.join(means, ["a", "b"]).groupBy("a", "b", "total", "mean_x", "mean_y").agg(
+        F.sum(F.col("xx") + F.col("n") * gap_x * gap_x).alias("xx"),
+        F.sum(F.col("yy") + F.col("n") * gap_y * gap_y).alias("yy"),
+        F.sum(F.col("xy") + F.col("n") * gap_x * gap_y).alias("xy"),
+        F.sum("raw_xx").alias("raw_xx"),
+        F.sum("raw_yy").alias("raw_yy"),
+    )
 
-    def spread(square, first, at):
+    def spread(square, raw, centre):
         """Variance; rounding noise around a constant is none."""
-        mean = F.element_at(F.array(*[F.lit(v) for v in shift]), (at + 1).cast("int"))
-        found = square / F.col("n") - (first / F.col("n")) ** 2
-        return F.when((found > 1e-13 * square / F.col("n")) & (found > 1e-24 * mean * mean), found)
+        found = square / F.col("total")
+        return F.when((found > 1e-13 * raw / F.col("total")) & (found > 1e-24 * centre * centre), found)
 
-    vx, vy = spread(F.col("xx"), F.col("x"), F.col("a")), spread(F.col("yy"), F.col("y"), F.col("b"))
-    shared = F.col("xy") / F.col("n") - F.col("x") * F.col("y") / F.col("n") ** 2
+    vx = spread(F.col("xx"), F.col("raw_xx"), F.col("mean_x"))
+    vy = spread(F.col("yy"), F.col("raw_yy"), F.col("mean_y"))
+    shared = F.col("xy") / F.col("total")
     wanted = F.array(*[F.struct(F.lit(place[a]).alias("i"), F.lit(place[b]).alias("j")) for a, b in pairs])
     asked = df.sparkSession.range(1).select(F.explode(wanted).alias("p")).select(
         "p.i", "p.j", F.least("p.i", "p.j").cast("long").alias("a"), F.greatest("p.i", "p.j").cast("long").alias("b")
     )
     named = F.array(*[F.lit(n) for n in names])
-    known = sums.filter("n > 0").select(
+    known = sums.select(
         "a", "b", F.when((F.col("a") == F.col("b")) & vx.isNotNull(), 1.0).otherwise(shared / F.sqrt(vx) / F.sqrt(vy)).alias("correlation")
     )
     return asked.join(known, ["a", "b"]).select(
