@@ -227,23 +227,24 @@ def variance_axes(vectors: DataFrame) -> np.ndarray | None:
     Any orthonormal axes give right results, so plain sums are good enough. The driver gets one number
     for each pair of dimensions.
     """
-    first = vectors.select(F.size("vec")).first()
-    if first is None or first[0] < 2 * STEP:
-        return None
-    dims = first[0]
 
     def sums(frames):
-        n, total, products = 0, np.zeros(dims), np.zeros((dims, dims))
+        n, total, products = 0, 0.0, 0.0
         for frame in frames:
             if len(frame):
                 x = _matrix(frame["vec"])
                 n, total, products = n + len(x), total + x.sum(axis=0), products + x.T @ x
-        i, j = np.triu_indices(dims)
-        rows = [*range(dims), *i.tolist(), -1], [-1] * dims + j.tolist() + [-1], [*total, *products[i, j], n]
-        yield pd.DataFrame(dict(zip("ijs", rows)))
+        dims = len(total) if n else 0
+        if dims >= 2 * STEP:
+            i, j = np.triu_indices(dims)
+            rows = [*range(dims), *i.tolist(), -1], [-1] * dims + j.tolist() + [-1], [*total, *products[i, j], n]
+            yield pd.DataFrame(dict(zip("ijs", rows)))
 
     summed = vectors.select("vec").mapInPandas(sums, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
     found = {(r["i"], r["j"]): r["s"] for r in summed.collect()}
+    if not found:
+        return None
+    dims = 1 + max(i for i, _ in found)
     mean = np.array([found[i, -1] for i in range(dims)]) / found[-1, -1]
     cov = np.array([[found[min(i, j), max(i, j)] for j in range(dims)] for i in range(dims)]) / found[-1, -1]
     cov -= np.outer(mean, mean)
