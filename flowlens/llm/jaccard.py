@@ -13,6 +13,12 @@ hold the same shingles, and a cell is a size band, a group and the shingles in i
 document alone are dropped by a count-min sketch. Below, in a task, the points of a cell are packed
 into an R-tree and searched with the bound. Surviving pairs are verified on their whole sets.
 
+Pairs that the points do not rule out meet a second bound before any text moves: each set also has
+a vector of as many two-valued groups as it has shingles (counts modulo two). Groups in which two
+such vectors differ hold a shingle that only one of the sets has, so their number is never more
+than the sets' difference. Vectors fold to the shorter one's length; ``PARITY_BITS`` bounds them,
+beyond which the bound is weaker, never wrong.
+
 A cell first tests its smallest document against all others, which settles large groups of near
 copies with one test a document. Only cells that still hold several components are searched by
 R-tree, for pairs of different components; large ones are cut into blocks that meet in pairs, so
@@ -40,7 +46,8 @@ DIMENSIONS = 64
 BAND_RATIO = 1.5
 BLOCK_POINTS = 1_024
 LEAF, FANOUT = 32, 16
-BLOCK_SHINGLES = 500_000
+BLOCK_SHINGLES = 100_000
+PARITY_BITS = 1 << 16
 
 
 def shingle_sets(words, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +130,23 @@ def may_link(bound, n, m, percent: int):
     return (100 + percent) * bound >= percent * (n + m)
 
 
+def parities(row: np.ndarray, hashes: np.ndarray, rows: int) -> list[bytes]:
+    """Counts modulo two of each row's shingles in one to two groups a shingle (powers of two, 64 at least), as bits."""
+    n = np.bincount(row, minlength=rows)
+    bits = np.left_shift(1, np.ceil(np.log2(np.clip(n, 64, PARITY_BITS))).astype(np.int64))
+    base = np.cumsum(bits) - bits
+    group = (mix(hashes ^ np.uint64(0x94D049BB133111EB)) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(base[row] + group, minlength=int(bits.sum())) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little")
+    return [packed[b // 8 : (b + w) // 8].tobytes() for b, w in zip(base.tolist(), bits.tolist())]
+
+
+def difference_bound(a: bytes, b: bytes) -> int:
+    """Groups in which the sets' parities differ: no more than the shingles that only one of the sets has."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
+
+
 class CountTree:
     """R-tree over group counts, packed by sorting along the size and the widest coordinates."""
 
@@ -192,8 +216,8 @@ def _summaries(k: int):
                 points = [p.tobytes() for p in np.minimum(counts, (1 << 32) - 1).astype(np.uint32)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc"), pa.array(np.bincount(row, minlength=rows)), pa.array(one.view(np.int64)),
-                     pa.array(two.view(np.int64)), pa.array(points, pa.binary())],
-                    ["doc", "n", "one", "two", "point"],
+                     pa.array(two.view(np.int64)), pa.array(points, pa.binary()), pa.array(parities(row, hashes, rows), pa.binary())],
+                    ["doc", "n", "one", "two", "point", "parity"],
                 )
 
     return run
@@ -219,6 +243,10 @@ def _bounded(percent: int):
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, DIMENSIONS) for c in ("p", "q"))
             n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
             fits = may_link(overlap_bound(a, b), n, m, percent)
+            left, right = batch.column("s"), batch.column("t")
+            for i in np.flatnonzero(fits):
+                differ = difference_bound(left[i].as_py(), right[i].as_py())
+                fits[i] = may_link((n[i] + m[i] - differ) // 2, n[i], m[i], percent)
             yield batch.filter(pa.array(fits)).select(["a", "b"])
 
     return run
@@ -325,11 +353,11 @@ def verify(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, percent
 def link_documents(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc, n, component) of every row: size of its set, smallest id it reaches by links of ``percent`` or more."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    known = materialize(texts.mapInArrow(_summaries(k), "doc long, n long, one long, two long, point binary"), "sets")
+    known = materialize(texts.mapInArrow(_summaries(k), "doc long, n long, one long, two long, point binary, parity binary"), "sets")
     sets = known.where("doc is not null and n > 0")
     heads = sets.groupBy("n", "one", "two").agg(F.min("doc").alias("head"))
     classes = sets.join(heads, ["n", "one", "two"])
-    points = materialize(classes.where("doc = head").select("doc", "n", "one", "two", "point").dropDuplicates(["doc", "one", "two"]), "points")
+    points = materialize(classes.where("doc = head").select("doc", "n", "one", "two", "point", "parity").dropDuplicates(["doc", "one", "two"]), "points")
 
     rows = texts.where("doc is not null").withColumnRenamed("doc", "rid")
     cells = repeated_keys(rows, _cells(k, percent), 0.04 * (100 - percent) / 10, by_row=True)
@@ -340,10 +368,7 @@ def link_documents(documents: DataFrame, k: int = 5, percent: int = 80) -> DataF
     firsts = cells.join(shared, "cell").where("doc != first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
     firsts = materialize(bounded_pairs(firsts, points, percent), "firsts")
 
-    asked = firsts.select(F.col("a").alias("doc")).union(firsts.select(F.col("b").alias("doc")))
-    several = cells.join(shared.where("members > 2").select("cell"), "cell", "left_semi").select("doc")
-    wanted = asked.union(several).distinct()
-    texts = materialize(texts.join(wanted, "doc", "left_semi"), "texts")
+    texts = texts.where("doc is not null")
     same_id = classes.where("doc != head").select(F.col("doc").alias("a"), F.col("head").alias("b"))
     sizes = points.groupBy("doc").agg(F.sum("n").alias("n"))
     links = materialize(verify(firsts, sizes, texts, k, percent), "links")
@@ -357,7 +382,8 @@ def link_documents(documents: DataFrame, k: int = 5, percent: int = 80) -> DataF
     )  # fmt: skip; no row of a cell comes twice, so that none cancels another
     mixed = mixed.where("low < high").groupBy("members", "one", "two").agg(F.min("cell").alias("cell"))  # of equal cells, one
     rest = rest.drop("one", "two").join(mixed.select("cell", "members"), "cell")
-    pairs = materialize(tree_pairs(rest, percent).join(firsts, ["a", "b"], "left_anti"), "pairs")
+    pairs = tree_pairs(rest, percent).join(firsts, ["a", "b"], "left_anti")
+    pairs = materialize(bounded_pairs(pairs, points, percent), "pairs")
     links = links.union(materialize(verify(pairs, sizes, texts, k, percent), "links")).union(same_id)
     reached = components(links)
     out = known.join(reached, F.col("doc") == F.col("node"), "left")
@@ -365,10 +391,10 @@ def link_documents(documents: DataFrame, k: int = 5, percent: int = 80) -> DataF
 
 
 def bounded_pairs(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs that the sum of coordinate minima does not rule out."""
-    a = points.select(F.col("doc").alias("a"), "n", F.col("point").alias("p"))
-    b = points.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("point").alias("q"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "n", "m", "p", "q")
+    """Pairs that neither the sum of coordinate minima nor the parities rule out."""
+    a = points.select(F.col("doc").alias("a"), "n", F.col("point").alias("p"), F.col("parity").alias("s"))
+    b = points.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("point").alias("q"), F.col("parity").alias("t"))
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "n", "m", "p", "q", "s", "t")
     return both.mapInArrow(_bounded(percent), "a long, b long")
 
 

@@ -7,11 +7,13 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from flowlens.llm import decontaminate, embeddings, html, jaccard, licenses, pieces, substrings, suffixes, tokenfiles, toxicity
 from flowlens.llm.components import components
 from flowlens.llm.sketch import repeated_keys
-from flowlens.llm.wordscan import Splitter
+from flowlens.llm.wordscan import Splitter, mix
 from tests.llm import brute
 
 DOCS = "doc_id long, text string, key long, rid string, shard string, place string"
@@ -94,6 +96,25 @@ def test_jaccard_of_two_texts_of_one_id(spark):
     assert not any(jaccard._same(x, y, 90) for x, y in ((none, none), (none, some), (some, none)))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 400), min_size=1), st.sets(st.integers(0, 400), min_size=1), st.integers(0, 3))
+def test_parities_never_exceed_the_difference(a, b, stretch):
+    b = b | {x + 1000 for x in range(150 * stretch)}  # vectors of several lengths
+    row = np.repeat([0, 1], [len(a), len(b)])
+    one, two = jaccard.parities(row, mix(np.array([*a, *b], np.uint64)), 2)
+    assert jaccard.difference_bound(one, two) <= len(a ^ b)
+    assert jaccard.difference_bound(one, one) == 0
+
+
+def test_parities_rule_out_most_unlike_sets():
+    hashes = mix(np.arange(2000, dtype=np.uint64))
+    row = np.repeat([0, 1, 2], [1000, 1000, 1000])
+    sets = np.concatenate([hashes[:1000], hashes[1000:], hashes[100:1100]])
+    first, other, near = jaccard.parities(row, sets, 3)
+    may = [jaccard.may_link((2000 - jaccard.difference_bound(first, x)) // 2, 1000, 1000, 80) for x in (other, near)]
+    assert may == [False, True]  # 900 of 1 100 shingles are shared by the near pair
+
+
 def test_jaccard_repeated_and_null_ids(spark):
     rows = [(3, "a b c d"), (3, "x y z"), (1, "x y z"), (2, "a b c d"), (None, "a b c d"), (None, None)]
     got = collected(jaccard.link_documents(frame(spark, rows), 3, 90))
