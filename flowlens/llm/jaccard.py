@@ -418,8 +418,8 @@ def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     an id stay.
     """
     groups = link_documents(documents.select("doc_id", "text"), k, percent).where("doc = component or n = 0").select("doc").distinct()
-    known = documents.where("doc_id is not null")
-    kept = known.join(groups.withColumnRenamed("doc", "_kept"), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
-    place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    kept = kept.withColumn("_place", place).where("_place = 1").select(*[F.col(f"`{c}`") for c in documents.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("whole")  # so that no column's name clashes
+    known = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), whole)
+    place = F.row_number().over(W.partitionBy("doc").orderBy(F.xxhash64("whole.text"), "whole.text"))
+    kept = known.join(groups, "doc", "left_semi").withColumn("place", place).where("place = 1").select("whole.*")
     return kept.unionByName(documents.where("doc_id is null"))

@@ -115,6 +115,13 @@ def test_parities_rule_out_most_unlike_sets():
     assert may == [False, True]  # 900 of 1 100 shingles are shared by the near pair
 
 
+def test_jaccard_keeps_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(7, text, 70, "x", 1), (8, text, 80, "y", 2), (9, "other words", 90, "z", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _place long, doc string, whole int")
+    assert sorted(map(tuple, jaccard.keep_one(docs).collect())) == [rows[0], rows[2]]
+
+
 def test_jaccard_repeated_and_null_ids(spark):
     rows = [(3, "a b c d"), (3, "x y z"), (1, "x y z"), (2, "a b c d"), (None, "a b c d"), (None, None)]
     got = collected(jaccard.link_documents(frame(spark, rows), 3, 90))
