@@ -1,20 +1,23 @@
 """Order statistics that never sort a whole table in one task.
 
-* :func:`exact_quantiles` brackets each quantile with Spark's sketch, then ranks only the
-  distinct values inside the bracket.
+* :func:`exact_quantiles` brackets each quantile with Spark's sketch, cuts brackets of many rows
+  down by exact counts, then ranks only the distinct values inside them.
 * :func:`running_sums` cuts the order column into value ranges, sums each range, and adds
   the small table of range offsets to running sums inside the ranges.
 * :func:`hash_rank` numbers rows in hash order, per group, through hash-prefix buckets.
 """
 
+import struct
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 SKETCH_ACCURACY = 10000
-# Brackets expected to hold more rows than this are narrowed by another sketch.
-BRACKET_ROWS = 2_000_000
+# Brackets that hold more rows than this are cut into ranges and counted again.
+BRACKET_ROWS = 200_000
+BRACKET_RANGES = 64
 
 
 def exact_quantiles(df: DataFrame, columns, probabilities, extra=None):
@@ -50,15 +53,13 @@ def exact_quantiles(df: DataFrame, columns, probabilities, extra=None):
                 low, high = sketch[f"lo{i}"], sketch[f"hi{i}"]
             targets.append((i, j, first, min(first + 1, n - 1), position - first, low, high))
     most = max((sketch[f"n{i}"] for i in range(len(columns))), default=0)
-    while most > SKETCH_ACCURACY and most * 2 * slack > BRACKET_ROWS:
-        targets = _narrowed(values, targets, slack)
-        most *= 2 * slack
-    found = _ranked_values(values, targets)
+    large = max(most * 2 * slack, min(most, SKETCH_ACCURACY)) > BRACKET_ROWS
+    found = _ranked_values(values, _halved(values, targets) if large else targets)
     missing = [t for t in targets if not {t[2], t[3]} <= set(found.get(t[:2], {}))]
     if missing:
-        # A bracket that misses its rank is widened to the whole range; still exact.
+        # A bracket that misses its rank starts again from the whole range; still exact.
         wide = [(*t[:5], sketch[f"lo{t[0]}"], sketch[f"hi{t[0]}"]) for t in missing]
-        found.update(_ranked_values(values, wide))
+        found.update(_ranked_values(values, _halved(values, wide)))
     result = {c: [None] * len(probabilities) for c in columns}
     for i, j, first, second, part, _, _ in targets:
         a, b = found[(i, j)][first], found[(i, j)][second]
@@ -66,29 +67,60 @@ def exact_quantiles(df: DataFrame, columns, probabilities, extra=None):
     return (result, sketch) if extra else result
 
 
-def _narrowed(values: DataFrame, targets, slack: float):
-    """Targets with brackets cut down by a sketch of the rows inside each bracket."""
-    inside = [
-        F.when(F.col(f"c{t[0]}").between(F.lit(t[5]), F.lit(t[6])), F.col(f"c{t[0]}")) for t in targets
-    ]
-    counts = values.agg(
-        *[F.count_if(F.col(f"c{t[0]}") < F.lit(t[5])).alias(f"b{k}") for k, t in enumerate(targets)],
-        *[F.count(inside[k]).alias(f"i{k}") for k in range(len(targets))],
-    ).first()
-    edges = []
-    for k, t in enumerate(targets):
-        held = max(counts[f"i{k}"], 1)
-        low, high = ((rank - counts[f"b{k}"]) / held for rank in (t[2], t[3]))
-        edges.append([min(max(low - slack, 0.0), 1.0), min(max(high + slack, 0.0), 1.0)])
-    sketch = values.agg(
-        *[
-            F.percentile_approx(inside[k], edges[k], SKETCH_ACCURACY).alias(f"e{k}")
-            for k in range(len(targets))
-        ]
-    ).first()
-    return [
-        (*t[:5], *(sketch[f"e{k}"] if sketch[f"e{k}"] else t[5:])) for k, t in enumerate(targets)
-    ]
+def _place(value: float) -> int:
+    """Position of a double among all doubles: neighbours differ by one."""
+    bits = struct.unpack("<q", struct.pack("<d", value))[0]
+    return bits if bits >= 0 else -(1 << 63) - bits
+
+
+def _double(place: int) -> float:
+    return struct.unpack("<d", struct.pack("<q", place if place >= 0 else -(1 << 63) - place))[0]
+
+
+def _halved(values: DataFrame, targets) -> list:
+    """Targets whose brackets hold at most ``BRACKET_ROWS`` rows, or one value.
+
+    Each round cuts the brackets that hold more into ranges of equally many doubles and counts the
+    rows of each, so any column is settled in at most 11 rounds of one scan; only counts reach the
+    driver. A target whose two ranks lie in different ranges becomes two. A bracket that
+    does not hold its ranks is given back as it is and misses them.
+    """
+    settled, pending = [], list(targets)
+    while pending:
+        cuts = []
+        for *_, low, high in pending:
+            a, b = _place(low), _place(high) + 1
+            cuts.append(sorted({a + (b - a) * i // BRACKET_RANGES for i in range(BRACKET_RANGES)}) + [b])
+        counts, pending, asked = _range_counts(values, pending, cuts), [], pending
+        for k, (i, j, first, second, part, low, high) in enumerate(asked):
+            below, at = counts.get((k, -1), 0), {}
+            for r in range(len(cuts[k]) - 1):
+                held = counts.get((k, r), 0)
+                for rank in {first, second}:
+                    if below <= rank < below + held:
+                        at[rank] = (r, held)
+                below += held
+            if len(at) < len({first, second}):
+                settled.append((i, j, first, second, part, low, high))
+                continue
+            together = at[first] == at[second]
+            for ranks in [(first, second)] if together else [(first, first), (second, second)]:
+                r, held = at[ranks[0]]
+                start, end = cuts[k][r], cuts[k][r + 1] - 1
+                target = (i, j, *ranks, part, _double(start), _double(end))
+                (settled if held <= BRACKET_ROWS or start == end else pending).append(target)
+    return settled
+
+
+def _range_counts(values: DataFrame, targets, cuts) -> dict:
+    """``{(target, range): rows}``; range -1 holds the rows below a target's bracket."""
+    cells = []
+    for k, (i, *_, high) in enumerate(targets):
+        value, starts = F.col(f"c{i}"), F.array(*[F.lit(_double(c)) for c in cuts[k][:-1]])
+        place = F.size(F.filter(starts, lambda c: c <= value)) - 1
+        cells.append(F.when(value <= F.lit(high), F.struct(F.lit(k).alias("k"), place.alias("r"))))
+    counted = values.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).groupBy("x.k", "x.r").count()
+    return {(row["k"], row["r"]): row["count"] for row in counted.collect()}
 
 
 def _ranked_values(values: DataFrame, targets) -> dict:

@@ -1,6 +1,7 @@
 """Operators on small tables with known answers."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,51 @@ def test_approximate_options(spark, sf_dir):
     exact, near = traffic.summary_metrics(df).first(), traffic.summary_metrics(df, approximate=True).first()
     assert abs(exact["unique_src_ips"] - near["unique_src_ips"]) <= 0.2 * exact["unique_src_ips"]
     assert tables.describe(df, ["portdst"], approximate=True).first()["count"] == tables.describe(df, ["portdst"]).first()["count"]
+
+
+def test_places_of_doubles_keep_their_order():
+    values = [float("-inf"), -1e308, -1.5, -5e-324, 0.0, 5e-324, 1e-9, 1.5, 1e308, float("inf")]
+    places = [ordering._place(v) for v in values]
+    assert places == sorted(places) and [ordering._double(p) for p in places] == values
+    assert ordering._place(5e-324) == 1 and ordering._place(-5e-324) == -1 and ordering._place(-0.0) == 0
+
+
+def test_brackets_shrink_on_adversarial_columns(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "BRACKET_ROWS", 40)
+    monkeypatch.setattr(ordering, "SKETCH_ACCURACY", 20)  # brackets of the sketch hold far more rows than allowed
+    rng = np.random.RandomState(5)
+    wide = np.concatenate([10.0 ** rng.uniform(-300, 300, 1500), -(10.0 ** rng.uniform(-300, 300, 1500))])
+    near = 1.0 + rng.randint(0, 3000, 3000) * 2.0**-52  # neighbours among the doubles
+    hot = np.where(rng.rand(3000) < 0.6, 7.0, rng.normal(size=3000))
+    table = pd.DataFrame({"wide": wide, "near": near, "hot": hot})
+    df = spark.createDataFrame(table).repartition(5)
+    chances = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    held = []
+    ranked = ordering._ranked_values
+
+    def counting(values, targets):
+        for i, _, first, second, _, low, high in targets:
+            inside = table.iloc[:, i][table.iloc[:, i].between(low, high)]
+            held.append(0 if inside.nunique() == 1 else len(inside))
+        return ranked(values, targets)
+
+    monkeypatch.setattr(ordering, "_ranked_values", counting)
+    got = ordering.exact_quantiles(df, table.columns, chances)
+    for c in table.columns:
+        ordered = np.sort(table[c].to_numpy())
+        for p, value in zip(chances, got[c]):
+            place = (len(ordered) - 1) * p
+            low, high = ordered[int(place)], ordered[min(int(place) + 1, len(ordered) - 1)]
+            assert value == low + (high - low) * (place - int(place))
+    assert max(held) <= 40
+
+
+def test_brackets_that_miss_their_rank_start_again(spark, monkeypatch):
+    df = spark.range(0, 5000).select((F.col("id") % 977).cast("double").alias("v"))
+    monkeypatch.setattr(ordering, "BRACKET_ROWS", 30)
+    values = df.select(F.col("v").alias("c0"))
+    missed = ordering._halved(values, [(0, 0, 10, 11, 0.5, 900.0, 950.0)])
+    assert missed == [(0, 0, 10, 11, 0.5, 900.0, 950.0)]
+    found = ordering._ranked_values(values, ordering._halved(values, [(0, 0, 10, 2499, 0.5, 0.0, 976.0)]))
+    expected = np.sort(np.arange(5000) % 977)
+    assert found == {(0, 0): {10: expected[10], 2499: expected[2499]}}
