@@ -181,7 +181,8 @@ def train_chain(
     rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "doc_id", *[c for c in chosen.columns if c != "doc_id"])
     kinds = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields if f.name != "text"]
     packed = rows.mapInArrow(_distinct_words, ", ".join(["words binary", *[f"`{n}` {t}" for n, t in kinds]]))
-    fitted = packed.dropDuplicates(["doc_id"]).coalesce(1).sortWithinPartitions("doc_id")
+    one = packed.groupBy(*[n for n, _ in kinds]).agg(F.min("words").alias("words"))  # of several texts of an id, the same each time
+    fitted = one.coalesce(1).sortWithinPartitions("doc_id")
     models = fitted.mapInPandas(_fit(list(categories), features), "model binary").first().model
     return Chain(list(categories), [Linear(*m) for m in pickle.loads(models)])
 

@@ -115,6 +115,17 @@ def test_parities_rule_out_most_unlike_sets():
     assert may == [False, True]  # 900 of 1 100 shingles are shared by the near pair
 
 
+def test_toxicity_model_is_the_same_whatever_order_texts_of_an_id_come_in(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices("ab cd ef gh ij kl mn".split(), k=12))) for i in range(60) for _ in range(2)]
+    labels = spark.createDataFrame([(i, i % 3 % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    fitted = []
+    for order in (rows, rows[::-1]):
+        chain = toxicity.train_chain(spark.createDataFrame(order, "doc_id long, text string").coalesce(1), labels, features=64)
+        fitted.append([(m.words.tolist(), m.weights.tolist(), m.bias) for m in chain.models])
+    assert fitted[0] == fitted[1]
+
+
 def test_jaccard_keeps_columns_of_any_name(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(7, text, 70, "x", 1), (8, text, 80, "y", 2), (9, "other words", 90, "z", 3)]
