@@ -470,3 +470,13 @@ def test_empty_tables(spark, bpe, piece_path):
     for name, run in vars(runs).items():
         assert run().collect() == [], name
     assert decontaminate.contamination(frame(spark, [(1, "a b")]), items).collect()[0].n_hit == 0
+
+
+def test_pipeline_cuts_repeats_of_documents_without_n_chars(spark):
+    import corpus_pipeline
+
+    passage = " ".join(f"p{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, passage, "x"), (2, "own " + passage, "y"), (3, None, None)], "doc_id long, text string, `a.b` string")
+    cut = corpus_pipeline.repeated_passages(spark, docs, None)
+    assert cut.columns == docs.columns
+    assert sorted(map(tuple, cut.collect())) == [(1, passage, "x"), (2, "own", "y"), (3, None, None)]
