@@ -1,17 +1,22 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree in which every paragraph gives points for its length and its commas to
-its ancestors, the nearest most; a container's points are discounted by the share of its text
-that is link text. From the best container the tree is climbed to the article or main element
-around it, and on until all such elements of the page are held; without one, to the first ancestor
-that holds all of the page's unlinked text. That element is kept whole, with its siblings that are
-not mostly links. Elements that never belong to an article (menus, headers, footers, asides, forms,
-scripts, styles, adverts, notices, reader comments) are left out first, by element, attributes and
-whole class, id or role tokens; nothing is left out for being short.
-
-A null or empty page, or one without text, gives the empty string. Unclosed elements are
+its container, and half as many at each further step up; a container's points are discounted by the
+share of its text that is link text. The best container, or the outermost article or main element
+around it, is kept whole. On the way from it to the root its siblings are judged: those that are mostly
+links go, and so do those that have less than a fifth of the best container's points and are no paragraphs,
+no article and, where the best container lies in an article or main element, only hold paragraphs.
+
+Left out first is what never belongs to an article (menus, headers, footers, asides, forms, scripts, styles,
+adverts, notices, reader comments), by element, attributes and the words of class, id or role tokens. A token that
+has other words too counts if its word is telling anywhere (``comment-list``), or if the others only say where or
+what kind of box it is (``ad-slot``); such an element stays if it holds the page's main element, its first heading
+or all of its articles (``has-sidebar``). Nothing is left out for being short.
+
+A null or empty page, or one without text, gives the empty string. Attributes are read as browsers do; a quote
+that is never closed counts as part of an unquoted value; a tag that never ends is left out. Unclosed elements are
 closed as browsers do for paragraphs, list items and table cells; anything still open ends
-with the page. A page is worked on by itself, so memory follows the largest page.
+with the page. A page is worked on by itself in time linear in its length, so memory follows the largest page.
 """
 
 import html as entities
@@ -37,39 +42,62 @@ LEFT_OUT = frozenset(
     " dialog menu input label".split()
 )
 PARAGRAPHS = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6 figcaption".split())
-#: Words in a class, id or role that mark page furniture.
+#: Words in a class, id or role that mark page furniture where they stand alone.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner comment comments disqus respond reply"
     " cookie cookies consent notice notices alert popup modal newsletter subscribe sidebar aside menu nav navbar navigation"
     " breadcrumb breadcrumbs footer header masthead share sharing social related recommended widget toolbar pagination pager"
     " complementary contentinfo search login signup".split()
 )
+#: Those that mark it beside any other word.
+TELLING_WORDS = frozenset(
+    "advert adverts advertisement advertising sponsor sponsored promo comment comments disqus cookie cookies newsletter"
+    " sidebar navbar breadcrumb breadcrumbs pagination masthead".split()
+)
+#: Words for places and boxes, beside which any word of furniture marks it.
+BOXES = frozenset(
+    "area bar block body bottom box button buttons container content desktop fixed global group holder inner item items left"
+    " link links list main message mobile module outer overlay page panel popup post posts primary region right row secondary"
+    " section site slot stories sticky sub text thread title top unit user wrap wrapper zone articles".split()
+)
+SITE = frozenset("site page global top main".split())  # beside these "header" is the site's, not the article's
+DENYING = frozenset("has with no not without is hide free open closed".split())
 CONTENT = frozenset("article content main entry post story text body".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-TELLING = re.compile(r"class|id|role|hidden|style", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*([^\s>])?)?")
+UNQUOTED = re.compile(r"[^\s>]+")
+WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+TELLING = frozenset("class id role hidden aria-hidden style".split())
 UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+SIBLING_SHARE = 0.2
+PASSED_ON = 0.5
 
 
-@dataclass(eq=False)
+@dataclass(eq=False, slots=True)
 class Node:
     name: str
     parent: "Node | None" = None
     tokens: frozenset = frozenset()
     hidden: bool = False
+    within: frozenset = frozenset()
     inside: list = field(default_factory=list)
-    points: float = 0.0
+    out: bool = False
+    holds: int = 0
+    articles: int = 0
+    own: int = 0
+    commas: int = 0
     length: int = 0
     linked: int = 0
+    points: float = 0.0
+    reads: bool = False
 
-    def furniture(self) -> bool:
-        if self.name in LEFT_OUT or self.hidden:
-            return True
-        if self.name == "header":
-            return not any(a.name in ("article", "main") for a in self.ancestors())
-        if self.name in ("html", "body", "main") or not any(words <= FURNITURE for words in self.tokens):
-            return False
-        return self.name != "article" or any(a.name == "article" for a in self.ancestors())  # a reader's comment
+    def alone(self) -> bool:
+        """Whether a token says nothing but furniture."""
+        return any(words <= FURNITURE for words in self.tokens)
+
+    def named(self) -> bool:
+        """Whether a token of several words names furniture."""
+        return any(_names_furniture(words) for words in self.tokens)
 
     def ancestors(self):
         node = self.parent
@@ -78,99 +106,182 @@ class Node:
             node = node.parent
 
 
-def _attributes(rest: str) -> tuple[frozenset, bool]:
-    """Of a tag: the words of each class, id and role token, and whether it is hidden."""
-    if not TELLING.search(rest):
-        return frozenset(), False
-    found = {}
-    for name, value in ATTRIBUTE.findall(rest):
-        if value[:1] in ("'", '"'):
-            value = value[1:-1]
-        found.setdefault(name.lower(), entities.unescape(value))
-    tokens = " ".join(found.get(x, "") for x in ("class", "id", "role")).lower().split()
-    words = frozenset(frozenset(re.findall("[a-z]+", x)) for x in tokens) - {frozenset()}
-    hidden = "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true"
-    return words, hidden or bool(UNSHOWN.search(found.get("style", "")))
+def _names_furniture(words: frozenset) -> bool:
+    if words & DENYING:
+        return False
+    rest = words - FURNITURE
+    if words & TELLING_WORDS:
+        return True
+    return bool(words & FURNITURE) and rest <= BOXES and (words & FURNITURE != {"header"} or bool(rest & SITE))
+
 
+def _words(tokens: str) -> frozenset:
+    return frozenset(frozenset(w.lower() for w in WORD.findall(x)) for x in tokens.split()) - {frozenset()}
 
-def parse(page: str) -> Node:
+
+class Reader:
+    """Tags of a page, from left to right; every character is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.unclosed = page, set()
+
+    def tag(self, place: int):
+        """Of a tag whose name begins at ``place``: its name, telling attributes, whether it closes itself, and its end (None: never)."""
+        name = NAME.match(self.page, place)
+        place, found, n = name.end(), {}, len(self.page)
+        while True:
+            at = ATTRIBUTE.match(self.page, place)
+            if at is None:
+                end = self.page.find(">", place)
+                closed = self.page[end - 1 : end] == "/" and end > place
+                return name.group().lower(), found, closed, (end + 1 if end >= 0 else None)
+            key, place, value = at.group(1).lower(), at.end(), ""
+            if at.group(2):
+                place -= 1
+                value, place = self._value(place)
+            elif place >= n:
+                return name.group().lower(), found, False, None
+            if key in TELLING:
+                found.setdefault(key, entities.unescape(value))
+
+    def _value(self, place: int) -> tuple[str, int]:
+        quote = self.page[place]
+        if quote in "\"'" and quote not in self.unclosed:
+            end = self.page.find(quote, place + 1)
+            if end >= 0:
+                return self.page[place + 1 : end], end + 1
+            self.unclosed.add(quote)  # none follows, wherever one looks from
+        value = UNQUOTED.match(self.page, place)
+        return value.group(), value.end()
+
+    def parts(self):
+        """Texts, and (name, attributes, closing, closes itself) of tags; what stands in raw elements is passed over."""
+        page, place, text, n = self.page, 0, 0, len(self.page)
+        while True:
+            place = page.find("<", place)
+            if place < 0:
+                break
+            closing = page.startswith("</", place)
+            first = page[place + 1 + closing : place + 2 + closing]
+            if not (first.isascii() and first.isalpha()) and not (first in ("!", "?") or closing) or not first:
+                place += 1
+                continue
+            if place > text:
+                yield page[text:place]
+            if first.isascii() and first.isalpha():
+                name, found, closed, end = self.tag(place + 1 + closing)
+                if end is None:
+                    text = n
+                    break
+                yield name, found, closing, closed
+                if name in RAW and not closing:
+                    after = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, end)
+                    end = after.start() if after else n
+            elif page.startswith("<!--", place):
+                short = next((x for x in ("<!-->", "<!--->") if page.startswith(x, place)), None)
+                end = place + len(short) if short else page.find("-->", place + 4) + 3
+                end = end if short or end > 2 else n
+            else:
+                end = page.find(">", place) + 1 or n
+            place = text = end
+        if text < n:
+            yield page[text:]
+
+
+def parse(page: str) -> list[Node]:
+    """Elements of a page in page order, the root first."""
     root = Node("html")
-    at, place, raw = root, 0, None
-    for found in TOKEN.finditer(page):
-        if found.start() < place:
+    nodes, path, depths = [root], [root], {}
+
+    def shut(depth):
+        while len(path) > depth:
+            depths[path.pop().name].pop()
+
+    def deepest(names):
+        return max((depths[x][-1] for x in names if depths.get(x)), default=0)
+
+    for part in Reader(page).parts():
+        if isinstance(part, str):
+            path[-1].inside.append(part)
             continue
-        if found.start() > place:
-            at.inside.append(page[place : found.start()])
-        place = found.end()
-        closing, name, rest = found.group(1), (found.group(2) or "").lower(), found.group(3) or ""
-        if not name or name in ("html", "body"):
+        name, found, closing, closed = part
+        if name in ("html", "body"):
             continue
         if closing:
-            open_ = at
-            while open_ is not root and open_.name != name:
-                open_ = open_.parent
-            if open_ is not root:
-                at = open_.parent
+            if depths.get(name):
+                shut(depths[name][-1])
             continue
-        if name in CLOSES_P:
-            at = _close(at, ("p",), ("table", "td", "th", "button"))
+        if name in CLOSES_P and deepest(("p",)) > deepest(("table", "td", "th", "button")):
+            shut(deepest(("p",)))
         if name in CLOSES:
             names, stop = CLOSES[name]
-            at = _close(at, names.split(), stop)
-        node = Node(name, at, *_attributes(rest))
+            if deepest(names.split()) > deepest(stop):
+                shut(max(deepest(stop) + 1, min(depths[x][-1] for x in names.split() if depths.get(x) and depths[x][-1] > deepest(stop))))
+        at = path[-1]
+        tokens = _words(" ".join(found.get(x, "") for x in ("class", "id", "role"))) if found else frozenset()
+        hidden = "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or bool(UNSHOWN.search(found.get("style", "")))
+        within = at.within | {at.name} if at.name in ("article", "main") else at.within
+        node = Node(name, at, tokens, hidden, within)
         at.inside.append(node)
-        if name in RAW:
-            end = re.compile(f"</{name}\\s*>|$", re.I).search(page, place)
-            place = end.end() if end.end() > end.start() else len(page)
-        elif name not in VOID and not rest.endswith("/"):
-            at = node
-    if place < len(page):
-        at.inside.append(page[place:])
-    return root
-
-
-def _close(at: Node, names, stop) -> Node:
-    node = at
-    while node.parent is not None and node.name not in stop:
-        if node.name in names:
-            return node.parent
-        node = node.parent
-    return at
-
-
-def score(root: Node) -> list[Node]:
-    """Gives every container its points and lengths; returns the nodes in page order, without furniture."""
-    order, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        if node is not root and node.furniture():
-            continue
-        order.append(node)
-        stack.extend(x for x in reversed(node.inside) if isinstance(x, Node))
-    own = {id(n): "".join(x for x in n.inside if isinstance(x, str)) for n in order}
-    commas = {}
+        nodes.append(node)
+        if name not in VOID and name not in RAW and not closed:
+            depths.setdefault(name, []).append(len(path))
+            path.append(node)
+    return nodes
+
+
+def leave_out(nodes: list[Node]) -> list[Node]:
+    """Marks page furniture; returns the other nodes in page order."""
+    for node in nodes:
+        node.articles = int(node.name == "article" and not node.alone() and not node.named())
+        node.holds = int(node.name in ("main", "h1"))
+    for node in reversed(nodes[1:]):
+        node.parent.articles += node.articles
+        node.parent.holds += node.holds
+    every, kept = nodes[0].articles, [nodes[0]]
+    for node in nodes[1:]:
+        node.out = node.parent.out or node.hidden or node.name in LEFT_OUT or _furniture(node, every)
+        if not node.out:
+            kept.append(node)
+    return kept
+
+
+def _furniture(node: Node, every: int) -> bool:
+    if node.name == "header":
+        return not node.within
+    if node.name == "main" or not node.tokens:
+        return False
+    if node.name == "article":
+        return ("article" in node.within or every > 0) and (node.alone() or node.named()) and not node.articles
+    if node.alone():
+        return True
+    return node.named() and not node.holds and not (every and node.articles == every)
+
+
+def score(order: list[Node]) -> list[Node]:
+    """Gives every container among the nodes in page order its points and lengths."""
+    for node in order:
+        text = "".join(x for x in node.inside if isinstance(x, str))
+        node.own, node.commas = len(text.strip()), text.count(",")
+    passed = {}
     for node in reversed(order):
-        text = own[id(node)]
-        node.length += len(text.strip())
-        commas[id(node)] = commas.get(id(node), 0) + text.count(",")
+        node.length += node.own
         if node.name == "a":
             node.linked = node.length
-        if node.parent is not None:
-            node.parent.length += node.length
-            node.parent.linked += node.linked
+        points = 0.0
+        if node.length and (node.name in PARAGRAPHS or (node.name in BLOCKS and node.own)):
+            points = (1 + node.commas + min(node.length / 100, 3)) * (1 - node.linked / node.length)
+            node.reads = node.reads or (node.name in PARAGRAPHS and points > 0)
+        held = passed.get(id(node), 0.0)
+        up = node.parent
+        if up is not None:
+            up.length += node.length
+            up.linked += node.linked
+            up.reads = up.reads or node.reads
             if node.name not in BLOCKS:
-                commas[id(node.parent)] = commas.get(id(node.parent), 0) + commas[id(node)]
-    for node in order:
-        reads = node.name in PARAGRAPHS or (node.name in BLOCKS and own[id(node)].strip())
-        if not reads or not node.length:
-            continue
-        points = 1 + commas[id(node)] + min(node.length / 100, 3)
-        points *= 1 - node.linked / node.length
-        if node.name not in PARAGRAPHS:
-            node.points += points
-        for level, up in enumerate(node.ancestors()):
-            up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-    for node in order:
+                up.commas += node.commas
+            passed[id(up)] = passed.get(id(up), 0.0) + points + PASSED_ON * held
+        node.points = held + (points if node.name not in PARAGRAPHS else 0.0)
         if node.points:
             if node.name in ("article", "main") or any(words & CONTENT for words in node.tokens):
                 node.points += 25
@@ -178,27 +289,30 @@ def score(root: Node) -> list[Node]:
     return order
 
 
-def article_of(root: Node) -> tuple[Node, set[int]]:
-    """The element that holds the article, and which of its children, mostly links beside the article, do not belong to it."""
-    order = score(root)
-    best = max(order, key=lambda n: n.points, default=None)
-    if best is None or best.points <= 0:
-        return root, set()
-    marked = [n for n in order if n.name in ("article", "main") and n.points > 0]
-    around = {id(best), *map(id, best.ancestors())}
-    if any(id(n) in around for n in marked):
-        held = {}
-        for n in marked:
-            for up in (n, *n.ancestors()):
-                held[id(up)] = held.get(id(up), 0) + 1
-        whole = lambda n: held.get(id(n), 0) == len(marked)
-    else:
-        whole = lambda n: n.length - n.linked == root.length - root.linked
-    kept = next(n for n in (best, *best.ancestors()) if whole(n))
-    if kept.parent is None:
-        return kept, set()
-    beside = [x for x in kept.parent.inside if isinstance(x, Node) and x is not kept]
-    return kept.parent, {id(x) for x in beside if x.linked * 2 > x.length}
+def article_of(nodes: list[Node]) -> tuple[Node, set[int]]:
+    """The root, and which elements beside the best container's way to it do not belong to the article."""
+    order = score(leave_out(nodes))
+    best = max(order, key=lambda n: n.points)
+    if best.points <= 0:
+        return nodes[0], set()
+    marked = [n for n in (best, *best.ancestors()) if n.name in ("article", "main")]
+    top = marked[-1] if marked else best
+    left_out, at = set(), top
+    while at.parent is not None:
+        for x in at.parent.inside:
+            if isinstance(x, Node) and x is not at and not x.out and not _belongs(x, best, bool(marked)):
+                left_out.add(id(x))
+        at = at.parent
+    return nodes[0], left_out
+
+
+def _belongs(beside: Node, best: Node, marked: bool) -> bool:
+    """Whether an element beside the article is part of it."""
+    if beside.linked * 2 > beside.length:
+        return False
+    if beside.name not in BLOCKS or beside.name in PARAGRAPHS or beside.articles or beside.name == "main":
+        return True
+    return beside.points >= SIBLING_SHARE * best.points or (beside.reads and not marked)
 
 
 def blocks(kept: Node, left_out: set[int]) -> list[str]:
@@ -206,7 +320,7 @@ def blocks(kept: Node, left_out: set[int]) -> list[str]:
     out, line = [], []
 
     def flush():
-        text = " ".join(entities.unescape("".join(line)).split())
+        text = " ".join("".join(line).split())
         line.clear()
         if text:
             out.append(text)
@@ -215,12 +329,12 @@ def blocks(kept: Node, left_out: set[int]) -> list[str]:
     while stack:
         x, leave = stack.pop()
         if isinstance(x, str):
-            line.append(x)
+            line.append(entities.unescape(x))
             continue
         if leave:
             flush()
             continue
-        if x.parent is not None and (x.furniture() or id(x) in left_out):
+        if x.out or id(x) in left_out:
             continue
         if x.name == "br":
             line.append(" ")

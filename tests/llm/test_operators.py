@@ -1,6 +1,7 @@
 """The operators against brute force on small, awkward tables: nulls, ties, repeated rows, long texts, odd columns."""
 
 import random
+import time
 import tracemalloc
 from types import SimpleNamespace
 
@@ -331,6 +332,64 @@ def test_html_keeps_whole_articles():
         assert html.main_text(page) == want, page[:200]
 
 
+FURNITURE_NAMES = (
+    "comment-list comments-area user-comments comment-body post-comments commentList cookie-bar notice-bar site-header site-footer"
+    " sidebar-left main-nav ad-slot ad-container promo-box related-posts"
+).split()
+
+
+@pytest.mark.parametrize("name", FURNITURE_NAMES)
+def test_html_leaves_out_furniture_by_telling_words(name):
+    assert html.main_text(f"<article><p>Real text.</p><div class='x {name}'><p>bad</p></div></article>") == "Real text."
+    assert html.main_text(f"<article><p>Real text.</p></article><section id='{name}'><p>bad, bad, bad</p></section>") == "Real text."
+
+
+@pytest.mark.parametrize("name", "post-header share-price has-sidebar comments-open article-body ad-free search-results header-image".split())
+def test_html_keeps_what_is_only_named_alike(name):
+    assert html.main_text(f"<div class='{name}'><p>good</p></div>") == "good"
+
+
+def test_html_keeps_what_holds_the_article():
+    assert html.main_text("<div class='sidebar-right'><h1>Head</h1><p>good</p></div>") == "Head\ngood"
+    assert html.main_text("<div class='promo-box'><article><p>good</p></article></div>") == "good"
+    assert html.main_text("<div class='related-posts'><article><p>bad</p></article></div><article><p>good, good</p></article>") == "good, good"
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<p title=it's>Hello", "Hello"), ('<a href="x>link', "link"), ("a < b <3 c", "a < b <3 c"), ("x <b", "x"), ("x <", "x <"), ("x </", "x </"),
+    ("<p a='>'b>t", "t"), ("<p/ x = y>t", "t"), ("a<!-->b<!--->c<!-- - -> d -->e<!-- f", "abce"), ("a<!x>b<?y>c</ z>d", "abcd"), ("a&<b>lt;</b>", "a&lt;"),
+    ("<SCRIPT>x</Scripty></script >t", "t"), ("<ul><li>a<ul><li>b</ul><li>c</ul>", "a\nb\nc"), ("<table><tr><td>a<td>b<tr><td>c</table>d", "a\nb\nc\nd"),
+])
+def test_html_reads_odd_markup(page, want):
+    assert html.main_text(page) == want
+
+
+def test_html_scores_decide(monkeypatch):
+    long = "<p>" + "long text, " * 30 + "</p>"
+    page = f"<div>Offer of the day</div><div><ul><li><a href=x>one</a><li><a href=y>two</a></ul></div><div><p>Short.</p></div><div>{long * 3}</div>"
+    want = "\n".join(["Short.", *[("long text, " * 30).strip()] * 3])
+    assert html.main_text(page) == want
+    aside = f"<div><p>A box.</p></div><article>{long * 3}</article><h2>End</h2>"
+    assert html.main_text(aside) == "\n".join([*[("long text, " * 30).strip()] * 3, "End"])
+    scored = html.score
+
+    def upside_down(order):
+        for node in scored(order):
+            node.points = 1 / node.points if node.points > 0 else 0.0
+        return order
+
+    monkeypatch.setattr(html, "score", upside_down)
+    assert html.main_text(page) != want
+    assert "A box." in html.main_text(aside)
+
+
+@pytest.mark.parametrize("piece", ["<div>", "</i></div>", '<a href="', "<p><b>", "<ul><li>", "<!--", "<", "<script>", "<table><tr><td>", "<a b='>", "<header>", "<article>"])
+def test_html_takes_linear_time(piece):
+    start = time.monotonic()
+    html.main_text(piece * (1_000_000 // len(piece)) + "x")
+    assert time.monotonic() - start < 30
+
+
 def test_licenses(spark):
     rows = corpus(3) + [
         (900, "Released under the MIT license. under the mit\nlicense"), (901, "CC-BY-NC, cc by nc and Apache License, version 2.0"),
