@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from flowlens.catalog.base import Query, rounded
+from flowlens.catalog.base import FLOWS_CTE, Query, rounded
 from flowlens.catalog.feature_sets import labelled
 from flowlens.evaluation import validation
 from flowlens.fixtures import flows, table
@@ -10,6 +10,7 @@ from flowlens.ml.anomaly import apply_anomaly_detector, detect_anomalies
 from flowlens.ml.classify import predict, train
 from flowlens.ml.clustering import apply_clusterer, cluster, elbow
 from flowlens.ml.dbscan import dbscan, eps_neighbors
+from flowlens.ml.exact_tree import fit_exact_tree
 from flowlens.ml.iforest import anomaly_attribution, attribution_summary, fit_isolation_forest
 from flowlens.ml.knn import KNNModel, knn_leave_one_out
 from flowlens.ml.neighbors import knn_join
@@ -143,6 +144,48 @@ over_labelled("gradient_boosting", _predicted("gradient_boosting", n_estimators=
 over_labelled("svm", _predicted("svm", scale=True))
 over_labelled("svm_linear", _predicted("svm", scale=True, kernel="linear"))
 over_labelled("predict", _predicted("knn", scale=True, n_neighbors=3))
+
+# Two levels of a tree over the flows themselves; SQL looks for the splits of the root, then of its children.
+TREE_INPUTS = ["portdst", "portsrc", "hour", "regle_group"]
+
+
+def _tree_splits(spark, sf):
+    rows = flows(spark, sf).withColumns({"hour": F.hour("date"), "regle_group": F.col("regle") % 7})
+    rows = rows.select(F.array(*[F.col(c).cast("double") for c in TREE_INPUTS]).alias("vec"), (F.col("action") == "PERMIT").cast("int").alias("label"))
+    rows = rows.filter("label is not null")
+    return rounded(fit_exact_tree(rows, TREE_INPUTS, 2, max_depth=2, min_samples_split=20, min_samples_leaf=5).table(spark))
+
+
+def _splits_sql(rows, name):
+    """Best split of each node of ``rows``."""
+    return f"""{name}_counts as (select node, f, value, sum(1 - label) as a, sum(label) as b from (
+      unpivot {rows} on portdst, portsrc, hour, regle_group into name f value value) group by node, f, value),
+    {name}_sums as (select node, f, value, lead(value) over w as following, sum(a) over w as a, sum(b) over w as b,
+      sum(a) over (partition by node, f) as all_a, sum(b) over (partition by node, f) as all_b
+      from {name}_counts window w as (partition by node, f order by value)),
+    {name} as (select node, f, case when value / 2 + following / 2 < following then value / 2 + following / 2 else value end as threshold,
+      all_a + all_b as rows, a + b as lower_rows,
+      (a::double * a + b::double * b) / (a + b)
+        + ((all_a - a)::double * (all_a - a) + (all_b - b)::double * (all_b - b)) / (all_a + all_b - a - b) as gain,
+      (all_a::double * all_a + all_b::double * all_b) / (all_a + all_b) as base
+      from {name}_sums where following is not null and a + b >= 5 and all_a + all_b - a - b >= 5
+        and all_a + all_b >= 20 and all_a > 0 and all_b > 0
+      qualify row_number() over (partition by node order by gain desc, list_position({TREE_INPUTS}, f), value) = 1)"""
+
+
+add(
+    "exact_tree",
+    _tree_splits,
+    f"""with {FLOWS_CTE}, rows0 as (select 0 as node, portdst::double as portdst, portsrc::double as portsrc,
+      hour(date)::double as hour, (regle % 7)::double as regle_group, (action = 'PERMIT')::int as label from flows
+      where portdst is not null and portsrc is not null and date is not null and regle is not null and action is not null),
+    {_splits_sql('rows0', 'top')},
+    rows1 as (select case when (case top.f when 'portdst' then portdst when 'portsrc' then portsrc when 'hour' then hour
+      else regle_group end) <= top.threshold then 1 else 2 end as node, portdst, portsrc, hour, regle_group, label from rows0, top),
+    {_splits_sql('rows1', 'below')}
+    select node, f as feature, round(threshold, 6) as threshold, rows::bigint as rows, lower_rows::bigint as lower_rows,
+      round(gain - base, 6) as decrease from (from top union all from below)""",
+)
 over_labelled(
     "feature_importance",
     lambda df: train(df, "decision_tree", INPUTS, max_depth=5).feature_importance(10),

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.errors import ModelError
+from flowlens.ml.exact_tree import ExactTree, fit_exact_tree
 from flowlens.ml.kernels import COMPONENTS, LandmarkMap, fit_landmarks, scale_gamma
 from flowlens.ml.knn import KNNModel
 from flowlens.operators.columns import numeric_columns
@@ -91,6 +92,8 @@ class TrainedClassifier:
         if isinstance(self.model, KNNModel):
             found = self.model.predict(self._scaled(df), self.positive)
             return df.join(found.select(self.key, "prediction", "probability"), self.key)
+        if isinstance(self.model, ExactTree):
+            return self._tree_predictions(df)
         scored = self.model.transform(self._vectors(df))
         label = F.element_at(
             F.array(*[F.lit(x) for x in self.labels]), F.col("_prediction").cast("int") + 1
@@ -104,6 +107,16 @@ class TrainedClassifier:
             columns.append(vector_to_array("_probability")[position].alias("probability"))
         return scored.select(*columns)
 
+    def _tree_predictions(self, df: DataFrame) -> DataFrame:
+        vec = _vector(self.features, self.scaler)
+        scored = df.filter(~F.exists(vec, lambda x: x.isNull() | F.isnan(x))).withColumn("_shares", self.model.shares(df.sparkSession, vec))
+        names = F.array(*[F.lit(x) for x in self.labels])
+        label = F.element_at(names, F.array_position("_shares", F.array_max("_shares")).cast("int"))
+        columns = [F.col(c) for c in df.columns] + [label.alias("prediction")]
+        if self.positive in self.labels:
+            columns.append(F.col("_shares")[self.labels.index(self.positive)].alias("probability"))
+        return scored.select(*columns)
+
     def feature_importance(self, n: int | None = None) -> DataFrame:
         """``(feature, importance)``, largest first; coefficients count by size."""
         if hasattr(self.model, "featureImportances"):
@@ -131,6 +144,11 @@ class TrainedClassifier:
         return (self.model.numNodes + 1) // 2
 
 
+def _vector(features, scaler):
+    """Array of the scaled features."""
+    return F.array(*[(F.col(f) - scaler.shift[f]) / scaler.scale[f] if scaler else F.col(f).cast("double") for f in features])
+
+
 def _assemble(df, features, scaler, landmarks) -> DataFrame:
     """Adds ``_features``; the original columns stay unscaled."""
     names = [f"_f{i}" for i in range(len(features))]
@@ -157,7 +175,11 @@ def train(
     scale: bool = False,
     **params,
 ) -> TrainedClassifier:
-    """Fits a registered classifier on a labelled table."""
+    """Fits a registered classifier on a labelled table.
+
+    A ``decision_tree`` looks at every distinct value if ``exact`` is set or ``min_samples_split`` is given; else at
+    Spark's 32 bins of each feature.
+    """
     if model_key not in CLASSIFIERS:
         raise ModelError(f"unknown classifier: {model_key}")
     features = list(features or numeric_columns(df, exclude=(target, key)))
@@ -170,6 +192,11 @@ def train(
         labels = sorted(r[0] for r in df.select(target).distinct().collect())
         return TrainedClassifier(model_key, model, features, target, key, labels, positive, scaler, params=params)
     encoded, indexer = encode_label(df, target, "_label")
+    if model_key == "decision_tree" and (params.get("exact") or "min_samples_split" in params):
+        rows = encoded.select(_vector(features, scaler).alias("vec"), F.col("_label").alias("label"))
+        limits = {name: params[name] for name in ("max_depth", "min_samples_split", "min_samples_leaf") if name in params}
+        model = fit_exact_tree(rows, features, len(indexer.labels), **limits)
+        return TrainedClassifier(model_key, model, features, target, key, list(indexer.labels), positive, scaler, params=params)
     landmarks = None
     if model_key == "svm" and params.get("kernel", "rbf") == "rbf":
         scaled = (scaler.transform(df) if scaler else df).na.drop(subset=features)

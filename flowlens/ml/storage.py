@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 from flowlens.errors import ModelError
 from flowlens.ml.classify import TrainedClassifier
 from flowlens.ml.clustering import KMeansClusterer
+from flowlens.ml.exact_tree import ExactTree
 from flowlens.ml.iforest import NODE_SCHEMA, IsolationForest
 from flowlens.ml.kernels import LandmarkMap, OneClassSVM
 from flowlens.ml.knn import KNNModel
@@ -59,6 +60,8 @@ def save_model(model, folder: str, name: str, spark: SparkSession | None = None)
         if isinstance(model.model, KNNModel):
             state["knn"] = {"k": model.model.k, "weights": model.model.weights}
             model.model.references.write.mode("overwrite").parquet(f"{path}/references")
+        elif isinstance(model.model, ExactTree):
+            state["tree"] = vars(model.model)
         else:
             model.model.write().overwrite().save(f"{path}/model")
         if model.calibration is not None:
@@ -107,6 +110,8 @@ def load_model(spark: SparkSession, folder: str, name: str):
         if "knn" in state:
             references = spark.read.parquet(f"{path}/references")
             model = KNNModel(references, state["features"], state["target"], state["key"], **state["knn"])
+        elif "tree" in state:
+            model = ExactTree(**state["tree"])
         else:
             model = SPARK_MODELS[state["model_key"]].load(f"{path}/model")
         calibration = LogisticRegressionModel.load(f"{path}/calibration") if state["calibrated"] else None

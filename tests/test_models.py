@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowlens.errors import ModelError
 from flowlens.evaluation import validation
-from flowlens.ml import anomaly, classify, clustering, dbscan, iforest, knn, lof, neighbors, storage
+from flowlens.ml import anomaly, classify, clustering, dbscan, exact_tree, iforest, knn, lof, neighbors, storage
 from flowlens.operators.preparation import pca
 
 
@@ -374,3 +374,74 @@ def test_svm_by_landmarks_is_as_right_as_the_exact_kernel(spark):
     plain = np.linalg.solve(kernel + 1e-2 * np.eye(1000), np.where(inside, 1.0, -1.0))
     exact = np.mean((kernel @ plain > 0) == inside)
     assert right > exact - 0.02 and model.landmarks.residual < 1e-3
+
+
+def brute_tree(matrix, label, classes, max_depth, least_split, least_leaf):
+    """Nodes of the exact tree in the order of levels: (feature, threshold, label counts)."""
+    nodes, level = [], [(np.arange(len(matrix)), 0)]
+    purity = lambda rows: float((np.bincount(label[rows], minlength=classes).astype(float) ** 2).sum()) / len(rows)
+    while level:
+        following = []
+        for rows, depth in level:
+            counts, best = np.bincount(label[rows], minlength=classes), None
+            if (max_depth is None or depth < max_depth) and len(rows) >= least_split and counts.max() < len(rows):
+                for f in range(matrix.shape[1]):
+                    values = np.unique(matrix[rows, f])
+                    for a, b in zip(values[:-1], values[1:]):
+                        low, high = rows[matrix[rows, f] <= a], rows[matrix[rows, f] > a]
+                        if min(len(low), len(high)) >= least_leaf:
+                            gain = purity(low) + purity(high)
+                            if best is None or gain > best[0]:
+                                best = (gain, f, a / 2 + b / 2, low, high)
+            nodes.append((best[1] if best else -1, best[2] if best else 0.0, counts.tolist()))
+            following += [(best[3], depth + 1), (best[4], depth + 1)] if best else []
+        level = following
+    return nodes
+
+
+@pytest.mark.parametrize("ranges,depth,split,leaf", [(256, None, 2, 1), (3, 4, 30, 1), (8, 5, 2, 9)])
+def test_exact_tree_finds_the_best_splits(spark, ranges, depth, split, leaf):
+    random = np.random.RandomState(8)
+    matrix = np.column_stack([random.randint(0, 6, 240), random.randn(240), np.where(random.rand(240) < 0.7, 3.0, random.randn(240)), np.ones(240)])
+    label = (matrix[:, 0] + matrix[:, 1] * 2 + random.randn(240) > 3).astype(int) + (matrix[:, 2] > 3)
+    rows = [(x.tolist(), int(y)) for x, y in zip(matrix, label)] + [([None, 1.0, 2.0, 1.0], 0), ([0.0, float("nan"), 2.0, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec array<double>, label int").repartition(5)
+    tree = exact_tree.fit_exact_tree(df, list("abcd"), 3, depth, split, leaf, ranges)
+    got = list(zip(tree.feature, tree.threshold, tree.counts))
+    assert got == brute_tree(matrix, label, 3, depth, split, leaf)
+    assert len(got) > 5 and "d" not in [tree.names[f] for f in tree.feature if f >= 0]
+
+
+def test_exact_tree_splits_without_gain(spark):
+    rows = [([float(a), float(b)], a ^ b) for a in (0, 1) for b in (0, 1)] * 3
+    tree = exact_tree.fit_exact_tree(spark.createDataFrame(rows, "vec array<double>, label int"), ["a", "b"], 2)
+    assert tree.numNodes == 7 and [tree.names[f] for f in tree.feature[:3]] == ["a", "b", "b"]
+    assert tree.featureImportances.toArray().tolist() == [0.0, 1.0]
+
+
+def test_exact_tree_of_one_label_or_no_rows(spark):
+    one = exact_tree.fit_exact_tree(spark.createDataFrame([([1.0], 0), ([2.0], 0)], "vec array<double>, label int"), ["a"], 1)
+    assert one.feature == [-1] and one.counts == [[2]]
+    with pytest.raises(ModelError):
+        exact_tree.fit_exact_tree(spark.createDataFrame([([None], 0)], "vec array<double>, label int"), ["a"], 1)
+
+
+def test_exact_tree_bounds_its_nodes(spark, monkeypatch):
+    monkeypatch.setattr(exact_tree, "MAX_NODES", 5)
+    rows = [([float(i)], i % 2) for i in range(20)]
+    with pytest.raises(ModelError):
+        exact_tree.fit_exact_tree(spark.createDataFrame(rows, "vec array<double>, label int"), ["a"], 2)
+
+
+def test_decision_tree_with_a_minimum_split_size(spark, rings, tmp_path):
+    model = classify.train(rings, "decision_tree", ["x", "y"], key="id", min_samples_split=20, scale=True)
+    assert all(sum(c) >= 20 for f, c in zip(model.model.feature, model.model.counts) if f >= 0)
+    found = {r["id"]: (r["risk"], r["prediction"], r["probability"]) for r in model.predict(rings).collect()}
+    assert sum(a == b for a, b, _ in found.values()) > 285 and all(0 <= p <= 1 for _, _, p in found.values())
+    assert model.leaf_count() == sum(f < 0 for f in model.model.feature)
+    assert {r["feature"] for r in model.feature_importance().collect()} == {"x", "y"} and "x <=" in model.rules()
+    storage.save_model(model, str(tmp_path), "tree")
+    again = storage.load_model(spark, str(tmp_path), "tree").predict(rings).collect()
+    assert {r["id"]: (r["risk"], r["prediction"], r["probability"]) for r in again} == found
+    missing = model.predict(rings.limit(3).withColumn("x", F.lit(None).cast("double")))
+    assert missing.columns == [*rings.columns, "prediction", "probability"] and missing.count() == 0
