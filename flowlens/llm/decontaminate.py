@@ -6,8 +6,10 @@ that says how far a scan may jump after reading a block of two words, buckets of
 the hash of their last block, and a direct comparison of the words. A slice of documents is
 scanned in many lanes at once, each jumping by its own shifts.
 
-Benchmarks of any size: items are dealt into blocks of a bounded number of windows and the
-documents pass through one scan per block, in one stage, without a shuffle.
+Benchmarks of any size: Spark cuts items into pieces of a bounded number of windows, which overlap so that every
+window lies in one piece, and deals them into blocks of a bounded number of windows. Documents pass
+through one scan per block, without a shuffle. The driver and the tasks hold one block at a time: where there are
+several, what was found so far is written out after each.
 
 Nulls: a null text has no words; benchmark rows without id or words are no items. Repeated
 items count once, repeated documents each give their row. Only the named columns are read,
@@ -21,9 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.llm.wordscan import Splitter, runs, slices
+from flowlens.session import materialize
 
 LANE_WORDS = 1024
 BLOCK_WINDOWS = 200_000
+PIECE_WINDOWS = 4_096
+WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 STATE = T.StructType().add("text", "string").add("words", "long")
 for _name in ("starts", "ends", "items"):
     STATE.add(_name, T.ArrayType(T.LongType()))
@@ -118,16 +123,23 @@ def _scan(tables: list[Patterns]):
     return run
 
 
+def benchmark_pieces(benchmark: DataFrame, window: int, piece_windows: int = PIECE_WINDOWS) -> DataFrame:
+    """(item_id, text): each item's words in pieces of at most ``piece_windows`` windows; no item without words."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = items.select("item_id", F.regexp_extract_all(lower, F.lit(WORDS), F.lit(0)).alias("words")).where(F.size("words") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (window - 1), F.lit(1)), F.lit(piece_windows))
+    piece = F.transform(starts, lambda at: F.array_join(F.slice("words", at, piece_windows + window - 1), " "))
+    return words.select("item_id", F.explode(piece).alias("text")).distinct()
+
+
 def benchmark_blocks(benchmark: DataFrame, window: int, limit: int):
-    """Lists of (item_id, text), each of about ``limit`` windows: what one scan holds in memory."""
-    items = benchmark.where("item_id is not null and text is not null").select(
-        F.col("item_id").cast("long").alias("item_id"), "text"
-    )
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    """Number of blocks, and the blocks: lists of (item_id, text) of about ``limit`` windows, which one scan holds in memory."""
+    pieces = materialize(benchmark_pieces(benchmark, window, min(PIECE_WINDOWS, limit)), "benchmark-pieces")
+    total = pieces.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     n = -(-total // (2 * limit)) or 1
-    block = F.pmod(F.xxhash64("item_id"), F.lit(n))
-    for i in range(n):
-        yield [(r.item_id, r.text) for r in items.where(block == i).toLocalIterator()]
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    return n, ([(r.item_id, r.text) for r in pieces.where(block == i).collect()] for i in range(n))
 
 
 def find_occurrences(
@@ -140,8 +152,11 @@ def find_occurrences(
         F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != "text"]).alias("row"),
     )
     schema = T.StructType([*STATE.fields, state.schema["row"]])
-    for items in benchmark_blocks(benchmark, window, block_windows):
+    n, blocks = benchmark_blocks(benchmark, window, block_windows)
+    for items in blocks:
         state = state.mapInArrow(_scan(compile_patterns(items, window)), schema)
+        if n > 1:
+            state = materialize(state, "occurrences")
     return state
 
 

@@ -332,6 +332,24 @@ def test_html_keeps_whole_articles():
         assert html.main_text(page) == want, page[:200]
 
 
+def test_contamination_by_pieces_and_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    words = "Ab cd éf GH 中文 ij2 kl".split()
+    texts = [" ".join(rng.choices(words, k=n)) for n in (400, 3, 12, 11, 1)]
+    items = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (1, texts[2]), (None, "ab"), (9, None), (8, "12 !"), (7, "")]
+    long = texts[0].split()
+    docs = [(i, " ".join(long[a : a + 25]) + " zz " + texts[i % 5]) for i, a in enumerate(range(0, 380, 19))] + [(50, None), (51, "ab cd"), (0, texts[1])]
+    bench = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, words string")
+    pieces = decontaminate.benchmark_pieces(bench, 10, 7).collect()
+    assert max(len(r.text.split()) for r in pieces) == 16 and sum(r.item_id == 0 for r in pieces) > 50
+    want = ordered(brute.decontaminate(docs, items, 10))
+    assert collected(decontaminate.contamination(frame(spark, docs), bench)) == want
+    monkeypatch.setattr(decontaminate, "PIECE_WINDOWS", 7)
+    monkeypatch.setattr(decontaminate.find_occurrences, "__defaults__", (10, 100))
+    assert decontaminate.benchmark_blocks(bench, 10, 100)[0] > 3
+    assert collected(decontaminate.contamination(frame(spark, docs), bench)) == want
+
+
 FURNITURE_NAMES = (
     "comment-list comments-area user-comments comment-body post-comments commentList cookie-bar notice-bar site-header site-footer"
     " sidebar-left main-nav ad-slot ad-container promo-box related-posts"
