@@ -34,6 +34,8 @@ LEAST_DOCUMENTS = 5
 LEAST_SCORE = 20.0
 PREFIX_BYTES = 5
 BALANCE = 0.5
+# (row, word) pairs that training adds up at a time.
+PAIRS = 1 << 21
 
 
 @dataclass
@@ -55,36 +57,47 @@ class Linear:
         return total
 
 
+def _sums(at: np.ndarray, size: int, values=None, of=None) -> np.ndarray:
+    """Sums of ``values[of]`` (of ones without them) by number ``at``."""
+    total = np.zeros(size)
+    for first in range(0, len(at), PAIRS):
+        part = slice(first, first + PAIRS)
+        total += np.bincount(at[part], weights=None if values is None else values[of[part]], minlength=size)
+    return total
+
+
 def _select(row, word, target, features: int) -> np.ndarray:
-    """Words that tell the classes apart best (chi-square over documents that hold them)."""
-    words, at = np.unique(word, return_inverse=True)
-    n, p = np.bincount(at), target.mean()
-    hit = np.bincount(at, weights=target[row])
-    score = (hit - n * p) ** 2 / (n * p * (1 - p))
-    score[(n < LEAST_DOCUMENTS) | (score < LEAST_SCORE)] = 0
-    best = np.lexsort((words, -score))[:features]
-    return np.sort(words[best[score[best] > 0]])
+    """Numbers of the words that tell the classes apart best (chi-square over documents that hold them)."""
+    size, p = int(word.max(initial=-1)) + 1, target.mean()
+    n, hit = _sums(word, size), _sums(word, size, target, row)
+    with np.errstate(invalid="ignore"):  # words of other folds only
+        score = (hit - n * p) ** 2 / (n * p * (1 - p))
+    score[(n < LEAST_DOCUMENTS) | ~(score >= LEAST_SCORE)] = 0
+    best = np.lexsort((np.arange(size), -score))[:features]
+    return np.sort(best[score[best] > 0])
 
 
 def fit_linear(row, word, target: np.ndarray, dense: np.ndarray, features: int) -> Linear:
+    """Model of the distinct (row, word number) pairs."""
     rows = len(target)
     p = target.mean() if rows else 0.0
     if p in (0.0, 1.0):
-        return Linear(np.zeros(0, np.uint64), np.zeros(0), np.zeros(dense.shape[1]), 20.0 if p else -20.0)
+        return Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(dense.shape[1]), 20.0 if p else -20.0)
     words = _select(row, word, target, features)
-    at = np.minimum(np.searchsorted(words, word), max(len(words) - 1, 0))
-    hit = words[at] == word if len(words) else np.zeros(len(word), bool)
-    row, at = row[hit], at[hit]
-    held, told = np.bincount(at, minlength=len(words)), np.bincount(at, weights=target[row], minlength=len(words))
+    place = np.full(int(word.max(initial=-1)) + 1, -1, np.int32)
+    place[words] = np.arange(len(words))
+    hit = place[word] >= 0
+    row, at = row[hit], place[word[hit]]
+    held, told = _sums(at, len(words)), _sums(at, len(words), target, row)
     weights = np.log((told + 0.5) / (held - told + 0.5) * (1 - p) / p)  # start at the words' own log-odds
     share = np.where(target > 0, ((1 - p) / p) ** BALANCE, 1.0)  # the rarer class counts more
     share /= share.sum()
     extra, bias = np.zeros(dense.shape[1]), (1 - BALANCE) * float(np.log(p / (1 - p)))
     seen = [np.full(len(words), 1e-8), np.full(dense.shape[1], 1e-8), 1e-8]
     for _ in range(STEPS):
-        odds = bias + np.bincount(row, weights=weights[at], minlength=rows) + dense @ extra
+        odds = bias + _sums(row, rows, weights, at) + dense @ extra
         error = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - target) * share
-        slopes = [np.bincount(at, weights=error[row], minlength=len(words)) + PENALTY * weights, dense.T @ error + PENALTY * extra, error.sum()]
+        slopes = [_sums(at, len(words), error, row) + PENALTY * weights, dense.T @ error + PENALTY * extra, error.sum()]
         seen = [s + g * g for s, g in zip(seen, slopes)]
         weights, extra, bias = (v - 0.3 * g / np.sqrt(s) for v, g, s in zip((weights, extra, bias), slopes, seen))
     return Linear(words, weights, extra, float(bias))
@@ -103,8 +116,11 @@ class Chain:
         return odds
 
 
-def fit_chain(row, word, targets: np.ndarray, folds: np.ndarray, categories: list[str], features: int) -> Chain:
-    """``targets``: a column of 0/1 for each category; ``folds``: the fold of each row."""
+def fit_chain(row, word, targets: np.ndarray, folds: np.ndarray, categories: list[str], features: int, vocabulary=None) -> Chain:
+    """``targets``: a column of 0/1 for each category; ``folds``: the fold of each row; ``word``: words, or their
+    numbers in a sorted ``vocabulary``."""
+    if vocabulary is None:
+        vocabulary, word = np.unique(word, return_inverse=True)
     rows, models = len(targets), []
     odds = np.zeros((rows, 0))
     for c in range(len(categories)):
@@ -112,13 +128,15 @@ def fit_chain(row, word, targets: np.ndarray, folds: np.ndarray, categories: lis
         if c < len(categories) - 1:
             for fold in range(FOLDS):
                 out = folds == fold
-                number = np.cumsum(~out) - 1
-                part = ~out[row]
-                model = fit_linear(number[row[part]], word[part], target[~out], odds[~out], features)
-                held_out[out] = model.log_odds(row, word, rows, odds)[out]
+                inside, beyond = (np.cumsum(x).astype(np.int32) - 1 for x in (~out, out))
+                part = out[row]
+                asked = beyond[row[part]], word[part], int(out.sum()), odds[out]
+                part = ~part
+                model = fit_linear(inside[row[part]], word[part], target[~out], odds[~out], features)
+                held_out[out] = model.log_odds(*asked)
         models.append(fit_linear(row, word, target, odds, features))
         odds = np.column_stack([odds, np.clip(held_out, -20, 20)])
-    return Chain(list(categories), models)
+    return Chain(list(categories), [Linear(vocabulary[m.words], m.weights, m.dense, m.bias) for m in models])
 
 
 def _word_pairs(texts: pa.Array, splitter: Splitter) -> tuple[np.ndarray, np.ndarray]:
@@ -148,16 +166,24 @@ def _distinct_words(batches):
 
 def _fit(categories: list[str], features: int):
     def run(frames):
-        words, targets, folds = [], [], []
+        words, sizes, targets, folds = [], [], [], []
         for frame in frames:
-            words += [np.frombuffer(x, np.uint64) for x in frame["words"]]
+            words.append(np.frombuffer(b"".join(frame["words"]), np.uint64))
+            sizes.append(frame["words"].str.len().to_numpy(np.int64) // 8)
             targets.append(frame[[f"target{i}" for i in range(len(categories))]].to_numpy())
             folds.append(frame["fold"].to_numpy())
-        row = np.repeat(np.arange(len(words)), [len(x) for x in words]) if words else np.zeros(0, np.int64)
-        word = np.concatenate(words) if words else np.zeros(0, np.uint64)
+        vocabulary = np.zeros(0, np.uint64)
+        for part in words:
+            vocabulary = np.union1d(vocabulary, part)
+        for i, part in enumerate(words):  # each part makes room for its numbers, half as many bytes
+            words[i] = np.searchsorted(vocabulary, part).astype(np.int32)
+        sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        word = np.concatenate(words) if words else np.zeros(0, np.int32)
+        words.clear()
         targets = np.concatenate(targets) if targets else np.zeros((0, len(categories)))
         folds = np.concatenate(folds) if folds else np.zeros(0, np.int64)
-        chain = fit_chain(row, word, targets, folds, categories, features)
+        chain = fit_chain(row, word, targets, folds, categories, features, vocabulary)
         import pandas as pd
 
         yield pd.DataFrame({"model": [pickle.dumps([(m.words, m.weights, m.dense, m.bias) for m in chain.models])]})
