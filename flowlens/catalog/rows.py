@@ -553,6 +553,19 @@ over_flows(
     lambda df: _kept(tables.browse_page(df, "portdst", "event_id", page=4, rows_per_page=50)),
     f"select {KEPT} from flows order by portdst nulls last, event_id limit 50 offset 150",
 )
+
+def _deep_page(df):
+    book = tables.page_directory(df, "portdst", "event_id", rows_per_page=50, ranges=16)
+    return _kept(book.page(1 + book.pages // 2))
+
+
+over_flows(
+    "browse_deep",
+    _deep_page,
+    f"""select {KEPT} from (select *, row_number() over (order by portdst nulls last, event_id) as place,
+      greatest(1, ceil(count(*) over () / 50)) as pages from flows)
+      where place > 50 * floor(pages / 2) and place <= 50 * floor(pages / 2) + 50""",
+)
 over_flows(
     "browse_after",
     lambda df: _kept(tables.browse_after(df, "portdst", "event_id", 80, 100, 50)),

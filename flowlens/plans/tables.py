@@ -1,13 +1,19 @@
 """Descriptive statistics and paging of any table."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions import percent
 from flowlens.operators.columns import numeric_columns
 from flowlens.operators.ordering import exact_quantiles
+from flowlens.session import scratch_path
 
 QUARTILES = (0.25, 0.5, 0.75)
+# Rows of a range of a page directory, and its most ranges; beyond them ranges grow with the table.
+RANGE_ROWS = 100_000
+MOST_RANGES = 10_000
 
 
 def describe(df: DataFrame, columns=None, approximate: bool = False) -> DataFrame:
@@ -192,6 +198,62 @@ def browse_after(df: DataFrame, sort_by: str, key: str, last_value, last_key, ro
     return df.filter(later).orderBy(F.asc_nulls_last(sort_by), key).limit(rows_per_page)
 
 
+@dataclass
+class PageDirectory:
+    """A table stored in ranges of its order, and the number of rows of each range: pages at any depth without a scan.
+
+    A page reads the one or two ranges it lies in, so no task sees more rows than these hold, wherever the page is.
+    """
+
+    table: DataFrame
+    rows: list
+    order: list
+    rows_per_page: int
+    range_column: str = "_range"
+
+    @property
+    def pages(self) -> int:
+        return max(1, -(-sum(self.rows) // self.rows_per_page))
+
+    def ranges_of(self, page: int) -> tuple[list, int]:
+        """Numbers of the ranges a page lies in, and how many rows of them come before it."""
+        first, end = (page - 1) * self.rows_per_page, page * self.rows_per_page
+        found, before, skipped = [], 0, 0
+        for i, n in enumerate(self.rows):
+            if n and before < end and before + n > first:
+                skipped = skipped if found else first - before
+                found.append(i)
+            before += n
+        return found, skipped
+
+    def page(self, page: int) -> DataFrame:
+        """Rows of a page in order; none beyond the last page or before the first."""
+        found, skipped = self.ranges_of(page) if page > 0 else ([], 0)
+        rows = self.table.filter(F.col(self.range_column).isin(found) if found else F.lit(False)).drop(self.range_column)
+        return rows.orderBy(*self.order).offset(skipped).limit(self.rows_per_page)
+
+
+def page_directory(
+    df: DataFrame, sort_by: str, key: str, rows_per_page: int = 50, ascending: bool = True, ranges: int | None = None
+) -> PageDirectory:
+    """Stores ``df`` in ranges of its order (a column, nulls last, ties by key), a folder each.
+
+    The driver keeps one number a range, of which there are at most ``MOST_RANGES``. A page longer than a range
+    reads as many as it needs.
+    """
+    order = [F.asc_nulls_last(sort_by) if ascending else F.desc_nulls_last(sort_by), F.asc(key)]
+    ranges = min(ranges or max(1, -(-df.count() // RANGE_ROWS)), MOST_RANGES)
+    name = "_range"
+    while name in df.columns:
+        name += "_"
+    placed = df.repartitionByRange(ranges, *order).withColumn(name, F.spark_partition_id())
+    path = scratch_path(df.sparkSession, "pages")
+    placed.write.partitionBy(name).parquet(path)
+    table = df.sparkSession.read.schema(placed.schema).parquet(path)
+    counted = dict(map(tuple, table.groupBy(name).count().collect()))
+    return PageDirectory(table, [counted.get(i, 0) for i in range(ranges)], order, rows_per_page, name)
+
+
 def total_pages(df: DataFrame, rows_per_page: int = 50) -> DataFrame:
     rows = F.count("*")
     pages = F.greatest(F.lit(1), F.ceil(rows / rows_per_page)).cast("bigint")

@@ -173,6 +173,23 @@ def test_paging_walk(spark, sf_dir):
     assert tables.browse_after(df, "portdst", "event_id", last["portdst"], last["event_id"], 30).collect() == second
 
 
+@pytest.mark.parametrize("ascending", [True, False])
+def test_page_directory(spark, sf_dir, ascending):
+    df = flows(spark, sf_dir).select("event_id", "portdst", F.lit(1).alias("_range"))
+    book = tables.page_directory(df, "portdst", "event_id", 30, ascending, ranges=9)
+    total = df.count()
+    assert sum(book.rows) == total and max(book.rows) < total / 3 and book.pages == -(-total // 30)
+    order = F.asc_nulls_last("portdst") if ascending else F.desc_nulls_last("portdst")
+    whole = df.orderBy(order, "event_id").collect()
+    border = sum(book.rows[:4]) // 30 + 1
+    for page in (1, 2, border, book.pages):
+        assert book.page(page).collect() == whole[(page - 1) * 30 : page * 30]
+        assert len(book.ranges_of(page)[0]) <= 2
+    assert book.page(0).count() == book.page(book.pages + 1).count() == 0
+    empty = tables.page_directory(df.filter("event_id < 0"), "portdst", "event_id")
+    assert empty.pages == 1 and empty.page(1).columns == df.columns and empty.page(1).count() == 0
+
+
 def test_approximate_options(spark, sf_dir):
     df = flows(spark, sf_dir)
     exact, near = traffic.summary_metrics(df).first(), traffic.summary_metrics(df, approximate=True).first()
