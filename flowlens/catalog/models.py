@@ -108,6 +108,30 @@ over_vectors(
     f"""with {LOF_CTES} select vec_id, raw < (select quantile_cont(raw, 0.1) from lof) as is_anomaly,
       round((max(raw) over () - raw) / (max(raw) over () - min(raw) over ()), 6) as anomaly_score from lof""",
 )
+
+
+def _lof_by(metric):
+    def run(df):
+        found, _ = detect_anomalies(df, "embedding", "vec_id", model_key="local_outlier_factor", metric=metric)
+        return rounded(found.select("vec_id", "is_anomaly", "anomaly_score"))
+
+    return run
+
+
+# The metrics' distances in SQL.
+SQL_DISTANCES = {
+    "manhattan": "list_sum([abs(x[1] - x[2]) for x in list_zip(a.e, b.e)])",
+    "chebyshev": "list_max([abs(x[1] - x[2]) for x in list_zip(a.e, b.e)])",
+    "cosine": "list_cosine_distance(a.e, b.e)",
+}
+for _metric, _distance in SQL_DISTANCES.items():
+    over_vectors(
+        f"local_outlier_factor_{_metric}",
+        _lof_by(_metric),
+        f"""with {LOF_CTES.replace("list_distance(a.e, b.e)", _distance)} select vec_id,
+          raw < (select quantile_cont(raw, 0.1) from lof) as is_anomaly,
+          round((max(raw) over () - raw) / (max(raw) over () - min(raw) over ()), 6) as anomaly_score from lof""",
+    )
 DBSCAN_SQL = f"""with recursive {PAIRS_CTE},
   core as (select vec_id from pairs where distance <= {EPS} group by vec_id having count(*) >= {MIN_SAMPLES}),
   edges as (select vec_id as a, neighbor as b from pairs where distance <= {EPS}

@@ -25,11 +25,12 @@ class LocalOutlierFactor:
     threshold: float | None = None
     chunk_rows: int = CHUNK_ROWS
     training_scores: DataFrame | None = field(default=None, repr=False)
+    metric: str = "euclidean"
 
     def score(self, df: DataFrame, exclude_self: bool = True) -> DataFrame:
         """``(key, raw)``. Rows of the training table skip themselves unless told otherwise."""
         pairs = knn_join(
-            df, self.references, self.features, self.k, self.key, exclude_self, self.chunk_rows
+            df, self.references, self.features, self.k, self.key, exclude_self, self.chunk_rows, self.metric
         )
         pairs = materialize(pairs, "lof-pairs")
         near = pairs.join(
@@ -44,14 +45,14 @@ class LocalOutlierFactor:
 
 def fit_lof(
     df: DataFrame, features, key: str, k: int = 20, contamination: float = 0.1,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int = CHUNK_ROWS, metric: str = "euclidean",
 ) -> LocalOutlierFactor:
-    """Neighbour graph, then k-distance, reachability and density by two aggregations."""
+    """Neighbour graph by a metric of ``knn_join``, then k-distance, reachability and density by two aggregations."""
     features = features if isinstance(features, str) else list(features)
     rows = df.count()
     k = max(1, min(k, rows - 1))
     pairs = materialize(
-        knn_join(df, df, features, k, key, exclude_self=True, chunk_rows=chunk_rows), "lof-graph"
+        knn_join(df, df, features, k, key, exclude_self=True, chunk_rows=chunk_rows, metric=metric), "lof-graph"
     )
     k_distance = pairs.groupBy(key).agg(F.max("distance").alias("k_distance"))
     reach = pairs.join(k_distance.withColumnRenamed(key, "neighbor"), "neighbor")
@@ -60,7 +61,7 @@ def fit_lof(
     )
     densities = materialize(k_distance.join(density, key), "lof-densities")
     columns = [features] if isinstance(features, str) else features
-    model = LocalOutlierFactor(df.select(key, *columns), densities, features, key, k, chunk_rows=chunk_rows)
+    model = LocalOutlierFactor(df.select(key, *columns), densities, features, key, k, chunk_rows=chunk_rows, metric=metric)
     near = pairs.join(densities.withColumnRenamed(key, "neighbor"), "neighbor")
     around = near.groupBy(key).agg(F.avg("density").alias("around")).join(densities, key)
     raw = around.select(key, (-(F.col("around") / F.col("density"))).alias("raw"))

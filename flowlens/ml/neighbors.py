@@ -13,6 +13,11 @@ time: a partial sum is a lower bound of the squared distance, and a reference wh
 query's limit (its radius so far, or the distance to as many references as are wanted) is dropped before
 the next coordinates are read. What is left is compared in the original coordinates.
 
+Distances are Euclidean, sums (``manhattan``) or maxima (``chebyshev``) of coordinate differences, or ``cosine``. Sums and
+maxima keep the coordinates as they are, since no rotation preserves them; partial ones are lower bounds too. Vectors
+compared by cosine are brought to length one, where half the squared distance is one minus the cosine; those
+without a direction (zero vectors) are left out.
+
 Method: Voronoi partitioning for k-nearest-neighbour joins (Lu, Shen, Chen, Ooi, 2012).
 """
 
@@ -25,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from flowlens.errors import ModelError
 from flowlens.operators.ordering import hash_key
 from flowlens.session import materialize
 
@@ -39,6 +45,7 @@ RENEW_STEPS = 3
 # Share of open pairs below which they are listed instead of summed as a whole block.
 SPARSE_SHARE = 0.35
 PAIR_ROWS = 1 << 16
+METRICS = ("euclidean", "manhattan", "chebyshev", "cosine")
 
 
 def points(df: DataFrame, features, key: str) -> DataFrame:
@@ -83,31 +90,43 @@ class Index:
     chunks: np.ndarray
     keep: int
     axes: np.ndarray | None = None
+    metric: str = "euclidean"
 
 
 def _matrix(vectors) -> np.ndarray:
     return np.array(list(vectors), dtype=float)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _length(difference: np.ndarray, metric: str = "euclidean") -> np.ndarray:
+    """Length of each difference (last axis)."""
+    if metric == "manhattan":
+        return np.abs(difference).sum(axis=-1)
+    if metric == "chebyshev":
+        return np.abs(difference).max(axis=-1)
+    return np.sqrt((difference**2).sum(axis=-1))
+
+
+def _distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.ndarray:
     """Distances by coordinate differences, one row of ``a`` at a time."""
     out = np.empty((len(a), len(b)))
     for i, row in enumerate(a):
-        out[i] = np.sqrt(((b - row) ** 2).sum(axis=1))
+        out[i] = _length(b - row, metric)
     return out
 
 
-def _nearest_pivot(pivots: np.ndarray):
+def _nearest_pivot(pivots: np.ndarray, metric: str):
     @F.pandas_udf("cell int, dist double")
     def assign(vec: pd.Series) -> pd.DataFrame:
-        gaps = _distances(_matrix(vec), pivots)
+        gaps = _distances(_matrix(vec), pivots, metric)
         cell = gaps.argmin(axis=1) if len(gaps) else np.zeros(0, int)
         return pd.DataFrame({"cell": cell.astype("int32"), "dist": gaps[np.arange(len(gaps)), cell]})
 
     return assign
 
 
-def build_index(reference: DataFrame, chunk_rows: int = CHUNK_ROWS, seed: int = 42, keep: int = 0) -> Index:
+def build_index(
+    reference: DataFrame, chunk_rows: int = CHUNK_ROWS, seed: int = 42, keep: int = 0, metric: str = "euclidean"
+) -> Index:
     """Index over ``(rep, vec, ...)`` rows of distinct vectors."""
     total = reference.count()
     wanted = int(min(MAX_PIVOTS, max(1, 2 * total // chunk_rows)))
@@ -117,10 +136,10 @@ def build_index(reference: DataFrame, chunk_rows: int = CHUNK_ROWS, seed: int =
         refs = reference.withColumn("cell", F.lit(0))
         refs = refs.withColumn("chunk", F.pmod(F.xxhash64("rep"), _per_cell(chunks)))
         zero, none = np.zeros(1), np.zeros((1, 1))
-        return Index(refs, none, np.array([total]), zero, np.array([np.inf]), chunks, keep)
+        return Index(refs, none, np.array([total]), zero, np.array([np.inf]), chunks, keep, metric=metric)
     chosen = reference.orderBy(hash_key("rep", seed), "rep").limit(wanted).select("vec").collect()
     pivots = _matrix([r["vec"] for r in chosen])
-    placed = reference.withColumn("_p", _nearest_pivot(pivots)("vec")).select(
+    placed = reference.withColumn("_p", _nearest_pivot(pivots, metric)("vec")).select(
         *reference.columns, F.col("_p.cell").alias("cell"), F.col("_p.dist").alias("dist")
     )
     placed = materialize(placed, "neighbor-index")
@@ -132,7 +151,7 @@ def build_index(reference: DataFrame, chunk_rows: int = CHUNK_ROWS, seed: int =
         sizes[row["cell"]], near[row["cell"]], far[row["cell"]] = row["n"], row["near"], row["far"]
     chunks = np.ceil(sizes / chunk_rows).astype(int)
     refs = placed.withColumn("chunk", F.pmod(F.xxhash64("rep"), _per_cell(np.maximum(chunks, 1))))
-    return Index(refs, pivots, sizes, near, far, chunks, keep)
+    return Index(refs, pivots, sizes, near, far, chunks, keep, metric=metric)
 
 
 def _per_cell(values):
@@ -143,21 +162,22 @@ def _per_cell(values):
 
 def _cells_within(index: Index):
     """Cells that may hold a reference within the radius of each query."""
-    pivots, sizes, near, far = index.pivots, index.sizes, index.near, index.far
-    between = _distances(pivots, pivots)
+    pivots, sizes, near, far, metric = index.pivots, index.sizes, index.near, index.far, index.metric
+    between = _distances(pivots, pivots, metric)
 
     @F.pandas_udf("array<int>")
     def visit(vec: pd.Series, radius: pd.Series) -> pd.Series:
-        gaps = _distances(_matrix(vec), pivots) if len(vec) else np.zeros((0, len(pivots)))
+        gaps = _distances(_matrix(vec), pivots, metric) if len(vec) else np.zeros((0, len(pivots)))
         out = []
         for gap, reach in zip(gaps, radius):
             home = int(gap.argmin())
             bound = np.maximum(gap - far, near - gap)
             split = 2 * between[home]
             apart = split > 0
-            bound[apart] = np.maximum(
-                bound[apart], (gap[apart] ** 2 - gap[home] ** 2) / split[apart]
-            )
+            if metric in ("manhattan", "chebyshev"):  # no right angles: only half the difference is sure
+                bound = np.maximum(bound, (gap - gap[home]) / 2)
+            else:
+                bound[apart] = np.maximum(bound[apart], (gap[apart] ** 2 - gap[home] ** 2) / split[apart])
             # Rounding slack keeps a cell whose bound equals the radius.
             slack = 1e-9 * (1.0 + gap)
             out.append(np.flatnonzero((sizes > 0) & (bound <= reach + slack)).astype("int32"))
@@ -167,11 +187,11 @@ def _cells_within(index: Index):
 
 
 def _home_cell(index: Index):
-    pivots, sizes = index.pivots, index.sizes
+    pivots, sizes, metric = index.pivots, index.sizes, index.metric
 
     @F.pandas_udf("array<int>")
     def home(vec: pd.Series) -> pd.Series:
-        gaps = _distances(_matrix(vec), pivots) if len(vec) else np.zeros((0, len(pivots)))
+        gaps = _distances(_matrix(vec), pivots, metric) if len(vec) else np.zeros((0, len(pivots)))
         gaps[:, sizes == 0] = np.inf
         return pd.Series([np.array([g.argmin()], dtype="int32") for g in gaps])
 
@@ -291,7 +311,38 @@ def _near_candidates(queries, refs, axes, radius, keep: int):
         yield start, at[0], at[1], summed
 
 
-def _top_kernel(keep: int, axes=None, count: bool = False):
+def _near_by_parts(queries, refs, metric: str, radius, keep: int):
+    """:func:`_near_candidates` for sums and maxima of coordinate differences."""
+    add, whole = (np.add, np.sum) if metric == "manhattan" else (np.maximum, np.max)
+    dims, last = queries.shape[1], min(keep, len(refs)) - 1
+    error = 1e-13 * dims * (np.abs(queries).sum(axis=1).max(initial=0.0) + np.abs(refs).sum(axis=1).max(initial=0.0)) + 1e-300
+    borders = [*range(STEP, dims, STEP), dims]
+    for start in range(0, len(queries), BLOCK):
+        block, limit = queries[start : start + BLOCK], radius[start : start + BLOCK].copy()
+        partial, low, at = np.zeros((len(block), len(refs))), 0, None
+        for step, high in enumerate(borders):
+            if at is None:
+                for c in range(low, high):
+                    add(partial, np.abs(block[:, c, None] - refs[None, :, c]), out=partial)
+                if step % RENEW_STEPS == 0 and len(refs) >= keep:
+                    look = np.argpartition(partial, last, axis=1)[:, : last + 1]
+                    limit = np.minimum(limit, _length(refs[look] - block[:, None], metric).max(axis=1))
+                open_, summed = partial <= limit[:, None] + 2 * error, partial.size
+                if high == dims or open_.mean() < SPARSE_SHARE:
+                    at = np.nonzero(open_)
+                    sums = partial[at]
+            else:
+                for first in range(0, len(sums), PAIR_ROWS):
+                    part = slice(first, first + PAIR_ROWS)
+                    more = whole(np.abs(block[at[0][part], low:high] - refs[at[1][part], low:high]), axis=1)
+                    sums[part] = add(sums[part], more)
+                open_, summed = sums <= limit[at[0]] + 2 * error, len(sums)
+                at, sums = tuple(x[open_] for x in at), sums[open_]
+            low = high
+        yield start, at[0], at[1], summed
+
+
+def _top_kernel(keep: int, axes=None, count: bool = False, metric: str = "euclidean"):
     """Per query the ``keep`` nearest (distance, key) pairs of one chunk; with ``count``, a row without a query
     says how many pairs there were and how many distances were summed to the end."""
 
@@ -303,14 +354,18 @@ def _top_kernel(keep: int, axes=None, count: bool = False):
             reps, keys = left["rep"].tolist(), right["keys"].tolist()
             radius = left["radius"].to_numpy(float) if "radius" in left else np.full(len(queries), np.inf)
             pairs = len(queries) * len(refs)
-            for start, own, near, full in _near_candidates(queries, refs, axes, radius, keep):
+            if metric in ("manhattan", "chebyshev"):
+                candidates = _near_by_parts(queries, refs, metric, radius, keep)
+            else:
+                candidates = _near_candidates(queries, refs, axes, radius, keep)
+            for start, own, near, full in candidates:
                 summed += full
                 edges = np.searchsorted(own, np.arange(min(BLOCK, len(queries) - start) + 1))
                 for i, (low, high) in enumerate(zip(edges, edges[1:])):
                     if low == high:
                         continue
                     at = near[low:high]
-                    exact = np.sqrt(((refs[at] - queries[start + i]) ** 2).sum(axis=1))
+                    exact = _length(refs[at] - queries[start + i], metric)
                     best = sorted((d, k) for d, j in zip(exact.tolist(), at) for k in keys[j])[:keep]
                     found["rep"] += [reps[start + i]] * len(best)
                     found["neighbor"] += [k for _, k in best]
@@ -333,7 +388,7 @@ def _best(candidates: DataFrame, by: str, keep: int) -> DataFrame:
 def nearest_keys(index: Index, queries: DataFrame, key_type: str) -> DataFrame:
     """``(rep, neighbor, distance, rank)``: the ``index.keep`` nearest keys of each query vector."""
     schema = f"rep {key_type}, neighbor {key_type}, distance double"
-    return _best(_candidates(index, queries, schema, _top_kernel(index.keep, index.axes)), "rep", index.keep)
+    return _best(_candidates(index, queries, schema, _top_kernel(index.keep, index.axes, metric=index.metric)), "rep", index.keep)
 
 
 def search_work(index: Index, queries: DataFrame, key_type: str) -> DataFrame:
@@ -381,6 +436,15 @@ def knn_work(queries: DataFrame, references: DataFrame, features, k: int, key: s
     return work.select("pairs", "summed", share.alias("share"))
 
 
+def _measured(rows: DataFrame, metric: str) -> DataFrame:
+    """Points as a metric compares them: by cosine, vectors of length one."""
+    if metric != "cosine":
+        return rows
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    sized = rows.withColumn("_length", length).filter("_length > 0")
+    return sized.withColumn("vec", F.transform("vec", lambda x: x / F.col("_length"))).drop("_length")
+
+
 def knn_join(
     queries: DataFrame,
     references: DataFrame,
@@ -389,21 +453,27 @@ def knn_join(
     key: str,
     exclude_self: bool = False,
     chunk_rows: int = CHUNK_ROWS,
+    metric: str = "euclidean",
 ) -> DataFrame:
     """``(key, neighbor, distance, rank)``: the ``k`` nearest references of every query row.
 
     Ties are ordered by neighbour key. With ``exclude_self`` a row is not its own
-    neighbour (copies of it still are).
+    neighbour (copies of it still are). ``metric`` is one of ``METRICS``.
     """
+    if metric not in METRICS:
+        raise ModelError(f"unknown metric: {metric}")
     keep = k + 1 if exclude_self else k
     key_type = references.schema[key].dataType.simpleString()
-    reference = materialize(distinct_points(points(references, features, key), keep), "knn-references")
-    index = build_index(reference, chunk_rows, keep=keep)
-    index.axes = variance_axes(reference)
-    rows = points(queries, features, key)
+    reference = materialize(distinct_points(_measured(points(references, features, key), metric), keep), "knn-references")
+    index = build_index(reference, chunk_rows, keep=keep, metric=metric)
+    if metric in ("euclidean", "cosine"):
+        index.axes = variance_axes(reference)
+    rows = _measured(points(queries, features, key), metric)
     vectors = rows.groupBy("vec").agg(F.min("key").alias("rep"))
     vectors = materialize(vectors, "knn-queries")
     found = nearest_keys(index, vectors, key_type)
+    if metric == "cosine":
+        found = found.withColumn("distance", F.col("distance") * F.col("distance") / 2)
     # Copies of a query share one search; AQE splits the join if one vector dominates.
     result = rows.join(vectors, "vec").select("key", "rep").join(found.drop("rank"), "rep").drop("rep")
     if exclude_self:

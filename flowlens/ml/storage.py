@@ -81,7 +81,7 @@ def save_model(model, folder: str, name: str, spark: SparkSession | None = None)
     elif isinstance(model, LocalOutlierFactor):
         state = {
             "kind": "local_outlier_factor", "features": model.features, "key": model.key,
-            "k": model.k, "threshold": model.threshold,
+            "k": model.k, "threshold": model.threshold, "metric": model.metric,
         }
         model.references.write.mode("overwrite").parquet(f"{path}/references")
         model.densities.write.mode("overwrite").parquet(f"{path}/densities")

@@ -44,6 +44,36 @@ def test_neighbors_are_exact(spark, skewed, monkeypatch, chunk_rows, exclude_sel
     assert got == brute_neighbors(skewed, 5, exclude_self)
 
 
+@pytest.mark.parametrize("metric", ["manhattan", "chebyshev", "cosine"])
+@pytest.mark.parametrize("dims,chunk_rows", [(2, 40), (20, 4096), (20, 60)])
+def test_neighbors_by_other_metrics(spark, monkeypatch, metric, dims, chunk_rows):
+    monkeypatch.setattr(neighbors, "QUERY_ROWS", 100)
+    random = np.random.RandomState(9)
+    matrix = np.vstack([random.randint(1, 9, (200, dims)), np.full((60, dims), 4)]).astype(float)
+    gaps = matrix[:, None] - matrix[None]
+    size = np.sqrt((matrix**2).sum(axis=1))
+    want = {"manhattan": np.abs(gaps).sum(-1), "chebyshev": np.abs(gaps).max(-1), "cosine": 1 - matrix @ matrix.T / np.outer(size, size)}[metric]
+    rows = [(i, r.tolist()) for i, r in enumerate(matrix)] + ([(900, [0.0] * dims)] if metric == "cosine" else [])
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    found = neighbors.knn_join(df, df, "vec", 6, "id", True, chunk_rows, metric).orderBy("id", "rank").collect()
+    got = {}
+    for r in found:
+        got.setdefault(r["id"], []).append((r["neighbor"], r["distance"]))
+    assert set(got) == set(range(len(matrix)))
+    for i, near in got.items():
+        others = np.delete(np.arange(len(matrix)), i)
+        best = others[np.lexsort((others, want[i, others]))][:6]
+        assert np.allclose([d for _, d in near], want[i, best], atol=1e-12)
+        assert np.allclose([d for _, d in near], want[i, [j for j, _ in near]], atol=1e-12)
+        if metric != "cosine":  # whole numbers: ties are exact
+            assert [j for j, _ in near] == best.tolist()
+
+
+def test_unknown_metric(spark, planted):
+    with pytest.raises(ModelError):
+        neighbors.knn_join(planted, planted, ["x"], 2, "id", metric="other")
+
+
 def test_copies_are_searched_once(spark, skewed):
     distinct = neighbors.distinct_points(neighbors.points(frame(spark, skewed), ["x", "y"], "id"), 6)
     rows = distinct.collect()
