@@ -273,3 +273,41 @@ add(
     f"""with {FLOWS_CTE} select ipdst, action, date from flows
       union all select ipdst, action, date from flows""",
 )
+
+
+def _registered_parser(spark, sf):
+    """A format of one's own under a name, read through the registry."""
+
+    def read_pipes(spark, path, upper=False):
+        fields = F.split("value", "[|]")
+        action = F.trim(fields[4])
+        return spark.read.text(path).select(
+            fields[1].alias("ipdst"), fields[2].try_cast("int").alias("portdst"), (F.upper(action) if upper else action).alias("action")
+        )
+
+    sources.register_parser("pipes", read_pipes)
+    raw = fixtures.flows_raw(spark, sf)
+    return sources.scan(spark, "pipes", written(spark, fixtures.legacy_lines(raw, "|"), "pipes"), upper=True)
+
+
+add(
+    "register_parser",
+    _registered_parser,
+    f"{RAW} select ipdst, cast(portdst as int) as portdst, upper(trim(action)) as action from flows_raw",
+)
+
+
+def _load_logs(spark, sf):
+    """Strict loading: rows that pass the checks are returned, a file without them is an error."""
+    raw = fixtures.flows_raw(spark, sf).filter("ipsrc is not null and date is not null and proto <> 'ICMP'")
+    lines = fixtures.kernel_lines(raw)
+    loaded = sources.load_logs(spark, "kernel_firewall", written(spark, lines, "strict"), year=2024)
+    return loaded.select("id", "timestamp", "src_ip", "dst_port")
+
+
+add(
+    "load_logs",
+    _load_logs,
+    f"""{RAW} select event_id as id, date as timestamp, ipsrc as src_ip, cast(portdst as bigint) as dst_port from flows_raw
+      where ipsrc is not null and date is not null and proto <> 'ICMP'""",
+)
