@@ -65,6 +65,11 @@ def register_classifier(name: str, factory) -> None:
     CLASSIFIERS[name] = factory
 
 
+@dataclass
+class OnlyLabel:
+    """Stands for a model that Spark fits to two labels only, where the training rows have one."""
+
+
 @dataclass
 class TrainedClassifier:
     """A fitted classifier with everything needed to apply it."""
@@ -88,12 +93,20 @@ class TrainedClassifier:
         return _assemble(df, self.features, self.scaler, self.landmarks)
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """Adds ``prediction`` and the ``probability`` of the positive label."""
+        """Adds ``prediction`` and the ``probability`` of the positive label.
+
+        If the training rows had one label, all rows get it, and another positive label has probability 0.
+        """
         if isinstance(self.model, KNNModel):
             found = self.model.predict(self._scaled(df), self.positive)
             return df.join(found.select(self.key, "prediction", "probability"), self.key)
         if isinstance(self.model, ExactTree):
             return self._tree_predictions(df)
+        if isinstance(self.model, OnlyLabel):
+            sure = F.lit(float(self.positive in self.labels))
+            return self._vectors(df).select(
+                *[F.col(c) for c in df.columns], F.lit(self.labels[0]).alias("prediction"), sure.alias("probability")
+            )
         scored = self.model.transform(self._vectors(df))
         label = F.element_at(
             F.array(*[F.lit(x) for x in self.labels]), F.col("_prediction").cast("int") + 1
@@ -101,10 +114,14 @@ class TrainedClassifier:
         if self.calibration is not None:
             scored = scored.withColumn("_margin", array_to_vector(F.slice(vector_to_array("_raw"), 2, 1)))
             scored = self.calibration.transform(scored)
-        columns = [F.col(c) for c in df.columns] + [label.alias("prediction")]
+        return self._with_probability(scored, df.columns, label, vector_to_array("_probability"))
+
+    def _with_probability(self, scored: DataFrame, names, label, shares) -> DataFrame:
+        columns = [F.col(c) for c in names] + [label.alias("prediction")]
         if self.positive in self.labels:
-            position = self.labels.index(self.positive)
-            columns.append(vector_to_array("_probability")[position].alias("probability"))
+            columns.append(shares[self.labels.index(self.positive)].alias("probability"))
+        elif len(self.labels) == 1:
+            columns.append(F.lit(0.0).alias("probability"))
         return scored.select(*columns)
 
     def _tree_predictions(self, df: DataFrame) -> DataFrame:
@@ -112,10 +129,7 @@ class TrainedClassifier:
         scored = df.filter(~F.exists(vec, lambda x: x.isNull() | F.isnan(x))).withColumn("_shares", self.model.shares(df.sparkSession, vec))
         names = F.array(*[F.lit(x) for x in self.labels])
         label = F.element_at(names, F.array_position("_shares", F.array_max("_shares")).cast("int"))
-        columns = [F.col(c) for c in df.columns] + [label.alias("prediction")]
-        if self.positive in self.labels:
-            columns.append(F.col("_shares")[self.labels.index(self.positive)].alias("probability"))
-        return scored.select(*columns)
+        return self._with_probability(scored, df.columns, label, F.col("_shares"))
 
     def feature_importance(self, n: int | None = None) -> DataFrame:
         """``(feature, importance)``, largest first; coefficients count by size."""
@@ -197,6 +211,8 @@ def train(
         limits = {name: params[name] for name in ("max_depth", "min_samples_split", "min_samples_leaf") if name in params}
         model = fit_exact_tree(rows, features, len(indexer.labels), **limits)
         return TrainedClassifier(model_key, model, features, target, key, list(indexer.labels), positive, scaler, params=params)
+    if model_key == "svm" and len(indexer.labels) == 1:
+        return TrainedClassifier(model_key, OnlyLabel(), features, target, key, list(indexer.labels), positive, scaler, params=params)
     landmarks = None
     if model_key == "svm" and params.get("kernel", "rbf") == "rbf":
         scaled = (scaler.transform(df) if scaler else df).na.drop(subset=features)

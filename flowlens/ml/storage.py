@@ -13,7 +13,7 @@ from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import SparkSession
 
 from flowlens.errors import ModelError
-from flowlens.ml.classify import TrainedClassifier
+from flowlens.ml.classify import OnlyLabel, TrainedClassifier
 from flowlens.ml.clustering import KMeansClusterer
 from flowlens.ml.exact_tree import ExactTree
 from flowlens.ml.iforest import NODE_SCHEMA, IsolationForest
@@ -62,6 +62,8 @@ def save_model(model, folder: str, name: str, spark: SparkSession | None = None)
             model.model.references.write.mode("overwrite").parquet(f"{path}/references")
         elif isinstance(model.model, ExactTree):
             state["tree"] = vars(model.model)
+        elif isinstance(model.model, OnlyLabel):
+            state["only_label"] = True
         else:
             model.model.write().overwrite().save(f"{path}/model")
         if model.calibration is not None:
@@ -112,6 +114,8 @@ def load_model(spark: SparkSession, folder: str, name: str):
             model = KNNModel(references, state["features"], state["target"], state["key"], **state["knn"])
         elif "tree" in state:
             model = ExactTree(**state["tree"])
+        elif "only_label" in state:
+            model = OnlyLabel()
         else:
             model = SPARK_MODELS[state["model_key"]].load(f"{path}/model")
         calibration = LogisticRegressionModel.load(f"{path}/calibration") if state["calibrated"] else None

@@ -217,6 +217,38 @@ def test_classifiers_learn_rings_and_reload(spark, rings, tmp_path, key, params)
     assert again.select(*columns).exceptAll(predicted.select(*columns)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "key,params",
+    [
+        ("decision_tree", {"max_depth": 5}), ("decision_tree", {"exact": True}), ("random_forest", {"n_estimators": 3}),
+        ("gradient_boosting", {"n_estimators": 3}), ("logistic_regression", {}), ("svm", {}), ("svm", {"kernel": "linear"}),
+    ],
+)
+@pytest.mark.parametrize("only", ["negative", "positive"])
+def test_training_rows_of_one_label(spark, tmp_path, key, params, only):
+    """Many flows bring every address's share of denies close to the mean: no row is positive."""
+    df = frame(spark, np.random.RandomState(8).randn(20, 2)).withColumn("risk", F.lit(only))
+    model = classify.train(df, key, ["x", "y"], key="id", scale=True, **params)
+    storage.save_model(model, str(tmp_path), key)
+    gaps = df.withColumn("x", F.when(F.col("id") > 0, F.col("x")))
+    for fitted in (model, storage.load_model(spark, str(tmp_path), key)):
+        rows = classify.predict(fitted, gaps).select("id", "prediction", "probability").collect()
+        assert len(rows) == 19 and {r["prediction"] for r in rows} == {only}
+        assert all(r["probability"] == 0 for r in rows) if only == "negative" else all(r["probability"] > 0.5 for r in rows)
+
+
+@pytest.mark.parametrize("positives", [0, 1])
+def test_folds_without_a_positive_training_row(spark, positives):
+    risk = F.when(F.col("id") < positives, "positive").otherwise("negative")
+    df = frame(spark, np.random.RandomState(9).randn(20, 2)).withColumn("risk", risk)
+    scores = validation.cross_validate(df, "logistic_regression", ["x", "y"], key="id", k=5, scoring=("accuracy", "roc_auc"), scale=True)
+    found = {(r["fold"], r["metric"]): r["score"] for r in scores.collect()}
+    assert len(found) == 10
+    # Scores that are all equal order nothing; without a positive there is nothing to order.
+    assert [found[i, "roc_auc"] for i in range(5)] == ([0.5] if positives else [None]) + [None] * 4
+    assert found[0, "accuracy"] == (0.8 if positives else 1.0)
+
+
 def test_logistic_regression_penalty(spark):
     random = np.random.RandomState(7)
     x = random.randn(200)
