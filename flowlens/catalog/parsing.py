@@ -215,7 +215,7 @@ def _feature_store(spark, sf):
     folder = scratch_path(spark, "store")
     sinks.save_feature_set(fs.simple_features(fixtures.flows(spark, sf)), folder, "simple")
     stored = sinks.load_feature_set(spark, folder, "simple")
-    return stored.data.select(
+    return stored.with_constants().select(
         "ipsrc", "total_flows", "unique_dst_ports", F.lit(stored.metadata["num_samples"]).cast("bigint").alias("n")
     )
 

@@ -44,6 +44,11 @@ class FeatureSet:
     key: str = "ipsrc"
     metadata: dict = field(default_factory=dict)
 
+    def with_constants(self) -> DataFrame:
+        """The table, and the features that were removed because all rows have the same value."""
+        values = self.metadata.get("constant_values", {})
+        return self.data.withColumns({n: F.lit(value).cast(kind) for n, (value, kind) in values.items()})
+
 
 def _ip_aggregates(df, dst, port, action, admin_ports, port_threshold) -> list[Column]:
     out = [F.count("*").alias("total_flows")]
@@ -158,11 +163,15 @@ def _finish(df, key, names, metadata, remove_correlated, corr_threshold) -> Feat
     spread = variances(df, names)
     constant = [n for n in names if spread[n] == 0]
     names = [n for n in names if n not in constant]
+    # Nulls have no part in the variance: a feature with gaps is constant, but no value stands for all rows.
+    whole = [F.when(F.count(n) == F.count("*"), F.min(n)).alias(n) for n in constant]
+    found = df.agg(*whole).first().asDict() if constant else {}
     correlated = correlated_features(df, names, corr_threshold, spread) if remove_correlated else []
     names = [n for n in names if n not in correlated]
     metadata = {
         **metadata,
         "removed_constant_features": constant,
+        "constant_values": {n: (v, df.schema[n].dataType.simpleString()) for n, v in found.items() if v is not None},
         "removed_correlated_features": correlated,
     }
     return FeatureSet(df.select(key, *names), names, key, metadata)

@@ -214,6 +214,18 @@ def test_feature_store(spark, sf_dir, tmp_path):
     assert sinks.list_feature_sets(spark, folder) == ["b"]
 
 
+def test_stored_features_with_the_same_value_in_all_rows_come_back(spark, tmp_path):
+    rows = [("a", "x", 80, "PERMIT"), ("a", "y", 80, "DENY"), ("b", "x", 443, "DENY")]
+    features = simple_features(spark.createDataFrame(rows, "ipsrc string, ipdst string, portdst int, action string"))
+    assert features.feature_names == ["total_flows", "unique_dst_ips"]
+    sinks.save_feature_set(features, str(tmp_path / "store"), "a")
+    stored = sinks.load_feature_set(spark, str(tmp_path / "store"), "a")
+    assert stored.data.columns == ["ipsrc", "total_flows", "unique_dst_ips"]
+    whole = stored.with_constants().select("ipsrc", "total_flows", "unique_dst_ports")
+    assert whole.dtypes[2] == ("unique_dst_ports", "bigint")
+    assert sorted(map(tuple, whole.collect())) == [("a", 2, 1), ("b", 1, 1)]
+
+
 def test_day_partitions_prune(spark, sf_dir, tmp_path):
     from flowlens.fixtures import flows
 
