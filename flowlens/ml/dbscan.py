@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from flowlens.ml.neighbors import BLOCK, CHUNK_ROWS, _matrix, _squared, build_index, points, within_radius
+from flowlens.ml.neighbors import BLOCK, CHUNK_ROWS, PAIR_ROWS, SLICE, _lower_bounds, _matrix, build_index, points, within_radius
 from flowlens.operators.preparation import fit_scaler
 from flowlens.session import materialize
 
@@ -28,17 +28,25 @@ RANGE_ROWS = 100_000
 def _near_blocks(left: pd.DataFrame, right: pd.DataFrame, eps: float):
     """Yields (query position, positions of references within eps) of one task."""
     queries, refs = _matrix(left["vec"]), _matrix(right["vec"])
+    left_side, right_side, lengths, sizes, share, rest = _lower_bounds(queries, refs)
+    # What bounds from above lack of the bounds from below, and rounding of the limits.
+    slack = share * (eps * eps + lengths)
+    spread = 2 * share * (lengths + sizes.max(initial=0.0))
+    most = eps * eps + 2 * rest - (1 - share) * lengths + slack
+    least = eps * eps - 2 * rest - (1 - share) * lengths - spread - slack
     for start in range(0, len(queries), BLOCK):
-        block = queries[start : start + BLOCK]
-        squares, error = _squared(block, refs)
-        sure = squares <= eps * eps - 2 * error
-        maybe = (squares <= eps * eps + 2 * error) & ~sure
-        for i in range(len(block)):
-            inside = sure[i].copy()
-            close = np.flatnonzero(maybe[i])
-            if len(close):
-                inside[close] = np.sqrt(((refs[close] - block[i]) ** 2).sum(axis=1)) <= eps
-            yield start + i, np.flatnonzero(inside)
+        block = slice(start, start + BLOCK)
+        inside = np.zeros((len(queries[block]), len(refs)), bool)
+        for first in range(0, len(refs), SLICE):
+            bound = left_side[block] @ right_side[first : first + SLICE].T
+            sure = bound <= least[block].astype(bound.dtype)[:, None]
+            i, j = np.nonzero((bound <= most[block].astype(bound.dtype)[:, None]) & ~sure)
+            for some in range(0, len(i), PAIR_ROWS):
+                a, b = i[some : some + PAIR_ROWS], j[some : some + PAIR_ROWS]
+                sure[a, b] = np.sqrt(((refs[first + b] - queries[start + a]) ** 2).sum(axis=1)) <= eps
+            inside[:, first : first + SLICE] = sure
+        for i, row in enumerate(inside):
+            yield start + i, np.flatnonzero(row)
 
 
 def _count_kernel(eps: float):

@@ -11,7 +11,11 @@ In many dimensions the triangle inequality excludes little. There vectors are ro
 variance falls from coordinate to coordinate, and distances are summed a few coordinates at a
 time: a partial sum is a lower bound of the squared distance, and a reference whose bound is beyond the
 query's limit (its radius so far, or the distance to as many references as are wanted) is dropped before
-the next coordinates are read. What is left is compared in the original coordinates.
+the next coordinates are read. What is left is compared in the original coordinates. Where variance is spread evenly, partial
+sums tell little, and whole distances come from one product in single precision, with its rounding error as slack.
+
+If queries visit most cells all the same, the cells are put together for that visit: a few wide chunks, and a row is sent
+once for each of them instead of once for each cell.
 
 Distances are Euclidean, sums (``manhattan``) or maxima (``chebyshev``) of coordinate differences, or ``cosine``. Sums and
 maxima keep the coordinates as they are, since no rotation preserves them; partial ones are lower bounds too. Vectors
@@ -21,7 +25,7 @@ without a direction (zero vectors) are left out.
 Method: Voronoi partitioning for k-nearest-neighbour joins (Lu, Shen, Chen, Ooi, 2012).
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -38,6 +42,13 @@ MAX_PIVOTS = 512
 CHUNK_ROWS = 4096
 QUERY_ROWS = 4096
 BLOCK = 256
+# References that a block of queries is compared with at a time.
+SLICE = 4096
+# Share of visited cells from which they are put together, numbers in a wide chunk, its most rows, and the least number of them.
+MOST = 0.5
+WIDE_NUMBERS, WIDE_ROWS, WIDE_CHUNKS = 1 << 21, 1 << 15, 8
+# Share of the variance that the first quarter of the axes holds where partial sums are worth it.
+UNEVEN = 0.5
 # Rotated coordinates that each partial sum adds.
 STEP = 8
 # The limit is looked at again after so many steps.
@@ -213,6 +224,11 @@ def _visit(index: Index, queries: DataFrame, kernel, schema: str, one_chunk: boo
         for row in visits.collect():
             loads[row["cell"]] = row["count"]
     blocks = np.ceil(loads / QUERY_ROWS).astype(int)
+    if not one_chunk and len(loads) > 1 and loads.sum():
+        total = queries.count()
+        if loads.sum() >= MOST * total * (index.sizes > 0).sum():
+            index, blocks = _one_cell(index), np.array([_wide(total, index.pivots.shape[1])])
+            queries = queries.withColumn("cells", F.array(F.lit(0)))
     chunk_count = np.maximum(index.chunks, 1)
     left = queries.withColumn("cell", F.explode("cells")).drop("cells")
     if one_chunk:
@@ -234,11 +250,18 @@ def _visit(index: Index, queries: DataFrame, kernel, schema: str, one_chunk: boo
     return left.groupBy(*where).cogroup(right.groupBy(*where)).applyInPandas(kernel, schema)
 
 
-def _squared(block: np.ndarray, refs: np.ndarray):
-    """Squared distances by matrix product, and a bound on their rounding error."""
-    a, b = (block**2).sum(axis=1), (refs**2).sum(axis=1)
-    error = 1e-14 * refs.shape[1] * (a.max(initial=0.0) + b.max(initial=0.0)) + 1e-300
-    return a[:, None] + b[None, :] - 2.0 * block @ refs.T, error
+def _wide(rows: int, dims: int) -> int:
+    """Number of wide chunks or query blocks for so many rows."""
+    return max(WIDE_CHUNKS, -(-rows // max(CHUNK_ROWS, min(WIDE_ROWS, WIDE_NUMBERS // dims))))
+
+
+def _one_cell(index: Index) -> Index:
+    """The same references in wide chunks of a single cell."""
+    total = int(index.sizes.sum())
+    chunks = np.array([_wide(total, index.pivots.shape[1])])
+    refs = index.refs.withColumn("cell", F.lit(0))
+    refs = refs.withColumn("chunk", F.pmod(F.xxhash64("rep"), _per_cell(chunks)))
+    return replace(index, refs=refs, pivots=index.pivots[:1], sizes=np.array([total]), chunks=chunks)
 
 
 def variance_axes(vectors: DataFrame) -> np.ndarray | None:
@@ -247,6 +270,21 @@ def variance_axes(vectors: DataFrame) -> np.ndarray | None:
     Any orthonormal axes give right results, so plain sums are good enough. The driver gets one number
     for each pair of dimensions.
     """
+    found = _principal(vectors)
+    return None if found is None else found[1]
+
+
+def _uneven_axes(vectors: DataFrame) -> np.ndarray | None:
+    """:func:`variance_axes` if the first ones hold so much of the variance that partial sums tell pairs apart early."""
+    found = _principal(vectors)
+    if found is None:
+        return None
+    shares, axes = found
+    return axes if shares[: len(shares) // 4].sum() >= UNEVEN * shares.sum() else None
+
+
+def _principal(vectors: DataFrame):
+    """Variances along orthonormal axes, falling, and the axes."""
 
     def sums(frames):
         n, total, products = 0, 0.0, 0.0
@@ -270,7 +308,8 @@ def variance_axes(vectors: DataFrame) -> np.ndarray | None:
     cov -= np.outer(mean, mean)
     if not np.isfinite(cov).all():
         return None
-    return np.linalg.eigh(cov)[1][:, ::-1]
+    values, axes = np.linalg.eigh(cov)
+    return np.maximum(values[::-1], 0.0), axes[:, ::-1]
 
 
 def _near_candidates(queries, refs, axes, radius, keep: int):
@@ -311,35 +350,110 @@ def _near_candidates(queries, refs, axes, radius, keep: int):
         yield start, at[0], at[1], summed
 
 
+def _lower_bounds(queries, refs):
+    """Factors of a product in single precision that, with ``1 - share`` of a query's squared length, bounds squared distances from below.
+
+    Vectors are taken from the references' mean; the squared lengths of both are returned. A pair's rounding error is below
+    ``share`` of their sum, and below ``rest`` in what double precision loses. Vectors beyond single precision are left to double.
+    """
+    dims, middle = queries.shape[1], refs.mean(axis=0)
+    a, b = queries - middle, refs - middle
+    rest = 1e-13 * dims * ((queries**2).sum(axis=1).max(initial=0.0) + (refs**2).sum(axis=1).max(initial=0.0)) + 1e-300
+    lengths, sizes = (a**2).sum(axis=1), (b**2).sum(axis=1)
+    kind = np.float32 if 1e-20 < max(lengths.max(initial=0.0), sizes.max(initial=0.0)) < 1e30 else np.float64
+    share = (dims + 16) * float(np.finfo(kind).eps)
+    # Squares of very small numbers vanish in single precision.
+    rest += 1e-35 if kind is np.float32 else 0.0
+    left = np.column_stack([-2.0 * a, np.ones(len(a))]).astype(kind)
+    right = np.column_stack([b, (1 - share) * sizes]).astype(kind)
+    return left, right, lengths, sizes, share, rest
+
+
+def _near_by_product(queries, refs, radius, keep: int):
+    """:func:`_near_candidates` by whole distances in single precision, a slice of references at a time."""
+    last = min(keep, len(refs), SLICE) - 1
+    left, right, lengths, _, share, rest = _lower_bounds(queries, refs)
+    for start in range(0, len(queries), BLOCK):
+        block = slice(start, start + BLOCK)
+        limit, own, near = radius[block] ** 2, [], []
+        for first in range(0, len(refs), SLICE):
+            bound = left[block] @ right[first : first + SLICE].T
+            if not first and len(refs) >= keep:
+                look = np.argpartition(bound, last, axis=1)[:, : last + 1]
+                if last + 1 >= keep:
+                    limit = np.minimum(limit, ((refs[look] - queries[block][:, None]) ** 2).sum(axis=2).max(axis=1))
+            slack = share * (limit + lengths[block])
+            most = limit + 2 * rest - (1 - share) * lengths[block] + np.where(np.isfinite(slack), slack, 0.0)
+            with np.errstate(over="ignore"):
+                i, j = np.nonzero(bound <= most.astype(bound.dtype)[:, None])
+            own.append(i)
+            near.append(j + first)
+        own, near = np.concatenate(own), np.concatenate(near)
+        order = np.argsort(own, kind="stable")
+        yield start, own[order], near[order], len(queries[block]) * len(refs)
+
+
 def _near_by_parts(queries, refs, metric: str, radius, keep: int):
-    """:func:`_near_candidates` for sums and maxima of coordinate differences."""
+    """:func:`_near_candidates` for sums and maxima of coordinate differences, in single precision until few pairs are open."""
     add, whole = (np.add, np.sum) if metric == "manhattan" else (np.maximum, np.max)
-    dims, last = queries.shape[1], min(keep, len(refs)) - 1
+    dims, last = queries.shape[1], min(keep, len(refs), SLICE) - 1
+    middle = refs.mean(axis=0)
+    a, b = queries - middle, refs - middle
+    most = np.abs(a).sum(axis=1).max(initial=0.0) + np.abs(b).sum(axis=1).max(initial=0.0)
+    kind = np.float32 if 1e-20 < most < 1e30 else np.float64
     error = 1e-13 * dims * (np.abs(queries).sum(axis=1).max(initial=0.0) + np.abs(refs).sum(axis=1).max(initial=0.0)) + 1e-300
+    error += (dims + 16) * float(np.finfo(kind).eps) * most
+    left, right = a.astype(kind), np.ascontiguousarray(b.astype(kind).T)
     borders = [*range(STEP, dims, STEP), dims]
     for start in range(0, len(queries), BLOCK):
-        block, limit = queries[start : start + BLOCK], radius[start : start + BLOCK].copy()
-        partial, low, at = np.zeros((len(block), len(refs))), 0, None
-        for step, high in enumerate(borders):
-            if at is None:
-                for c in range(low, high):
-                    add(partial, np.abs(block[:, c, None] - refs[None, :, c]), out=partial)
-                if step % RENEW_STEPS == 0 and len(refs) >= keep:
-                    look = np.argpartition(partial, last, axis=1)[:, : last + 1]
-                    limit = np.minimum(limit, _length(refs[look] - block[:, None], metric).max(axis=1))
-                open_, summed = partial <= limit[:, None] + 2 * error, partial.size
-                if high == dims or open_.mean() < SPARSE_SHARE:
-                    at = np.nonzero(open_)
-                    sums = partial[at]
-            else:
-                for first in range(0, len(sums), PAIR_ROWS):
-                    part = slice(first, first + PAIR_ROWS)
-                    more = whole(np.abs(block[at[0][part], low:high] - refs[at[1][part], low:high]), axis=1)
-                    sums[part] = add(sums[part], more)
-                open_, summed = sums <= limit[at[0]] + 2 * error, len(sums)
-                at, sums = tuple(x[open_] for x in at), sums[open_]
-            low = high
-        yield start, at[0], at[1], summed
+        block, rows = slice(start, start + BLOCK), len(queries[start : start + BLOCK])
+        limit, own, near, total = radius[block].copy(), [], [], 0
+        for first in range(0, len(refs), SLICE):
+            part = right[:, first : first + SLICE]
+            partial, low, at = np.zeros((rows, part.shape[1]), kind), 0, None
+            gap = np.empty_like(partial)
+            for step, high in enumerate(borders):
+                if at is None:
+                    for c in range(low, high):
+                        np.subtract(left[block, c, None], part[c], out=gap)
+                        np.abs(gap, out=gap)
+                        add(partial, gap, out=partial)
+                    if not first and step % RENEW_STEPS == 0 and last + 1 >= keep:
+                        look = np.argpartition(partial, last, axis=1)[:, : last + 1]
+                        limit = np.minimum(limit, _length(refs[look] - queries[block][:, None], metric).max(axis=1))
+                    open_, summed = partial <= (limit + 2 * error)[:, None], partial.size
+                    if high == dims or open_.mean() < SPARSE_SHARE / 4:
+                        at = np.nonzero(open_)
+                        sums = partial[at].astype(float)
+                else:
+                    for some in range(0, len(sums), PAIR_ROWS):
+                        piece = slice(some, some + PAIR_ROWS)
+                        more = whole(np.abs(a[start + at[0][piece], low:high] - b[first + at[1][piece], low:high]), axis=1)
+                        sums[piece] = add(sums[piece], more)
+                    open_, summed = sums <= limit[at[0]] + 2 * error, len(sums)
+                    at, sums = tuple(x[open_] for x in at), sums[open_]
+                low = high
+            # What is open is summed to the end: its wanted distances bound those of the next slices.
+            order = np.lexsort((sums, at[0]))
+            edges = np.searchsorted(at[0][order], np.arange(rows + 1))
+            enough = np.flatnonzero(np.diff(edges) >= keep)
+            limit[enough] = np.minimum(limit[enough], sums[order][edges[enough] + keep - 1] + error)
+            open_ = sums <= limit[at[0]] + 2 * error
+            own.append(at[0][open_])
+            near.append(at[1][open_] + first)
+            total += summed
+        own, near = np.concatenate(own), np.concatenate(near)
+        order = np.argsort(own, kind="stable")
+        yield start, own[order], near[order], total
+
+
+def _exact(queries, refs, own, near, metric: str) -> np.ndarray:
+    """Distances of pairs, some at a time."""
+    out = np.empty(len(own))
+    for first in range(0, len(own), PAIR_ROWS):
+        part = slice(first, first + PAIR_ROWS)
+        out[part] = _length(refs[near[part]] - queries[own[part]], metric)
+    return out
 
 
 def _top_kernel(keep: int, axes=None, count: bool = False, metric: str = "euclidean"):
@@ -356,16 +470,22 @@ def _top_kernel(keep: int, axes=None, count: bool = False, metric: str = "euclid
             pairs = len(queries) * len(refs)
             if metric in ("manhattan", "chebyshev"):
                 candidates = _near_by_parts(queries, refs, metric, radius, keep)
+            elif axes is None:
+                candidates = _near_by_product(queries, refs, radius, keep)
             else:
                 candidates = _near_candidates(queries, refs, axes, radius, keep)
             for start, own, near, full in candidates:
                 summed += full
+                gaps = _exact(queries, refs, own + start, near, metric)
                 edges = np.searchsorted(own, np.arange(min(BLOCK, len(queries) - start) + 1))
                 for i, (low, high) in enumerate(zip(edges, edges[1:])):
                     if low == high:
                         continue
-                    at = near[low:high]
-                    exact = _length(refs[at] - queries[start + i], metric)
+                    at, exact = near[low:high], gaps[low:high]
+                    if len(at) > keep:
+                        # Each reference has a key at least: those beyond the last wanted distance have none among the best.
+                        some = np.flatnonzero(exact <= np.partition(exact, keep - 1)[keep - 1])
+                        at, exact = at[some], exact[some]
                     best = sorted((d, k) for d, j in zip(exact.tolist(), at) for k in keys[j])[:keep]
                     found["rep"] += [reps[start + i]] * len(best)
                     found["neighbor"] += [k for _, k in best]
@@ -426,7 +546,7 @@ def within_radius(index: Index, queries: DataFrame, radius: float, kernel, schem
 
 
 def knn_work(queries: DataFrame, references: DataFrame, features, k: int, key: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """What :func:`knn_join` compares: ``pairs`` visited, ``summed`` to the end, and their ``share``."""
+    """What partial sums spare :func:`knn_join`: ``pairs`` visited, ``summed`` to the end, and their ``share``."""
     reference = materialize(distinct_points(points(references, features, key), k), "knn-references")
     index = build_index(reference, chunk_rows, keep=k)
     index.axes = variance_axes(reference)
@@ -467,7 +587,7 @@ def knn_join(
     reference = materialize(distinct_points(_measured(points(references, features, key), metric), keep), "knn-references")
     index = build_index(reference, chunk_rows, keep=keep, metric=metric)
     if metric in ("euclidean", "cosine"):
-        index.axes = variance_axes(reference)
+        index.axes = _uneven_axes(reference)
     rows = _measured(points(queries, features, key), metric)
     vectors = rows.groupBy("vec").agg(F.min("key").alias("rep"))
     vectors = materialize(vectors, "knn-queries")

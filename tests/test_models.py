@@ -1,6 +1,7 @@
 """Models against brute force, closed forms and planted structure."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -360,6 +361,51 @@ def test_partial_distances_lose_no_neighbor(spark, dims, chunk_rows):
     assert all(abs(r.distance - want[r.id, r.rank][1]) < 1e-12 for r in got)
 
 
+@pytest.mark.parametrize("metric", neighbors.METRICS)
+@pytest.mark.parametrize("shift, scale", [(0.0, 1.0), (1e5, 1.0), (0.0, 1e-25), (3.0, 1e-7), (0.0, 1e25)])
+def test_single_precision_loses_no_neighbor(monkeypatch, metric, shift, scale):
+    monkeypatch.setattr(neighbors, "SLICE", 50)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 24)) * scale + shift
+    x[200:230] = x[:30] * (1 + 1e-9)
+    queries = np.vstack([x[:150], x[:150] + scale])
+    radius = np.where(np.arange(300) % 3 == 0, np.inf, scale * 4)
+    near = neighbors._near_by_parts(queries, x, metric, radius, 6) if metric in ("manhattan", "chebyshev") else neighbors._near_by_product(queries, x, radius, 6)
+    kept = {(int(start + i), int(j)) for start, own, refs, _ in near for i, j in zip(own, refs)}
+    gaps = np.array([neighbors._length(x - q, metric) for q in queries])
+    for i, row in enumerate(gaps):
+        wanted = [j for j in np.argsort(row, kind="stable")[:6] if row[j] <= radius[i]]
+        assert all((i, int(j)) in kept for j in wanted)
+    if shift == 0:
+        assert len(kept) < 300 * 200
+
+
+@pytest.mark.parametrize("shift, scale", [(0.0, 1.0), (1e5, 1.0), (0.0, 1e-25), (3.0, 1e-7), (0.0, 1e25)])
+def test_single_precision_counts_exactly(monkeypatch, shift, scale):
+    monkeypatch.setattr(dbscan, "SLICE", 50)
+    x = np.random.default_rng(5).integers(-3, 4, size=(300, 6)) * scale + shift
+    frame = pd.DataFrame({"vec": list(x)})
+    # The radius is a distance of many pairs.
+    eps = neighbors._length(x[1] - x[0])
+    for i, inside in dbscan._near_blocks(frame, frame, eps):
+        assert inside.tolist() == np.flatnonzero(neighbors._length(x - x[i]) <= eps).tolist()
+
+
+def test_rows_are_not_sent_to_every_cell(spark):
+    """Queries that visit all cells go to a few wide chunks instead."""
+    x = np.random.default_rng(4).normal(size=(400, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "rep long, vec array<double>")
+    index = neighbors.build_index(df, chunk_rows=20)
+    assert len(index.pivots) == 40
+
+    def sizes(left, right):
+        return pd.DataFrame({"queries": [len(left)], "refs": [len(right)], "pairs": [len(left) * len(right)]})
+
+    sent = neighbors.within_radius(index, df, 100.0, sizes, "queries long, refs long, pairs long")
+    sums = sent.selectExpr("sum(queries)", "sum(refs)", "sum(pairs)").first()
+    assert tuple(sums) == (8 * 400, 8 * 400, 400 * 400)
+
+
 def test_few_distances_are_summed_to_the_end(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     work = neighbors.knn_work(vectors, vectors, "embedding", 5, "vec_id").first()
