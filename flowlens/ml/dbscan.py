@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from flowlens.ml.neighbors import BLOCK, CHUNK_ROWS, PAIR_ROWS, SLICE, _lower_bounds, _matrix, build_index, points, within_radius
+from flowlens.ml.neighbors import BLOCK, CHUNK_ROWS, PAIR_ROWS, SLICE, _lower_bounds, _matrix, _set_places, build_index, points, within_radius
 from flowlens.operators.preparation import fit_scaler
 from flowlens.session import materialize
 
@@ -40,7 +40,7 @@ def _near_blocks(left: pd.DataFrame, right: pd.DataFrame, eps: float):
         for first in range(0, len(refs), SLICE):
             bound = left_side[block] @ right_side[first : first + SLICE].T
             sure = bound <= least[block].astype(bound.dtype)[:, None]
-            i, j = np.nonzero((bound <= most[block].astype(bound.dtype)[:, None]) & ~sure)
+            i, j = _set_places((bound <= most[block].astype(bound.dtype)[:, None]) & ~sure)
             for some in range(0, len(i), PAIR_ROWS):
                 a, b = i[some : some + PAIR_ROWS], j[some : some + PAIR_ROWS]
                 sure[a, b] = np.sqrt(((refs[first + b] - queries[start + a]) ** 2).sum(axis=1)) <= eps

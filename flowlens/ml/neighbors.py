@@ -46,7 +46,7 @@ BLOCK = 256
 SLICE = 4096
 # Share of visited cells from which they are put together, numbers in a wide chunk, its most rows, and the least number of them.
 MOST = 0.5
-WIDE_NUMBERS, WIDE_ROWS, WIDE_CHUNKS = 1 << 21, 1 << 15, 8
+WIDE_NUMBERS, WIDE_ROWS, WIDE_CHUNKS = 1 << 22, 1 << 16, 8
 # Share of the variance that the first quarter of the axes holds where partial sums are worth it.
 UNEVEN = 0.5
 # Rotated coordinates that each partial sum adds.
@@ -369,26 +369,53 @@ def _lower_bounds(queries, refs):
     return left, right, lengths, sizes, share, rest
 
 
+def _set_places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.nonzero`` of a mask with few set entries, eight of a row at a time."""
+    if mask.shape[1] % 8 or not mask.flags.c_contiguous:
+        return np.nonzero(mask)
+    some = np.flatnonzero(mask.reshape(-1).view(np.uint64))
+    at, place = np.nonzero(mask.reshape(-1, 8)[some])
+    return np.divmod(some[at] * 8 + place, mask.shape[1])
+
+
+def _renewed(limit, own, values, keep: int) -> np.ndarray:
+    """Limits cut to the ``keep``-th smallest of each query's values, where it has so many."""
+    order = np.lexsort((values, own))
+    edges = np.searchsorted(own[order], np.arange(len(limit) + 1))
+    enough = np.flatnonzero(np.diff(edges) >= keep)
+    limit = limit.copy()
+    limit[enough] = np.minimum(limit[enough], values[order][edges[enough] + keep - 1])
+    return limit
+
+
 def _near_by_product(queries, refs, radius, keep: int):
     """:func:`_near_candidates` by whole distances in single precision, a slice of references at a time."""
     last = min(keep, len(refs), SLICE) - 1
-    left, right, lengths, _, share, rest = _lower_bounds(queries, refs)
+    left, right, lengths, sizes, share, rest = _lower_bounds(queries, refs)
+    # What a bound from below lacks of one from above.
+    spread = 2 * share * (lengths + sizes.max(initial=0.0)) + 4 * rest
     for start in range(0, len(queries), BLOCK):
         block = slice(start, start + BLOCK)
-        limit, own, near = radius[block] ** 2, [], []
+        base = (1 - share) * lengths[block]
+        limit, own, near, lows = radius[block] ** 2, [], [], []
         for first in range(0, len(refs), SLICE):
             bound = left[block] @ right[first : first + SLICE].T
-            if not first and len(refs) >= keep:
+            if not first and last + 1 >= keep and not np.isfinite(limit).all():
                 look = np.argpartition(bound, last, axis=1)[:, : last + 1]
-                if last + 1 >= keep:
-                    limit = np.minimum(limit, ((refs[look] - queries[block][:, None]) ** 2).sum(axis=2).max(axis=1))
+                limit = np.minimum(limit, ((refs[look] - queries[block][:, None]) ** 2).sum(axis=2).max(axis=1))
             slack = share * (limit + lengths[block])
-            most = limit + 2 * rest - (1 - share) * lengths[block] + np.where(np.isfinite(slack), slack, 0.0)
+            most = limit + 2 * rest - base + np.where(np.isfinite(slack), slack, 0.0)
             with np.errstate(over="ignore"):
-                i, j = np.nonzero(bound <= most.astype(bound.dtype)[:, None])
+                i, j = _set_places(bound <= most.astype(bound.dtype)[:, None])
             own.append(i)
             near.append(j + first)
-        own, near = np.concatenate(own), np.concatenate(near)
+            lows.append(bound[i, j].astype(float))
+            if first + SLICE < len(refs):
+                found = np.concatenate(own)
+                limit = _renewed(limit, found, np.concatenate(lows) + (base + spread[block])[found], keep)
+        own, near, lows = np.concatenate(own), np.concatenate(near), np.concatenate(lows)
+        open_ = lows <= (limit + 2 * rest - base + spread[block])[own]
+        own, near = own[open_], near[open_]
         order = np.argsort(own, kind="stable")
         yield start, own[order], near[order], len(queries[block]) * len(refs)
 
@@ -423,7 +450,7 @@ def _near_by_parts(queries, refs, metric: str, radius, keep: int):
                         limit = np.minimum(limit, _length(refs[look] - queries[block][:, None], metric).max(axis=1))
                     open_, summed = partial <= (limit + 2 * error)[:, None], partial.size
                     if high == dims or open_.mean() < SPARSE_SHARE / 4:
-                        at = np.nonzero(open_)
+                        at = _set_places(open_)
                         sums = partial[at].astype(float)
                 else:
                     for some in range(0, len(sums), PAIR_ROWS):
@@ -465,7 +492,11 @@ def _top_kernel(keep: int, axes=None, count: bool = False, metric: str = "euclid
         pairs, summed = 0, 0
         if len(left) and len(right):
             queries, refs = _matrix(left["vec"]), _matrix(right["vec"])
-            reps, keys = left["rep"].tolist(), right["keys"].tolist()
+            reps = left["rep"].to_numpy()
+            # Keys by their place in the order of all, one list after another.
+            many = right["keys"].map(len).to_numpy()
+            codes, names = pd.factorize(pd.Series([k for keys in right["keys"] for k in keys]), sort=True)
+            offsets = np.cumsum(many) - many
             radius = left["radius"].to_numpy(float) if "radius" in left else np.full(len(queries), np.inf)
             pairs = len(queries) * len(refs)
             if metric in ("manhattan", "chebyshev"):
@@ -477,19 +508,19 @@ def _top_kernel(keep: int, axes=None, count: bool = False, metric: str = "euclid
             for start, own, near, full in candidates:
                 summed += full
                 gaps = _exact(queries, refs, own + start, near, metric)
-                edges = np.searchsorted(own, np.arange(min(BLOCK, len(queries) - start) + 1))
-                for i, (low, high) in enumerate(zip(edges, edges[1:])):
-                    if low == high:
-                        continue
-                    at, exact = near[low:high], gaps[low:high]
-                    if len(at) > keep:
-                        # Each reference has a key at least: those beyond the last wanted distance have none among the best.
-                        some = np.flatnonzero(exact <= np.partition(exact, keep - 1)[keep - 1])
-                        at, exact = at[some], exact[some]
-                    best = sorted((d, k) for d, j in zip(exact.tolist(), at) for k in keys[j])[:keep]
-                    found["rep"] += [reps[start + i]] * len(best)
-                    found["neighbor"] += [k for _, k in best]
-                    found["distance"] += [d for d, _ in best]
+                # Each reference has a key at least: those beyond the last wanted distance have none among the best.
+                some = gaps <= _renewed(np.full(min(BLOCK, len(queries) - start), np.inf), own, gaps, keep)[own]
+                own, near, gaps = own[some], near[some], gaps[some]
+                times = many[near]
+                place = np.repeat(offsets[near] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                own, gaps, key = np.repeat(own, times), np.repeat(gaps, times), codes[place]
+                order = np.lexsort((key, gaps, own))
+                ranks = np.arange(len(order)) - np.searchsorted(own[order], own[order])
+                order = order[ranks < keep]
+                found["rep"].append(reps[start + own[order]])
+                found["neighbor"].append(names.to_numpy()[key[order]])
+                found["distance"].append(gaps[order])
+            found = {c: np.concatenate(v) for c, v in found.items()}
         if not count:
             return pd.DataFrame(found)
         out = pd.DataFrame({c: pd.Series([*found[c], None], dtype=object) for c in found})

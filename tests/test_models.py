@@ -391,6 +391,37 @@ def test_single_precision_counts_exactly(monkeypatch, shift, scale):
         assert inside.tolist() == np.flatnonzero(neighbors._length(x - x[i]) <= eps).tolist()
 
 
+def test_products_leave_few_more_than_the_nearest(monkeypatch):
+    """Limits are renewed from slice to slice, so that later ones add hardly any pairs."""
+    monkeypatch.setattr(neighbors, "SLICE", 48)
+    x = np.random.default_rng(6).normal(size=(480, 24))
+    near = neighbors._near_by_product(x, x, np.full(480, np.inf), 6)
+    assert sum(len(own) for _, own, _, _ in near) < 480 * 7
+
+
+@pytest.mark.parametrize("names", [str, int])
+def test_best_of_a_chunk_with_copies(names):
+    """Keys of copies are told apart by their order, as in a plain sort."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 3, size=(90, 4)).astype(float)
+    keys = [sorted(names(100 * j + i) for i in range(1 + j % 3)) for j in range(90)]
+    left = pd.DataFrame({"rep": [names(i) for i in range(300)], "vec": list(rng.integers(0, 3, size=(300, 4)).astype(float))})
+    right = pd.DataFrame({"rep": [k[0] for k in keys], "vec": list(x), "keys": keys})
+    got = neighbors._top_kernel(5)(left, right)
+    want = []
+    for rep, vec in zip(left["rep"], left["vec"]):
+        gaps = neighbors._length(x - vec)
+        want += [(rep, k, d) for d, k in sorted((d, k) for d, some in zip(gaps.tolist(), keys) for k in some)[:5]]
+    assert list(got.itertuples(index=False, name=None)) == want
+
+
+def test_few_wide_chunks():
+    assert neighbors._wide(600_000, 64) <= 10
+    mask = np.random.default_rng(1).random((7, 64)) < 0.05
+    for some in (mask, mask[:, :30], mask[:, ::2], np.zeros((0, 8), bool)):
+        assert all((a == b).all() for a, b in zip(neighbors._set_places(some), np.nonzero(some)))
+
+
 def test_rows_are_not_sent_to_every_cell(spark):
     """Queries that visit all cells go to a few wide chunks instead."""
     x = np.random.default_rng(4).normal(size=(400, 32))
