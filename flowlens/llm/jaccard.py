@@ -17,7 +17,8 @@ Pairs that the points do not rule out meet a second bound before any text moves:
 a vector of as many two-valued groups as it has shingles (counts modulo two). Groups in which two
 such vectors differ hold a shingle that only one of the sets has, so their number is never more
 than the sets' difference. Vectors fold to the shorter one's length; ``PARITY_BITS`` bounds them,
-beyond which the bound is weaker, never wrong.
+beyond which the bound is weaker, never wrong. Pairs of the tree meet it in the cell's task, on vectors
+folded to ``TREE_BITS``, so that large groups of texts that are alike, but not enough, send no pairs.
 
 A cell first tests its smallest document against all others, which settles large groups of near
 copies with one test a document. Only cells that still hold several components are searched by
@@ -48,6 +49,9 @@ BLOCK_POINTS = 1_024
 LEAF, FANOUT = 32, 16
 BLOCK_SHINGLES = 100_000
 PARITY_BITS = 1 << 16
+# Bits of a parity vector that go to the tree's tasks, and 64-bit words of pairs that are compared at a time.
+TREE_BITS = 1 << 12
+PAIR_WORDS = 1 << 20
 
 
 def shingle_sets(words, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,6 +151,37 @@ def difference_bound(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
 
 
+def folded(parity: bytes, bits: int) -> bytes:
+    """The vector in at most ``bits`` groups (a power of two)."""
+    words = np.frombuffer(parity, np.uint64)
+    return np.bitwise_xor.reduce(words.reshape(-1, min(len(words), bits // 64)), axis=0).tobytes()
+
+
+def difference_bounds(vectors, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """:func:`difference_bound` of the pairs (i, j) of ``vectors``, those of equal lengths together."""
+    if len(i) < 16:
+        return np.array([difference_bound(vectors[a], vectors[b]) for a, b in zip(i, j)], np.int64)
+    words = np.array([len(v) // 8 for v in vectors])
+    tables, place = {}, np.zeros(len(words), np.int64)
+    for w in np.unique(words).tolist():
+        of = np.flatnonzero(words == w)
+        place[of] = np.arange(len(of))
+        tables[w] = np.frombuffer(b"".join(vectors[x] for x in of), np.uint64).reshape(-1, w)
+    swap = words[i] > words[j]
+    short, long = np.where(swap, j, i), np.where(swap, i, j)
+    out = np.zeros(len(i), np.int64)
+    for w, x in tables.items():
+        for v, y in tables.items():
+            of = np.flatnonzero((words[short] == w) & (words[long] == v))
+            if not len(of):
+                continue
+            y = np.bitwise_xor.reduce(y.reshape(len(y), -1, w), axis=1)
+            for some in np.split(of, range(PAIR_WORDS // w, len(of), PAIR_WORDS // w)):
+                apart = x[place[short[some]]] ^ y[place[long[some]]]
+                out[some] = np.bitwise_count(apart).sum(axis=1, dtype=np.int64)
+    return out
+
+
 class CountTree:
     """R-tree over group counts, packed by sorting along the size and the widest coordinates."""
 
@@ -203,6 +238,9 @@ class CountTree:
         return at[may_link(overlap_bound(point, self.points[at]), size, self.sizes[at], percent)]
 
 
+SUMMARY = "doc long, n long, one long, two long, point binary, parity binary, folded binary"
+
+
 def _summaries(k: int):
     def run(batches):
         splitter = Splitter("plain", lower=True)
@@ -214,10 +252,12 @@ def _summaries(k: int):
                 group = (mix(hashes ^ np.uint64(0x27D4EB2F165667C5)) & np.uint64(DIMENSIONS - 1)).astype(np.int64)
                 counts = np.bincount(row * DIMENSIONS + group, minlength=rows * DIMENSIONS).reshape(rows, DIMENSIONS)
                 points = [p.tobytes() for p in np.minimum(counts, (1 << 32) - 1).astype(np.uint32)]
+                whole = parities(row, hashes, rows)
+                few = [folded(p, TREE_BITS) for p in whole]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), pa.array(np.bincount(row, minlength=rows)), pa.array(one.view(np.int64)),
-                     pa.array(two.view(np.int64)), pa.array(points, pa.binary()), pa.array(parities(row, hashes, rows), pa.binary())],
-                    ["doc", "n", "one", "two", "point", "parity"],
+                    [part.column("doc"), pa.array(np.bincount(row, minlength=rows)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
+                     pa.array(points, pa.binary()), pa.array(whole, pa.binary()), pa.array(few, pa.binary())],
+                    ["doc", "n", "one", "two", "point", "parity", "folded"],
                 )
 
     return run
@@ -256,11 +296,14 @@ def _tree_pairs(percent: int):
     """Streams cells that follow one another; one cell, or one pair of its blocks, is in memory at a time."""
 
     def pairs(held):
-        points, sizes, labels, doc, block = (np.concatenate(x) for x in zip(*held))
+        points, sizes, labels, doc, block, vectors = (np.concatenate(x) for x in zip(*held))
         i, j = CountTree(points, sizes, labels).pairs(percent)
         if len(np.unique(block)) > 1:  # pairs within one of two blocks are found in that block's own group
             apart = block[i] != block[j]
             i, j = i[apart], j[apart]
+        n, m = sizes[i], sizes[j]
+        fits = may_link((n + m - difference_bounds(vectors, i, j)) // 2, n, m, percent)
+        i, j = i[fits], j[fits]
         return np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
 
     def run(batches):
@@ -271,6 +314,7 @@ def _tree_pairs(percent: int):
             key = np.stack([batch.column(c).to_numpy() for c in ("cell", "low", "high")])
             points = np.frombuffer(b"".join(batch.column("point").to_pylist()), np.uint32).reshape(-1, DIMENSIONS)
             columns = [points, *(batch.column(c).to_numpy() for c in ("n", "component", "doc", "block"))]
+            columns.append(np.array(batch.column("folded").to_pylist(), object))
             edges = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
             found = []
             for x, y in zip(edges, [*edges[1:], batch.num_rows]):
@@ -353,11 +397,11 @@ def verify(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, percent
 def link_documents(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc, n, component) of every row: size of its set, smallest id it reaches by links of ``percent`` or more."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    known = materialize(texts.mapInArrow(_summaries(k), "doc long, n long, one long, two long, point binary, parity binary"), "sets")
+    known = materialize(texts.mapInArrow(_summaries(k), SUMMARY), "sets")
     sets = known.where("doc is not null and n > 0")
     heads = sets.groupBy("n", "one", "two").agg(F.min("doc").alias("head"))
     classes = sets.join(heads, ["n", "one", "two"])
-    points = materialize(classes.where("doc = head").select("doc", "n", "one", "two", "point", "parity").dropDuplicates(["doc", "one", "two"]), "points")
+    points = materialize(classes.where("doc = head").select("doc", "n", "one", "two", "point", "parity", "folded").dropDuplicates(["doc", "one", "two"]), "points")
 
     rows = texts.where("doc is not null").withColumnRenamed("doc", "rid")
     cells = repeated_keys(rows, _cells(k, percent), 0.04 * (100 - percent) / 10, by_row=True)
@@ -374,7 +418,7 @@ def link_documents(documents: DataFrame, k: int = 5, percent: int = 80) -> DataF
     links = materialize(verify(firsts, sizes, texts, k, percent), "links")
     linked = materialize(components(links), "linked")
 
-    placed = points.join(linked, F.col("doc") == F.col("node"), "left").select("doc", "n", "one", "two", "point", F.coalesce("component", "doc").alias("component"))
+    placed = points.join(linked, F.col("doc") == F.col("node"), "left").select("doc", "n", "one", "two", "point", "folded", F.coalesce("component", "doc").alias("component"))
     rest = cells.join(shared.where("members > 2").select("cell"), "cell", "left_semi").join(placed, "doc")
     mixed = rest.groupBy("cell").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("doc").alias("members"),
@@ -399,12 +443,12 @@ def bounded_pairs(pairs: DataFrame, points: DataFrame, percent: int) -> DataFram
 
 
 def tree_pairs(points: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a cell that the R-tree's bound does not rule out; large cells in pairs of blocks."""
+    """Pairs of different components in a cell that neither the R-tree's bound nor folded parities rule out; large cells in pairs of blocks."""
     blocks = F.ceil(F.col("members") / BLOCK_POINTS)
     own = F.pmod(F.xxhash64("doc", "n", "point"), blocks)
     split = points.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
     split = split.select(
-        "cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc", "n", "point", "component", "block",
+        "cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc", "n", "point", "folded", "component", "block",
     )
     at = ["cell", "low", "high"]
     found = split.repartition(*at).sortWithinPartitions(*at).mapInArrow(_tree_pairs(percent), "a long, b long")

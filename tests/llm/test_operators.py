@@ -116,6 +116,26 @@ def test_parities_rule_out_most_unlike_sets():
     assert may == [False, True]  # 900 of 1 100 shingles are shared by the near pair
 
 
+def test_parities_of_many_pairs_are_those_of_each():
+    rng = np.random.default_rng(2)
+    vectors = [rng.integers(0, 256, 8 << int(w), dtype=np.uint8).tobytes() for w in rng.integers(0, 5, 40)]
+    i, j = (x.ravel() for x in np.mgrid[:40, :40])
+    want = [jaccard.difference_bound(vectors[a], vectors[b]) for a, b in zip(i, j)]
+    assert jaccard.difference_bounds(vectors, i, j).tolist() == want
+    assert all(jaccard.difference_bound(jaccard.folded(v, 64), v) == 0 for v in vectors)
+
+
+def test_texts_that_are_alike_but_not_enough_send_no_pairs(spark):
+    """Half of the words in common: the sums of minima let all pairs of the cell through, parities none but the near copies."""
+    common = [f"c{i}" for i in range(420)]
+    rows = [(d, " ".join([*common, *(f"w{d}x{i}" for i in range(180))])) for d in range(60)]
+    rows.append((60, rows[0][1] + " end"))
+    texts = frame(spark, rows).withColumnRenamed("doc_id", "doc")
+    sets = texts.mapInArrow(jaccard._summaries(5), jaccard.SUMMARY)
+    cell = sets.selectExpr("1L as cell", "61L as members", "doc as component", "*")
+    assert [(r.a, r.b) for r in jaccard.tree_pairs(cell, 80).collect()] == [(0, 60)]
+
+
 def test_toxicity_model_is_the_same_whatever_order_texts_of_an_id_come_in(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choices("ab cd ef gh ij kl mn".split(), k=12))) for i in range(60) for _ in range(2)]
