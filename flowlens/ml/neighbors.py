@@ -15,7 +15,8 @@ the next coordinates are read. What is left is compared in the original coordina
 sums tell little, and whole distances come from one product in single precision, with its rounding error as slack.
 
 If queries visit most cells all the same, the cells are put together for that visit: a few wide chunks, and a row is sent
-once for each of them instead of once for each cell.
+once for each of them instead of once for each cell. Where queries and references are the same rows, each chunk is first
+compared with itself, which bounds the search radius, and then each two chunks once, for the neighbours of both.
 
 Distances are Euclidean, sums (``manhattan``) or maxima (``chebyshev``) of coordinate differences, or ``cosine``. Sums and
 maxima keep the coordinates as they are, since no rotation preserves them; partial ones are lower bounds too. Vectors
@@ -42,8 +43,8 @@ MAX_PIVOTS = 512
 CHUNK_ROWS = 4096
 QUERY_ROWS = 4096
 BLOCK = 256
-# References that a block of queries is compared with at a time.
-SLICE = 4096
+# References that a block of queries is compared with at a time, and those of two chunks compared both ways.
+SLICE, TILE = 4096, 1024
 # Share of visited cells from which they are put together, numbers in a wide chunk, its most rows, and the least number of them.
 MOST = 0.5
 WIDE_NUMBERS, WIDE_ROWS, WIDE_CHUNKS = 1 << 22, 1 << 16, 8
@@ -209,11 +210,11 @@ def _home_cell(index: Index):
     return home
 
 
-def _visit(index: Index, queries: DataFrame, kernel, schema: str, one_chunk: bool) -> DataFrame:
+def _visit(index: Index, queries: DataFrame, kernel, schema: str, one_chunk: bool, same: bool = False) -> DataFrame:
     """Runs ``kernel(queries, references)`` on every visited (cell, chunk, query block).
 
     ``queries`` carries ``cells``. A cell visited by many queries gets several query
-    blocks, each with its own copy of the chunk's references.
+    blocks, each with its own copy of the chunk's references. With ``same``, queries are the references, with their keys.
     """
     loads = np.zeros(len(index.pivots))
     if len(loads) == 1:
@@ -227,7 +228,11 @@ def _visit(index: Index, queries: DataFrame, kernel, schema: str, one_chunk: boo
     if not one_chunk and len(loads) > 1 and loads.sum():
         total = queries.count()
         if loads.sum() >= MOST * total * (index.sizes > 0).sum():
-            index, blocks = _one_cell(index), np.array([_wide(total, index.pivots.shape[1])])
+            if same:
+                return _both_ways(queries, _wide(total, index.pivots.shape[1]), kernel, schema, index.keep)
+            # Few queries need few copies of the references.
+            few = min(WIDE_CHUNKS, -(-WIDE_CHUNKS * total // int(index.sizes.sum())))
+            index, blocks = _one_cell(index), np.array([_wide(total, index.pivots.shape[1], few)])
             queries = queries.withColumn("cells", F.array(F.lit(0)))
     chunk_count = np.maximum(index.chunks, 1)
     left = queries.withColumn("cell", F.explode("cells")).drop("cells")
@@ -250,9 +255,9 @@ def _visit(index: Index, queries: DataFrame, kernel, schema: str, one_chunk: boo
     return left.groupBy(*where).cogroup(right.groupBy(*where)).applyInPandas(kernel, schema)
 
 
-def _wide(rows: int, dims: int) -> int:
+def _wide(rows: int, dims: int, least: int = WIDE_CHUNKS) -> int:
     """Number of wide chunks or query blocks for so many rows."""
-    return max(WIDE_CHUNKS, -(-rows // max(CHUNK_ROWS, min(WIDE_ROWS, WIDE_NUMBERS // dims))))
+    return max(least, -(-rows // max(CHUNK_ROWS, min(WIDE_ROWS, WIDE_NUMBERS // dims))))
 
 
 def _one_cell(index: Index) -> Index:
@@ -264,6 +269,37 @@ def _one_cell(index: Index) -> Index:
     return replace(index, refs=refs, pivots=index.pivots[:1], sizes=np.array([total]), chunks=chunks)
 
 
+def _both_ways(rows: DataFrame, chunks: int, kernel, schema: str, keep: int) -> DataFrame:
+    """Best candidates of ``(rep, vec, keys, radius)`` rows among themselves: ``kernel`` inside every wide chunk, then each two
+    chunks in one task. A row is sent once for each chunk, and a task of two chunks holds no more than one of ``_visit``."""
+    chunk = F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(chunks)).cast("int")
+    rows = rows.select("rep", "vec", "keys", "radius", chunk.alias("chunk"))
+    inside = rows.repartitionById(chunks, "chunk").groupBy("chunk").applyInPandas(lambda frame: kernel(frame, frame), schema)
+    inside = materialize(inside, "neighbor-inside")
+    rows = materialize(_with_radius(rows, inside, keep), "neighbor-rows")
+    last = F.lit(chunks - 1)
+    # Each two chunks are numbered, so that every one of these equally large tasks is a partition of its own.
+    task = (F.shiftright(F.col("low") * (2 * last - F.col("low") + 1), 1) + F.col("high") - F.col("low") - 1).cast("int")
+    left = rows.withColumns({"low": F.col("chunk"), "high": F.explode(F.when(F.col("chunk") < last, F.sequence(F.col("chunk") + 1, last)))})
+    right = rows.withColumns({"low": F.explode(F.when(F.col("chunk") > 0, F.sequence(F.lit(0), F.col("chunk") - 1))), "high": F.col("chunk")})
+    left, right = (
+        side.select(*(F.col(c).alias(c) for c in ("rep", "vec", "keys", "radius")), task.alias("task")).repartitionById(chunks * (chunks - 1) // 2, "task").groupBy("task")
+        for side in (left, right)
+    )
+    return inside.unionByName(left.cogroup(right).applyInPandas(_both_kernel(keep), schema))
+
+
+def _with_radius(queries: DataFrame, found: DataFrame, keep: int) -> DataFrame:
+    """Queries with the distance of their last wanted candidate as ``radius``; where there are too few, it stays as it was."""
+    radius = (
+        found.filter(F.col("rep").isNotNull())
+        .groupBy("rep")
+        .agg(F.max("distance").alias("d"), F.count("*").alias("n"))
+        .select("rep", F.when(F.col("n") >= keep, F.col("d")).alias("_found"))
+    )
+    return queries.join(radius, "rep", "left").withColumn("radius", F.least("radius", "_found")).drop("_found")
+
+
 def variance_axes(vectors: DataFrame) -> np.ndarray | None:
     """Orthonormal axes of ``vec`` by falling variance, None if there are too few dimensions to save any.
 
@@ -397,7 +433,8 @@ def _near_by_product(queries, refs, radius, keep: int):
     for start in range(0, len(queries), BLOCK):
         block = slice(start, start + BLOCK)
         base = (1 - share) * lengths[block]
-        limit, own, near, lows = radius[block] ** 2, [], [], []
+        limit = radius[block] ** 2
+        own, near, lows, size = [], [], [], 2 * keep * len(base)
         for first in range(0, len(refs), SLICE):
             bound = left[block] @ right[first : first + SLICE].T
             if not first and last + 1 >= keep and not np.isfinite(limit).all():
@@ -410,16 +447,42 @@ def _near_by_product(queries, refs, radius, keep: int):
             own.append(i)
             near.append(j + first)
             lows.append(bound[i, j].astype(float))
-            if first + SLICE < len(refs):
-                found = np.concatenate(own)
-                limit = _renewed(limit, found, np.concatenate(lows) + (base + spread[block])[found], keep)
-        own, near, lows = np.concatenate(own), np.concatenate(near), np.concatenate(lows)
-        open_ = lows <= (limit + 2 * rest - base + spread[block])[own]
-        own, near = own[open_], near[open_]
+            # Renewed when the open pairs have doubled: that costs little for each of them.
+            if first + SLICE >= len(refs) or sum(map(len, own)) >= size:
+                found, places, least = np.concatenate(own), np.concatenate(near), np.concatenate(lows)
+                limit = _renewed(limit, found, least + (base + spread[block])[found], keep)
+                open_ = least <= (limit + 2 * rest - base + spread[block])[found]
+                own, near, lows = [found[open_]], [places[open_]], [least[open_]]
+                size = max(size, 2 * len(own[0]))
+        own, near = own[0], near[0]
         order = np.argsort(own, kind="stable")
         yield start, own[order], near[order], len(queries[block]) * len(refs)
 
 
+def _near_both(left, right, left_radius, right_radius):
+    """Pairs of two sets of vectors that may lie within the radius of either, by one product in single precision."""
+    a, b, lengths, sizes, share, rest = _lower_bounds(left, right)
+    # Both squared lengths are columns here: all terms sum to less than twice their sum, which the share still covers.
+    a = np.column_stack([a, ((1 - share) * lengths).astype(a.dtype)])
+    b = np.column_stack([b, np.ones(len(b), b.dtype)])
+    most = [(1 + share) * radius**2 + 2 * rest for radius in (left_radius, right_radius)]
+    # Rows of similar limits together: one limit for all pairs of a tile leaves few of them.
+    orders = [np.argsort(m, kind="stable") for m in most]
+    (own_most, near_most), (a, b) = (m[o] for m, o in zip(most, orders)), (x[o] for x, o in zip((a, b), orders))
+    own, near = [], []
+    for start in range(0, len(a), BLOCK):
+        for first in range(0, len(b), TILE):
+            bound = a[start : start + BLOCK] @ b[first : first + TILE].T
+            limit = max(own_most[start : start + BLOCK][-1], near_most[first : first + TILE][-1])
+            with np.errstate(over="ignore"):
+                limit = np.nextafter(bound.dtype.type(limit), bound.dtype.type(np.inf))
+            i, j = _set_places(bound <= limit)
+            open_ = bound[i, j] <= np.maximum(own_most[start + i], near_most[first + j])
+            own.append(start + i[open_])
+            near.append(first + j[open_])
+    return orders[0][np.concatenate(own)], orders[1][np.concatenate(near)]
+
+
 def _near_by_parts(queries, refs, metric: str, radius, keep: int):
     """:func:`_near_candidates` for sums and maxima of coordinate differences, in single precision until few pairs are open."""
     add, whole = (np.add, np.sum) if metric == "manhattan" else (np.maximum, np.max)
@@ -483,6 +546,50 @@ def _exact(queries, refs, own, near, metric: str) -> np.ndarray:
     return out
 
 
+def _places(keys: pd.Series):
+    """How many keys each reference has, where they begin, and all keys by their place in the order of the names."""
+    many = keys.map(len).to_numpy()
+    codes, names = pd.factorize(pd.Series([k for some in keys for k in some]), sort=True)
+    return many, np.cumsum(many) - many, codes, names.to_numpy()
+
+
+def _best_keys(own, near, gaps, places, rows: int, keep: int):
+    """The ``keep`` best (query, key, distance) of each of so many queries, from pairs of a query and a reference."""
+    many, offsets, codes, names = places
+    # Each reference has a key at least: those beyond the last wanted distance have none among the best.
+    some = gaps <= _renewed(np.full(rows, np.inf), own, gaps, keep)[own]
+    own, near, gaps = own[some], near[some], gaps[some]
+    times = many[near]
+    place = np.repeat(offsets[near] - np.cumsum(times) + times, times) + np.arange(times.sum())
+    own, gaps, key = np.repeat(own, times), np.repeat(gaps, times), codes[place]
+    order = np.lexsort((key, gaps, own))
+    ranks = np.arange(len(order)) - np.searchsorted(own[order], own[order])
+    order = order[ranks < keep]
+    return own[order], names[key[order]], gaps[order]
+
+
+def _both_kernel(keep: int):
+    """Per row of either chunk the ``keep`` nearest (distance, key) pairs of the other within its radius."""
+
+    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = {"rep": [], "neighbor": [], "distance": []}
+        if len(left) and len(right):
+            vectors = [_matrix(side["vec"]) for side in (left, right)]
+            radius = [side["radius"].to_numpy(float) for side in (left, right)]
+            pairs = _near_both(*vectors, *radius)
+            gaps = _exact(*vectors, *pairs, "euclidean")
+            for side, other, (own, near), limit in ((left, right, pairs, radius[0]), (right, left, pairs[::-1], radius[1])):
+                some = gaps <= limit[own]
+                own, key, gap = _best_keys(own[some], near[some], gaps[some], _places(other["keys"]), len(side), keep)
+                found["rep"].append(side["rep"].to_numpy()[own])
+                found["neighbor"].append(key)
+                found["distance"].append(gap)
+            found = {c: np.concatenate(v) for c, v in found.items()}
+        return pd.DataFrame(found)
+
+    return kernel
+
+
 def _top_kernel(keep: int, axes=None, count: bool = False, metric: str = "euclidean"):
     """Per query the ``keep`` nearest (distance, key) pairs of one chunk; with ``count``, a row without a query
     says how many pairs there were and how many distances were summed to the end."""
@@ -493,10 +600,7 @@ def _top_kernel(keep: int, axes=None, count: bool = False, metric: str = "euclid
         if len(left) and len(right):
             queries, refs = _matrix(left["vec"]), _matrix(right["vec"])
             reps = left["rep"].to_numpy()
-            # Keys by their place in the order of all, one list after another.
-            many = right["keys"].map(len).to_numpy()
-            codes, names = pd.factorize(pd.Series([k for keys in right["keys"] for k in keys]), sort=True)
-            offsets = np.cumsum(many) - many
+            places = _places(right["keys"])
             radius = left["radius"].to_numpy(float) if "radius" in left else np.full(len(queries), np.inf)
             pairs = len(queries) * len(refs)
             if metric in ("manhattan", "chebyshev"):
@@ -508,18 +612,10 @@ def _top_kernel(keep: int, axes=None, count: bool = False, metric: str = "euclid
             for start, own, near, full in candidates:
                 summed += full
                 gaps = _exact(queries, refs, own + start, near, metric)
-                # Each reference has a key at least: those beyond the last wanted distance have none among the best.
-                some = gaps <= _renewed(np.full(min(BLOCK, len(queries) - start), np.inf), own, gaps, keep)[own]
-                own, near, gaps = own[some], near[some], gaps[some]
-                times = many[near]
-                place = np.repeat(offsets[near] - np.cumsum(times) + times, times) + np.arange(times.sum())
-                own, gaps, key = np.repeat(own, times), np.repeat(gaps, times), codes[place]
-                order = np.lexsort((key, gaps, own))
-                ranks = np.arange(len(order)) - np.searchsorted(own[order], own[order])
-                order = order[ranks < keep]
-                found["rep"].append(reps[start + own[order]])
-                found["neighbor"].append(names.to_numpy()[key[order]])
-                found["distance"].append(gaps[order])
+                own, key, gaps = _best_keys(own, near, gaps, places, min(BLOCK, len(queries) - start), keep)
+                found["rep"].append(reps[start + own])
+                found["neighbor"].append(key)
+                found["distance"].append(gaps)
             found = {c: np.concatenate(v) for c, v in found.items()}
         if not count:
             return pd.DataFrame(found)
@@ -536,8 +632,8 @@ def _best(candidates: DataFrame, by: str, keep: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
 
 
-def nearest_keys(index: Index, queries: DataFrame, key_type: str) -> DataFrame:
-    """``(rep, neighbor, distance, rank)``: the ``index.keep`` nearest keys of each query vector."""
+def nearest_keys(index: Index, queries: DataFrame | None, key_type: str) -> DataFrame:
+    """``(rep, neighbor, distance, rank)``: the ``index.keep`` nearest keys of each query vector; without queries, of each reference."""
     schema = f"rep {key_type}, neighbor {key_type}, distance double"
     return _best(_candidates(index, queries, schema, _top_kernel(index.keep, index.axes, metric=index.metric)), "rep", index.keep)
 
@@ -549,23 +645,20 @@ def search_work(index: Index, queries: DataFrame, key_type: str) -> DataFrame:
     return found.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pairs", "summed")))
 
 
-def _candidates(index: Index, queries: DataFrame, schema: str, kernel) -> DataFrame:
-    base = queries.select("rep", "vec")
+def _candidates(index: Index, queries: DataFrame | None, schema: str, kernel) -> DataFrame:
+    same = queries is None and index.axes is None and index.metric in ("euclidean", "cosine")
+    base = (index.refs if queries is None else queries).select("rep", "vec", *["keys"] * same)
     if len(index.pivots) == 1:
         return _visit(index, base.withColumn("cells", F.array(F.lit(0))), kernel, schema, False)
     first = base.withColumn("cells", _home_cell(index)("vec"))
-    radius = (
-        _visit(index, first, kernel, schema, True)
-        .filter(F.col("rep").isNotNull())
-        .groupBy("rep")
-        .agg(F.max("distance").alias("d"), F.count("*").alias("n"))
-        .select("rep", F.when(F.col("n") >= index.keep, F.col("d")).alias("radius"))
-    )
-    reach = F.coalesce(F.col("radius"), F.lit(float("inf")))
-    second = base.join(radius, "rep", "left").select(
-        "rep", "vec", reach.alias("radius"), _cells_within(index)("vec", reach).alias("cells")
-    )
-    return _visit(index, second, kernel, schema, False)
+    second = _with_radius(base.withColumn("radius", F.lit(float("inf"))), _visit(index, first, kernel, schema, True), index.keep)
+    second = second.withColumn("cells", _cells_within(index)("vec", "radius"))
+    return _visit(index, second, kernel, schema, False, same)
+
+
+def near_home(index: Index, queries: DataFrame, kernel, schema: str) -> DataFrame:
+    """Runs a kernel over one chunk of each query's closest cell; the work grows with the queries alone."""
+    return _visit(index, queries.withColumn("cells", _home_cell(index)("vec")), kernel, schema, True)
 
 
 def within_radius(index: Index, queries: DataFrame, radius: float, kernel, schema: str) -> DataFrame:
@@ -620,9 +713,11 @@ def knn_join(
     if metric in ("euclidean", "cosine"):
         index.axes = _uneven_axes(reference)
     rows = _measured(points(queries, features, key), metric)
-    vectors = rows.groupBy("vec").agg(F.min("key").alias("rep"))
-    vectors = materialize(vectors, "knn-queries")
-    found = nearest_keys(index, vectors, key_type)
+    if queries is references:
+        vectors, found = reference.select("rep", "vec"), nearest_keys(index, None, key_type)
+    else:
+        vectors = materialize(rows.groupBy("vec").agg(F.min("key").alias("rep")), "knn-queries")
+        found = nearest_keys(index, vectors, key_type)
     if metric == "cosine":
         found = found.withColumn("distance", F.col("distance") * F.col("distance") / 2)
     # Copies of a query share one search; AQE splits the join if one vector dominates.

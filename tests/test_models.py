@@ -437,6 +437,38 @@ def test_rows_are_not_sent_to_every_cell(spark):
     assert tuple(sums) == (8 * 400, 8 * 400, 400 * 400)
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_two_chunks_meet_once(spark, monkeypatch, metric):
+    """Rows searched among themselves: no pair of different chunks is compared twice, and no neighbour is lost."""
+    monkeypatch.setattr(neighbors, "QUERY_ROWS", 100)
+    pairs = spark.sparkContext.accumulator(0)
+    compare = neighbors._both_kernel
+
+    def counted(keep):
+        kernel = compare(keep)
+
+        def run(left, right):
+            pairs.add(len(left) * len(right))
+            return kernel(left, right)
+
+        return run
+
+    monkeypatch.setattr(neighbors, "_both_kernel", counted)
+    x = np.random.default_rng(12).normal(size=(500, 32))
+    x[440:470], x[470:] = x[:30], x[:30] * (1 + 1e-9)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    got = neighbors.knn_join(df, df, "vec", 5, "id", chunk_rows=40, metric=metric).collect()
+    # 470 distinct vectors or fewer, all pairs of seven eighths of them, once.
+    assert 0 < pairs.value < 470 * 470 / 2
+    if metric == "euclidean":
+        want = plain_neighbors(x, 5)
+        assert {(r.id, r.rank): r.neighbor for r in got} == {k: v[0] for k, v in want.items()}
+    else:
+        size = np.sqrt((x**2).sum(axis=1))
+        gaps = np.sort(1 - x @ x.T / np.outer(size, size), axis=1)
+        assert len(got) == 5 * len(x) and all(abs(r.distance - gaps[r.id, r["rank"] - 1]) < 1e-12 for r in got)
+
+
 def test_few_distances_are_summed_to_the_end(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     work = neighbors.knn_work(vectors, vectors, "embedding", 5, "vec_id").first()
