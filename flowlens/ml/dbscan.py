@@ -5,6 +5,9 @@ a cell are neighbours. A cell holding ``min_samples`` rows makes all its points
 without looking at any pair, and core points of a cell are connected by definition, so
 clusters are the components of a graph of cells. Distances are computed in bounded tasks
 (see ``neighbors``) that return counts or a spanning forest of the cells they saw, never point pairs.
+
+Where points are dense, one chunk of a point's own neighbourhood shows that it is core, and such chunks together with
+groups drawn by hash join most groups; all pairs are compared only for what these leave open.
 """
 
 import math
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from flowlens.ml.neighbors import BLOCK, CHUNK_ROWS, PAIR_ROWS, SLICE, _lower_bounds, _matrix, _set_places, build_index, points, within_radius
+from flowlens.ml.neighbors import BLOCK, CHUNK_ROWS, PAIR_ROWS, SLICE, _lower_bounds, _matrix, _set_places, build_index, near_home, points, within_radius
 from flowlens.operators.preparation import fit_scaler
 from flowlens.session import materialize
 
@@ -194,23 +197,13 @@ def dbscan(
     packed = F.col("grid_weight") >= min_samples
     index = build_index(distinct.select("rep", "vec", "weight"), chunk_rows)
     sparse = distinct.filter(~packed).select("rep", "vec")
-    counted = within_radius(index, sparse, eps, _count_kernel(eps), f"rep {key_type}, n bigint")
-    core_sparse = (
-        counted.groupBy("rep").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_samples).select("rep")
-    )
+    core_sparse = _dense_points(index, sparse, eps, min_samples, key_type)
     core = distinct.filter(packed).unionByName(distinct.join(core_sparse, "rep", "left_semi"))
     group = core.groupBy("grid").agg(F.min("rep").alias("group"))
     core = materialize(core.join(group, "grid").select("rep", "vec", "group"), "dbscan-core")
 
     core_index = build_index(core, chunk_rows)
-    edges = within_radius(
-        core_index, core, eps, _edge_kernel(eps), f"a {key_type}, b {key_type}"
-    ).distinct()
-    joined = connected_components(edges)
-    roots = core.join(joined.withColumnRenamed("node", "group"), "group", "left").select(
-        "rep", "vec", F.coalesce("root", "group").alias("root")
-    )
-    roots = materialize(roots, "dbscan-roots")
+    roots = _rooted(core_index, core, eps, chunk_rows, key_type)
 
     border = distinct.join(core.select("rep"), "rep", "left_anti").select("rep", "vec")
     # The same vectors in the same cells, now with their cluster root.
@@ -229,6 +222,48 @@ def dbscan(
     )
 
 
+def _dense_points(index, queries: DataFrame, eps: float, min_samples: int, key_type: str) -> DataFrame:
+    """``(rep)`` of the queries with ``min_samples`` rows within eps: those that one chunk does not show are counted in full."""
+    schema = f"rep {key_type}, n bigint"
+
+    def enough(counted):
+        return counted.groupBy("rep").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_samples).select("rep")
+
+    if len(index.pivots) == 1:
+        return enough(within_radius(index, queries, eps, _count_kernel(eps), schema))
+    shown = materialize(enough(near_home(index, queries, _count_kernel(eps), schema)), "dbscan-shown")
+    open_ = queries.join(shown, "rep", "left_anti")
+    return shown.unionByName(enough(within_radius(index, open_, eps, _count_kernel(eps), schema)))
+
+
+def _rooted(index, core: DataFrame, eps: float, chunk_rows: int, key_type: str) -> DataFrame:
+    """``(rep, vec, root)`` of the core points: the smallest group of each cluster.
+
+    Two clusters found so far can only meet in a pair of which one point lies outside the largest of them, so only
+    those points are compared with all others.
+    """
+    kernel, schema = _edge_kernel(eps), f"a {key_type}, b {key_type}"
+
+    def joined(rows, edges):
+        roots = connected_components(edges.distinct()).withColumnRenamed("node", "group")
+        roots = rows.join(roots, "group", "left").select("rep", "vec", F.coalesce("root", "group").alias("root"))
+        return materialize(roots, "dbscan-roots")
+
+    if len(index.pivots) == 1:
+        return joined(core, within_radius(index, core, eps, kernel, schema))
+    draws = max(1, int(index.sizes.sum()) // chunk_rows)
+    drawn = core.withColumn("draw", F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(draws)))
+    drawn = drawn.groupBy("draw").applyInPandas(lambda frame: kernel(frame, frame), schema)
+    found = joined(core, near_home(index, core, kernel, schema).unionByName(drawn))
+    largest = found.groupBy("root").count().orderBy(F.desc("count"), "root").first()
+    rest = found.filter(~F.col("root").eqNullSafe(F.lit(largest["root"]))) if largest else found
+    if rest.isEmpty():
+        return found
+    grouped = index.refs.drop("group").join(found.select("rep", F.col("root").alias("group")), "rep")
+    edges = within_radius(replace(index, refs=grouped), rest.withColumnRenamed("root", "group"), eps, kernel, schema)
+    return joined(found.withColumnRenamed("root", "group"), edges)
+
+
 def number_clusters(roots: DataFrame) -> DataFrame:
     """``(root, cluster)``: 0-based rank of each root.
 

@@ -469,6 +469,25 @@ def test_two_chunks_meet_once(spark, monkeypatch, metric):
         assert len(got) == 5 * len(x) and all(abs(r.distance - gaps[r.id, r["rank"] - 1]) < 1e-12 for r in got)
 
 
+def test_dense_points_are_not_compared_with_all(spark, monkeypatch):
+    """One chunk each shows that points are core and joins them; only points outside the largest cluster go on."""
+    sent = []
+    whole = dbscan.within_radius
+
+    def counted(index, queries, *args):
+        sent.append(queries.count())
+        return whole(index, queries, *args)
+
+    monkeypatch.setattr(dbscan, "within_radius", counted)
+    rng = np.random.default_rng(13)
+    x = np.vstack([rng.normal(size=(400, 20)), rng.normal(size=(60, 20)) + 40, rng.normal(size=(3, 20)) - 90])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    got = dbscan.dbscan(df, "vec", "id", 6.5, 4, scale=False, chunk_rows=50).collect()
+    want = brute_dbscan(x, np.arange(len(x)), 6.5, 4)
+    assert {r["id"]: r["cluster"] for r in got} == want
+    assert sum(sent) < 200
+
+
 def test_few_distances_are_summed_to_the_end(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     work = neighbors.knn_work(vectors, vectors, "embedding", 5, "vec_id").first()
