@@ -21,7 +21,8 @@ compared with itself, which bounds the search radius, and then each two chunks o
 Distances are Euclidean, sums (``manhattan``) or maxima (``chebyshev``) of coordinate differences, or ``cosine``. Sums and
 maxima keep the coordinates as they are, since no rotation preserves them; partial ones are lower bounds too. Vectors
 compared by cosine are brought to length one, where half the squared distance is one minus the cosine; those
-without a direction (zero vectors) are left out.
+without a direction (zero vectors) are left out. For sums and maxima, coordinates are cut into whole steps that fit a byte;
+steps between two vectors, less what the steps lack of both, bound their distance from below and rule out most pairs.
 
 Method: Voronoi partitioning for k-nearest-neighbour joins (Lu, Shen, Chen, Ooi, 2012).
 """
@@ -57,6 +58,10 @@ RENEW_STEPS = 3
 # Share of open pairs below which they are listed instead of summed as a whole block.
 SPARSE_SHARE = 0.35
 PAIR_ROWS = 1 << 16
+# Steps that a coordinate is cut into for a bound in bytes, coordinates whose gaps a byte sums, rows of a block taken at once,
+# share of the coordinates left beyond either end of the steps, and share of open pairs above which bytes are given up.
+LEVELS = {"manhattan": 63, "chebyshev": 127}
+BYTE_SUMS, BYTE_ROWS, BEYOND, MANY_OPEN = 4, 64, 0.005, 0.15
 METRICS = ("euclidean", "manhattan", "chebyshev", "cosine")
 
 
@@ -229,7 +234,7 @@ def _visit(index: Index, queries: DataFrame, kernel, schema: str, one_chunk: boo
         total = queries.count()
         if loads.sum() >= MOST * total * (index.sizes > 0).sum():
             if same:
-                return _both_ways(queries, _wide(total, index.pivots.shape[1]), kernel, schema, index.keep)
+                return _both_ways(queries, _wide(total, index.pivots.shape[1]), kernel, schema, index.keep, index.metric)
             # Few queries need few copies of the references.
             few = min(WIDE_CHUNKS, -(-WIDE_CHUNKS * total // int(index.sizes.sum())))
             index, blocks = _one_cell(index), np.array([_wide(total, index.pivots.shape[1], few)])
@@ -269,7 +274,7 @@ def _one_cell(index: Index) -> Index:
     return replace(index, refs=refs, pivots=index.pivots[:1], sizes=np.array([total]), chunks=chunks)
 
 
-def _both_ways(rows: DataFrame, chunks: int, kernel, schema: str, keep: int) -> DataFrame:
+def _both_ways(rows: DataFrame, chunks: int, kernel, schema: str, keep: int, metric: str) -> DataFrame:
     """Best candidates of ``(rep, vec, keys, radius)`` rows among themselves: ``kernel`` inside every wide chunk, then each two
     chunks in one task. A row is sent once for each chunk, and a task of two chunks holds no more than one of ``_visit``."""
     chunk = F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(chunks)).cast("int")
@@ -286,7 +291,8 @@ def _both_ways(rows: DataFrame, chunks: int, kernel, schema: str, keep: int) ->
         side.select(*(F.col(c).alias(c) for c in ("rep", "vec", "keys", "radius")), task.alias("task")).repartitionById(chunks * (chunks - 1) // 2, "task").groupBy("task")
         for side in (left, right)
     )
-    return inside.unionByName(left.cogroup(right).applyInPandas(_both_kernel(keep), schema))
+    compare = _both_kernel(keep, metric) if metric in LEVELS else _both_kernel(keep)
+    return inside.unionByName(left.cogroup(right).applyInPandas(compare, schema))
 
 
 def _with_radius(queries: DataFrame, found: DataFrame, keep: int) -> DataFrame:
@@ -537,6 +543,168 @@ def _near_by_parts(queries, refs, metric: str, radius, keep: int):
         yield start, own[order], near[order], total
 
 
+def _aligned(rows: int, columns: int, kind) -> np.ndarray:
+    """An array whose rows begin at multiples of 64 bytes."""
+    wide = -(-columns * np.dtype(kind).itemsize // 64) * 64
+    found = np.empty(rows * wide + 64, np.uint8)
+    start = -found.ctypes.data % 64
+    return found[start : start + rows * wide].view(kind).reshape(rows, -1)[:, :columns]
+
+
+class _Levels:
+    """Two sets of vectors with coordinates cut into whole steps, for lower bounds of sums and maxima of coordinate differences in bytes.
+
+    A coordinate beyond the first or last step counts as that, which brings no two further apart. What the steps lack of a
+    vector's coordinates (``left_rest``, ``right_rest``) is summed, or its maximum taken, like a distance: steps between two
+    vectors are more than their distance by no more than both rests.
+    """
+
+    def __init__(self, left, right, metric: str):
+        self.metric, most = metric, LEVELS[metric]
+        ends = [np.quantile(right, share, axis=0) for share in (BEYOND, 1 - BEYOND)]
+        self.step = float((ends[1] - ends[0]).max()) / most
+        sums = [np.abs(x).sum(axis=1).max(initial=0.0) for x in (left, right)]
+        self.error = 1e-13 * left.shape[1] * sum(sums) + 1e-300
+        # Also false for what is no number.
+        self.useful = 1e-200 < self.step < 1e200 and self.step > self.error
+        if self.useful:
+            low = (ends[0] + ends[1] - most * self.step) / 2
+            (self.left, self.left_rest), (self.right, self.right_rest) = (self._cut(x, low, most) for x in (left, right))
+            self.columns = [self.left[c][:, None] for c in range(len(self.left))]
+            # References that lack less than others start with the difference, in steps.
+            self.most_rest = self.right_rest.max(initial=0.0)
+            kind = np.uint8 if metric == "chebyshev" else np.uint16 if most * (left.shape[1] + 2) < 1 << 16 else np.uint32
+            self.start = np.floor((self.most_rest - self.right_rest) / self.step).astype(kind)
+            self.gap, self.sums, self.total = (_aligned(BYTE_ROWS, min(SLICE, len(right)), t) for t in (np.int8, np.uint8, kind))
+
+    def _cut(self, x, low, most: int):
+        whole = _aligned(x.shape[1], len(x), np.int8)
+        rest = np.empty(len(x))
+        for first in range(0, len(x), SLICE):
+            place = np.clip((x[first : first + SLICE] - low) / self.step, 0, most)
+            steps = np.rint(place)
+            whole[:, first : first + SLICE] = steps.T
+            rest[first : first + SLICE] = _length(place - steps, self.metric) * self.step
+        return whole, rest
+
+    def between(self, rows: slice, some: slice):
+        """Steps between rows of the left, ``BYTE_ROWS`` at most, and some of the right; the result is used up by the next call."""
+        part = self.right[:, some]
+        size = self.left[0, rows].size, part.shape[1]
+        gap, sums, total = (x[: size[0], : size[1]] for x in (self.gap, self.sums, self.total))
+        if self.metric == "chebyshev":
+            for c, column in enumerate(self.columns):
+                np.subtract(column[rows], part[c], out=gap)
+                np.abs(gap, out=gap)
+                np.maximum(total, gap.view(np.uint8), out=total) if c else np.copyto(total, gap.view(np.uint8))
+            return total
+        base = self.start[some]
+        for low in range(0, len(part), BYTE_SUMS):
+            for c in range(low, min(low + BYTE_SUMS, len(part))):
+                out = gap if c > low else sums.view(np.int8)
+                np.subtract(self.columns[c][rows], part[c], out=out)
+                np.abs(out, out=out)
+                if c > low:
+                    np.add(sums, gap.view(np.uint8), out=sums)
+            base = np.add(base, sums, out=total)
+        return total
+
+    def open_pairs(self, rows: slice, some: slice, limit):
+        """Mask of the pairs of these rows of the left and some of the right that may lie within the limit."""
+        steps = np.floor((limit + self.left_rest[rows] + self.most_rest + self.error) / self.step * (1 + 1e-12))
+        most = LEVELS[self.metric] if self.metric == "chebyshev" else np.iinfo(self.total.dtype).max
+        most = np.where(steps < most, steps, most).astype(self.total.dtype)
+        if self.metric == "manhattan":
+            return self.between(rows, some) <= most[:, None]
+        # A difference from -most to most, and most added, stays in its order as a byte without sign; any other wraps around beyond.
+        part = self.right[:, some].view(np.uint8)
+        least = self.left[:, rows].view(np.uint8) - most
+        gap, total = (x.view(np.uint8)[: len(most), : part.shape[1]] for x in (self.gap, self.total))
+        for c in range(len(part)):
+            np.subtract(part[c], least[c][:, None], out=gap if c else total)
+            if c:
+                np.maximum(total, gap, out=total)
+        return total <= 2 * most[:, None]
+
+
+def _near_by_levels(queries, refs, metric: str, radius, keep: int):
+    """:func:`_near_candidates` for sums and maxima of coordinate differences: most pairs are ruled out by steps in bytes.
+
+    Blocks of queries for which that leaves too many go to :func:`_near_by_parts`.
+    """
+    levels, last = _Levels(queries, refs, metric), min(keep, len(refs), SLICE) - 1
+    if not levels.useful:
+        yield from _near_by_parts(queries, refs, metric, radius, keep)
+        return
+    for start in range(0, len(queries), BLOCK):
+        block = queries[start : start + BLOCK]
+        limit = radius[start : start + BLOCK].copy()
+        own, near, gaps, size, seen, summed = [], [], [], 2 * keep * len(block), 0, 0
+        for first in range(0, len(refs), SLICE):
+            some, open_ = slice(first, min(first + SLICE, len(refs))), 0
+            for row in range(0, len(block), BYTE_ROWS):
+                rows = slice(start + row, start + min(row + BYTE_ROWS, len(block)))
+                inside = slice(row, row + BYTE_ROWS)
+                if not first and last + 1 >= keep and not np.isfinite(limit[inside]).all():
+                    # Full distances of those that look nearest bound the wanted ones.
+                    look = np.argpartition(levels.between(rows, some), last, axis=1)[:, : last + 1]
+                    limit[inside] = np.minimum(limit[inside], _length(refs[look] - block[inside, None], metric).max(axis=1))
+                i, j = _set_places(levels.open_pairs(rows, some, limit[inside]))
+                open_ += len(i)
+                if open_ > MANY_OPEN * len(block) * (some.stop - first):
+                    break
+                i, j = i + row, j + first
+                gap = _exact(block, refs, i, j, metric)
+                kept = gap <= limit[i]
+                own.append(i[kept])
+                near.append(j[kept])
+                gaps.append(gap[kept])
+            if open_ > MANY_OPEN * len(block) * (some.stop - first):
+                break
+            summed += open_
+            # Renewed when the references seen or the open pairs have doubled: that costs little for each of them.
+            if some.stop >= min(2 * seen, len(refs)) or sum(map(len, own)) >= size:
+                seen = some.stop
+                own, near, gaps = np.concatenate(own), np.concatenate(near), np.concatenate(gaps)
+                limit = _renewed(limit, own, gaps, keep)
+                kept = gaps <= limit[own]
+                own, near, gaps = [own[kept]], [near[kept]], [gaps[kept]]
+                size = max(size, 2 * len(own[0]))
+        else:
+            order = np.argsort(own[0], kind="stable")
+            yield start, own[0][order], near[0][order], summed
+            continue
+        for _, own, near, summed in _near_by_parts(block, refs, metric, limit, keep):
+            yield start, own, near, summed
+
+
+def _near_both_by_levels(left, right, left_radius, right_radius, metric: str):
+    """:func:`_near_both` for sums and maxima of coordinate differences, by steps in bytes."""
+    # Rows of similar limits together: one limit for all pairs of a tile leaves few of them.
+    orders = [np.argsort(radius, kind="stable") for radius in (left_radius, right_radius)]
+    (own_most, near_most), (a, b) = (r[o] for r, o in zip((left_radius, right_radius), orders)), (x[o] for x, o in zip((left, right), orders))
+    levels = _Levels(a, b, metric)
+    own, near = [], []
+    for start in range(0, len(a), BYTE_ROWS):
+        rows = slice(start, min(start + BYTE_ROWS, len(a)))
+        for first in range(0, len(b), SLICE):
+            some = slice(first, min(first + SLICE, len(b)))
+            i = None
+            if levels.useful:
+                limit = max(own_most[rows][-1], near_most[some][-1])
+                mask = levels.open_pairs(rows, some, limit)
+                if np.count_nonzero(mask) <= MANY_OPEN * mask.size:
+                    i, j = _set_places(mask)
+                    gaps = _exact(a[rows], b[some], i, j, metric)
+                    open_ = gaps <= np.maximum(own_most[start + i], near_most[first + j])
+                    i, j = i[open_], j[open_]
+            if i is None:
+                i, j = np.nonzero(_distances(a[rows], b[some], metric) <= np.maximum(own_most[rows, None], near_most[some]))
+            own.append(start + i)
+            near.append(first + j)
+    return orders[0][np.concatenate(own)], orders[1][np.concatenate(near)]
+
+
 def _exact(queries, refs, own, near, metric: str) -> np.ndarray:
     """Distances of pairs, some at a time."""
     out = np.empty(len(own))
@@ -568,7 +736,7 @@ def _best_keys(own, near, gaps, places, rows: int, keep: int):
     return own[order], names[key[order]], gaps[order]
 
 
-def _both_kernel(keep: int):
+def _both_kernel(keep: int, metric: str = "euclidean"):
     """Per row of either chunk the ``keep`` nearest (distance, key) pairs of the other within its radius."""
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -576,8 +744,8 @@ def _both_kernel(keep: int):
         if len(left) and len(right):
             vectors = [_matrix(side["vec"]) for side in (left, right)]
             radius = [side["radius"].to_numpy(float) for side in (left, right)]
-            pairs = _near_both(*vectors, *radius)
-            gaps = _exact(*vectors, *pairs, "euclidean")
+            pairs = _near_both_by_levels(*vectors, *radius, metric) if metric in LEVELS else _near_both(*vectors, *radius)
+            gaps = _exact(*vectors, *pairs, metric)
             for side, other, (own, near), limit in ((left, right, pairs, radius[0]), (right, left, pairs[::-1], radius[1])):
                 some = gaps <= limit[own]
                 own, key, gap = _best_keys(own[some], near[some], gaps[some], _places(other["keys"]), len(side), keep)
@@ -603,8 +771,8 @@ def _top_kernel(keep: int, axes=None, count: bool = False, metric: str = "euclid
             places = _places(right["keys"])
             radius = left["radius"].to_numpy(float) if "radius" in left else np.full(len(queries), np.inf)
             pairs = len(queries) * len(refs)
-            if metric in ("manhattan", "chebyshev"):
-                candidates = _near_by_parts(queries, refs, metric, radius, keep)
+            if metric in LEVELS:
+                candidates = _near_by_levels(queries, refs, metric, radius, keep)
             elif axes is None:
                 candidates = _near_by_product(queries, refs, radius, keep)
             else:
@@ -646,7 +814,7 @@ def search_work(index: Index, queries: DataFrame, key_type: str) -> DataFrame:
 
 
 def _candidates(index: Index, queries: DataFrame | None, schema: str, kernel) -> DataFrame:
-    same = queries is None and index.axes is None and index.metric in ("euclidean", "cosine")
+    same = queries is None and index.axes is None
     base = (index.refs if queries is None else queries).select("rep", "vec", *["keys"] * same)
     if len(index.pivots) == 1:
         return _visit(index, base.withColumn("cells", F.array(F.lit(0))), kernel, schema, False)

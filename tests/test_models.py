@@ -292,6 +292,83 @@ def test_cross_validation_and_comparison(rings):
     assert whole["resubstitution"].first()["accuracy"] > 0.95 and whole["confusion_matrix"].count() == 4
 
 
+def brute_gaps(left, right, metric):
+    return np.array([neighbors._length(right - row, metric) for row in left])
+
+
+BY_STEPS = ["manhattan"]
+
+
+@pytest.mark.parametrize("metric", BY_STEPS)
+@pytest.mark.parametrize("shift, scale", [(0.0, 1.0), (1e5, 1.0), (0.0, 1e-25), (3.0, 1e-7), (0.0, 1e25), (1e9, 1e-6)])
+@pytest.mark.parametrize("shape", ["spread", "whole", "tails", "uneven"])
+def test_steps_in_bytes_lose_no_neighbour(monkeypatch, metric, shift, scale, shape):
+    """Bounds in whole steps keep every pair within the limit, one way and both ways, on odd coordinates too."""
+    for name, value in {"SLICE": 48, "BLOCK": 40, "BYTE_ROWS": 16}.items():
+        monkeypatch.setattr(neighbors, name, value)
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(300, 23))
+    x = {"spread": x, "whole": np.rint(x), "tails": x**7, "uneven": x * np.r_[1e4, np.ones(21), 0.0]}[shape] * scale + shift
+    x[270:] = x[:30]
+    queries, gaps = x[:130], brute_gaps(x[:130], x, metric)
+    radius = np.where(np.arange(130) % 3 == 0, np.inf, np.median(gaps))
+    kept = {(int(start + i), int(j)) for start, own, refs, _ in neighbors._near_by_levels(queries, x, metric, radius, 6) for i, j in zip(own, refs)}
+    for i, row in enumerate(gaps):
+        assert all((i, int(j)) in kept for j in np.argsort(row, kind="stable")[:6] if row[j] <= radius[i])
+    for share in (0.02, 0.5):
+        # A distance that occurs, so that a pair lies on the limit.
+        most = np.sort(gaps, axis=1)[:, int(share * 300)]
+        near = np.resize(most, 300)[::-1].copy()
+        own, refs = neighbors._near_both_by_levels(queries, x, most, near, metric)
+        want = zip(*np.nonzero(gaps <= np.maximum(most[:, None], near)))
+        assert sorted(zip(own.tolist(), refs.tolist())) == sorted((int(i), int(j)) for i, j in want)
+
+
+@pytest.mark.parametrize("metric", BY_STEPS)
+def test_steps_in_bytes_leave_few_pairs(metric):
+    x = np.random.default_rng(22).normal(size=(3000, 64))
+    near = neighbors._near_by_levels(x[:200], x, metric, np.full(200, np.inf), 6)
+    assert sum(summed for *_, summed in near) < 0.1 * 200 * 3000
+
+
+@pytest.mark.parametrize("value", [1e3, 1e12, 1e300])
+@pytest.mark.parametrize("metric", BY_STEPS)
+def test_steps_beside_a_far_vector(metric, value):
+    x = np.random.default_rng(23).normal(size=(200, 20))
+    x[7, 3] = value
+    near = list(neighbors._near_by_levels(x, x, metric, np.full(200, np.inf), 4))
+    kept = {(int(start + i), int(j)) for start, own, refs, _ in near for i, j in zip(own, refs)}
+    for i, row in enumerate(brute_gaps(x, x, metric)):
+        assert all((i, int(j)) in kept for j in np.argsort(row, kind="stable")[:4])
+
+
+@pytest.mark.parametrize("metric", BY_STEPS)
+def test_two_chunks_meet_once_by_other_metrics(spark, monkeypatch, metric):
+    monkeypatch.setattr(neighbors, "QUERY_ROWS", 100)
+    pairs = spark.sparkContext.accumulator(0)
+    compare = neighbors._both_kernel
+
+    def counted(keep, by):
+        kernel = compare(keep, by)
+
+        def run(left, right):
+            pairs.add(len(left) * len(right))
+            return kernel(left, right)
+
+        return run
+
+    monkeypatch.setattr(neighbors, "_both_kernel", counted)
+    x = np.random.default_rng(24).normal(size=(500, 32))
+    x[440:470], x[470:] = x[:30], x[:30] * (1 + 1e-9)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    found = neighbors.knn_join(df, df, "vec", 5, "id", True, 40, metric).collect()
+    assert 0 < pairs.value < 470 * 470 / 2
+    gaps = brute_gaps(x, x, metric)
+    np.fill_diagonal(gaps, np.inf)
+    want = {(i, n + 1): (int(j), row[j]) for i, row in enumerate(gaps) for n, j in enumerate(np.argsort(row, kind="stable")[:5])}
+    assert {(r.id, r["rank"]): (r.neighbor, r.distance) for r in found} == want
+
+
 def test_models_are_compared_side_by_side(spark, rings, monkeypatch):
     """Folds are dealt out once, fits overlap, one report counts all; scores are those of each model's own cross-validation."""
     calls, together, lock = [], threading.Barrier(4, timeout=60), threading.Lock()
