@@ -296,7 +296,7 @@ def brute_gaps(left, right, metric):
     return np.array([neighbors._length(right - row, metric) for row in left])
 
 
-BY_STEPS = ["manhattan"]
+BY_STEPS = ["manhattan", "chebyshev"]
 
 
 @pytest.mark.parametrize("metric", BY_STEPS)
