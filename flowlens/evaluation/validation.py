@@ -20,8 +20,8 @@ from flowlens.schemas import POSITIVE, SEED, TARGET
 from flowlens.session import materialize
 
 SCORERS = ("accuracy", "precision", "recall", "f1", "roc_auc")
-# Fits at a time: each is a row of short jobs, between which the driver plans and executors wait.
-FITS = 8
+# Fits at a time: each is a row of short jobs, between which the driver plans and executors wait. More cost the driver memory.
+FITS = 3
 
 
 def stratified_folds(df: DataFrame, key: str = "ipsrc", target: str = TARGET, k: int = 5, seed: int = SEED) -> DataFrame:
